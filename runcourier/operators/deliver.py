@@ -353,3 +353,28 @@ def alert_outbox(
         named, "alert", F.col("kind"), F.col("address"), subject, payload, F.lit("READY"),
         key=F.concat_ws("|", "rule_id", "suite_category"),
     )
+
+
+def snapshots(runs_at_slots: DataFrame, cadence: str) -> DataFrame:
+    """Scheduled deliveries: the run shown at each slot. A slot before the first run is empty
+    and is not sent."""
+    return runs_at_slots.where("run_id is not null").select(
+        F.lit(cadence).alias("rule_id"), "slot", "run_id"
+    )
+
+
+def snapshot_outbox(deliveries: DataFrame, folder: str = "reports", title: str = TITLE) -> DataFrame:
+    """Scheduled mails to subscribers, naming the stored report of the run."""
+    subject = F.concat(F.lit(f"{title} Report - Run "), F.col("run_id"), F.lit(" - snapshot"))
+    slot = F.date_format("slot", "yyyy-MM-dd HH:mm")
+    payload = F.to_json(
+        F.struct(
+            F.col("rule_id").alias("cadence"),
+            slot.alias("slot"),
+            report_path(folder, F.col("run_id")).alias("body"),
+        )
+    )
+    return outbox(
+        deliveries, "snapshot", F.col("kind"), F.col("address"), subject, payload, F.lit("READY"),
+        key=F.concat_ws("|", F.col("rule_id"), slot),
+    )
