@@ -6,7 +6,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType, StructType
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 
 def write_batch(df: DataFrame, path: str, batch_id: int) -> None:
@@ -37,7 +37,7 @@ class StateTable:
     compact_every: int = 20
 
     def _merge(self, spark: SparkSession, paths: list[str]) -> DataFrame:
-        versioned = StructType(self.schema.fields).add("_version", IntegerType())
+        versioned = StructType([*self.schema.fields, StructField("_version", IntegerType())])
         rows = spark.read.schema(versioned).parquet(*paths)
         values = [f.name for f in self.schema.fields if f.name not in self.keys]
         latest = F.max_by(F.struct(*values), F.col("_version")).alias("v")
