@@ -111,7 +111,7 @@ def upsert_into(spark: SparkSession, path: str, updates: DataFrame, keys: Sequen
 
 def whole_text(spark: SparkSession, path: str) -> DataFrame:
     """One row per file, with the whole text of the file."""
-    return spark.read.option("wholetext", True).text(path).select(
+    return spark.read.text(path, wholetext=True).select(
         F.input_file_name().alias("path"), F.col("value").alias("text")
     )
 

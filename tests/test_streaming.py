@@ -118,7 +118,7 @@ def test_reports_from_any_of_several_tables(spark, tmp_path):
     SJ.start(stream, on_batch, f"{work}/checkpoint", once=True).awaitTermination()
     runs = load_tables(spark, folder).suite_status.select("run_id").distinct().count()
     assert read_outbox(spark, f"{work}/outbox").count() == runs
-    files = spark.read.option("wholetext", True).text(f"{work}/reports")
+    files = spark.read.text(f"{work}/reports", wholetext=True)
     assert files.select("run_id").distinct().count() == runs
 
 
