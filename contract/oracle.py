@@ -450,6 +450,30 @@ FROM (VALUES
     (9, 'table', 't_thr', 'threshold_ds', NULL, 3)
 ) AS w(ordinal, kind, name, dataset, text, height)"""
 
+_SECTION_SPEC = "SELECT * FROM (VALUES " + ", ".join(
+    f"({q(s.name + '_ds')}, {i}, {q(f.name)}, {q(f.title)})"
+    for s in SECTIONS.values()
+    for i, f in enumerate(s.fields)
+) + ") AS c(dataset, ordinal, field, label)"
+
+_DATASETS = "SELECT * FROM (VALUES " + ", ".join(
+    f"({i}, {q(s.name + '_ds')}, {q(s.title)}, "
+    f"{q('SELECT ' + ', '.join(s.columns) + ' FROM ' + s.table + ' WHERE run_id = ' + _LATEST)})"
+    for i, s in enumerate(SECTIONS.values())
+) + ") AS d(i, name, title, query)"
+
+_DEFINITION = """
+SELECT to_json({
+    'datasets': (SELECT list({'name': name, 'displayName': title, 'queryLines': [query]} ORDER BY i) FROM dataset),
+    'pages': [{'name': 'report', 'displayName': 'Regression Report', 'layout':
+        (SELECT list({'widget': {'name': name, 'kind': kind, 'text': text, 'dataset': l.dataset,
+                                 'columns': c.columns, 'n_rows': n_rows},
+                      'position': {'x': x, 'y': y, 'width': width, 'height': height}} ORDER BY l.ordinal)
+         FROM layout l LEFT JOIN (
+             SELECT dataset, list({'fieldName': field, 'displayName': label} ORDER BY ordinal) AS columns
+             FROM section_spec GROUP BY dataset) c USING (dataset))}]
+})::VARCHAR AS json"""
+
 _CHAT_BOX = f"""
 SELECT md5('chat|generic|https://example.com/hook|' || run_id) AS delivery_id, 'chat' AS kind,
        'generic' AS channel, 'https://example.com/hook' AS address, run_id, {_TITLE} AS subject,
@@ -643,6 +667,9 @@ ORACLE: dict[str, str] = {
         **_PAIRED,
     ),
     "report_layout": _sql(_LAYOUT),
+    "report_definition": _sql(
+        _DEFINITION, layout=_LAYOUT, section_spec=_SECTION_SPEC, dataset=_DATASETS
+    ),
     "upsert_definitions": _sql("""
         SELECT coalesce(u.id, o.run_id) AS id, coalesce(u.name, o.task_id) AS name, coalesce(u.version, 0) AS version
         FROM run_request o

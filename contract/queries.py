@@ -254,7 +254,8 @@ def alert_run_verdict(spark, sf_dir, fmt=HOURLY):
 
 def _transitions(spark, sf_dir, fmt=HOURLY):
     suites = event_tables(spark, sf_dir, fmt).suite_status
-    return alerts.transitions(alerts.states(alerts.evaluate(suites, rules(spark))))
+    state = alerts.states(alerts.evaluate(suites, rules(spark)))
+    return alerts.transitions(state, rows_per_key=alerts.largest_suite(suites))
 
 
 def alert_transitions(spark, sf_dir, fmt=HOURLY):
@@ -301,8 +302,8 @@ def alert_fanout(spark, sf_dir, fmt=HOURLY):
 
 def _alert_outbox(spark, sf_dir, fmt=HOURLY):
     tables = event_tables(spark, sf_dir, fmt)
-    fired = alerts.transitions(alerts.states(alerts.evaluate(tables.suite_status, rules(spark))))
-    sent = deliver.fan_out(fired.where("change = 'TRIGGERED'"), subscriptions(spark, sf_dir))
+    fired = _transitions(spark, sf_dir, fmt).where("change = 'TRIGGERED'")
+    sent = deliver.fan_out(fired, subscriptions(spark, sf_dir))
     return deliver.alert_outbox(sent, _status(tables))
 
 

@@ -12,17 +12,24 @@ WINDOW_ROWS = 5_000_000
 
 
 def previous(
-    df: DataFrame, keys: list[str], order: list[str], value: str, window_rows: int = WINDOW_ROWS
+    df: DataFrame,
+    keys: list[str],
+    order: list[str],
+    value: str,
+    window_rows: int = WINDOW_ROWS,
+    rows_per_key: int | None = None,
 ) -> DataFrame:
     """Add ``previous_<value>``: the value of the row before, by ``order`` within ``keys``.
 
     ``order`` is unique within a key. When every key is small this is a plain ``lag``.
     Otherwise the rows are cut into ranges of (keys, order), each range is processed by
-    itself, and the last value of each range is handed on to the next one.
+    itself, and the last value of each range is handed on to the next one. A caller that
+    knows a bound for the rows of a key passes ``rows_per_key`` and saves the counting.
     """
     name = f"previous_{value}"
-    largest = df.groupBy(*keys).count().agg(F.max("count")).first()[0]
-    if (largest or 0) <= window_rows:
+    if rows_per_key is None:
+        rows_per_key = df.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
+    if rows_per_key <= window_rows:
         w = Window.partitionBy(*keys).orderBy(*order)
         return df.withColumn(name, F.lag(value).over(w))
 

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from runcourier.session import cut, is_small
+from runcourier.session import BROADCAST_ROWS, cut
 
 # Characters a cell is charged for the marks around it.
 CELL_CHARGE = 128
@@ -34,43 +34,48 @@ def content_hash(columns: list[str]) -> Column:
     return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("bigint")
 
 
-def large_groups(sizes: DataFrame, key: str, limit: int) -> tuple[DataFrame | None, bool]:
-    """Groups above ``limit`` with their number of pages, and whether the list is small.
-
-    ``None`` when no group is too large, which keeps the usual plan free of any extra join.
-    A short list is held by the driver, a long one is written to the shared folder, as two
-    branches use it.
-    """
-    pages = F.ceil(F.col("weight") / F.lit(limit)).cast("int")
-    large = sizes.where(F.col("weight") > limit).select(key, pages.alias("n_pages"))
-    head = large.limit(DRIVER_ROWS + 1).collect()
-    if not head:
-        return None, True
+def _held(df: DataFrame) -> tuple[DataFrame, int]:
+    """A list that several branches use: a short one on the driver, a long one stored."""
+    head = df.limit(DRIVER_ROWS + 1).collect()
     if len(head) <= DRIVER_ROWS:
-        return large.sparkSession.createDataFrame(head, large.schema), True
-    large = cut(large)
-    return large, is_small(large)
+        return df.sparkSession.createDataFrame(head, df.schema), len(head)
+    stored = cut(df)
+    return stored, stored.count()
 
 
 def to_pages(
-    rows: DataFrame, sizes: DataFrame, key: str, limit: int, pinned: Column
+    rows: DataFrame,
+    sizes: DataFrame,
+    key: str,
+    limit: int,
+    pinned: Column,
+    wanted: DataFrame,
 ) -> tuple[DataFrame, bool]:
     """Add ``page_no``, ``n_pages`` and ``copies`` to ``rows``.
 
-    ``rows`` carries ``row_weight`` and ``row_hash``. Rows of large groups are counted
-    before anything is shuffled by page, so a row that occurs very often travels once per
-    page with its number of copies. ``pinned`` rows stay on page 0 uncounted; they must be
-    reduced by the caller without collecting them. The flag tells whether ``copies`` can
-    be above 1.
+    ``rows`` carries ``row_weight`` and ``row_hash``, ``sizes`` the ``weight`` of each key.
+    Rows of large groups are counted before anything is shuffled by page, so a row that
+    occurs very often travels once per page with its number of copies. ``pinned`` rows
+    stay on page 0 and must be reduced by the caller without collecting them. Large groups
+    whose key is not in ``wanted`` are left out.
+
+    Usually no group is large; then no join is added. The flag tells whether ``copies``
+    can be above 1.
     """
-    large, small = large_groups(sizes, key, limit)
+    pages = F.ceil(F.col("weight") / F.lit(limit)).cast("int")
+    large, n = _held(sizes.where(F.col("weight") > limit).select(key, pages.alias("n_pages")))
     first = [F.lit(0).alias("page_no"), F.lit(1).alias("n_pages"), F.lit(1).alias("copies")]
-    if large is None:
+    if n == 0:
         return rows.select("*", *first), False
-    hot = F.broadcast(large) if small else large
+
+    def near(df: DataFrame) -> DataFrame:
+        return F.broadcast(df) if n <= BROADCAST_ROWS else df
+
+    kept, _ = _held(wanted.select(key).join(near(large), key).distinct())
+    hot = near(kept)
     columns = rows.columns
 
-    usual = rows.join(hot, key, "left_anti").select("*", *first)
+    usual = rows.join(near(large), key, "left_anti").select("*", *first)
     inside = rows.join(hot, key)
     fixed = inside.where(pinned).select(
         *columns, F.lit(0).alias("page_no"), "n_pages", F.lit(1).alias("copies")
@@ -92,7 +97,7 @@ def to_pages(
         F.col(c) if c == key else F.lit(None).cast(rows.schema[c].dataType).alias(c)
         for c in columns
     ]
-    frame = large.withColumn("page_no", F.explode(F.sequence(F.lit(0), F.col("n_pages") - 1)))
+    frame = kept.withColumn("page_no", F.explode(F.sequence(F.lit(0), F.col("n_pages") - 1)))
     frame = frame.select(*empty, "page_no", "n_pages", F.lit(0).alias("copies"))
     return usual.unionByName(fixed).unionByName(spread).unionByName(frame), True
 

@@ -47,8 +47,19 @@ def states(evaluated: DataFrame) -> DataFrame:
     )
 
 
+def largest_suite(suite_status: DataFrame) -> int:
+    """Rows of the most frequent suite: a bound for the states of a rule on one suite.
+
+    Reads one column of the table and combines it before the shuffle.
+    """
+    return suite_status.groupBy("suite_category").count().agg(F.max("count")).first()[0] or 0
+
+
 def transitions(
-    state: DataFrame, initial: DataFrame | None = None, window_rows: int = WINDOW_ROWS
+    state: DataFrame,
+    initial: DataFrame | None = None,
+    window_rows: int = WINDOW_ROWS,
+    rows_per_key: int | None = None,
 ) -> DataFrame:
     """State changes of a rule on a suite, in the order of the runs.
 
@@ -57,7 +68,7 @@ def transitions(
     rule starts as OK.
     """
     keys = ["rule_id", "suite_category"]
-    seen = previous(state, keys, ["run_id"], "fired", window_rows)
+    seen = previous(state, keys, ["run_id"], "fired", window_rows, rows_per_key)
     start = F.lit(False)
     if initial is not None:
         before = initial.select(*keys, F.col("fired").alias("_initial"))

@@ -133,8 +133,9 @@ def debounce(
         .agg(F.count("*").alias("_n"))
         .withColumn("_bucket", F.expr(f"(_t - pmod(_t, {gap})) div {gap}"))
     )
+    # The count is not needed here, but with it both uses share one shuffle of the updates.
     spans = counted.groupBy("_key", "_bucket").agg(
-        F.min("_t").alias("_lo"), F.max("_t").alias("_hi")
+        F.min("_t").alias("_lo"), F.max("_t").alias("_hi"), F.sum("_n").alias("_n")
     )
     if last_fires is None:
         spans = spans.withColumn("_last_fire", F.lit(None).cast("double"))
@@ -147,7 +148,12 @@ def debounce(
     ordered = spans.repartition("_key").sortWithinPartitions("_key", "_bucket")
     firsts = ordered.mapInPandas(_first_fires(gap), _FIRST_SCHEMA)
     steps = F.expr(f"greatest(_t - _first_fire + {gap - 1}, 0) div {gap}")
-    fires = counted.join(firsts, ["_key", "_bucket"]).select(
+    # Equal also when both keys are null.
+    stretch = firsts.select(
+        F.col("_key").alias("_k"), F.col("_bucket").alias("_b"), "_first_fire"
+    )
+    same = F.col("_key").eqNullSafe(F.col("_k")) & F.col("_bucket").eqNullSafe(F.col("_b"))
+    fires = counted.join(stretch, same).select(
         "_key", "_n", (F.col("_first_fire") + steps * gap).alias("_fire")
     )
     return fires.groupBy("_key", "_fire").agg(F.sum("_n").alias("n_updates")).select(

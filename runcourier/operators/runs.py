@@ -52,7 +52,9 @@ def latest_at(runs: DataFrame, slots: DataFrame, ts: str = "ts", slot: str = "sl
     """
     minute = F.date_trunc("minute", F.col(ts)).cast("timestamp_ntz")
     known = F.when(minute == F.col(ts), minute).otherwise(minute + F.expr("interval 1 minute"))
-    per_minute = runs.groupBy(known.alias("_t")).agg(F.max("run_id").alias("_run"))
+    # Distinct first: it hashes, while a maximum of texts has to sort its input.
+    pairs = runs.select(known.alias("_t"), "run_id").distinct()
+    per_minute = pairs.groupBy("_t").agg(F.max("run_id").alias("_run"))
     marks = slots.select(F.col(slot).alias("_t")).distinct()
     both = per_minute.select("_t", "_run", F.lit(False).alias("_mark")).unionByName(
         marks.select("_t", F.lit(None).cast("string").alias("_run"), F.lit(True).alias("_mark"))

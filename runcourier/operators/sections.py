@@ -42,20 +42,20 @@ def first_rows(tables: ReportTables, name: str) -> DataFrame:
 
 
 def first_rows_by_window(tables: ReportTables, name: str) -> DataFrame:
-    """The same as ``first_rows``, for runs whose groups are known to be small."""
+    """The same as ``first_rows``, as a window. Spark limits each group before the shuffle."""
     rows = tables.section(name)
     order = Window.partitionBy("run_id").orderBy(*[c for c in rows.columns if c != "run_id"])
     return rows.withColumn("_n", F.row_number().over(order)).where("_n = 1").drop("_n")
 
 
-def _tagged_rows(tables: ReportTables) -> DataFrame:
-    """All section rows in one table, each with its record in the column of its section."""
+def _tagged_rows(tables: ReportTables, names: list[str]) -> DataFrame:
+    """Rows of several sections in one table, each record in the column of its section."""
     parts = []
-    for name, spec in SECTIONS.items():
-        df = tables.table(spec.table).select("run_id", *[c for c in spec.columns if c != "run_id"])
+    for name in names:
+        spec = SECTIONS[name]
         columns = spec.columns
         parts.append(
-            df.select(
+            tables.section(name).select(
                 "run_id",
                 F.struct(*columns).alias(name),
                 weight(columns).alias("row_weight"),
@@ -82,18 +82,19 @@ def assemble(
     split into pages; see ``functions.paging``.
     """
     one_of(mode, ("first", "all"), "mode")
-    rows = _tagged_rows(tables)
-    no_row = F.lit(False)
-    pinned: Column = no_row
+    rows = _tagged_rows(tables, list(SECTIONS))
+    pinned: Column = F.lit(False)
+    listed_sections = list(SECTIONS)
     if mode == "first":
         pinned = F.col("request").isNotNull() | F.col("suite").isNotNull()
-    counted = F.when(~pinned, F.col("row_weight")).otherwise(0)
+        listed_sections = ["failed", "threshold"]
+    # Only sections whose rows are listed can make a run large.
     sizes = (
-        rows.groupBy("run_id")
-        .agg(F.sum(counted).alias("weight"), F.count("suite").alias("suites"))
-        .where("suites > 0")
+        _tagged_rows(tables, listed_sections)
+        .groupBy("run_id")
+        .agg(F.sum("row_weight").alias("weight"))
     )
-    paged, copied = to_pages(rows, sizes, "run_id", page_chars, pinned)
+    paged, copied = to_pages(rows, sizes, "run_id", page_chars, pinned, tables.suite_status)
 
     def listed(name: str) -> Column:
         if not copied:

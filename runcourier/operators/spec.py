@@ -141,7 +141,10 @@ def report_definition(tables: ReportTables, title: str = "Regression Report") ->
             ),
         ).alias("datasets")
     )
-    layout = F.transform("layout", lambda w: F.struct(w["widget"], w["position"]))
+    layout = F.transform(
+        "layout",
+        lambda w: F.struct(w["widget"].alias("widget"), w["position"].alias("position")),
+    )
     pages = page.select(
         F.array(
             F.struct(
@@ -150,6 +153,8 @@ def report_definition(tables: ReportTables, title: str = "Regression Report") ->
             )
         ).alias("pages")
     )
-    document = F.to_json(F.struct(F.col("datasets"), F.col("pages")))
+    document = F.to_json(
+        F.struct(F.col("datasets"), F.col("pages")), {"ignoreNullFields": "false"}
+    )
     # Both sides are single rows.
     return sets.select("datasets", pages.scalar().alias("pages")).select(document.alias("json"))
