@@ -587,6 +587,16 @@ ORACLE: dict[str, str] = {
     "subscribers": """
         SELECT 'user' AS kind, lower(c_name) AS address, c_nationkey AS team FROM customer
         UNION ALL SELECT 'destination', lower(s_name), s_nationkey FROM supplier""",
+    "subscription_records": """
+        SELECT 'user' AS kind, lower(c_name) AS address,
+               '{"subscriber":{"user_subscriber":{"user_id":"' || lower(c_name) || '"}}}' AS schedule_record,
+               '{"user_name":"' || lower(c_name) || '"}' AS alert_record
+        FROM customer
+        UNION ALL
+        SELECT 'destination', lower(s_name),
+               '{"subscriber":{"destination_subscriber":{"destination_id":"' || lower(s_name) || '"}}}',
+               '{"destination_id":"' || lower(s_name) || '"}'
+        FROM supplier""",
     "alert_fanout": _sql("SELECT * FROM deliveries", **_FANOUT),
     "alert_outbox": _sql("SELECT * FROM alert_box", **_FANOUT),
     "alert_latest": _sql(

@@ -294,6 +294,17 @@ def subscribers(spark, sf_dir):
     return deliver.subscribers(users, groups)
 
 
+def subscription_records(spark, sf_dir):
+    everyone = subscribers(spark, sf_dir)
+    kind, address = F.col("kind"), F.col("address")
+    return everyone.select(
+        "kind",
+        "address",
+        deliver.subscription_record(kind, address).alias("schedule_record"),
+        deliver.alert_subscription_record(kind, address).alias("alert_record"),
+    )
+
+
 def alert_fanout(spark, sf_dir, fmt=HOURLY):
     fired = _transitions(spark, sf_dir, fmt).where("change = 'TRIGGERED'")
     sent = deliver.fan_out(fired, subscriptions(spark, sf_dir))
@@ -611,6 +622,7 @@ QUERIES: dict[str, Query] = {
     "alert_transitions_sliced": alert_transitions_sliced,
     "alert_notifications": alert_notifications,
     "subscribers": subscribers,
+    "subscription_records": subscription_records,
     "alert_fanout": alert_fanout,
     "alert_outbox": alert_outbox,
     "alert_latest": alert_latest,

@@ -15,6 +15,9 @@ from runcourier.session import BROADCAST_ROWS, cut
 # Characters a cell is charged for the marks around it.
 CELL_CHARGE = 128
 
+# Copies of one row are dealt out in pieces of this part of a page.
+PIECES_PER_PAGE = 8
+
 # Longest list of large groups the driver holds.
 DRIVER_ROWS = 10_000
 
@@ -81,7 +84,10 @@ def to_pages(
         *columns, F.lit(0).alias("page_no"), "n_pages", F.lit(1).alias("copies")
     )
     counted = inside.where(~pinned).groupBy(*columns, "n_pages").agg(F.count("*").alias("_n"))
-    per_piece = F.greatest(F.lit(1), F.floor(F.lit(limit) / F.col("row_weight"))).cast("bigint")
+    # Pieces well below the page size keep the pages even.
+    per_piece = F.greatest(
+        F.lit(1), F.floor(F.lit(limit // PIECES_PER_PAGE) / F.col("row_weight"))
+    ).cast("bigint")
     last = F.floor((F.col("_n") - 1) / per_piece).cast("bigint")
     pieces = counted.withColumn("_piece", F.explode(F.sequence(F.lit(0).cast("bigint"), last)))
     spread = pieces.select(

@@ -5,13 +5,16 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Every character that counts as white space in a form field, not only the blank.
-_SPACE = r"[\s\x1c-\x1f]"
+# Every character that counts as white space in a form field.
+WHITE_SPACE = (
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006"
+    "\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+)
 
 
 def trim_all(c: Column) -> Column:
     """Strip white space of every kind from both ends."""
-    return F.regexp_replace(c, f"(?U)^{_SPACE}+|{_SPACE}+$", "")
+    return F.btrim(c, F.lit(WHITE_SPACE))
 
 
 def blank_to(c: Column, default: Column) -> Column:
@@ -35,7 +38,9 @@ def shown(c: Column, null_text: str = "None") -> Column:
 
 def one_line(c: Column, width: int = 80) -> Column:
     """Collapse runs of white space and keep the first ``width`` characters."""
-    flat = F.regexp_replace(c, f"(?U){_SPACE}+", " ")
+    others = WHITE_SPACE.replace(" ", "")
+    blanks = F.translate(c, others, " " * len(others))
+    flat = F.regexp_replace(blanks, "  +", " ")
     return F.substring(F.trim(flat), 1, width)
 
 

@@ -48,6 +48,29 @@ def subscribers(users: DataFrame, destinations: DataFrame) -> DataFrame:
     )
 
 
+def subscription_record(kind: Column, address: Column) -> Column:
+    """A subscription in the form a schedule takes: a user by id, a group by destination."""
+    user = F.to_json(
+        F.struct(F.struct(F.struct(address.alias("user_id")).alias("user_subscriber")).alias("subscriber"))
+    )
+    destination = F.to_json(
+        F.struct(
+            F.struct(
+                F.struct(address.alias("destination_id")).alias("destination_subscriber")
+            ).alias("subscriber")
+        )
+    )
+    return F.when(kind == "user", user).otherwise(destination)
+
+
+def alert_subscription_record(kind: Column, address: Column) -> Column:
+    """A subscription in the form an alert takes."""
+    user = F.to_json(F.struct(address.alias("user_name")))
+    return F.when(kind == "user", user).otherwise(
+        F.to_json(F.struct(address.alias("destination_id")))
+    )
+
+
 def fan_out(fired: DataFrame, subscriptions: DataFrame, on: str = "rule_id") -> DataFrame:
     """One delivery per fired alert and subscriber of its rule; paused ones are skipped."""
     active = subscriptions.where(~F.coalesce(F.col("paused"), F.lit(False))).drop("paused")
