@@ -21,7 +21,7 @@ def metrics(suite_status: DataFrame) -> DataFrame:
 
 def evaluate(suite_status: DataFrame, rules: DataFrame) -> DataFrame:
     """Every rule on every suite row. A missing value does not fire."""
-    joined = join_config(metrics(suite_status), rules, "metric", salt_on=["run_id"])
+    joined = join_config(metrics(suite_status), rules, "metric")
     above = F.coalesce(F.col("value").cast("double") > F.col("threshold"), F.lit(False))
     unknown = F.raise_error(F.concat(F.lit("unknown alert operator: "), F.col("op")))
     fired = F.when(F.col("op").isin(*ALERT_OPS), above).otherwise(unknown.cast("boolean"))
@@ -86,23 +86,27 @@ def transitions(
 _FIRE_SCHEMA = "rule_id string, suite_category string, run_id string, second bigint, reason string"
 
 
-def _fires(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Walk through the seconds of each rule and suite; rows arrive sorted."""
-    key, was, last = None, False, 0
-    for batch in batches:
-        out = []
-        for row in batch.itertuples(index=False):
-            if (row.rule_id, row.suite_category) != key:
-                key, was = (row.rule_id, row.suite_category), False
-            if row.fired:
-                again = was and 0 < row.rearm_seconds <= row.second - last
-                if not was or again:
-                    out.append((*key, row.run_id, row.second, "AGAIN" if again else "FIRST"))
-                    last = row.second
-            was = bool(row.fired)
-        yield pd.DataFrame(
-            out, columns=["rule_id", "suite_category", "run_id", "second", "reason"]
-        )
+def _fires():
+    """The walk is a local function, so that tasks receive it without installing the package."""
+
+    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, was, last = None, False, 0
+        for batch in batches:
+            out = []
+            for row in batch.itertuples(index=False):
+                if (row.rule_id, row.suite_category) != key:
+                    key, was = (row.rule_id, row.suite_category), False
+                if row.fired:
+                    again = was and 0 < row.rearm_seconds <= row.second - last
+                    if not was or again:
+                        out.append((*key, row.run_id, row.second, "AGAIN" if again else "FIRST"))
+                        last = row.second
+                was = bool(row.fired)
+            yield pd.DataFrame(
+                out, columns=["rule_id", "suite_category", "run_id", "second", "reason"]
+            )
+
+    return walk
 
 
 def notifications(evaluated: DataFrame, run_times: DataFrame) -> DataFrame:
@@ -121,7 +125,7 @@ def notifications(evaluated: DataFrame, run_times: DataFrame) -> DataFrame:
         F.max("rearm_seconds").alias("rearm_seconds"),
     )
     ordered = per_second.repartition(*keys).sortWithinPartitions(*keys, "second")
-    fires = ordered.mapInPandas(_fires, _FIRE_SCHEMA)
+    fires = ordered.mapInPandas(_fires(), _FIRE_SCHEMA)
     return fires.select(
         *keys,
         "run_id",

@@ -63,7 +63,8 @@ BROADCAST_ROWS = 200_000
 
 
 def is_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
-    return df.limit(rows + 1).count() <= rows
+    # A count is spread over all tasks; a limit would gather its rows in one.
+    return df.count() <= rows
 
 
 def join_config(
