@@ -55,17 +55,16 @@ def largest_suite(suite_status: DataFrame) -> int:
     return suite_status.groupBy("suite_category").count().agg(F.max("count")).first()[0] or 0
 
 
-def transitions(
+def with_previous(
     state: DataFrame,
     initial: DataFrame | None = None,
     window_rows: int = WINDOW_ROWS,
     rows_per_key: int | None = None,
 ) -> DataFrame:
-    """State changes of a rule on a suite, in the order of the runs.
+    """Each state with the one of the run before, as ``fired_before``.
 
-    A triggered alert does not fire again before it went back to OK. ``initial`` gives the
-    state before the first run, as ``(rule_id, suite_category, fired)``; without it every
-    rule starts as OK.
+    ``initial`` gives the state before the first run, as ``(rule_id, suite_category,
+    fired)``; without it every rule starts as OK.
     """
     keys = ["rule_id", "suite_category"]
     seen = previous(state, keys, ["run_id"], "fired", window_rows, rows_per_key)
@@ -75,14 +74,30 @@ def transitions(
         seen = seen.join(before, keys, "left")
         start = F.coalesce("_initial", F.lit(False))
     was = F.coalesce("previous_fired", start)
-    change = F.when(F.col("fired") & ~was, "TRIGGERED").when(~F.col("fired") & was, "RESOLVED")
-    return (
-        seen.select(*keys, "run_id", "fired", change.alias("change"))
-        .where(F.col("change").isNotNull())
-        .select(*keys, "run_id", "fired", "change")
+    return seen.select(*keys, "run_id", "fired", was.alias("fired_before"))
+
+
+def changes(seen: DataFrame) -> DataFrame:
+    """The state changes among states that know the one before them."""
+    change = F.when(F.col("fired"), "TRIGGERED").otherwise("RESOLVED")
+    return seen.where(F.col("fired") != F.col("fired_before")).select(
+        "rule_id", "suite_category", "run_id", "fired", change.alias("change")
     )
 
 
+def transitions(
+    state: DataFrame,
+    initial: DataFrame | None = None,
+    window_rows: int = WINDOW_ROWS,
+    rows_per_key: int | None = None,
+) -> DataFrame:
+    """State changes of a rule on a suite, in the order of the runs.
+
+    A triggered alert does not fire again before it went back to OK.
+    """
+    return changes(with_previous(state, initial, window_rows, rows_per_key))
+
+
 _FIRE_SCHEMA = "rule_id string, suite_category string, run_id string, second bigint, reason string"
 
 

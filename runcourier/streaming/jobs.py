@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
-from runcourier.operators.alerts import evaluate, states, transitions
+from runcourier.operators.alerts import changes, evaluate, states, with_previous
 from runcourier.operators.cadence import debounce
 from runcourier.operators.deliver import alert_outbox, chat_outbox, fan_out
 from runcourier.operators.render import render, write_reports
@@ -118,37 +118,16 @@ def alert_batches(
             initial = earliest.join(known, keys).select(
                 *keys, F.when(again, F.col("fired_before")).otherwise(F.col("fired")).alias("fired")
             )
-            changes = transitions(now, initial)
-            fired = changes.where("change = 'TRIGGERED'")
+            seen = with_previous(now, initial).persist()
+            fired = changes(seen).where("change = 'TRIGGERED'")
             names = cut_tables.suite_status.groupBy("run_id").agg(
                 F.min("execution_status").alias("execution_status")
             )
             deliveries = fan_out(fired, subscriptions)
             write_batch(alert_outbox(deliveries, names), outbox, batch_id)
-
-            last_two = now.groupBy(*keys).agg(
-                F.max("run_id").alias("run_id"),
-                F.max_by("fired", "run_id").alias("fired"),
-                F.count("*").alias("_n"),
-            )
-            ordered = now.join(last_two.select(*keys, F.col("run_id").alias("_top")), keys)
-            second = (
-                ordered.where("run_id < _top")
-                .groupBy(*keys)
-                .agg(F.max_by("fired", "run_id").alias("_second"))
-            )
-            before = initial.select(*keys, F.col("fired").alias("_initial"))
-            changed = (
-                last_two.join(second, keys, "left")
-                .join(before, keys, "left")
-                .select(
-                    *keys,
-                    "run_id",
-                    "fired",
-                    F.coalesce("_second", "_initial", F.lit(False)).alias("fired_before"),
-                )
-            )
-            state.write(changed, batch_id)
+            last = F.max_by(F.struct("run_id", "fired", "fired_before"), F.col("run_id"))
+            state.write(seen.groupBy(*keys).agg(last.alias("last")).select(*keys, "last.*"), batch_id)
+            seen.unpersist()
         finally:
             now.unpersist()
             runs.unpersist()
