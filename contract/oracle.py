@@ -190,7 +190,7 @@ _PAGES = {
 }
 
 _ASSEMBLE_PAGES = """
-SELECT p.run_id, p.page_no, p.n_pages, p.page_no = 0 AS has_suite,
+SELECT p.run_id, p.page_no, p.n_pages, true AS has_suite,
        coalesce(string_agg(x.item, ',' ORDER BY x.place, x.item) FILTER (WHERE x.section = 'failed'), '') AS test_codes,
        coalesce(string_agg(x.item, ',' ORDER BY x.place, x.item) FILTER (WHERE x.section = 'threshold'), '') AS breaches
 FROM page_list p LEFT JOIN placed x ON p.run_id = x.run_id AND p.page_no = x.page_no

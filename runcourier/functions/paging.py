@@ -53,7 +53,7 @@ def to_pages(
     limit: int,
     pinned: Column,
     wanted: DataFrame,
-) -> tuple[DataFrame, bool]:
+) -> tuple[DataFrame, DataFrame | None]:
     """Add ``page_no``, ``n_pages`` and ``copies`` to ``rows``.
 
     ``rows`` carries ``row_weight`` and ``row_hash``, ``sizes`` the ``weight`` of each key.
@@ -62,14 +62,14 @@ def to_pages(
     stay on page 0 and must be reduced by the caller without collecting them. Large groups
     whose key is not in ``wanted`` are left out.
 
-    Usually no group is large; then no join is added. The flag tells whether ``copies``
-    can be above 1.
+    Usually no group is large; then no join is added. The second result lists the large
+    groups, ``None`` when there are none and ``copies`` is always 1.
     """
     pages = F.ceil(F.col("weight") / F.lit(limit)).cast("int")
     large, n = _held(sizes.where(F.col("weight") > limit).select(key, pages.alias("n_pages")))
     first = [F.lit(0).alias("page_no"), F.lit(1).alias("n_pages"), F.lit(1).alias("copies")]
     if n == 0:
-        return rows.select("*", *first), False
+        return rows.select("*", *first), None
 
     def near(df: DataFrame) -> DataFrame:
         return F.broadcast(df) if n <= BROADCAST_ROWS else df
@@ -105,7 +105,7 @@ def to_pages(
     ]
     frame = kept.withColumn("page_no", F.explode(F.sequence(F.lit(0), F.col("n_pages") - 1)))
     frame = frame.select(*empty, "page_no", "n_pages", F.lit(0).alias("copies"))
-    return usual.unionByName(fixed).unionByName(spread).unionByName(frame), True
+    return usual.unionByName(fixed).unionByName(spread).unionByName(frame), kept
 
 
 def repeat_copies(items: Column) -> Column:

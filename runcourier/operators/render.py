@@ -20,7 +20,7 @@ def _rows(report: DataFrame, name: str, profile: Profile, null_text: str) -> Col
         return F.array_join(
             F.transform(column, lambda r: table_row(r, spec, profile, null_text)), ""
         )
-    blank = F.when(F.col("page_no") == 0, F.lit(blank_row(spec, profile))).otherwise(F.lit(""))
+    blank = F.lit(blank_row(spec, profile))
     return F.when(column.isNull(), blank).otherwise(table_row(column, spec, profile, null_text))
 
 

@@ -94,10 +94,10 @@ def assemble(
         .groupBy("run_id")
         .agg(F.sum("row_weight").alias("weight"))
     )
-    paged, copied = to_pages(rows, sizes, "run_id", page_chars, pinned, tables.suite_status)
+    paged, large = to_pages(rows, sizes, "run_id", page_chars, pinned, tables.suite_status)
 
     def listed(name: str) -> Column:
-        if not copied:
+        if large is None:
             return F.sort_array(F.collect_list(name))
         entry = F.when(
             F.col(name).isNotNull(), F.struct(F.col(name).alias("row"), F.col("copies"))
@@ -113,7 +113,42 @@ def assemble(
         F.count("suite").alias("_suites"),
     )
     # Large runs are known to have a suite; their later pages need not.
-    return grouped.where((F.col("n_pages") > 1) | (F.col("_suites") > 0)).drop("_suites")
+    report = grouped.where((F.col("n_pages") > 1) | (F.col("_suites") > 0)).drop("_suites")
+    if large is None or mode == "all":
+        return report
+    # Every page of a large run shows its request and suite.
+    known = heads(tables.of_runs(large.select("run_id"))).select(
+        "run_id", F.col("request").alias("_request"), F.col("suite").alias("_suite")
+    )
+    return report.join(known, "run_id", "left").select(
+        "run_id",
+        "page_no",
+        "n_pages",
+        F.coalesce("request", "_request").alias("request"),
+        F.coalesce("suite", "_suite").alias("suite"),
+        "failed",
+        "thresholds",
+    )
+
+
+def heads(tables: ReportTables) -> DataFrame:
+    """Report records without the listed sections: request and suite of every run.
+
+    Enough for subjects and cards, and the failed checks are not read for it.
+    """
+    return (
+        _tagged_rows(tables, ["request", "suite"])
+        .groupBy("run_id")
+        .agg(
+            F.min("request").alias("request"),
+            F.min("suite").alias("suite"),
+            F.count("suite").alias("_suites"),
+        )
+        .where("_suites > 0")
+        .select(
+            "run_id", F.lit(0).alias("page_no"), F.lit(1).alias("n_pages"), "request", "suite"
+        )
+    )
 
 
 def incomplete_runs(tables: ReportTables) -> DataFrame:

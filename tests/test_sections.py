@@ -147,8 +147,10 @@ def test_pages_keep_every_row(spark):
     assert [r.page_no for r in hot] == list(range(hot[0].n_pages)) and len(hot) > 100
     # The copies are spread too: no page holds a large part of them.
     assert max(sum(f.test_description == "same" for f in r.failed) for r in hot) < 60
-    assert hot[0].suite.run_id == "hot" and hot[0].request.super_client_name == "c0"
-    assert all(r.suite is None and r.request is None for r in hot[1:])
+    # Every page shows the same request and suite.
+    assert {r.suite.run_id for r in hot} == {"hot"}
+    assert {r.request.super_client_name for r in hot} == {"c0"}
+    assert all(r.request is None for k in ("cold", "big", "quiet") for r in pages[k])
     for r in rows:
         assert list(r.failed) == sorted(r.failed)
 
