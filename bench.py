@@ -14,9 +14,13 @@ import time
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
-from contract.queries import QUERIES  # noqa: E402
-from runcourier.session import local_session  # noqa: E402
-from runcourier.sources.event_runs import PER_MINUTE  # noqa: E402
+from contract.queries import QUERIES, rules  # noqa: E402
+from runcourier.operators.alerts import evaluate, run_verdicts  # noqa: E402
+from runcourier.operators.sections import section  # noqa: E402
+from runcourier.plans.jobs import reports  # noqa: E402
+from runcourier.session import local_session, work_path  # noqa: E402
+from runcourier.sources.event_runs import PER_MINUTE, event_tables  # noqa: E402
+from runcourier.sources.tables import load_tables, save_tables  # noqa: E402
 
 PER_RUN = (
     "latest_run_summary",
@@ -46,6 +50,19 @@ PER_RUN = (
 OTHERS = ("parse_recipients", "text_utils", "json_utils", "debounce_updates", "debounce_runs")
 
 
+def on_stored_tables(spark, sf_dir: str) -> dict:
+    """The same work on stored report tables, without deriving them from events."""
+    folder = work_path(spark, "bench")
+    save_tables(event_tables(spark, sf_dir, PER_MINUTE), folder)
+    tables = load_tables(spark, folder)
+    return {
+        "tables_render_full": lambda: reports(tables, "full"),
+        "tables_render_compact": lambda: reports(tables, "compact"),
+        "tables_run_verdict": lambda: run_verdicts(evaluate(tables.suite_status, rules(spark))),
+        "tables_latest_failed": lambda: section(tables, "failed"),
+    }
+
+
 def timed(fn) -> float:
     start = time.perf_counter()
     fn().write.format("noop").mode("overwrite").save()
@@ -56,15 +73,13 @@ def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
     repeats = int(os.environ.get("BENCH_REPEATS", "3"))
-    names = sys.argv[1:] or [*PER_RUN, *OTHERS]
     spark = local_session(cpus, "bench")
+    runs = {n: (lambda q=QUERIES[n]: q(spark, sf_dir, PER_MINUTE)) for n in PER_RUN}
+    runs |= {n: (lambda q=QUERIES[n]: q(spark, sf_dir)) for n in OTHERS}
+    runs |= on_stored_tables(spark, sf_dir)
     seconds: dict[str, float] = {}
-    for name in names:
-        query = QUERIES[name]
-        if name in PER_RUN:
-            run = lambda q=query: q(spark, sf_dir, PER_MINUTE)
-        else:
-            run = lambda q=query: q(spark, sf_dir)
+    for name in sys.argv[1:] or runs:
+        run = runs[name]
         timed(run)
         seconds[name] = round(statistics.median(timed(run) for _ in range(repeats)), 3)
         print(name, seconds[name], file=sys.stderr, flush=True)

@@ -17,6 +17,7 @@ from runcourier.functions.text import (
     report_path,
     shown,
     split_list,
+    trim_all,
 )
 from runcourier.schema import CHAT_FORMATS, EMAIL_PROVIDERS, one_of
 from runcourier.session import join_config
@@ -289,7 +290,7 @@ def email_status(provider: str | Column, recipients: Column, dry_run: bool | Col
 
 
 def chat_status(url: Column) -> Column:
-    return F.when(F.coalesce(F.trim(url), F.lit("")) == "", "PREVIEW").otherwise("READY")
+    return F.when(F.coalesce(trim_all(url), F.lit("")) == "", "PREVIEW").otherwise("READY")
 
 
 def outbox(
@@ -346,7 +347,7 @@ def email_outbox(
         F.concat(line, F.lit(" ("), F.col("page_no") + 1, F.lit("/"), F.col("n_pages"), F.lit(")")),
     ).otherwise(line)
     status = email_status(provider, to, dry_run)
-    from_ = F.trim(F.lit(sender))
+    from_ = trim_all(F.lit(sender))
     ready = report.select("*", html.alias("html"), paged.alias("_subject"), to.alias("_to"))
     h, s, r = F.col("html"), F.col("_subject"), F.col("_to")
     payload = F.when(status == "READY", email_payload(provider, from_, s, h, r)).when(

@@ -49,13 +49,18 @@ def first_rows_by_window(tables: ReportTables, name: str) -> DataFrame:
 
 
 def _tagged_rows(tables: ReportTables, names: list[str]) -> DataFrame:
-    """Rows of several sections in one table, each record in the column of its section."""
+    """Rows of several sections in one table, each record in the column of its section.
+
+    A row without a run id belongs to no run.
+    """
     parts = []
     for name in names:
         spec = SECTIONS[name]
         columns = spec.columns
         parts.append(
-            tables.section(name).select(
+            tables.section(name)
+            .where("run_id is not null")
+            .select(
                 "run_id",
                 F.struct(*columns).alias(name),
                 weight(columns).alias("row_weight"),

@@ -10,6 +10,7 @@ from runcourier.operators.sections import (
     counter_mismatch,
     first_rows,
     first_rows_by_window,
+    heads,
     incomplete_runs,
     runs_with,
     runs_without,
@@ -176,6 +177,24 @@ def test_many_large_runs_use_the_stored_list(spark, monkeypatch):
     assert _rows_of(report)[0] == Counter(f for f in failed if f[0] != "lost")
 
 
+def test_rows_without_a_run_id_belong_to_no_run(spark):
+    t = inline_tables(
+        spark, suite_status=[suite(None), suite("1")], failed_check=[check(None, 1)] * 50
+    )
+    for limit in (1000, 8_000_000):
+        report = assemble(t, page_chars=limit).collect()
+        assert [(r.run_id, len(r.failed)) for r in report] == [("1", 0)]
+    assert [r.run_id for r in heads(t).collect()] == ["1"]
+
+
+def test_heads_equal_the_records(spark):
+    tables, _, _ = _skewed(spark)
+    whole = assemble(tables).select("run_id", "request", "suite")
+    assert sorted(heads(tables).select("run_id", "request", "suite").collect()) == sorted(
+        whole.collect()
+    )
+
+
 def test_latest_at(spark):
     runs = spark.sql(
         "select * from values ('5', timestamp_ntz'2024-01-01 00:00:00'),"

@@ -1,3 +1,5 @@
+from dataclasses import replace
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -86,3 +88,25 @@ def test_source_rows_are_not_shuffled_for_a_slice(spark):
     t = sample_tables(spark)
     plan = t.failed_check.where(F.col("run_id") == RUN_ID)._jdf.queryExecution().toString()
     assert "Exchange" not in plan
+
+
+def test_stored_tables_are_ordered_by_run(spark, tmp_path):
+    rows = spark.range(20_000).select(
+        F.when(F.col("id") % 3 == 0, "hot")
+        .otherwise(F.concat(F.lit("r"), F.col("id") % 97))
+        .alias("run_id"),
+        F.concat(F.lit("d"), F.col("id")).alias("threshold_query_description"),
+    )
+    tables = replace(sample_tables(spark), threshold_breach=rows.repartition(6))
+    # Small targets, so that the large run is split and small files are merged.
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "64k")
+    try:
+        save_tables(tables, str(tmp_path))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+    stored = spark.read.parquet(f"{tmp_path}/threshold_breach")
+    assert stored.count() == 20_000 and stored.exceptAll(rows).count() == 0
+    files = stored.select("run_id", F.input_file_name().alias("f"))
+    assert files.where("run_id = 'hot'").select("f").distinct().count() > 1
+    others = files.where("run_id <> 'hot'").distinct().groupBy("run_id").count()
+    assert others.where("count > 1").count() < 97
