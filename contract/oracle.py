@@ -689,5 +689,6 @@ ORACLE: dict[str, str] = {
     "stream_reports": _sql(f"""
         SELECT run_id, 'generic' AS channel, 'https://example.com/hook' AS address, {_TITLE} AS subject,
                'READY' AS status FROM first_suite"""),
+    "stream_emails": _sql(_EMAIL_BOX, **_report("compact")),
     "stream_debounce": _debounce("user_id", GAP),
 }

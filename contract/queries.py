@@ -20,6 +20,7 @@ from runcourier.sources.event_runs import (
     read_events,
     tagged,
 )
+from runcourier.sources.params import EmailParams
 from runcourier.streaming import changes as C
 from runcourier.streaming import jobs as SJ
 from runcourier.streaming import state as SS
@@ -577,6 +578,20 @@ def stream_reports(spark, sf_dir, fmt=HOURLY):
     return out.select("run_id", "channel", "address", "subject", "status")
 
 
+def stream_emails(spark, sf_dir, fmt=HOURLY):
+    """Emails from the stream of updates, read back from the outbox."""
+    work = work_path(spark, "emails")
+    stream = tagged(_event_stream(spark, sf_dir), fmt).select("run_id")
+    on_batch = SJ.email_batches(
+        lambda: event_tables(spark, sf_dir, fmt),
+        f"{work}/reports",
+        f"{work}/outbox",
+        EmailParams(recipients="a@example.com, b@example.com", dry_run="false"),
+    )
+    SJ.start(stream, on_batch, f"{work}/checkpoint", once=True).awaitTermination()
+    return SS.read_outbox(spark, f"{work}/outbox").withColumn("payload", F.md5("payload"))
+
+
 def stream_debounce(spark, sf_dir):
     work = work_path(spark, "fires")
     state = SJ.fire_state_table(f"{work}/state", "user_id", LongType())
@@ -657,5 +672,6 @@ QUERIES: dict[str, Query] = {
     "upsert_definitions": upsert_definitions,
     "stream_outbox": stream_outbox,
     "stream_reports": stream_reports,
+    "stream_emails": stream_emails,
     "stream_debounce": stream_debounce,
 }

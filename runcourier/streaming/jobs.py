@@ -17,9 +17,10 @@ from pyspark.sql.streaming import StreamingQuery
 
 from runcourier.operators.alerts import changes, evaluate, states, with_previous
 from runcourier.operators.cadence import debounce
-from runcourier.operators.deliver import alert_outbox, chat_outbox, fan_out
-from runcourier.operators.render import render, write_reports
+from runcourier.operators.deliver import alert_outbox, chat_outbox, email_outbox, fan_out
+from runcourier.operators.render import document, render, write_reports
 from runcourier.operators.sections import assemble
+from runcourier.sources.params import EmailParams
 from runcourier.sources.tables import ReportTables
 from runcourier.streaming.state import StateTable, write_batch
 
@@ -52,22 +53,21 @@ def _touched(batch: DataFrame) -> DataFrame:
     return batch.select("run_id").where("run_id is not null").distinct()
 
 
-def report_batches(
+def _report_batches(
     tables: Callable[[], ReportTables],
     folder: str,
     outbox: str,
-    url: str = "",
-    fmt: str = "slack",
-    profile: str = "compact",
+    profile: str,
+    deliveries: Callable[[DataFrame], DataFrame],
 ) -> Callable[[DataFrame, int], None]:
-    """Render the touched runs, write their files and put a chat message in the outbox."""
+    """Render the touched runs, write their files and put their deliveries in the outbox."""
 
     def on_batch(batch: DataFrame, batch_id: int) -> None:
         runs = _touched(batch).persist()
         try:
             report = assemble(tables().of_runs(runs)).persist()
             write_reports(render(report, profile), folder)
-            write_batch(chat_outbox(report, url, fmt, folder), outbox, batch_id)
+            write_batch(deliveries(report), outbox, batch_id)
             report.unpersist()
         finally:
             runs.unpersist()
@@ -75,6 +75,45 @@ def report_batches(
     return on_batch
 
 
+def report_batches(
+    tables: Callable[[], ReportTables],
+    folder: str,
+    outbox: str,
+    url: str = "",
+    fmt: str = "slack",
+    profile: str = "compact",
+) -> Callable[[DataFrame, int], None]:
+    """A report file and a chat message for every touched run."""
+    return _report_batches(
+        tables, folder, outbox, profile, lambda report: chat_outbox(report, url, fmt, folder)
+    )
+
+
+def email_batches(
+    tables: Callable[[], ReportTables],
+    folder: str,
+    outbox: str,
+    params: EmailParams,
+    token: str = "",
+    profile: str = "compact",
+) -> Callable[[DataFrame, int], None]:
+    """A report file and an email for every touched run."""
+
+    def mails(report: DataFrame) -> DataFrame:
+        return email_outbox(
+            report,
+            document(report, profile),
+            params.provider,
+            params.sender,
+            params.recipients,
+            params.subject,
+            bool(params.dry_run),
+            token,
+        )
+
+    return _report_batches(tables, folder, outbox, profile, mails)
+
+
 ALERT_STATE = T.StructType(
     [
         T.StructField("rule_id", T.StringType()),
