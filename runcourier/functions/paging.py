@@ -75,15 +75,25 @@ def to_pages(
         return F.broadcast(df) if n <= BROADCAST_ROWS else df
 
     kept, _ = _held(wanted.select(key).join(near(large), key).distinct())
-    hot = near(kept)
+    marks, _ = _held(
+        large.join(kept.select(key, F.lit(True).alias("_kept")), key, "left")
+    )
     columns = rows.columns
-
-    usual = rows.join(near(large), key, "left_anti").select("*", *first)
-    inside = rows.join(hot, key)
-    fixed = inside.where(pinned).select(
-        *columns, F.lit(0).alias("page_no"), "n_pages", F.lit(1).alias("copies")
+    is_large = F.col("n_pages").isNotNull()
+
+    # Rows of usual groups and pinned rows need one pass, rows to be dealt out another one.
+    usual = (
+        rows.join(near(marks), key, "left")
+        .where(~is_large | (F.col("_kept") & pinned))
+        .select(
+            *columns,
+            F.lit(0).alias("page_no"),
+            F.coalesce("n_pages", F.lit(1)).alias("n_pages"),
+            F.lit(1).alias("copies"),
+        )
     )
-    counted = inside.where(~pinned).groupBy(*columns, "n_pages").agg(F.count("*").alias("_n"))
+    inside = rows.where(~pinned).join(near(kept), key)
+    counted = inside.groupBy(*columns, "n_pages").agg(F.count("*").alias("_n"))
     # Pieces well below the page size keep the pages even.
     per_piece = F.greatest(
         F.lit(1), F.floor(F.lit(limit // PIECES_PER_PAGE) / F.col("row_weight"))
@@ -105,7 +115,7 @@ def to_pages(
     ]
     frame = kept.withColumn("page_no", F.explode(F.sequence(F.lit(0), F.col("n_pages") - 1)))
     frame = frame.select(*empty, "page_no", "n_pages", F.lit(0).alias("copies"))
-    return usual.unionByName(fixed).unionByName(spread).unionByName(frame), kept
+    return usual.unionByName(spread).unionByName(frame), kept
 
 
 def repeat_copies(items: Column) -> Column:
