@@ -7,6 +7,8 @@ the pages of a run together are the whole report. Runs below the limit have page
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -52,47 +54,34 @@ def to_pages(
     key: str,
     limit: int,
     pinned: Column,
-    wanted: DataFrame,
-) -> tuple[DataFrame, DataFrame | None]:
+    heads: Callable[[DataFrame], DataFrame],
+) -> tuple[DataFrame, bool]:
     """Add ``page_no``, ``n_pages`` and ``copies`` to ``rows``.
 
     ``rows`` carries ``row_weight`` and ``row_hash``, ``sizes`` the ``weight`` of each key.
     Rows of large groups are counted before anything is shuffled by page, so a row that
-    occurs very often travels once per page with its number of copies. ``pinned`` rows
-    stay on page 0 and must be reduced by the caller without collecting them. Large groups
-    whose key is not in ``wanted`` are left out.
+    occurs very often travels once per page with its number of copies.
+
+    ``pinned`` rows are not dealt out; the caller reduces them without collecting them.
+    ``heads`` turns a list of large groups into one row per group that is to be shown, with
+    the columns that stand on every page. Groups it leaves out are left out here.
 
-    Usually no group is large; then no join is added. The second result lists the large
-    groups, ``None`` when there are none and ``copies`` is always 1.
+    Usually no group is large; then no join is added. The flag tells whether ``copies`` can
+    differ from 1.
     """
     pages = F.ceil(F.col("weight") / F.lit(limit)).cast("int")
     large, n = _held(sizes.where(F.col("weight") > limit).select(key, pages.alias("n_pages")))
     first = [F.lit(0).alias("page_no"), F.lit(1).alias("n_pages"), F.lit(1).alias("copies")]
     if n == 0:
-        return rows.select("*", *first), None
+        return rows.select("*", *first), False
 
     def near(df: DataFrame) -> DataFrame:
         return F.broadcast(df) if n <= BROADCAST_ROWS else df
 
-    kept, _ = _held(wanted.select(key).join(near(large), key).distinct())
-    marks, _ = _held(
-        large.join(kept.select(key, F.lit(True).alias("_kept")), key, "left")
-    )
+    tops, _ = _held(heads(large.select(key)).join(large, key))
     columns = rows.columns
-    is_large = F.col("n_pages").isNotNull()
-
-    # Rows of usual groups and pinned rows need one pass, rows to be dealt out another one.
-    usual = (
-        rows.join(near(marks), key, "left")
-        .where(~is_large | (F.col("_kept") & pinned))
-        .select(
-            *columns,
-            F.lit(0).alias("page_no"),
-            F.coalesce("n_pages", F.lit(1)).alias("n_pages"),
-            F.lit(1).alias("copies"),
-        )
-    )
-    inside = rows.where(~pinned).join(near(kept), key)
+    usual = rows.join(near(large.select(key)), key, "left_anti").select("*", *first)
+    inside = rows.where(~pinned).join(near(tops.select(key, "n_pages")), key)
     counted = inside.groupBy(*columns, "n_pages").agg(F.count("*").alias("_n"))
     # Pieces well below the page size keep the pages even.
     per_piece = F.greatest(
@@ -109,13 +98,13 @@ def to_pages(
         F.least(per_piece, F.col("_n") - F.col("_piece") * per_piece).cast("int").alias("copies"),
     )
     # Every page exists, also one that no row was hashed to.
-    empty = [
-        F.col(c) if c == key else F.lit(None).cast(rows.schema[c].dataType).alias(c)
+    filled = [
+        F.col(c) if c in tops.columns else F.lit(None).cast(rows.schema[c].dataType).alias(c)
         for c in columns
     ]
-    frame = kept.withColumn("page_no", F.explode(F.sequence(F.lit(0), F.col("n_pages") - 1)))
-    frame = frame.select(*empty, "page_no", "n_pages", F.lit(0).alias("copies"))
-    return usual.unionByName(spread).unionByName(frame), kept
+    frame = tops.withColumn("page_no", F.explode(F.sequence(F.lit(0), F.col("n_pages") - 1)))
+    frame = frame.select(*filled, "page_no", "n_pages", F.lit(0).alias("copies"))
+    return usual.unionByName(spread).unionByName(frame), True
 
 
 def repeat_copies(items: Column) -> Column:

@@ -99,10 +99,17 @@ def assemble(
         .groupBy("run_id")
         .agg(F.sum("row_weight").alias("weight"))
     )
-    paged, large = to_pages(rows, sizes, "run_id", page_chars, pinned, tables.suite_status)
+
+    def tops(runs: DataFrame) -> DataFrame:
+        own = tables.of_runs(runs)
+        if mode == "all":
+            return own.suite_status.select("run_id").distinct()
+        return heads(own).select("run_id", "request", "suite")
+
+    paged, copied = to_pages(rows, sizes, "run_id", page_chars, pinned, tops)
 
     def listed(name: str) -> Column:
-        if large is None:
+        if not copied:
             return F.sort_array(F.collect_list(name))
         entry = F.when(
             F.col(name).isNotNull(), F.struct(F.col(name).alias("row"), F.col("copies"))
@@ -117,23 +124,8 @@ def assemble(
         listed("threshold").alias("thresholds"),
         F.count("suite").alias("_suites"),
     )
-    # Large runs are known to have a suite; their later pages need not.
-    report = grouped.where((F.col("n_pages") > 1) | (F.col("_suites") > 0)).drop("_suites")
-    if large is None or mode == "all":
-        return report
-    # Every page of a large run shows its request and suite.
-    known = heads(tables.of_runs(large.select("run_id"))).select(
-        "run_id", F.col("request").alias("_request"), F.col("suite").alias("_suite")
-    )
-    return report.join(known, "run_id", "left").select(
-        "run_id",
-        "page_no",
-        "n_pages",
-        F.coalesce("request", "_request").alias("request"),
-        F.coalesce("suite", "_suite").alias("suite"),
-        "failed",
-        "thresholds",
-    )
+    # Large runs are known to have a suite, also when it is not on this page.
+    return grouped.where((F.col("n_pages") > 1) | (F.col("_suites") > 0)).drop("_suites")
 
 
 def heads(tables: ReportTables) -> DataFrame:
