@@ -114,7 +114,8 @@ def assemble(
         entry = F.when(
             F.col(name).isNotNull(), F.struct(F.col(name).alias("row"), F.col("copies"))
         )
-        return repeat_copies(F.sort_array(F.collect_list(entry)))
+        # The sort is outermost, since inside a higher-order function it is not compiled.
+        return F.sort_array(repeat_copies(F.collect_list(entry)))
 
     head = (lambda n: F.min(n)) if mode == "first" else listed
     grouped = paged.groupBy("run_id", "page_no", "n_pages").agg(
