@@ -1,3 +1,42 @@
 """The same queries as SQL, where SQL can express them."""
 
-ORACLE: dict[str, str] = {}
+OP3 = """
+WITH d AS (
+  SELECT doc_id, source, coalesce(text, '') AS t,
+         len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS size
+  FROM documents),
+k AS (
+  SELECT doc_id, source, size,
+         -ln((('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 13))::BIGINT + 0.5::DOUBLE)
+             / 4503599627370496.0::DOUBLE)
+         / CASE WHEN length(t) > 0
+                THEN 1.0::DOUBLE - 0.9::DOUBLE * (length(t) - length(translate(t, '#$%&*|', ''))) / length(t)
+                ELSE 1.0::DOUBLE END AS key
+  FROM d),
+s AS (SELECT source, sum(size)::BIGINT AS source_size FROM k GROUP BY source),
+w AS (
+  SELECT *, [5.0::DOUBLE, 2.0::DOUBLE, 1.0::DOUBLE]
+              [((row_number() OVER (ORDER BY source ASC NULLS LAST) - 1) % 3 + 1)::INT] AS w,
+         3.0::DOUBLE * source_size AS most
+  FROM s),
+f AS (
+  SELECT *, (sum(source_size) OVER () -
+             coalesce(sum(most) OVER (ORDER BY most / w, source NULLS LAST
+                                      ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0))
+            / sum(w) OVER (ORDER BY most / w, source NULLS LAST
+                           ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level
+  FROM w),
+g AS (SELECT source, source_size, least(most, w * (max(level) OVER ())) AS target FROM f),
+e AS (SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size)::BIGINT ELSE 0 END AS epochs FROM g),
+p AS (
+  SELECT doc_id, source, size,
+         coalesce(sum(size) OVER (PARTITION BY source ORDER BY key, doc_id, size
+                                  ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
+  FROM k)
+SELECT doc_id, p.source, size::BIGINT AS size, source_size, target,
+       ((epochs + CASE WHEN before + size / 2.0::DOUBLE < target - epochs * source_size THEN 1 ELSE 0 END)
+        * size)::BIGINT AS taken
+FROM p JOIN e ON p.source IS NOT DISTINCT FROM e.source
+"""
+
+ORACLE: dict[str, str] = {"op3_mixing": OP3}

@@ -6,6 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from runcourier.llm.common import table
+from runcourier.llm.mixing import mix_sources
 from runcourier.llm.token_counts import token_counts
 
 
@@ -14,4 +15,11 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), path)
 
 
-QUERIES = {"op1_token_counts": op1_token_counts}
+def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_sources(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {
+    "op1_token_counts": op1_token_counts,
+    "op3_mixing": op3_mixing,
+}
