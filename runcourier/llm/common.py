@@ -32,3 +32,17 @@ def semi_ids(big: DataFrame, ids: DataFrame, key: str, bound: int = BROADCAST_ID
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+# Ids from here on stand for rows without an id.
+NO_ID = 1 << 62
+
+
+def row_key(id_col: str, text_col: str) -> Column:
+    """The id, or for a null id a number from the text, above all ids."""
+    stand_in = F.lit(NO_ID) + F.shiftrightunsigned(F.xxhash64(F.col(text_col)), 2)
+    return F.coalesce(F.col(id_col).cast("long"), stand_in)
+
+
+def key_id(key: Column) -> Column:
+    return F.when(key < NO_ID, key)

@@ -39,4 +39,26 @@ SELECT doc_id, p.source, size::BIGINT AS size, source_size, target,
 FROM p JOIN e ON p.source IS NOT DISTINCT FROM e.source
 """
 
-ORACLE: dict[str, str] = {"op3_mixing": OP3}
+WORDS = """regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+')"""
+
+OP6 = f"""
+WITH RECURSIVE w AS (SELECT doc_id, {WORDS} AS w FROM documents),
+s AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
+         ELSE list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' ')) END) AS s FROM w),
+n AS (SELECT w.doc_id, count(s.s) AS n FROM w LEFT JOIN s USING (doc_id) GROUP BY w.doc_id),
+links AS (
+  SELECT a.doc_id AS a, b.doc_id AS b
+  FROM s a JOIN s b ON a.s = b.s AND a.doc_id <> b.doc_id
+  JOIN n na ON na.doc_id = a.doc_id JOIN n nb ON nb.doc_id = b.doc_id
+  GROUP BY a.doc_id, b.doc_id, na.n, nb.n
+  HAVING 100 * count(*) >= 80 * (na.n + nb.n - count(*))),
+reach AS (
+  SELECT doc_id AS root, doc_id AS node FROM documents
+  UNION SELECT reach.root, links.b FROM reach JOIN links ON links.a = reach.node)
+SELECT n.doc_id, n.n::BIGINT AS n_shingles, min(reach.node) AS component_id, n.doc_id = min(reach.node) AS kept
+FROM n JOIN reach ON reach.root = n.doc_id GROUP BY n.doc_id, n.n
+"""
+
+ORACLE: dict[str, str] = {"op3_mixing": OP3, "op6_near_duplicates": OP6}

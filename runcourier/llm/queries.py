@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from runcourier.llm.common import table
 from runcourier.llm.mixing import mix_sources
+from runcourier.llm.near_duplicates import near_duplicates
 from runcourier.llm.token_counts import token_counts
 
 
@@ -19,7 +20,12 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(table(spark, sf_dir, "documents"))
 
 
+def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"), size=4)
+
+
 QUERIES = {
     "op1_token_counts": op1_token_counts,
     "op3_mixing": op3_mixing,
+    "op6_near_duplicates": op6_near_duplicates,
 }
