@@ -10,6 +10,7 @@ from runcourier.llm.decontamination import contaminated
 from runcourier.llm.mixing import mix_sources
 from runcourier.llm.near_duplicates import near_duplicates
 from runcourier.llm.token_counts import token_counts
+from runcourier.llm.toxicity import toxicity
 
 
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -21,6 +22,10 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(table(spark, sf_dir, "documents"))
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), size=4)
 
@@ -32,6 +37,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_token_counts": op1_token_counts,
     "op3_mixing": op3_mixing,
+    "op4_toxicity": op4_toxicity,
     "op6_near_duplicates": op6_near_duplicates,
     "op10_decontamination": op10_decontamination,
 }
