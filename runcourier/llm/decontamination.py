@@ -9,7 +9,7 @@ sought by pairs of words; items with fewer than five words are not sought.
 
 Documents are many and hits are few, so a bit table of the benchmark's hashes of bounded size goes
 ahead of the join; what passes it is joined in full, so a table that is too small costs time only.
-Words are lower-cased as in ``words``.
+Texts are lower-cased and ASCII punctuation is taken out before they are cut into words.
 
 Null and empty texts hold nothing. Rows with the same id count as one document, items with the same
 id as one item. A document without an id is reported with a null id.
@@ -17,12 +17,13 @@ id as one item. A document without an id is reported with a null id.
 
 from __future__ import annotations
 
+import string
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from runcourier.llm.common import key_id, row_key, semi_ids, small_batches
@@ -38,6 +39,10 @@ MIN_BITS, MAX_BITS = 16, 26
 BLOCK = 2000
 
 
+def plain(text: Column) -> Column:
+    return F.translate(F.lower(text), string.punctuation, "")
+
+
 def seeds(words: np.ndarray, mask: tuple[int, ...]) -> np.ndarray:
     """The hash of the words under the mask, at every place of a text."""
     n = max(0, len(words) - mask[-1])
@@ -162,10 +167,10 @@ def contaminated(
     docs = docs.select(
         F.col(id_col).cast("long").alias("doc_id"),
         row_key(id_col, text_col).alias("node"),
-        F.col(text_col).alias("text"),
+        plain(F.col(text_col)).alias("text"),
     )
     items = items.select(
-        row_key(item_col, item_text_col).alias("item"), F.col(item_text_col).alias("text")
+        row_key(item_col, item_text_col).alias("item"), plain(F.col(item_text_col)).alias("text")
     )
     masks = [*MASKS, PAIR]
     known = cut(benchmark_seeds(items, masks, window))
