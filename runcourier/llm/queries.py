@@ -7,8 +7,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 from runcourier.llm.common import table
 from runcourier.llm.decontamination import contaminated
+from runcourier.llm.language import languages
 from runcourier.llm.mixing import mix_sources
 from runcourier.llm.near_duplicates import near_duplicates
+from runcourier.llm.personal_data import personal_data
 from runcourier.llm.token_counts import token_counts
 from runcourier.llm.toxicity import toxicity
 
@@ -30,6 +32,14 @@ def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), size=4)
 
 
+def op7_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal_data(table(spark, sf_dir, "documents"))
+
+
+def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return languages(table(spark, sf_dir, "documents"))
+
+
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -39,5 +49,7 @@ QUERIES = {
     "op3_mixing": op3_mixing,
     "op4_toxicity": op4_toxicity,
     "op6_near_duplicates": op6_near_duplicates,
+    "op7_personal_data": op7_personal_data,
+    "op8_language": op8_language,
     "op10_decontamination": op10_decontamination,
 }
