@@ -7,8 +7,10 @@ share the first ``depth`` values with a neighbour are candidates. Then, in turn:
 
 1. each row is compared with its neighbour in the order, whose common prefix is the longest, to the
    depth that the region asks for; the links that hold are joined to components;
-2. where a prefix of ``depth`` values holds several components, all pairs of rows from different
-   components are compared. Dense regions of copies are one component by then, so they give no pairs.
+2. in a dense region (a prefix of ``depth`` values with many rows), the row with most links is
+   compared with those of other components;
+3. where a prefix still holds several components, the pairs of rows from different components are
+   compared, but for those that their rarest shingles rule out (``rare_pairs``; that loses none).
 
 A pair of similarity 0.8 shares the first 4 values in none of 32 trees with probability 5e-8. Every
 link is confirmed on the full sets. Only links are joined, and by Spark, not by the driver.
@@ -29,10 +31,14 @@ from pyspark.sql import functions as F
 
 from runcourier.llm.common import key_id, row_key, semi_ids, small_batches
 from runcourier.llm.components import components
-from runcourier.llm.words import mix, shingles, texts, word_hashes
-from runcourier.session import cut
+from runcourier.llm.runs import MASS, RUN, merged, runs
+from runcourier.llm.store import load, save
+from runcourier.llm.words import chain, mix, shingles, texts, word_hashes
+from runcourier.session import cut, work_path
 
 _STEP = 256
+# Rows from which on a region counts as dense.
+DENSE = 16
 
 
 def _factors(n: int) -> np.ndarray:
@@ -106,53 +112,49 @@ def forest(classes: DataFrame, trees: int, depth: int, deep: int) -> DataFrame:
         "tree", "sign", "node"
     )
 
-    def neighbours(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: pd.DataFrame | None = None  # the last row, whose next one isn't known yet
-        first = True
+    def neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None  # the last row of the batch before, as arrays of one
         for batch in batches:
-            if not len(batch):
+            if not batch.num_rows:
                 continue
-            batch["head"] = [bytes(s)[:head] for s in batch["sign"]]
-            both = batch if held is None else pd.concat([held, batch], ignore_index=True)
-            same = (both["tree"] == both["tree"].shift()) & (both["head"] == both["head"].shift())
-            if held is None:
-                both["before"] = both["node"].shift().where(same)
-                both["linked"] = same
-            else:
-                both["before"] = both["node"].shift().where(same)
-                both.loc[0, "before"] = held["before"].iloc[0]
-                both["linked"] = same
-                both.loc[0, "linked"] = held["linked"].iloc[0]
-            both["linked"] = both["linked"] | same.shift(-1, fill_value=False)
-            if first:
-                both.loc[0, "linked"] = True  # the task before may end with the same prefix
-                first = False
-            yield out(both.iloc[:-1])
-            held = both.iloc[-1:].reset_index(drop=True)
+            signs = np.frombuffer(b"".join(batch.column("sign").to_pylist()), np.uint8)
+            rows = [signs.reshape(-1, width)[:, :head]]
+            rows += [batch.column(c).to_numpy(zero_copy_only=False) for c in ("node", "n", "tree")]
+            if held is not None:
+                rows = [np.concatenate(x) for x in zip(held, rows)]
+            same = np.zeros(len(rows[1]), dtype=bool)  # as the row before
+            same[1:] = (rows[3][1:] == rows[3][:-1]) & (rows[0][1:] == rows[0][:-1]).all(axis=1)
+            linked = same.copy()
+            linked[:-1] |= same[1:]
+            # The row before the first one is in another task, or was held back with its own.
+            linked[0] |= held is None or held_linked
+            yield out(rows, same, np.flatnonzero(linked[:-1]))
+            held, held_linked = [x[-1:] for x in rows], linked[-1]
         if held is not None:
-            held["linked"] = True
-            yield out(held)
-
-    def out(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows[rows["linked"].astype(bool)]
-        prefix = [int.from_bytes(_digest(h), "little", signed=True) for h in rows["head"]]
-        return pd.DataFrame(
-            {
-                "tree": rows["tree"].astype("int32"),
-                "prefix": pd.Series(prefix, index=rows.index, dtype="int64"),
-                "node": rows["node"].astype("int64"),
-                "n": rows["n"].astype("int64"),
-                "before": rows["before"].astype("Int64"),
-            }
+            yield out(held, np.zeros(1, dtype=bool), np.zeros(1, dtype=np.int64))
+
+    def out(rows: list[np.ndarray], same: np.ndarray, at: np.ndarray) -> pa.RecordBatch:
+        heads, ids, sizes, tree = rows
+        prefix = np.zeros(len(at), dtype=np.uint64)
+        for i in range(0, head, 4):
+            value = np.ascontiguousarray(heads[at, i : i + 4]).view(np.uint32).ravel()
+            prefix = chain(prefix, value.astype(np.uint64), i)
+        none = ~same[at]
+        return pa.RecordBatch.from_arrays(
+            [
+                pa.array(tree[at].astype(np.int32)),
+                pa.array(prefix.view(np.int64)),
+                pa.array(ids[at]),
+                pa.array(sizes[at]),
+                pa.array(ids[at - 1], mask=none),
+                pa.array(sizes[at - 1], mask=none),
+            ],
+            names=["tree", "prefix", "node", "n", "before", "n_before"],
         )
 
-    return ordered.mapInPandas(neighbours, "tree int, prefix long, node long, n long, before long")
-
-
-def _digest(data: bytes) -> bytes:
-    import hashlib
-
-    return hashlib.blake2b(data, digest_size=8).digest()
+    return ordered.mapInArrow(
+        neighbours, "tree int, prefix long, node long, n long, before long, n_before long"
+    )
 
 
 def sets(docs: DataFrame, size: int) -> DataFrame:
@@ -185,6 +187,145 @@ def confirmed(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> Dat
     return cut(joined.where(similar("items_a", "items_b")).select("a", "b").distinct())
 
 
+def _pairs(rows: DataFrame, x: str, y: str) -> DataFrame:
+    pairs = rows.select(F.greatest(x, y).alias("a"), F.least(x, y).alias("b"))
+    return cut(pairs.where("a > b").distinct())
+
+
+def _mixed(rows: DataFrame, joined: DataFrame) -> DataFrame:
+    """The rows, with their component, of those prefixes that hold several components."""
+    labelled = rows.join(joined, "node", "left").select(
+        "tree", "prefix", "node", "n", F.coalesce("component", "node").alias("component")
+    )
+    several = (
+        labelled.groupBy("tree", "prefix")
+        .agg(F.min("component").alias("_low"), F.max("component").alias("_high"))
+        .where("_low < _high")
+        .select("tree", "prefix")
+    )
+    return cut(labelled.join(several, ["tree", "prefix"]))
+
+
+def pivots(mixed: DataFrame, links: DataFrame, percent: int) -> DataFrame:
+    """In each dense region the class with most links, against the classes of other components."""
+    ends = links.select(F.col("a").alias("node")).unionByName(links.select(F.col("b").alias("node")))
+    degrees = ends.groupBy("node").agg(F.count("*").alias("_degree"))
+    known = mixed.join(degrees, "node", "left").withColumn("_degree", F.coalesce("_degree", F.lit(0)))
+    best = (
+        known.groupBy("tree", "prefix")
+        .agg(
+            F.max(F.struct("_degree", "node", "component", "n")).alias("_p"),
+            F.count("*").alias("_rows"),
+        )
+        .where((F.col("_rows") >= DENSE) & (F.col("_p._degree") > 0))
+    )
+    found = mixed.join(best, ["tree", "prefix"]).where("component <> _p.component")
+    n, m = F.col("n"), F.col("_p.n")
+    found = found.where(100 * F.least(n, m) >= percent * F.greatest(n, m))
+    return found.select("node", F.col("_p.node").alias("pivot"))
+
+
+def rare_pairs(mixed: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
+    """Pairs of classes that share a prefix of a tree, are of different components, and can be
+    similar enough by their rarest shingles.
+
+    If the shingles of all sets are sorted in one order, two sets with at least m in common share one
+    among the first n - m + 1 of the one and of the other. The order is by rarity among the classes
+    concerned, so few sets share what they begin with, and a shingle of one set alone joins nothing.
+    """
+    nodes = mixed.groupBy("node").agg(
+        F.first("component").alias("component"),
+        F.collect_set(F.xxhash64("tree", "prefix")).alias("regions"),  # one for each tree at most
+    )
+    full = cut(sets(semi_ids(docs, nodes.select("node"), "node"), size).distinct())
+    ranges = max(1, int(full.agg(F.coalesce(F.sum(F.octet_length("items")), F.lit(0))).first()[0] // (16 * MASS)))
+    folder = work_path(docs.sparkSession, "shingles")
+    width = (2**64 + ranges - 1) // ranges
+    starts = np.array([i * width for i in range(ranges)], dtype=np.uint64)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+        for batch in batches:
+            for items in batch.column("items").to_pylist():
+                held.append(np.frombuffer(items, np.uint64))
+                n += len(held[-1])
+                if n >= MASS:
+                    yield from runs(*np.unique(np.concatenate(held), return_counts=True), starts)
+                    held, n = [], 0
+        if held:
+            yield from runs(*np.unique(np.concatenate(held), return_counts=True), starts)
+
+    def merge(frame: pd.DataFrame) -> pd.DataFrame:
+        part = int(frame["part"].iloc[0])
+        keys, counts = merged(frame)
+        keys, counts = keys[counts > 1], counts[counts > 1]
+        save(f"{folder}/keys-{part}", keys)
+        save(f"{folder}/counts-{part}", counts)
+        return pd.DataFrame({"part": [part]})
+
+    there = {
+        r["part"]
+        for r in full.mapInArrow(count, RUN).groupBy("part").applyInPandas(merge, "part int").collect()
+    }
+
+    def frequencies(items: np.ndarray) -> np.ndarray:
+        out = np.ones(len(items), dtype=np.int64)
+        edges = np.concatenate([[0], np.searchsorted(items, starts[1:]), [len(items)]])
+        for part in np.flatnonzero(np.diff(edges)):
+            known = load(f"{folder}/keys-{part}", "uint64") if int(part) in there else ()
+            if len(known):
+                mine = items[edges[part] : edges[part + 1]]
+                at = np.minimum(np.searchsorted(known, mine), len(known) - 1)
+                n = load(f"{folder}/counts-{part}", "int64")[at]
+                out[edges[part] : edges[part + 1]] = np.where(known[at] == mine, n, 1)
+        return out
+
+    def begin(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for node, data in zip(batch.column("node").to_pylist(), batch.column("items").to_pylist()):
+                items = np.frombuffer(data, np.uint64)
+                n = len(items)
+                often = frequencies(items)
+                least = -(-percent * n // 100)  # in common with any similar set
+                order = np.lexsort((items, often))[: n - least + 1]
+                place = np.flatnonzero(often[order] > 1)
+                if len(place):
+                    yield pa.RecordBatch.from_pydict(
+                        {
+                            "node": pa.array(np.full(len(place), node, np.int64)),
+                            "n": pa.array(np.full(len(place), n, np.int64)),
+                            "place": pa.array(place),
+                            "item": pa.array(items[order[place]].view(np.int64)),
+                        }
+                    )
+
+    firsts = full.mapInArrow(begin, "node long, n long, place long, item long")
+    firsts = firsts.join(nodes.select("node", "component"), "node")
+    # Of the sets that begin with a shingle, those of its most frequent component needn't meet.
+    by_component = firsts.groupBy("item", "component").agg(F.count("*").alias("_n"))
+    major = (
+        by_component.groupBy("item")
+        .agg(F.max(F.struct("_n", "component")).alias("_m"), F.count("*").alias("_components"))
+        .where("_components > 1")
+        .select("item", F.col("_m.component").alias("_major"))
+    )
+    firsts = cut(firsts.join(major, "item"))
+    minor = firsts.where("component <> _major").drop("_major")
+    other = firsts.select("item", *(F.col(c).alias(f"{c}_2") for c in ("node", "n", "place", "component")))
+    common = F.ceil(percent * (F.col("n") + F.col("n_2")) / (100 + percent))
+    found = minor.join(other, "item").where(
+        (F.col("component") != F.col("component_2"))
+        & (100 * F.least("n", "n_2") >= percent * F.greatest("n", "n_2"))
+        & (F.col("place") <= F.col("n") - common)
+        & (F.col("place_2") <= F.col("n_2") - common)
+    )
+    pairs = _pairs(found, "node", "node_2")
+    regions = nodes.select("node", "regions")
+    pairs = pairs.join(regions.select(F.col("node").alias("a"), F.col("regions").alias("_ra")), "a")
+    pairs = pairs.join(regions.select(F.col("node").alias("b"), F.col("regions").alias("_rb")), "b")
+    return pairs.where(F.arrays_overlap("_ra", "_rb")).select("a", "b")
+
+
 def _of_one_id(signed: DataFrame, classes: DataFrame) -> DataFrame:
     """Links between the classes that rows of one id are in."""
     rows = signed.where("n_shingles > 0").select("node", "set_key")
@@ -227,36 +368,16 @@ def near_duplicates(
         .agg(F.min("node").alias("node"), F.first("n_shingles").alias("n"), F.first("signature").alias("signature"))
     )
     rows = cut(forest(classes, trees, depth, deep))
-    near = rows.where("before is not null")
-    tested = cut(
-        near.select(F.greatest("node", "before").alias("a"), F.least("node", "before").alias("b"))
-        .where("a > b")
-        .distinct()
-    )
+    alike = 100 * F.least("n", "n_before") >= percent * F.greatest("n", "n_before")
+    tested = _pairs(rows.where("before is not null").where(alike), "node", "before")
     links = confirmed(tested, docs, size, percent)
-    links = links.unionByName(_of_one_id(signed, classes))
-    joined = components(links, "a", "b")
-    labelled = rows.join(joined, "node", "left").select(
-        "tree", "prefix", "node", "n", F.coalesce("component", "node").alias("component")
-    )
-    mixed = (
-        labelled.groupBy("tree", "prefix")
-        .agg(F.min("component").alias("low"), F.max("component").alias("high"))
-        .where("low < high")
-        .select("tree", "prefix")
-    )
-    labelled = cut(labelled.join(mixed, ["tree", "prefix"]))
-    other = labelled.select("tree", "prefix", *(F.col(c).alias(f"{c}_2") for c in ("node", "n", "component")))
-    more = (
-        labelled.join(other, ["tree", "prefix"])
-        .where("component < component_2")
-        .where(100 * F.least("n", "n_2") >= percent * F.greatest("n", "n_2"))
-        .select(F.greatest("node", "node_2").alias("a"), F.least("node", "node_2").alias("b"))
-        .where("a > b")
-        .distinct()
-        .join(tested, ["a", "b"], "left_anti")
-    )
-    links = links.unionByName(confirmed(cut(more), docs, size, percent))
+    links = cut(links.unionByName(_of_one_id(signed, classes)))
+
+    more = _pairs(pivots(_mixed(rows, components(links, "a", "b")), links, percent), "node", "pivot")
+    links = cut(links.unionByName(confirmed(more, docs, size, percent)))
+
+    more = _pairs(rare_pairs(_mixed(rows, components(links, "a", "b")), docs, size, percent), "a", "b")
+    links = links.unionByName(confirmed(more, docs, size, percent))
     joined = cut(components(links, "a", "b"))
     named = classes.select("set_key", "node").join(joined, "node", "left").select(
         "set_key", F.coalesce("component", "node").alias("component")
