@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from runcourier.llm.common import table
 from runcourier.llm.decontamination import contaminated
 from runcourier.llm.language import languages
+from runcourier.llm.language_model import language_model_scores
 from runcourier.llm.mixing import mix_sources
 from runcourier.llm.near_duplicates import near_duplicates
 from runcourier.llm.personal_data import personal_data
@@ -20,6 +21,10 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), path)
 
 
+def op2_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_model_scores(table(spark, sf_dir, "documents"))
+
+
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(table(spark, sf_dir, "documents"))
 
@@ -46,6 +51,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_token_counts": op1_token_counts,
+    "op2_language_model": op2_language_model,
     "op3_mixing": op3_mixing,
     "op4_toxicity": op4_toxicity,
     "op6_near_duplicates": op6_near_duplicates,
