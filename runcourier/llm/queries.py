@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from runcourier.llm.common import table
 from runcourier.llm.decontamination import contaminated
@@ -11,6 +12,7 @@ from runcourier.llm.language import languages
 from runcourier.llm.language_model import language_model_scores
 from runcourier.llm.mixing import mix_sources
 from runcourier.llm.near_duplicates import near_duplicates
+from runcourier.llm.neighbours import nearest
 from runcourier.llm.personal_data import personal_data
 from runcourier.llm.token_counts import token_counts
 from runcourier.llm.toxicity import toxicity
@@ -45,6 +47,10 @@ def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return languages(table(spark, sf_dir, "documents"))
 
 
+def op9_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -57,5 +63,6 @@ QUERIES = {
     "op6_near_duplicates": op6_near_duplicates,
     "op7_personal_data": op7_personal_data,
     "op8_language": op8_language,
+    "op9_nearest_neighbours": op9_nearest_neighbours,
     "op10_decontamination": op10_decontamination,
 }
