@@ -1,15 +1,16 @@
 """Approximate nearest neighbours by a graph that NN-descent builds.
 
-Equal vectors are one node. Each node starts with the nodes around it in orders by random projections;
-in every round a node's neighbours and those that name it are compared with each other (neighbours of
-neighbours), and each keeps the best it has seen. A node that very many name is met by them in groups of
-bounded size, another grouping in each round, so no task gets all of them. Rounds end when few edges
-change. A query starts at the nodes before and behind it in the orders and walks the graph greedily: it
+Equal vectors are one node. Each node starts with the best nodes of its leaves in trees of random
+planes. In every round a node's neighbours and those that name it are compared with each other
+(neighbours of neighbours), and each keeps the best it has seen. A node that very many name is met by
+them in groups of bounded size, another grouping in each round, so no task gets all of them. Rounds end
+when few edges change. A query starts at its own node's neighbours and walks the graph greedily: it
 expands its best nodes that aren't expanded yet, and ends when its best ``beam`` nodes all are.
 
-All steps are joins and groupings; vectors travel with the rows of a step. Similarity is the inner
-product in double precision on the vectors as they are. The graph is built on vectors of length 1 with
-one more component that makes the largest inner product the smallest angle, so lengths may differ.
+All steps are joins and groupings; vectors travel with the rows of a step, rounded to a byte for each
+component. The rows found are scored by the inner product in double precision on the vectors as they
+are. The graph is built on vectors of one length: one more component, zero for a query, makes the
+largest inner product the smallest angle, so lengths may differ.
 
 Vectors that are null, empty, zero, of another length than most, or hold null or non-finite components
 take no part. Rows with the same id and vector count once. An empty table gives an empty result.
@@ -29,13 +30,9 @@ from runcourier.llm.common import small_batches
 from runcourier.session import cut
 
 # Neighbours of a node, nodes that a query keeps, rounds at most, and nodes that meet at once.
-DEGREE, BEAM, ROUNDS, MEETING = 24, 64, 6, 64
-ORDERS, AROUND = 6, 6
-
-
-def _matrix(column: pa.Array) -> np.ndarray:
-    flat = column.flatten().to_numpy(zero_copy_only=False)
-    return flat.astype(np.float64).reshape(len(column), -1)
+DEGREE, BEAM, ROUNDS, MEETING = 32, 64, 6, 96
+# Trees of random planes for the first graph, and nodes in a leaf.
+TREES, LEAF = 8, 48
 
 
 def usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
@@ -64,153 +61,133 @@ def _top(rows: DataFrame, key: str, other: str, value: str, n: int) -> DataFrame
     return rows.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= n).drop("_r")
 
 
-def starts(nodes: DataFrame, dims: int, orders: int, around: int, seed: int) -> DataFrame:
-    """Edges (u, v) between nodes that are near each other in orders by random projections.
-
-    Each order is made by ranges of the projection, and edges stay inside of a task's piece.
-    """
-    axes = np.random.default_rng(seed).normal(size=(orders, dims + 1))
+def leaves(nodes: DataFrame, dims: int, trees: int, size: int, seed: int) -> DataFrame:
+    """Rows (at, member): for each tree, the nodes on the same side of some random planes, about
+    ``size`` of them if they spread evenly."""
+    planes = max(1, int(np.ceil(np.log2(max(2, nodes.count()) / size))))
+    axes = np.random.default_rng(seed).normal(size=(trees * planes, dims))
+    weights = 1 << np.arange(planes, dtype=np.int64)
 
-    def project(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                values = _matrix(batch.column("unit")) @ axes.T
+                sides = (_codes(batch.column("code").to_pylist()) @ axes.T > 0).astype(np.int64)
+                leaf = sides.reshape(-1, trees, planes) @ weights + np.arange(trees) * 2**planes
+                member = np.repeat(batch.column("node").to_numpy(), trees)
                 yield pa.RecordBatch.from_pydict(
-                    {
-                        "node": pa.array(np.repeat(batch.column("node").to_numpy(), orders)),
-                        "axis": pa.array(np.tile(np.arange(orders, dtype=np.int32), batch.num_rows)),
-                        "value": pa.array(values.ravel()),
-                    }
+                    {"at": pa.array(leaf.ravel()), "member": pa.array(member)}
                 )
 
-    placed = nodes.select("node", "unit").mapInArrow(project, "node long, axis int, value double")
-    parts = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ordered = placed.repartitionByRange(parts, "axis", "value", "node").sortWithinPartitions(
-        "axis", "value", "node"
-    )
-
-    def pair(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held = None
-        for batch in batches:
-            rows = batch if held is None else pd.concat([held, batch], ignore_index=True)
-            for step in range(1, around + 1):
-                a, b = rows.iloc[:-step], rows.iloc[step:]
-                same = a["axis"].to_numpy() == b["axis"].to_numpy()
-                yield pd.DataFrame({"u": a["node"].to_numpy()[same], "v": b["node"].to_numpy()[same]})
-            held = rows.iloc[-around:]
-
-    return ordered.select("node", "axis").mapInPandas(pair, "u long, v long").distinct()
+    return nodes.select("node", "code").mapInArrow(place, "at long, member long")
 
 
 def _both(edges: DataFrame) -> DataFrame:
     return edges.select("u", "v").union(edges.select("v", "u")).distinct()
 
 
-def _scored(edges: DataFrame, nodes: DataFrame) -> DataFrame:
-    """The edges (u, v) with the similarity s of their ends."""
-    unit = nodes.select("node", "unit")
-    rows = edges.join(unit.withColumnsRenamed({"node": "u", "unit": "a"}), "u")
-    rows = rows.join(unit.withColumnsRenamed({"node": "v", "unit": "b"}), "v")
+def _codes(codes: list[bytes]) -> np.ndarray:
+    return np.frombuffer(b"".join(codes), np.int8).reshape(len(codes), -1).astype(np.float32)
 
-    @F.pandas_udf("double")
-    def dot(a: pd.Series, b: pd.Series) -> pd.Series:
-        if not len(a):
-            return pd.Series([], dtype=float)
-        return pd.Series((np.stack(a.to_numpy()) * np.stack(b.to_numpy())).sum(axis=1))
-
-    return rows.select("u", "v", dot("a", "b").alias("s"))
 
+def meet(nodes: DataFrame, named: DataFrame, floors: DataFrame | None, degree: int, size: int, number: int) -> DataFrame:
+    """Edges (u, v, s) among the members that share a place ``at``, in groups of bounded size.
 
-def descend(nodes: DataFrame, edges: DataFrame, degree: int, meeting: int, number: int) -> DataFrame:
-    """Edges (u, v, s) that one round finds: members of a meeting, each with its best others."""
-    # Around each node meet its neighbours and those that name it, in groups of bounded size.
-    named = edges.select(F.col("u").alias("at"), F.col("v").alias("member")).union(
-        edges.select(F.col("v").alias("at"), F.col("u").alias("member"))
-    ).distinct()
-    sizes = named.groupBy("at").agg(F.ceil(F.count("*") / meeting).alias("_groups"))
+    ``floors`` has the similarity s that a node's new neighbour must beat.
+    """
+    sizes = named.groupBy("at").agg(F.ceil(F.count("*") / size).alias("_groups"))
     named = named.join(sizes, "at").withColumn(
         "group", F.pmod(F.xxhash64("member", F.lit(number)), F.col("_groups"))
     )
-    met = named.join(nodes.select(F.col("node").alias("member"), "unit"), "member")
-    keep = degree // 2
-
-    def compare(rows: pd.DataFrame) -> pd.DataFrame:
-        ids = rows["member"].to_numpy()
-        if len(ids) < 2:
-            return pd.DataFrame({"u": [], "v": [], "s": []})
-        units = np.stack(rows["unit"].to_numpy())
-        near = units @ units.T
-        np.fill_diagonal(near, -np.inf)
-        n = min(keep, len(ids) - 1)
-        best = np.argpartition(-near, n - 1, axis=1)[:, :n]
-        return pd.DataFrame(
-            {
-                "u": np.repeat(ids, n),
-                "v": ids[best].ravel(),
-                "s": np.take_along_axis(near, best, axis=1).ravel(),
-            }
-        )
+    known = nodes.select(F.col("node").alias("member"), "code")
+    if floors is not None:
+        known = known.join(floors.withColumnRenamed("u", "member"), "member", "left")
+    else:
+        known = known.withColumn("floor", F.lit(None).cast("double"))
+    packed = (
+        named.join(known, "member")
+        .groupBy("at", "group")
+        .agg(F.collect_list(F.struct("member", "code", "floor")).alias("all"))
+        .select("all.member", "all.code", "all.floor")
+    )
 
-    def meet(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pd.concat(
-                [
-                    compare(pd.DataFrame({"member": m, "unit": list(u)}))
-                    for m, u in zip(batch["members"], batch["units"])
-                ]
-                or [pd.DataFrame({"u": [], "v": [], "s": []})]
-            ).astype({"u": "int64", "v": "int64", "s": "float64"})
+            us, vs, ss = [], [], []
+            for ids, codes, floor in zip(*(batch.column(i).to_pylist() for i in range(3))):
+                if len(ids) < 2:
+                    continue
+                ids = np.array(ids)
+                rows = _codes(codes)
+                near = rows @ rows.T
+                np.fill_diagonal(near, -np.inf)
+                n = min(degree, len(ids) - 1)
+                best = np.argpartition(-near, n - 1, axis=1)[:, :n]
+                value = np.take_along_axis(near, best, axis=1)
+                least = np.array([-np.inf if f is None else f for f in floor])
+                i, j = np.nonzero(value > least[:, None])
+                us.append(ids[i])
+                vs.append(ids[best[i, j]])
+                ss.append(value[i, j])
+            if us:
+                yield pa.RecordBatch.from_pydict(
+                    {
+                        "u": pa.array(np.concatenate(us)),
+                        "v": pa.array(np.concatenate(vs)),
+                        "s": pa.array(np.concatenate(ss).astype(np.float32)),
+                    }
+                )
 
-    packed = met.groupBy("at", "group").agg(F.collect_list(F.struct("member", "unit")).alias("all"))
-    packed = packed.select(F.col("all.member").alias("members"), F.col("all.unit").alias("units"))
-    found = packed.mapInPandas(meet, "u long, v long, s double")
-    return found.groupBy("u", "v").agg(F.max("s").alias("s"))
+    return packed.mapInArrow(compare, "u long, v long, s float")
 
 
 def graph(nodes: DataFrame, dims: int, degree: int = DEGREE, rounds: int = ROUNDS) -> DataFrame:
     """Edges (u, v, s): for each node its best neighbours found."""
-    first = _both(starts(nodes, dims, ORDERS, AROUND, 11))
-    edges = cut(_top(_scored(first, nodes), "u", "v", "s", degree))
-    size = edges.count()
-    for number in range(rounds):
-        found = descend(nodes, edges, degree, MEETING, number)
-        merged = edges.unionByName(found).groupBy("u", "v").agg(F.max("s").alias("s"))
-        new = cut(_top(merged, "u", "v", "s", degree))
+    found = meet(nodes, leaves(nodes, dims, TREES, LEAF, 11), None, degree // 2, MEETING, 0)
+    edges = cut(_top(found.groupBy("u", "v").agg(F.max("s").alias("s")), "u", "v", "s", degree))
+    for number in range(1, rounds + 1):
+        # Around each node meet its neighbours, those that name it, and itself.
+        named = edges.select(F.col("u").alias("at"), F.col("v").alias("member")).union(
+            edges.select(F.col("v").alias("at"), F.col("u").alias("member"))
+        )
+        floors = edges.groupBy("u").agg(
+            F.when(F.count("*") >= degree, F.min("s").cast("double")).alias("floor")
+        )
+        found = meet(nodes, named.distinct(), floors, degree, MEETING, number)
+        every = edges.unionByName(found).groupBy("u", "v").agg(F.max("s").alias("s"))
+        new = cut(_top(every, "u", "v", "s", degree))
         same = new.join(edges.select("u", "v"), ["u", "v"], "left_semi").count()
         edges, changed = new, 1 - same / max(1, new.count())
-        if changed < 0.01:
+        if changed < 0.02:
             break
-    del size
     return edges
 
 
 def walk(
-    queries: DataFrame, nodes: DataFrame, edges: DataFrame, beam: int, steps: int = 30
+    queries: DataFrame, nodes: DataFrame, edges: DataFrame, beam: int, steps: int = 40
 ) -> DataFrame:
     """Rows (query, node, s): the best nodes that greedy search finds for each query.
 
-    ``queries``: rows (query, unit, node), with the node a search starts from.
+    ``queries``: rows (query, code, node), with the nodes a search starts from.
     """
-    unit = queries.select("query", F.col("unit").alias("q")).distinct()
-    # A node is reached by its edges and by those that lead to it from nodes it is best for.
+    code = cut(queries.select("query", F.col("code").alias("q")).distinct())
     ways = cut(_both(edges))
 
     @F.pandas_udf("double")
     def dot(a: pd.Series, b: pd.Series) -> pd.Series:
         if not len(a):
             return pd.Series([], dtype=float)
-        return pd.Series((np.stack(a.to_numpy()) * np.stack(b.to_numpy())).sum(axis=1))
+        return pd.Series((_codes(list(a)) * _codes(list(b))).sum(axis=1).astype(float))
 
     def rated(pairs: DataFrame) -> DataFrame:
-        rows = pairs.join(unit, "query").join(nodes.select("node", "unit"), "node")
-        return rows.select("query", "node", dot("q", "unit").alias("s"))
+        rows = pairs.join(code, "query").join(nodes.select("node", "code"), "node")
+        return rows.select("query", "node", dot("q", "code").alias("s"))
 
     kept = rated(queries.select("query", "node").distinct()).withColumn("done", F.lit(False))
-    kept = cut(kept)
+    kept = cut(_top(kept, "query", "node", "s", beam))
     for _ in range(steps):
         order = Window.partitionBy("query").orderBy(F.desc("s"), "node")
-        open_ = kept.where("not done").withColumn("_r", F.row_number().over(order))
-        now = cut(open_.where(F.col("_r") <= max(4, beam // 4)).select("query", "node"))
+        now = kept.where("not done").withColumn("_r", F.row_number().over(order))
+        now = cut(now.where(F.col("_r") <= max(8, beam // 3)).select("query", "node"))
         if now.isEmpty():
             break
         there = now.join(ways.select(F.col("u").alias("node"), "v"), "node")
@@ -245,20 +222,32 @@ def nearest(
     # Equal vectors are one node, known by the smallest id. One more component makes lengths equal.
     classes = rows.groupBy("vector").agg(F.min("vec_id").alias("node"))
     extra = F.sqrt(F.greatest(F.lit(longest) - _norm(F.col("vector")), F.lit(0.0)))
-    unit = F.transform(F.concat("vector", F.array(extra)), lambda x: (x / float(longest) ** 0.5).cast("float"))
-    nodes = cut(classes.select("node", "vector", unit.alias("unit")))
+    classes = cut(classes.select("node", "vector", extra.alias("extra")))
+    most = classes.agg(
+        F.max(F.greatest("extra", F.array_max(F.transform("vector", lambda x: F.abs(x)))))
+    ).first()[0]
+
+    @F.pandas_udf("binary")
+    def rounded(vector: pd.Series, extra: pd.Series) -> pd.Series:
+        if not len(vector):
+            return pd.Series([], dtype=object)
+        rows = np.hstack([np.stack(vector.to_numpy()), extra.to_numpy()[:, None]])
+        rows = np.rint(rows * (127 / most)).astype(np.int8)
+        return pd.Series([r.tobytes() for r in rows], dtype=object)
+
+    nodes = cut(classes.select("node", "vector", rounded("vector", "extra").alias("code")))
     member = cut(rows.join(classes, "vector").select("vec_id", "node"))
-    edges = cut(graph(nodes, dims, degree))
+    edges = cut(graph(nodes, dims + 1, degree))
 
-    # A query starts from its own node's neighbours and looks for the node's vector as it is.
     asked = member.where(is_query)
-    wanted = asked.select("node").distinct().join(
-        nodes.select("node", F.concat(F.transform("vector", lambda x: x.cast("float")), F.array(F.lit(0.0).cast("float"))).alias("unit")),
-        "node",
+    wanted = cut(
+        asked.select("node").distinct().join(
+            nodes.select("node", rounded("vector", F.lit(0.0)).alias("code")), "node"
+        )
     )
-    begin = wanted.select(F.col("node").alias("query"), "unit", "node").unionByName(
+    begin = wanted.select(F.col("node").alias("query"), "code", "node").unionByName(
         wanted.join(edges.select(F.col("u").alias("node"), "v"), "node").select(
-            F.col("node").alias("query"), "unit", F.col("v").alias("node")
+            F.col("node").alias("query"), "code", F.col("v").alias("node")
         )
     )
     found = walk(begin, nodes, edges, max(beam, 2 * k))
