@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from runcourier.session import cut
+
 # Rows of text that Python sees at once.
 BATCH_ROWS = 500
 # At most this many ids are shipped to every executor (8 bytes each).
@@ -30,6 +32,14 @@ def semi_ids(big: DataFrame, ids: DataFrame, key: str, bound: int = BROADCAST_ID
     return big.join(ids, key, "left_semi")
 
 
+def anti_ids(big: DataFrame, ids: DataFrame, key: str, bound: int = BROADCAST_IDS) -> DataFrame:
+    """Rows of ``big`` whose ``key`` is not in ``ids``; a null key never is."""
+    ids = cut(ids.select(key).distinct())
+    if ids.count() <= bound:
+        return big.join(F.broadcast(ids), key, "left_anti").select(big.columns)
+    return big.join(ids, key, "left_anti").select(big.columns)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

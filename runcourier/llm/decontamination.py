@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from runcourier.llm.common import key_id, row_key, semi_ids, small_batches
+from runcourier.llm.common import anti_ids, key_id, row_key, semi_ids, small_batches
 from runcourier.llm.words import mix, texts, word_hashes
 from runcourier.session import cut
 
@@ -243,5 +243,8 @@ def _item_words(items: DataFrame) -> DataFrame:
 
 def clean_documents(docs: DataFrame, found: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """The documents without a benchmark item; rows without an id stay only if none was found."""
-    bad = found.select(F.col("doc_id").alias("_bad")).distinct()
-    return docs.join(bad, F.col(id_col).eqNullSafe(F.col("_bad")), "left_anti")
+    bad = cut(found.select(F.col("doc_id").alias(id_col)))
+    kept = anti_ids(docs, bad, id_col)
+    if bad.where(F.col(id_col).isNull()).isEmpty():
+        return kept
+    return kept.where(F.col(id_col).isNotNull())

@@ -245,8 +245,12 @@ def toxicity(
     text_col: str = "text",
     label_col: str = "toxic",
     threshold: float = 0.7,
+    keep: list[str] | None = None,
 ) -> DataFrame:
-    """One row per document: held_out, score between 0 and 1, and whether it reaches the threshold."""
+    """One row per document: held_out, score between 0 and 1, and whether it reaches the threshold.
+
+    With ``keep``, these columns of the documents that don't reach it, as they are.
+    """
     spark = docs.sparkSession
     small_batches(spark)
     all_docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
@@ -328,6 +332,8 @@ def toxicity(
             x = np.array(rows).reshape(-1, 3) @ weights[:3] + weights[3]
             yield pd.Series(1 / (1 + np.exp(-np.clip(x, -30, 30))))
 
+    if keep is not None:
+        return docs.where(score(F.coalesce(F.col(text_col), F.lit(""))) < threshold).select(*keep)
     scored = all_docs.select(
         "doc_id",
         (remainder("doc_id", 3) == 1).alias("held_out"),
