@@ -14,6 +14,7 @@ from runcourier.llm.mixing import mix_sources
 from runcourier.llm.near_duplicates import near_duplicates
 from runcourier.llm.neighbours import nearest
 from runcourier.llm.personal_data import personal_data
+from runcourier.llm.repeats import removed
 from runcourier.llm.token_counts import token_counts
 from runcourier.llm.toxicity import toxicity
 
@@ -35,6 +36,10 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op5_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return removed(table(spark, sf_dir, "documents"))
+
+
 def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), size=4)
 
@@ -60,6 +65,7 @@ QUERIES = {
     "op2_language_model": op2_language_model,
     "op3_mixing": op3_mixing,
     "op4_toxicity": op4_toxicity,
+    "op5_repeats": op5_repeats,
     "op6_near_duplicates": op6_near_duplicates,
     "op7_personal_data": op7_personal_data,
     "op8_language": op8_language,
