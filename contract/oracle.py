@@ -261,19 +261,20 @@ _FANOUT = {
 _NOTIFICATIONS = {
     **_ALERTS,
     "run_time": "SELECT run_id, epoch(min(date_trunc('second', ts)))::BIGINT AS sec FROM e GROUP BY run_id",
+    # Every run by itself, in the order of time and id.
     "timed": """
-        SELECT rule_id, suite_category, sec, bool_or(fired) AS fired, max(run_id) AS run_id,
-               max(rearm_seconds) AS rearm,
-               row_number() OVER (PARTITION BY rule_id, suite_category ORDER BY sec) AS n
-        FROM evaluated JOIN run_time USING (run_id) GROUP BY rule_id, suite_category, sec""",
+        SELECT rule_id, suite_category, sec, run_id, bool_or(fired) AS fired, max(rearm_seconds) AS rearm,
+               row_number() OVER (PARTITION BY rule_id, suite_category ORDER BY sec NULLS LAST, run_id) AS n
+        FROM evaluated LEFT JOIN run_time USING (run_id)
+        GROUP BY rule_id, suite_category, run_id, sec""",
     "walk": """
         SELECT rule_id, suite_category, n, fired, run_id, sec, fired AS fires,
                CASE WHEN fired THEN sec END AS last_fire, 'FIRST' AS reason
         FROM timed WHERE n = 1
         UNION ALL
         SELECT t.rule_id, t.suite_category, t.n, t.fired, t.run_id, t.sec,
-               t.fired AND (NOT w.fired OR (t.rearm > 0 AND t.sec - w.last_fire >= t.rearm)),
-               CASE WHEN t.fired AND (NOT w.fired OR (t.rearm > 0 AND t.sec - w.last_fire >= t.rearm))
+               t.fired AND (NOT w.fired OR coalesce(t.rearm > 0 AND t.sec - w.last_fire >= t.rearm, false)),
+               CASE WHEN t.fired AND (NOT w.fired OR coalesce(t.rearm > 0 AND t.sec - w.last_fire >= t.rearm, false))
                     THEN t.sec ELSE w.last_fire END,
                CASE WHEN w.fired THEN 'AGAIN' ELSE 'FIRST' END
         FROM walk w JOIN timed t
@@ -565,6 +566,7 @@ ORACLE: dict[str, str] = {
     "strip_borders": _render(
         "plain", html="""regexp_replace(html, ' (style|border)="[^"]*"', '', 'g')"""
     ),
+    "report_links": _sql("SELECT run_id, true AS there FROM report", **_report("compact")),
     "report_files": _sql("SELECT run_id, md5(html) AS html_md5 FROM report", **_report("compact")),
     "stored_tables": _sql("""
         SELECT run_id, suite_category, CASE WHEN status = 'FAIL' THEN 2 ELSE 1 END::BIGINT AS n,
@@ -602,8 +604,8 @@ ORACLE: dict[str, str] = {
     "alert_latest": _sql(
         f"""SELECT s.run_id, x.kind AS channel, x.address,
                    'Regression Report - Run ' || s.run_id || ' - ' || execution_status AS subject
-            FROM state s JOIN subscription x USING (rule_id) JOIN run_status USING (run_id)
-            WHERE s.run_id = {_LATEST} AND s.fired AND NOT x.paused""",
+            FROM changes s JOIN subscription x USING (rule_id) JOIN run_status USING (run_id)
+            WHERE s.run_id = {_LATEST} AND s.change = 'TRIGGERED' AND NOT x.paused""",
         **_FANOUT,
     ),
     "parse_recipients": f"""
@@ -686,6 +688,28 @@ ORACLE: dict[str, str] = {
         FULL OUTER JOIN (SELECT run_id AS id, max(threshold_query_description) AS name, count(*)::INT AS version
                          FROM threshold_breach GROUP BY run_id) u ON u.id = o.run_id"""),
     "stream_outbox": _sql("SELECT * FROM alert_box", **_FANOUT),
+    "stream_alerts_again": _sql("SELECT * FROM alert_box", **_FANOUT),
+    "slots_half_hour_zone": """
+        SELECT lo + to_minutes(30) + to_hours(h) AS slot
+        FROM (SELECT date_trunc('day', min(ts))::TIMESTAMP AS lo,
+                     date_trunc('day', max(ts))::TIMESTAMP + INTERVAL 1 DAY AS hi FROM events),
+             range(0, 24 * 4000) AS t(h)
+        WHERE lo + to_minutes(30) + to_hours(h) <= hi""",
+    "transitions_numeric": """
+        SELECT rule_id, suite_category, run_id, fired,
+               CASE WHEN fired THEN 'TRIGGERED' ELSE 'RESOLVED' END AS change
+        FROM (SELECT 'r' AS rule_id, o_orderpriority AS suite_category, o_orderkey::VARCHAR AS run_id,
+                     o_orderstatus = 'F' AS fired,
+                     lag(o_orderstatus = 'F', 1, false) OVER (PARTITION BY o_orderpriority ORDER BY o_orderkey) AS was
+              FROM orders)
+        WHERE fired <> was""",
+    "snapshot_half_minutes": _sql(
+        """SELECT slot, max(run_id) AS run_id
+           FROM (SELECT day + to_seconds(30 * i) AS slot
+                 FROM (SELECT date_trunc('day', min(ts))::TIMESTAMP AS day FROM known), range(0, 2881) AS t(i))
+           LEFT JOIN known ON ts <= slot GROUP BY slot""",
+        known="SELECT run_id, min(date_trunc('second', ts)) AS ts FROM e GROUP BY run_id",
+    ),
     "stream_reports": _sql(f"""
         SELECT run_id, 'generic' AS channel, 'https://example.com/hook' AS address, {_TITLE} AS subject,
                'READY' AS status FROM first_suite"""),

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
@@ -12,7 +12,7 @@ from runcourier.functions import text as X
 from runcourier.operators import alerts, cadence, deliver, render, runs, sections, spec
 from runcourier.plans import jobs
 from runcourier.schema import ALERT_RULE, SUBSCRIPTION
-from runcourier.session import work_path
+from runcourier.session import cut, work_path
 from runcourier.sources import tables as T
 from runcourier.sources.event_runs import (
     HOURLY,
@@ -223,9 +223,26 @@ def report_files(spark, sf_dir, fmt=HOURLY):
     folder = work_path(spark, "reports")
     render.write_reports(jobs.reports(event_tables(spark, sf_dir, fmt), "compact"), folder)
     files = T.whole_text(spark, folder)
-    run = F.regexp_extract("path", r"run_id=([^/]+)/", 1)
-    html = F.regexp_replace("text", "\n$", "")
-    return files.select(run.alias("run_id"), F.md5(html).alias("html_md5"))
+    run = F.regexp_extract("path", r"/report_run_([^/]+)\.html$", 1)
+    return files.select(run.alias("run_id"), F.md5("text").alias("html_md5"))
+
+
+def report_links(spark, sf_dir, fmt=HOURLY):
+    """Every path that a card or a snapshot names, and whether a file is there."""
+    folder = work_path(spark, "reports")
+    tables = event_tables(spark, sf_dir, fmt)
+    report = sections.assemble(tables)
+    render.write_reports(render.render(report, "compact"), folder)
+    cards = deliver.chat_outbox(report, "", "generic", folder).select("run_id", "payload")
+    named = cards.select(
+        "run_id", F.regexp_extract("payload", r"volume: (.*\.html)", 1).alias("path")
+    )
+    files = T.whole_text(spark, folder).select(
+        F.regexp_replace("path", "^file:/+", "/").alias("path"), F.lit(True).alias("there")
+    )
+    named = named.withColumn("path", F.regexp_replace("path", "^file:/+", "/"))
+    found = named.join(files, "path", "left")
+    return found.select("run_id", F.coalesce("there", F.lit(False)).alias("there"))
 
 
 def stored_tables(spark, sf_dir, fmt=HOURLY):
@@ -561,6 +578,60 @@ def stream_outbox(spark, sf_dir, fmt=HOURLY):
     return SS.read_outbox(spark, f"{work}/outbox")
 
 
+def stream_alerts_again(spark, sf_dir, fmt=HOURLY):
+    """Alert mails from five micro-batches, in which older runs are updated after newer ones."""
+    work = work_path(spark, "alerts")
+    tables = event_tables(spark, sf_dir, fmt)
+    runs_ = tables.suite_status.select("run_id").distinct()
+    share = F.percent_rank().over(Window.orderBy("run_id"))
+    quarter = cut(runs_.withColumn("q", F.least(F.floor(share * 4), F.lit(3))))
+    for q in (0, 1, 0, 2, 3):  # one file, thus one micro-batch, each
+        quarter.where(F.col("q") == q).select("run_id").coalesce(1).write.mode("append").parquet(
+            f"{work}/updates"
+        )
+    stream = C.file_changes(spark, f"{work}/updates", "*.parquet", "run_id string", 1)
+    on_batch = SJ.alert_batches(
+        lambda: tables,
+        rules(spark),
+        subscriptions(spark, sf_dir),
+        SJ.alert_state_table(f"{work}/state"),
+        f"{work}/outbox",
+    )
+    SJ.start(stream, on_batch, f"{work}/checkpoint", once=True).awaitTermination()
+    return SS.read_outbox(spark, f"{work}/outbox")
+
+
+def snapshot_half_minutes(spark, sf_dir, fmt=HOURLY):
+    """The latest run every 30 seconds of the first day."""
+    known = _run_times(spark, sf_dir, fmt)
+    day = known.agg(F.date_trunc("day", F.min("ts")).cast("timestamp_ntz").alias("lo"))
+    limits = day.select("lo", (F.col("lo") + F.expr("interval 1 day")).alias("hi"))
+    due = cadence.slots(limits, cadence.Cadence("half", step="30 seconds"))
+    return runs.latest_at(known, due)
+
+
+def slots_half_hour_zone(spark, sf_dir):
+    """Hourly slots of a zone that is half an hour off."""
+    limits = cadence.bounds(read_events(spark, sf_dir))
+    return cadence.slots(limits, "hourly", "Asia/Kolkata")
+
+
+def transitions_numeric(spark, sf_dir):
+    """State changes in the order of ids of different lengths: the order keys as runs."""
+    state = _numeric_states(spark, sf_dir)
+    return alerts.transitions(state, order="numeric")
+
+
+def _numeric_states(spark, sf_dir):
+    rows = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    return rows.select(
+        F.lit("r").alias("rule_id"),
+        F.col("o_orderpriority").alias("suite_category"),
+        F.col("o_orderkey").cast("string").alias("run_id"),
+        (F.col("o_orderstatus") == "F").alias("fired"),
+    )
+
+
 def stream_reports(spark, sf_dir, fmt=HOURLY):
     """Chat messages from the stream of updates, read back from the outbox."""
     work = work_path(spark, "chat")
@@ -630,6 +701,7 @@ QUERIES: dict[str, Query] = {
     "render_all_rows": render_query("compact", "all"),
     "strip_borders": strip_borders_query,
     "report_files": report_files,
+    "report_links": report_links,
     "stored_tables": stored_tables,
     "alert_eval": alert_eval,
     "alert_run_verdict": alert_run_verdict,
@@ -671,6 +743,10 @@ QUERIES: dict[str, Query] = {
     "report_definition": report_definition,
     "upsert_definitions": upsert_definitions,
     "stream_outbox": stream_outbox,
+    "stream_alerts_again": stream_alerts_again,
+    "snapshot_half_minutes": snapshot_half_minutes,
+    "slots_half_hour_zone": slots_half_hour_zone,
+    "transitions_numeric": transitions_numeric,
     "stream_reports": stream_reports,
     "stream_emails": stream_emails,
     "stream_debounce": stream_debounce,

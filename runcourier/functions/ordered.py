@@ -54,3 +54,37 @@ def previous(
     return joined.select(
         *[F.col(c) for c in df.columns], F.coalesce("_before", "_carried")["v"].alias(name)
     )
+
+
+def running_sum(
+    df: DataFrame,
+    keys: list[str],
+    order: list[str],
+    value: str,
+    name: str,
+    window_rows: int = WINDOW_ROWS,
+    rows_per_key: int | None = None,
+) -> DataFrame:
+    """Add ``name``: the sum of ``value`` up to and with each row, by ``order`` within ``keys``.
+
+    Cut into ranges beyond ``window_rows``, like ``previous``.
+    """
+    if rows_per_key is None:
+        rows_per_key = df.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
+    if rows_per_key <= window_rows:
+        w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+        return df.withColumn(name, F.sum(value).over(w))
+    sliced = cut(
+        df.repartitionByRange(*keys, *order).withColumn("_slice", F.spark_partition_id())
+    )
+    own = Window.partitionBy("_slice", *keys).orderBy(*order)
+    inside = sliced.withColumn(
+        "_own", F.sum(value).over(own.rowsBetween(Window.unboundedPreceding, 0))
+    )
+    before = Window.partitionBy(*keys).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    totals = sliced.groupBy("_slice", *keys).agg(F.sum(value).alias("_total"))
+    carried = totals.select(
+        "_slice", *keys, F.coalesce(F.sum("_total").over(before), F.lit(0)).alias("_carried")
+    )
+    joined = inside.join(carried, ["_slice", *keys])
+    return joined.select(*[F.col(c) for c in df.columns], (F.col("_own") + F.col("_carried")).alias(name))

@@ -8,7 +8,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from runcourier.functions.ordered import WINDOW_ROWS, previous
+from runcourier.functions.ordered import WINDOW_ROWS, previous, running_sum
+from runcourier.operators.runs import run_key
 from runcourier.schema import ALERT_OPS, COUNTERS
 from runcourier.session import join_config
 
@@ -60,14 +61,18 @@ def with_previous(
     initial: DataFrame | None = None,
     window_rows: int = WINDOW_ROWS,
     rows_per_key: int | None = None,
+    order: str = "lexical",
 ) -> DataFrame:
     """Each state with the one of the run before, as ``fired_before``.
 
+    Runs are in the order of their ids, as text or as numbers (``order``).
+
     ``initial`` gives the state before the first run, as ``(rule_id, suite_category,
     fired)``; without it every rule starts as OK.
     """
     keys = ["rule_id", "suite_category"]
-    seen = previous(state, keys, ["run_id"], "fired", window_rows, rows_per_key)
+    keyed = state.withColumn("_key", run_key(order))
+    seen = previous(keyed, keys, ["_key"], "fired", window_rows, rows_per_key)
     start = F.lit(False)
     if initial is not None:
         before = initial.select(*keys, F.col("fired").alias("_initial"))
@@ -90,57 +95,83 @@ def transitions(
     initial: DataFrame | None = None,
     window_rows: int = WINDOW_ROWS,
     rows_per_key: int | None = None,
+    order: str = "lexical",
 ) -> DataFrame:
     """State changes of a rule on a suite, in the order of the runs.
 
     A triggered alert does not fire again before it went back to OK.
     """
-    return changes(with_previous(state, initial, window_rows, rows_per_key))
-
-
-_FIRE_SCHEMA = "rule_id string, suite_category string, run_id string, second bigint, reason string"
+    return changes(with_previous(state, initial, window_rows, rows_per_key, order))
 
 
-def _fires():
+def _again():
     """The walk is a local function, so that tasks receive it without installing the package."""
 
     def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        key, was, last = None, False, 0
+        # The stretch at hand, and the second from which on it notifies again.
+        stretch, due = None, 0
         for batch in batches:
-            out = []
-            for row in batch.itertuples(index=False):
-                if (row.rule_id, row.suite_category) != key:
-                    key, was = (row.rule_id, row.suite_category), False
-                if row.fired:
-                    again = was and 0 < row.rearm_seconds <= row.second - last
-                    if not was or again:
-                        out.append((*key, row.run_id, row.second, "AGAIN" if again else "FIRST"))
-                        last = row.second
-                was = bool(row.fired)
-            yield pd.DataFrame(
-                out, columns=["rule_id", "suite_category", "run_id", "second", "reason"]
-            )
+            keys = list(zip(batch["rule_id"], batch["suite_category"], batch["stretch"]))
+            seconds, rearm = batch["second"].to_numpy(), batch["rearm_seconds"].to_numpy()
+            out, i = [], 0
+            while i < len(keys):
+                end = i + 1
+                if keys[i] != stretch:
+                    stretch, due = keys[i], seconds[i] + rearm[i]
+                while end < len(keys) and keys[end] == stretch:
+                    end += 1
+                at = i + int(seconds[i:end].searchsorted(due))
+                while at < end:
+                    out.append(at)
+                    due = seconds[at] + rearm[at]
+                    at += max(1, int(seconds[at:end].searchsorted(due)))
+                i = end
+            yield batch.iloc[out][["rule_id", "suite_category", "run_id", "second"]]
 
     return walk
 
 
-def notifications(evaluated: DataFrame, run_times: DataFrame) -> DataFrame:
+def notifications(
+    evaluated: DataFrame,
+    run_times: DataFrame,
+    window_rows: int = WINDOW_ROWS,
+    order: str = "lexical",
+) -> DataFrame:
     """When a rule notifies: on a state change, and again every ``rearm_seconds`` while it lasts.
 
-    With ``rearm_seconds = 0`` only the change counts. Evaluations are first reduced to one
-    per second, so a suite with very many runs is bounded by the length of the time range.
-    ``run_times`` has one ``ts`` per ``run_id``.
+    With ``rearm_seconds = 0`` only the change counts. Every run has its state; runs are in the
+    order of their times, in seconds, and of their ids within a second. ``run_times`` has one
+    ``ts`` per ``run_id``; runs without one come last and can trigger, but never again.
+
+    Stretches of fired runs are walked one by one, with one row for each second of a stretch:
+    a suite that fails for years is bounded by the seconds of that time. All before the walk is
+    cut into ranges where a suite has more than ``window_rows`` runs.
     """
     at = run_times.select("run_id", F.unix_seconds(F.col("ts").cast("timestamp")).alias("second"))
-    timed = evaluated.join(at, "run_id")
     keys = ["rule_id", "suite_category"]
-    per_second = timed.groupBy(*keys, "second").agg(
-        F.bool_or("fired").alias("fired"),
-        F.max("run_id").alias("run_id"),
+    per_run = evaluated.groupBy(*keys, "run_id").agg(
+        F.bool_or("fired").alias("fired"), F.max("rearm_seconds").alias("rearm_seconds")
+    )
+    timed = per_run.join(at, "run_id", "left").withColumn("_key", run_key(order))
+    timed = timed.withColumn("_late", F.col("second").isNull())
+    place = ["_late", "second", "_key"]
+    largest = timed.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
+    seen = previous(timed, keys, place, "fired", window_rows, largest)
+    first = F.col("fired") & ~F.coalesce("previous_fired", F.lit(False))
+    seen = seen.withColumn("_first", first.cast("int")).where("fired")
+    first_rows = seen.where("_first = 1").select(*keys, "run_id", "second", F.lit("FIRST").alias("reason"))
+
+    lasting = seen.where("rearm_seconds > 0 and not _late")
+    lasting = running_sum(lasting, keys, place, "_first", "stretch", window_rows, largest)
+    reduced = lasting.groupBy(*keys, "stretch", "second").agg(
+        F.min_by("run_id", F.struct("_key")).alias("run_id"),
         F.max("rearm_seconds").alias("rearm_seconds"),
     )
-    ordered = per_second.repartition(*keys).sortWithinPartitions(*keys, "second")
-    fires = ordered.mapInPandas(_fires(), _FIRE_SCHEMA)
+    ordered = reduced.repartition(*keys, "stretch").sortWithinPartitions(*keys, "stretch", "second")
+    again = ordered.mapInPandas(
+        _again(), "rule_id string, suite_category string, run_id string, second bigint"
+    )
+    fires = first_rows.unionByName(again.withColumn("reason", F.lit("AGAIN")))
     return fires.select(
         *keys,
         "run_id",

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -49,14 +50,20 @@ def slots(limits: DataFrame, cadence: str | Cadence, zone: str = ZONE) -> DataFr
     """The delivery slots of a cadence between ``lo`` and ``hi``, both included, in UTC.
 
     Times of day are meant in ``zone``, so they move in UTC when the zone changes its
-    offset. Steps within a day run on the UTC clock.
+    offset. Steps run from local midnight on; where the clock is set back, they go on.
     """
     if isinstance(cadence, str):
         one_of(cadence, tuple(CADENCES), "cadence")
         cadence = CADENCES[cadence]
     if cadence.step:
-        every = F.expr(f"sequence(lo, hi, interval {cadence.step})")
-        return limits.select(F.explode(every).alias("slot"))
+        # Offsets of zones are whole quarters of an hour, so the steps of the local clock are
+        # among the common divisor's on the UTC clock.
+        step = int(pd.Timedelta(cadence.step).total_seconds())
+        fine = math.gcd(step, 900)
+        every = limits.select(F.explode(F.expr(f"sequence(lo, hi, interval {fine} seconds)")).alias("slot"))
+        local = F.convert_timezone(F.lit("UTC"), F.lit(zone), F.col("slot"))
+        second = F.hour(local) * 3600 + F.minute(local) * 60 + F.second(local)
+        return every.where(second % step == 0)
     # One day of margin on both sides covers every zone offset.
     days = F.expr("sequence(date_sub(date(lo), 1), date_add(date(hi), 1), interval 1 day)")
     local = limits.select("lo", "hi", F.explode(days).alias("day")).where(

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from runcourier.functions.html import PROFILES, Profile, blank_row, strip_borders, table_row
-from runcourier.functions.text import n_bytes, n_chars
+from runcourier.functions.text import n_bytes, n_chars, report_path
 from runcourier.schema import SECTIONS, one_of
 
 ARRAYS = {"request": "request", "suite": "suite", "failed": "failed", "threshold": "thresholds"}
@@ -61,20 +64,54 @@ def sizes(pages: DataFrame) -> DataFrame:
 
 
 def write_reports(pages: DataFrame, folder: str) -> None:
-    """HTML files, one folder per run and one file per page.
+    """One HTML file per page, under the name that messages give (``report_path``).
 
-    Writing a run again replaces that run and leaves the others alone. The pages are
-    written where they were rendered; the documents are not shuffled again.
+    Writing a run again replaces that run, also where it had more pages, and leaves the others
+    alone. Tasks write the pages where they were rendered; a file appears in one step, so a
+    repeated task does no harm. ``folder`` is a path or a URI that all executors reach.
     """
-    (
-        pages.select("run_id", "html")
-        .write.partitionBy("run_id")
-        .mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
-        .option("maxRecordsPerFile", 1)
-        .option("lineSep", "\n")
-        .text(folder)
+
+    def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import posixpath
+        import uuid
+
+        from pyarrow import fs
+
+        def place(path: str) -> tuple[fs.FileSystem, str]:
+            if path.startswith("file:"):
+                path = "/" + path[5:].lstrip("/")
+            return fs.FileSystem.from_uri(path)
+
+        made = set()
+        for batch in batches:
+            for path, behind, html in zip(batch["path"], batch["behind"], batch["html"]):
+                store, name = place(path)
+                parent = posixpath.dirname(name)
+                if parent not in made:
+                    store.create_dir(parent, recursive=True)
+                    made.add(parent)
+                part = posixpath.join(parent, f".{uuid.uuid4().hex}")
+                with store.open_output_stream(part) as out:
+                    out.write(html.encode())
+                store.move(part, name)
+                if behind is not None:  # pages that the run no longer has
+                    stem, _, number = behind.removesuffix(".html").rpartition("_page_")
+                    number = int(number)
+                    while True:
+                        store, old = place(f"{stem}_page_{number}.html")
+                        if store.get_file_info(old).type == fs.FileType.NotFound:
+                            break
+                        store.delete_file(old)
+                        number += 1
+            yield pd.DataFrame({"n": [len(batch)]})
+
+    last = F.col("page_no") + 1 == F.col("n_pages")
+    files = pages.select(
+        report_path(folder, F.col("run_id"), F.col("page_no")).alias("path"),
+        F.when(last, report_path(folder, F.col("run_id"), F.col("n_pages"))).alias("behind"),
+        "html",
     )
+    files.mapInPandas(write, "n long").agg(F.sum("n")).first()
 
 
 def write_archive(pages: DataFrame, folder: str) -> None:

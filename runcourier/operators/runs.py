@@ -28,6 +28,13 @@ def latest_id(suite_status: DataFrame, order: str = "lexical") -> Column:
     return latest_run(suite_status, order).scalar()
 
 
+def run_key(order: str = "lexical", run: str = "run_id") -> Column:
+    """What runs are ordered by. As numbers, ids that are no numbers come first, as text."""
+    one_of(order, RUN_ORDERS, "order")
+    number = F.lit(None) if order == "lexical" else F.col(run).try_cast("decimal(38,0)")
+    return F.struct(number.cast("decimal(38,0)").alias("n"), F.col(run).alias("t"))
+
+
 def top_run(suite_status: DataFrame) -> DataFrame:
     """The latest run id by a top-1 sort; empty when there is no run."""
     return suite_status.select("run_id").orderBy(F.desc("run_id")).limit(1)
@@ -42,24 +49,37 @@ def resolve(param: str | None | Column, suite_status: DataFrame, order: str = "l
     return F.lit(named) if named else latest
 
 
-def latest_at(runs: DataFrame, slots: DataFrame, ts: str = "ts", slot: str = "slot") -> DataFrame:
+def latest_at(
+    runs: DataFrame,
+    slots: DataFrame,
+    ts: str = "ts",
+    slot: str = "slot",
+    order: str = "lexical",
+) -> DataFrame:
     """For every slot, the latest run among the runs known at that time.
 
-    ``runs`` has ``run_id`` and the time it became known. Slots are whole minutes, so the
-    runs are first reduced to the latest per minute, rounded up. The running maximum then
-    works on minutes and slots; its size follows the length of the time range, never the
-    number of runs.
+    ``runs`` has ``run_id`` and the time it became known. Every run goes to the first slot at or
+    after its time: one of the same hour, found in that hour's list of slots, or the first one of a
+    later hour. Runs of a slot are reduced to the latest, combined before the shuffle. The windows
+    then work on hours and on slots, never on runs.
     """
-    minute = F.date_trunc("minute", F.col(ts)).cast("timestamp_ntz")
-    known = F.when(minute == F.col(ts), minute).otherwise(minute + F.expr("interval 1 minute"))
-    # Distinct first: it hashes, while a maximum of texts has to sort its input.
-    pairs = runs.select(known.alias("_t"), "run_id").distinct()
-    per_minute = pairs.groupBy("_t").agg(F.max("run_id").alias("_run"))
+    hour = lambda c: F.date_trunc("hour", F.col(c)).cast("timestamp_ntz")
     marks = slots.select(F.col(slot).alias("_t")).distinct()
-    both = per_minute.select("_t", "_run", F.lit(False).alias("_mark")).unionByName(
-        marks.select("_t", F.lit(None).cast("string").alias("_run"), F.lit(True).alias("_mark"))
+    by_hour = marks.groupBy(hour("_t").alias("_h")).agg(F.collect_list("_t").alias("_slots"))
+    known = runs.select(F.col(ts).cast("timestamp_ntz").alias("_ts"), "run_id").where("_ts is not null")
+    known = known.withColumn("_h", hour("_ts"))
+    hours = known.select("_h").distinct().join(by_hour, "_h", "full_outer")
+    later = Window.orderBy("_h").rowsBetween(1, Window.unboundedFollowing)
+    hours = hours.withColumn("_next", F.min(F.array_min("_slots")).over(later))
+    placed = known.join(hours, "_h").select(
+        "run_id",
+        F.coalesce(
+            F.array_min(F.filter("_slots", lambda s: s >= F.col("_ts"))), F.col("_next")
+        ).alias("_t"),
     )
-    # The default frame of an ordered window takes in all rows of the same minute.
+    run = F.struct(run_key(order).alias("k"), "run_id")
+    per_slot = placed.where("_t is not null").groupBy("_t").agg(F.max(run).alias("_run"))
+    # The running maximum takes in all rows of the same slot.
     running = F.max("_run").over(Window.orderBy("_t"))
-    at = both.select("_t", "_mark", running.alias("run_id")).where("_mark")
-    return slots.join(at.select(F.col("_t").alias(slot), "run_id"), slot, "left")
+    at = marks.join(per_slot, "_t", "left").select("_t", running.alias("_latest"))
+    return slots.join(at.select(F.col("_t").alias(slot), F.col("_latest.run_id").alias("run_id")), slot, "left")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from runcourier.operators.alerts import evaluate, run_verdicts, states
+from runcourier.operators.alerts import evaluate, run_verdicts, states, transitions
 from runcourier.operators.cadence import Cadence, bounds, slots
 from runcourier.operators.deliver import (
     alert_outbox,
@@ -16,7 +16,7 @@ from runcourier.operators.deliver import (
     snapshots,
 )
 from runcourier.operators.render import document, render, write_reports
-from runcourier.operators.runs import latest_at, resolve
+from runcourier.operators.runs import latest_at, resolve, run_key
 from runcourier.operators.sections import assemble
 from runcourier.sources.params import ChatParams, EmailParams
 from runcourier.sources.sample import sample_tables
@@ -63,11 +63,28 @@ def email_job(
 
 def alert_job(
     tables: ReportTables, rules: DataFrame, subscriptions: DataFrame, run_id: str | None = None,
-    paused: bool = False,
+    paused: bool = False, order: str = "lexical",
 ) -> DataFrame:
-    """Alert mails for one run, the latest by default: evaluate, decide, fan out."""
-    one = _of_param(tables, run_id, "lexical")
-    fired = states(evaluate(one.suite_status, rules)).where("fired")
+    """Alert mails for one run, the latest by default: evaluate, decide, fan out.
+
+    An alert that was triggered by the suite's run before does not fire again.
+    """
+    target = resolve(run_id, tables.suite_status, order)
+    one = tables.of_run(target)
+    key = run_key(order)
+    number = F.lit(None) if order == "lexical" else target.try_cast("decimal(38,0)")
+    this = F.struct(number.cast("decimal(38,0)").alias("n"), target.alias("t"))
+    before = (
+        tables.suite_status.where(key < this)
+        .groupBy("suite_category")
+        .agg(F.max(F.struct(key.alias("k"), "run_id")).alias("_m"))
+        .select("suite_category", F.col("_m.run_id").alias("run_id"))
+    )
+    last = tables.suite_status.join(before, ["suite_category", "run_id"], "left_semi")
+    seen = transitions(
+        states(evaluate(one.suite_status, rules)), states(evaluate(last, rules)), order=order
+    )
+    fired = seen.where("change = 'TRIGGERED'")
     if paused:
         fired = fired.where(F.lit(False))
     status = one.suite_status.groupBy("run_id").agg(
@@ -83,7 +100,8 @@ def alert_verdict(tables: ReportTables, rules: DataFrame, run_id: str | None = N
 
 
 def snapshot_job(
-    runs: DataFrame, subscriptions: DataFrame, cadence: str | Cadence, zone: str
+    runs: DataFrame, subscriptions: DataFrame, cadence: str | Cadence, zone: str,
+    order: str = "lexical",
 ) -> DataFrame:
     """Scheduled mails: at every slot, the run that was the latest at that time.
 
@@ -92,7 +110,7 @@ def snapshot_job(
     """
     name = cadence if isinstance(cadence, str) else cadence.name
     due = slots(bounds(runs), cadence, zone)
-    return snapshot_outbox(fan_out(snapshots(latest_at(runs, due), name), subscriptions))
+    return snapshot_outbox(fan_out(snapshots(latest_at(runs, due, order=order), name), subscriptions))
 
 
 def paired(alerts: DataFrame, scheduled: DataFrame) -> DataFrame:

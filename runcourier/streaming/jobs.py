@@ -15,10 +15,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
-from runcourier.operators.alerts import changes, evaluate, states, with_previous
+from runcourier.functions.ordered import previous
+from runcourier.operators.alerts import changes, evaluate, states
 from runcourier.operators.cadence import debounce
 from runcourier.operators.deliver import alert_outbox, chat_outbox, email_outbox, fan_out
 from runcourier.operators.render import document, render, write_reports
+from runcourier.operators.runs import run_key
 from runcourier.operators.sections import assemble
 from runcourier.sources.params import EmailParams
 from runcourier.sources.tables import ReportTables
@@ -120,13 +122,12 @@ ALERT_STATE = T.StructType(
         T.StructField("suite_category", T.StringType()),
         T.StructField("run_id", T.StringType()),
         T.StructField("fired", T.BooleanType()),
-        T.StructField("fired_before", T.BooleanType()),
     ]
 )
 
 
 def alert_state_table(path: str) -> StateTable:
-    return StateTable(path, ("rule_id", "suite_category"), ALERT_STATE)
+    return StateTable(path, ("rule_id", "suite_category", "run_id"), ALERT_STATE)
 
 
 def alert_batches(
@@ -135,12 +136,12 @@ def alert_batches(
     subscriptions: DataFrame,
     state: StateTable,
     outbox: str,
+    order: str = "lexical",
 ) -> Callable[[DataFrame, int], None]:
     """Evaluate the touched runs, and tell subscribers about alerts that were triggered.
 
-    The state kept per rule and suite is that of its last run and the one before it, so a
-    run that is updated again is judged against the run before it, not against itself.
-    Runs are expected in their order; an update of an older run is not replayed.
+    The state has every run of a rule and suite, so runs may be updated in any order: a touched
+    run is judged against the run before it, and the run behind a touched one is judged anew.
     """
     keys = ["rule_id", "suite_category"]
 
@@ -150,23 +151,26 @@ def alert_batches(
         cut_tables = tables().of_runs(runs)
         now = states(evaluate(cut_tables.suite_status, rules)).persist()
         try:
-            old = state.read(spark, batch_id)
-            known = old.select(*keys, F.col("run_id").alias("_last"), "fired", "fired_before")
-            earliest = now.groupBy(*keys).agg(F.min("run_id").alias("_first"))
-            again = F.col("_first") <= F.col("_last")
-            initial = earliest.join(known, keys).select(
-                *keys, F.when(again, F.col("fired_before")).otherwise(F.col("fired")).alias("fired")
+            old = state.read(spark, batch_id).join(now.select(*keys).distinct(), keys, "left_semi")
+            other = old.join(now.select(*keys, "run_id"), [*keys, "run_id"], "left_anti")
+            known = now.withColumn("_touched", F.lit(True)).unionByName(
+                other.withColumn("_touched", F.lit(False))
             )
-            seen = with_previous(now, initial).persist()
-            fired = changes(seen).where("change = 'TRIGGERED'")
-            names = cut_tables.suite_status.groupBy("run_id").agg(
-                F.min("execution_status").alias("execution_status")
+            # What a run follows, and whether that was touched, in one value.
+            pair = F.struct("fired", "_touched")
+            seen = previous(
+                known.withColumn("_key", run_key(order)).withColumn("_state", pair),
+                keys, ["_key"], "_state",
             )
-            deliveries = fan_out(fired, subscriptions)
-            write_batch(alert_outbox(deliveries, names), outbox, batch_id)
-            last = F.max_by(F.struct("run_id", "fired", "fired_before"), F.col("run_id"))
-            state.write(seen.groupBy(*keys).agg(last.alias("last")).select(*keys, "last.*"), batch_id)
-            seen.unpersist()
+            before = F.coalesce(F.col("previous__state.fired"), F.lit(False))
+            judged = seen.where(
+                F.col("_touched") | F.coalesce(F.col("previous__state._touched"), F.lit(False))
+            ).select(*keys, "run_id", "fired", before.alias("fired_before"))
+            fired = changes(judged).where("change = 'TRIGGERED'")
+            names = tables().of_runs(fired.select("run_id").distinct()).suite_status
+            names = names.groupBy("run_id").agg(F.min("execution_status").alias("execution_status"))
+            write_batch(alert_outbox(fan_out(fired, subscriptions), names), outbox, batch_id)
+            state.write(now, batch_id)
         finally:
             now.unpersist()
             runs.unpersist()

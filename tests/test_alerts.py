@@ -124,6 +124,26 @@ def test_rearm(spark):
     assert sorted(int(r.run_id) for r in first.collect()) == [0, 6]
 
 
+def test_notifications_within_a_second_and_without_a_time(spark):
+    suites = [suite(f"{i}", "A", b) for i, b in enumerate([1, 0, 1, 0, 1])]
+    t = inline_tables(spark, suite_status=suites)
+    times = spark.sql(
+        "select cast(id as string) as run_id, timestamp_ntz'2024-01-01 00:00:00' as ts from range(3)"
+    )
+    evaluated = evaluate(t.suite_status, rules_of(spark, ("r", "failure_count", "GREATER_THAN", 0.0, 5)))
+    for window_rows in (100, 1):
+        got = notifications(evaluated, times, window_rows).orderBy("run_id").collect()
+        assert [(r.run_id, r.reason, r.fire_ts is None) for r in got] == [
+            ("0", "FIRST", False), ("2", "FIRST", False), ("4", "FIRST", True)
+        ]
+
+
+def test_transitions_in_number_order(spark):
+    t = inline_tables(spark, suite_status=[suite("999", "A", 0), suite("1000", "A", 1)])
+    state = states(evaluate(t.suite_status, rules_of(spark, ANY)))
+    assert [r.run_id for r in transitions(state, order="numeric").collect()] == ["1000"]
+
+
 def test_fan_out_skips_paused_and_keeps_duplicates(spark):
     fired = spark.createDataFrame([("r", "1"), ("q", "1")], "rule_id string, run_id string")
     subs = spark.createDataFrame(
@@ -153,11 +173,18 @@ def test_alert_job(spark):
         spark, suite_status=[suite("1", "A", 2), suite("2", "A", 1), suite("2", "B", 0)]
     )
     subs = spark.createDataFrame([("any", "user", "a", False)], SUBSCRIPTION)
-    rows = alert_job(t, rules_of(spark, ANY), subs).collect()
+    # Run 1 triggered already.
+    assert alert_job(t, rules_of(spark, ANY), subs).collect() == []
+    fresh = inline_tables(
+        spark, suite_status=[suite("999", "A", 0), suite("1000", "A", 1), suite("1000", "B", 0)]
+    )
+    rows = alert_job(fresh, rules_of(spark, ANY), subs, order="numeric").collect()
     assert [(r.run_id, r.address, r.subject) for r in rows] == [
-        ("2", "a", "Regression Report - Run 2 - FAILED")
+        ("1000", "a", "Regression Report - Run 1000 - FAILED")
     ]
-    assert alert_job(t, rules_of(spark, ANY), subs, paused=True).collect() == []
+    # As text, 999 is the latest run, and it is OK.
+    assert alert_job(fresh, rules_of(spark, ANY), subs).collect() == []
+    assert alert_job(fresh, rules_of(spark, ANY), subs, paused=True, order="numeric").collect() == []
     assert [r.run_id for r in alert_job(t, rules_of(spark, ANY), subs, run_id="1").collect()] == ["1"]
     verdicts = run_verdicts(evaluate(t.suite_status, rules_of(spark, ANY)))
     assert {r.run_id: r.fired for r in verdicts.collect()} == {"1": True, "2": True}

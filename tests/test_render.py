@@ -139,10 +139,10 @@ def test_files_of_other_runs_stay(spark, tmp_path):
     folder = str(tmp_path / "reports")
     suite = [(r, "S", "FAILED", "FAIL", 1, 0, 1, "t", "u") for r in ("1", "2")]
     write_reports(reports(inline_tables(spark, suite_status=suite)), folder)
-    before = {r.path.split("run_id=")[1]: r.text for r in whole_text(spark, folder).collect()}
+    before = {r.path.split("report_run_")[1]: r.text for r in whole_text(spark, folder).collect()}
     again = [("2", "NEW", "PASSED", "PASS", 1, 1, 0, "t", "u")]
     write_reports(reports(inline_tables(spark, suite_status=again)), folder)
-    after = {r.path.split("run_id=")[1]: r.text for r in whole_text(spark, folder).collect()}
+    after = {r.path.split("report_run_")[1]: r.text for r in whole_text(spark, folder).collect()}
     assert len(before) == len(after) == 2
     kept = [k for k in before if k.startswith("1/")]
     assert before[kept[0]] == after[kept[0]]

@@ -9,7 +9,7 @@ from runcourier.operators.cadence import debounce
 from runcourier.operators.deliver import alert_outbox, fan_out
 from runcourier.schema import SUBSCRIPTION
 from runcourier.sources.event_runs import event_tables, read_events, tables_from_events, tagged
-from runcourier.sources.tables import inline_tables, load_tables, save_tables
+from runcourier.sources.tables import inline_tables, load_tables, save_tables, whole_text
 from runcourier.streaming import jobs as SJ
 from runcourier.streaming.changes import file_changes, table_changes
 from runcourier.streaming.state import StateTable, read_outbox
@@ -41,7 +41,7 @@ def test_alerts_of_stream_and_batch_agree(spark, tmp_path):
         stream = tagged(file_changes(spark, folder, "*.parquet", schema, 1)).select("run_id")
         on_batch = SJ.alert_batches(
             lambda: tables, rules, subs,
-            StateTable(f"{work}/state", ("rule_id", "suite_category"), SJ.ALERT_STATE, 2),
+            StateTable(f"{work}/state", SJ.alert_state_table("x").keys, SJ.ALERT_STATE, 2),
             f"{work}/outbox",
         )
         SJ.start(stream, on_batch, f"{work}/checkpoint", once=True).awaitTermination()
@@ -88,6 +88,11 @@ def test_a_run_updated_again_is_not_its_own_past(spark, tmp_path):
     assert update(4, suite("5", 1), suite("6", 1)) == ["5"]
     rows = read_outbox(spark, str(tmp_path / "outbox")).collect()
     assert sorted(r.run_id for r in rows) == ["2", "5"]
+    # An older run is updated: the runs behind it keep their state.
+    assert update(5, suite("3", 2)) == []
+    assert update(6, suite("7", 1)) == []
+    # Run 5 recovers after the fact, so run 6 is where it started.
+    assert update(7, suite("5", 0)) == ["6"]
 
 
 def test_debounce_of_stream_and_batch_agree(spark, tmp_path):
@@ -118,8 +123,9 @@ def test_reports_from_any_of_several_tables(spark, tmp_path):
     SJ.start(stream, on_batch, f"{work}/checkpoint", once=True).awaitTermination()
     runs = load_tables(spark, folder).suite_status.select("run_id").distinct().count()
     assert read_outbox(spark, f"{work}/outbox").count() == runs
-    files = spark.read.text(f"{work}/reports", wholetext=True)
-    assert files.select("run_id").distinct().count() == runs
+    files = whole_text(spark, f"{work}/reports")
+    assert files.select("path").distinct().count() == runs
+    assert files.where("path not like '%/report_run_%.html'").isEmpty()
 
 
 def test_paused_job_is_not_started(spark, tmp_path):
