@@ -40,6 +40,13 @@ def anti_ids(big: DataFrame, ids: DataFrame, key: str, bound: int = BROADCAST_ID
     return big.join(ids, key, "left_anti").select(big.columns)
 
 
+def slim(df: DataFrame, rows_per_part: int = 100_000) -> DataFrame:
+    """The rows, written once, in no more partitions than they need: a step on a few rows of many
+    partitions costs a file for each."""
+    df = cut(df)
+    return df.coalesce(max(4, -(-df.count() // rows_per_part)))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from runcourier.llm.common import key_id, row_key, semi_ids, small_batches
+from runcourier.llm.common import key_id, row_key, semi_ids, slim, small_batches
 from runcourier.llm.components import components
 from runcourier.llm.runs import MASS, RUN, merged, runs
 from runcourier.llm.store import load, save
@@ -171,7 +171,7 @@ def sets(docs: DataFrame, size: int) -> DataFrame:
 def confirmed(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
     """The pairs (a, b) whose full sets are similar enough."""
     nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    full = cut(sets(semi_ids(docs, nodes, "node"), size).distinct())
+    full = slim(sets(semi_ids(docs, nodes, "node"), size).distinct(), 2_000)
 
     @F.pandas_udf("boolean")
     def similar(left: pd.Series, right: pd.Series) -> pd.Series:
@@ -184,12 +184,12 @@ def confirmed(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> Dat
 
     joined = pairs.join(full.select(F.col("node").alias("a"), F.col("items").alias("items_a")), "a")
     joined = joined.join(full.select(F.col("node").alias("b"), F.col("items").alias("items_b")), "b")
-    return cut(joined.where(similar("items_a", "items_b")).select("a", "b").distinct())
+    return slim(joined.where(similar("items_a", "items_b")).select("a", "b").distinct())
 
 
 def _pairs(rows: DataFrame, x: str, y: str) -> DataFrame:
     pairs = rows.select(F.greatest(x, y).alias("a"), F.least(x, y).alias("b"))
-    return cut(pairs.where("a > b").distinct())
+    return slim(pairs.where("a > b").distinct())
 
 
 def _mixed(rows: DataFrame, joined: DataFrame) -> DataFrame:
@@ -203,7 +203,7 @@ def _mixed(rows: DataFrame, joined: DataFrame) -> DataFrame:
         .where("_low < _high")
         .select("tree", "prefix")
     )
-    return cut(labelled.join(several, ["tree", "prefix"]))
+    return slim(labelled.join(several, ["tree", "prefix"]))
 
 
 def pivots(mixed: DataFrame, links: DataFrame, percent: int) -> DataFrame:
@@ -237,7 +237,8 @@ def rare_pairs(mixed: DataFrame, docs: DataFrame, size: int, percent: int) -> Da
         F.first("component").alias("component"),
         F.collect_set(F.xxhash64("tree", "prefix")).alias("regions"),  # one for each tree at most
     )
-    full = cut(sets(semi_ids(docs, nodes.select("node"), "node"), size).distinct())
+    nodes = slim(nodes)
+    full = slim(sets(semi_ids(docs, nodes.select("node"), "node"), size).distinct(), 2_000)
     ranges = max(1, int(full.agg(F.coalesce(F.sum(F.octet_length("items")), F.lit(0))).first()[0] // (16 * MASS)))
     folder = work_path(docs.sparkSession, "shingles")
     width = (2**64 + ranges - 1) // ranges
@@ -309,7 +310,7 @@ def rare_pairs(mixed: DataFrame, docs: DataFrame, size: int, percent: int) -> Da
         .where("_components > 1")
         .select("item", F.col("_m.component").alias("_major"))
     )
-    firsts = cut(firsts.join(major, "item"))
+    firsts = slim(firsts.join(major, "item"))
     minor = firsts.where("component <> _major").drop("_major")
     other = firsts.select("item", *(F.col(c).alias(f"{c}_2") for c in ("node", "n", "place", "component")))
     common = F.ceil(percent * (F.col("n") + F.col("n_2")) / (100 + percent))
@@ -367,18 +368,18 @@ def near_duplicates(
         .groupBy("set_key")
         .agg(F.min("node").alias("node"), F.first("n_shingles").alias("n"), F.first("signature").alias("signature"))
     )
-    rows = cut(forest(classes, trees, depth, deep))
+    rows = slim(forest(classes, trees, depth, deep))
     alike = 100 * F.least("n", "n_before") >= percent * F.greatest("n", "n_before")
     tested = _pairs(rows.where("before is not null").where(alike), "node", "before")
     links = confirmed(tested, docs, size, percent)
-    links = cut(links.unionByName(_of_one_id(signed, classes)))
+    links = slim(links.unionByName(_of_one_id(signed, classes)))
 
     more = _pairs(pivots(_mixed(rows, components(links, "a", "b")), links, percent), "node", "pivot")
-    links = cut(links.unionByName(confirmed(more, docs, size, percent)))
+    links = slim(links.unionByName(confirmed(more, docs, size, percent)))
 
     more = _pairs(rare_pairs(_mixed(rows, components(links, "a", "b")), docs, size, percent), "a", "b")
     links = links.unionByName(confirmed(more, docs, size, percent))
-    joined = cut(components(links, "a", "b"))
+    joined = slim(components(links, "a", "b"))
     named = classes.select("set_key", "node").join(joined, "node", "left").select(
         "set_key", F.coalesce("component", "node").alias("component")
     )
