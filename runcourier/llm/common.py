@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from runcourier.session import cut
+from runcourier.session import cut, work_path
 
 # Rows of text that Python sees at once.
 BATCH_ROWS = 500
@@ -40,6 +40,13 @@ def anti_ids(big: DataFrame, ids: DataFrame, key: str, bound: int = BROADCAST_ID
     return big.join(ids, key, "left_anti").select(big.columns)
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """The rows, written once as a compressed table in the shared folder."""
+    folder = work_path(df.sparkSession, name)
+    df.write.option("compression", "zstd").parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
+
+
 def slim(df: DataFrame, rows_per_part: int = 100_000) -> DataFrame:
     """The rows, written once, in no more partitions than they need: a step on a few rows of many
     partitions costs a file for each."""

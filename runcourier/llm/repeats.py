@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from runcourier.llm.common import anti_ids, row_key, small_batches
+from runcourier.llm.common import anti_ids, row_key, small_batches, stored
 from runcourier.llm.runs import MASS, RUN, merged, runs
 from runcourier.llm.store import load, save
 from runcourier.llm.words import _BASE, _UNBASE, _powers, mix, texts
@@ -222,32 +222,32 @@ def repeated_windows(docs: DataFrame, length: int) -> DataFrame:
     n_bytes = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     ranges = int(max(1, n_bytes // 40 // (2 * MASS)))
     repeated_anchors(docs, length, folder, ranges)
-    found = cut(contexts(docs, length, folder, ranges))
+    found = stored(contexts(docs, length, folder, ranges), "contexts")
     place = F.struct("d", "h", "place")
-    firsts = found.groupBy("context").agg(F.min(place).alias("_first"), F.count("*").alias("_n"))
-    several = firsts.where("_n > 1").select("context", "_first")
+    firsts = cut(
+        found.groupBy("context").agg(
+            F.min(place).alias("_first"), F.count("*").alias("_n"), F.first("gram").alias("gram")
+        )
+    )
     again = (
         found.select("d", "h", "place", "low", "high", "context")
-        .join(several, "context")
+        .join(firsts.where("_n > 1").select("context", "_first"), "context")
         .where(place > F.col("_first"))
     )
     whole = again.select(
         "d", "h", (F.col("place") - F.col("high")).alias("first"), (F.col("place") - F.col("low")).alias("last")
     )
     # The first of each context goes on if its anchor has another context.
-    mixed = (
-        found.select("gram", "context").distinct().groupBy("gram").agg(F.count("*").alias("_n"))
-        .where("_n > 1")
-        .select("gram")
-    )
-    later = again.select("d", "h", "place", "context")
-    heads = found.join(later, ["d", "h", "place", "context"], "left_anti").join(mixed, "gram")
-    heads = heads.drop("context")
-    heads = cut(adjacent(cut(adjacent(heads, "behind", "right")), "before", "left"))
+    mixed = firsts.groupBy("gram").agg(F.count("*").alias("_n")).where("_n > 1").select("gram")
+    heads = found.join(firsts.join(mixed, "gram").select("context", "_first"), "context")
+    heads = heads.where(place == F.col("_first")).drop("context", "_first")
     # A window that begins ``step`` bytes before the anchor has length - step bytes from it on.
-    low = F.greatest("low", F.lit(length) - F.col("right"))
-    high = F.least("high", "left")
-    open_ = heads.withColumn("low", low).withColumn("high", high).where("low <= high")
+    heads = adjacent(heads, "behind", "right").withColumn(
+        "low", F.greatest("low", F.lit(length) - F.col("right"))
+    )
+    heads = stored(heads.where("low <= high").drop("right"), "heads")
+    heads = adjacent(heads, "before", "left").withColumn("high", F.least("high", "left"))
+    open_ = heads.where("low <= high")
 
     def windows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -262,10 +262,11 @@ def repeated_windows(docs: DataFrame, length: int) -> DataFrame:
                     rows.append((d, h, x - step, hashlib.blake2b(window, digest_size=16).digest()))
             yield pd.DataFrame(rows, columns=["d", "h", "start", "window"])
 
-    single = cut(
+    single = stored(
         open_.select("d", "h", "place", "low", "high", "before", "behind").mapInPandas(
             windows, "d long, h long, start int, window binary"
-        )
+        ),
+        "windows",
     )
     start = F.struct("d", "h", "start")
     earliest = (
