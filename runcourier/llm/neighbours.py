@@ -5,7 +5,7 @@ planes. In every round a node's neighbours and those that name it are compared w
 (neighbours of neighbours), and each keeps the best it has seen. A node that very many name is met by
 them in groups of bounded size, another grouping in each round, so no task gets all of them. Rounds end
 when few edges change. A query starts at its own node's neighbours and walks the graph greedily: it
-expands its best nodes that aren't expanded yet, and ends when its best ``beam`` nodes all are.
+expands those of its best ``beam`` nodes that aren't expanded yet, and ends when all of them are.
 
 All steps are joins and groupings; vectors travel with the rows of a step, rounded to a byte for each
 component. The rows found are scored by the inner product in double precision on the vectors as they
@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from runcourier.llm.common import small_batches
+from runcourier.llm.common import slim, small_batches
 from runcourier.session import cut
 
 # Neighbours of a node, nodes that a query keeps, rounds at most, and nodes that meet at once.
@@ -143,7 +143,7 @@ def meet(nodes: DataFrame, named: DataFrame, floors: DataFrame | None, degree: i
 def graph(nodes: DataFrame, dims: int, degree: int = DEGREE, rounds: int = ROUNDS) -> DataFrame:
     """Edges (u, v, s): for each node its best neighbours found."""
     found = meet(nodes, leaves(nodes, dims, TREES, LEAF, 11), None, degree // 2, MEETING, 0)
-    edges = cut(_top(found.groupBy("u", "v").agg(F.max("s").alias("s")), "u", "v", "s", degree))
+    edges = slim(_top(found.groupBy("u", "v").agg(F.max("s").alias("s")), "u", "v", "s", degree))
     for number in range(1, rounds + 1):
         # Around each node meet its neighbours, those that name it, and itself.
         named = edges.select(F.col("u").alias("at"), F.col("v").alias("member")).union(
@@ -154,7 +154,7 @@ def graph(nodes: DataFrame, dims: int, degree: int = DEGREE, rounds: int = ROUND
         )
         found = meet(nodes, named.distinct(), floors, degree, MEETING, number)
         every = edges.unionByName(found).groupBy("u", "v").agg(F.max("s").alias("s"))
-        new = cut(_top(every, "u", "v", "s", degree))
+        new = slim(_top(every, "u", "v", "s", degree))
         same = new.join(edges.select("u", "v"), ["u", "v"], "left_semi").count()
         edges, changed = new, 1 - same / max(1, new.count())
         if changed < 0.02:
@@ -169,8 +169,8 @@ def walk(
 
     ``queries``: rows (query, code, node), with the nodes a search starts from.
     """
-    code = cut(queries.select("query", F.col("code").alias("q")).distinct())
-    ways = cut(_both(edges))
+    code = slim(queries.select("query", F.col("code").alias("q")).distinct())
+    ways = slim(_both(edges))
 
     @F.pandas_udf("double")
     def dot(a: pd.Series, b: pd.Series) -> pd.Series:
@@ -183,11 +183,9 @@ def walk(
         return rows.select("query", "node", dot("q", "code").alias("s"))
 
     kept = rated(queries.select("query", "node").distinct()).withColumn("done", F.lit(False))
-    kept = cut(_top(kept, "query", "node", "s", beam))
+    kept = slim(_top(kept, "query", "node", "s", beam))
     for _ in range(steps):
-        order = Window.partitionBy("query").orderBy(F.desc("s"), "node")
-        now = kept.where("not done").withColumn("_r", F.row_number().over(order))
-        now = cut(now.where(F.col("_r") <= max(8, beam // 3)).select("query", "node"))
+        now = kept.where("not done").select("query", "node")
         if now.isEmpty():
             break
         there = now.join(ways.select(F.col("u").alias("node"), "v"), "node")
@@ -197,7 +195,7 @@ def walk(
             "query", "node", "s", (F.col("done") | F.coalesce("_now", F.lit(False))).alias("done")
         )
         every = before.unionByName(rated(reached).withColumn("done", F.lit(False)))
-        kept = cut(_top(every, "query", "node", "s", beam))
+        kept = slim(_top(every, "query", "node", "s", beam))
     return kept.select("query", "node", "s")
 
 
@@ -213,7 +211,7 @@ def nearest(
     """For each row that ``is_query`` holds for (a column of ``vec_id``), its ``k`` nearest rows found."""
     spark = vectors.sparkSession
     small_batches(spark, 4000)
-    rows = cut(usable(vectors, id_col, vector_col))
+    rows = slim(usable(vectors, id_col, vector_col))
     first = rows.first()
     if first is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
@@ -235,12 +233,12 @@ def nearest(
         rows = np.rint(rows * (127 / most)).astype(np.int8)
         return pd.Series([r.tobytes() for r in rows], dtype=object)
 
-    nodes = cut(classes.select("node", "vector", rounded("vector", "extra").alias("code")))
-    member = cut(rows.join(classes, "vector").select("vec_id", "node"))
-    edges = cut(graph(nodes, dims + 1, degree))
+    nodes = slim(classes.select("node", "vector", rounded("vector", "extra").alias("code")))
+    member = slim(rows.join(classes, "vector").select("vec_id", "node"))
+    edges = graph(nodes, dims + 1, degree)
 
     asked = member.where(is_query)
-    wanted = cut(
+    wanted = slim(
         asked.select("node").distinct().join(
             nodes.select("node", rounded("vector", F.lit(0.0)).alias("code")), "node"
         )
@@ -258,7 +256,7 @@ def nearest(
     product = F.aggregate(
         F.zip_with("a", "b", lambda x, y: x * y), F.lit(0.0), lambda total, x: total + x
     )
-    scored = cut(pairs.select("query", "node", product.alias("score")))
+    scored = slim(pairs.select("query", "node", product.alias("score")))
     # At most k + 1 rows of a node can be among the nearest of a query.
     few = Window.partitionBy("node").orderBy("vec_id")
     smallest = member.join(scored.select("node").distinct(), "node", "left_semi")
