@@ -63,11 +63,17 @@ class Profile:
 
 
 def _styled(
-    name: str, head: str, black: str, white: str, rule: str, cell: str, center_again: str,
-    title: str, link: str, margin: str,
+    name: str, head: str, black: str, white: str, rule: str, center_again: str, link: str, margin: str
 ) -> Profile:
-    th = f"border:1px solid {black};{cell}text-align:center;font-weight:bold;vertical-align:middle;"
-    td = f"border:1px solid {black};{cell}text-align:center;vertical-align:middle;word-break:break-word;"
+    """A profile with style marks. The marks and sizes are fixed values."""
+    th = (
+        f"border:1px solid {black};padding:6px 10px;text-align:center;font-weight:bold;"
+        "vertical-align:middle;"
+    )
+    td = (
+        f"border:1px solid {black};padding:6px 10px;text-align:center;vertical-align:middle;"
+        "word-break:break-word;"
+    )
     wide = {"test_description": f'<td style="{td} {center_again}">'} if center_again else {}
     body = (
         f"margin:0;padding:24px;background:{white};font-family:Arial,Helvetica,sans-serif;"
@@ -77,7 +83,7 @@ def _styled(
         name=name,
         head=f'<!DOCTYPE html><html><head>{head}</head><body style="{body}"><hr style="{rule}">',
         foot="</body></html>",
-        title_open=f'<div style="{title}">',
+        title_open='<div style="font-size:16px;font-weight:bold;margin:28px 0 10px 0;">',
         title_close="</div>",
         table_open=(
             f'<table style="border-collapse:collapse;border:3px double {black};'
@@ -103,7 +109,6 @@ def _styled(
 
 
 # Colours, sizes and marks of the three report layouts.
-_TITLE = "font-size:16px;font-weight:bold;margin:28px 0 10px 0;"
 _CHARSET = '<meta charset="utf-8">'
 _VIEWPORT = '<meta name="viewport" content="width=device-width, initial-scale=1.0">'
 
@@ -111,13 +116,12 @@ PROFILES: dict[str, Profile] = {
     "full": _styled(
         "full", _CHARSET + _VIEWPORT, "#000000", "#ffffff",
         "border:none;border-top:1px solid #000000;margin:0 0 20px 0;",
-        "padding:6px 10px;", "text-align:center;", _TITLE,
-        "color:#1155cc;text-decoration:underline;", "margin:0;",
+        "text-align:center;", "color:#1155cc;text-decoration:underline;", "margin:0;",
     ),
     "compact": _styled(
         "compact", _CHARSET, "#000", "#fff",
         "border:none;border-top:1px solid #000;margin:0 0 20px 0;",
-        "padding:6px 10px;", "", _TITLE, "color:#1155cc;", "",
+        "", "color:#1155cc;", "",
     ),
     "plain": Profile(
         name="plain",

@@ -108,6 +108,7 @@ def card_title(suite: Column, title: str = TITLE, null_text: str = "None") -> Co
 
 
 def _body_lines(suite: Column, null_text: str) -> Column:
+    # The labels of a card.
     def v(name: str) -> Column:
         return shown(suite[name], null_text)
 

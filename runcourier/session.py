@@ -8,6 +8,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from runcourier.schema import one_of
+
 
 def local_session(cpus: int | str = 8, app: str = "runcourier", **conf: str) -> SparkSession:
     """A local session for tests and the benchmark. Clusters bring their own."""
@@ -81,8 +83,10 @@ def join_config(
     The configuration side is counted first. While it fits it is broadcast, so the
     facts are not shuffled and one hot key does no harm. Beyond that, the facts of a
     key are spread over ``salts`` groups by ``salt_on`` and the configuration is
-    repeated for each group.
+    repeated for each group. ``how`` is ``inner`` or ``left``: the repeated rows would show
+    several times in any other join.
     """
+    one_of(how, ("inner", "left"), "how")
     if is_small(config, rows):
         return big.join(F.broadcast(config), on, how)
     salted = big.withColumn("_salt", F.pmod(F.xxhash64(*(salt_on or big.columns)), F.lit(salts)))
