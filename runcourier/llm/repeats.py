@@ -247,27 +247,63 @@ def repeated_windows(docs: DataFrame, length: int) -> DataFrame:
     )
     heads = stored(heads.where("low <= high").drop("right"), "heads")
     heads = adjacent(heads, "before", "left").withColumn("high", F.least("high", "left"))
-    open_ = heads.where("low <= high")
+    open_ = heads.where("low <= high").select("d", "h", "place", "low", "high", "before", "behind")
+    open_ = stored(open_, "open")
+    starts = _hash_range(ranges)
 
-    def windows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def windows(batch: pd.DataFrame) -> Iterator[tuple[int, int, int, bytes]]:
+        for d, h, x, low, high, before, behind in zip(
+            *(batch[c] for c in ("d", "h", "place", "low", "high", "before", "behind"))
+        ):
+            raw = bytes(before)[::-1] + bytes(behind)
+            at = len(before)
+            for step in range(low, high + 1):
+                window = raw[at - step : at - step + length]
+                yield d, h, x - step, hashlib.blake2b(window, digest_size=16).digest()
+
+    # Most windows are equal to no other: count short hashes first, and send only the others.
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[np.ndarray] = []
+        n = 0
         for batch in batches:
-            rows = []
-            for d, h, x, low, high, before, behind in zip(
-                *(batch[c] for c in ("d", "h", "place", "low", "high", "before", "behind"))
-            ):
-                raw = bytes(before)[::-1] + bytes(behind)
-                at = len(before)
-                for step in range(low, high + 1):
-                    window = raw[at - step : at - step + length]
-                    rows.append((d, h, x - step, hashlib.blake2b(window, digest_size=16).digest()))
-            yield pd.DataFrame(rows, columns=["d", "h", "start", "window"])
-
-    single = stored(
-        open_.select("d", "h", "place", "low", "high", "before", "behind").mapInPandas(
-            windows, "d long, h long, start int, window binary"
-        ),
-        "windows",
-    )
+            held.append(np.array([int.from_bytes(w[:8], "little") for *_, w in windows(batch)], np.uint64))
+            n += len(held[-1])
+            if n >= MASS:
+                yield from send(held)
+                held, n = [], 0
+        yield from send(held)
+
+    def send(held: list[np.ndarray]) -> Iterator[pd.DataFrame]:
+        if held:
+            keys, counts = np.unique(np.concatenate(held), return_counts=True)
+            for batch in runs(keys, counts, starts):
+                yield batch.to_pandas()
+
+    def merge(frame: pd.DataFrame) -> pd.DataFrame:
+        part = int(frame["part"].iloc[0])
+        keys, counts = merged(frame)
+        save(f"{folder}/windows-{part}", keys[counts > 1])
+        return pd.DataFrame({"part": [part]})
+
+    counted = open_.mapInPandas(count, RUN).groupBy("part").applyInPandas(merge, "part int").collect()
+    there = {r["part"] for r in counted}
+
+    def seen_again(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = list(windows(batch))
+            keys = np.array([int.from_bytes(r[3][:8], "little") for r in rows], np.uint64)
+            part = np.searchsorted(starts, keys, "right") - 1
+            good = np.zeros(len(rows), dtype=bool)
+            for p in set(part.tolist()) & there:
+                known = load(f"{folder}/windows-{p}", "uint64")
+                mine = np.flatnonzero(part == p)
+                if len(known):
+                    at = np.minimum(np.searchsorted(known, keys[mine]), len(known) - 1)
+                    good[mine] = known[at] == keys[mine]
+            kept = [rows[i] for i in np.flatnonzero(good)]
+            yield pd.DataFrame(kept, columns=["d", "h", "start", "window"])
+
+    single = stored(open_.mapInPandas(seen_again, "d long, h long, start int, window binary"), "windows")
     start = F.struct("d", "h", "start")
     earliest = (
         single.groupBy("window")
