@@ -212,7 +212,7 @@ class Field:
         """Base spans, and all spans."""
         field = nodes(text)
         base = [(n.start, n.label, n.end) for n in field if n.label != NONE]
-        if len(base) == len(field) or not base:
+        if len(base) == len(field):
             return base, base
         marginals = beliefs(
             np.array([self.unary(n) for n in field]), *links(field, self.own), self.own.rounds

@@ -321,6 +321,21 @@ def test_repeated_entities_get_one_label():
     assert {text[s:e] for s, _, e in every} - {text[s:e] for s, _, e in base} == {"389-555-5010", "bob.1 (at) mail"}
 
 
+@pytest.mark.parametrize("more", ["", " from 10.0.0.1"])
+def test_candidates_without_a_base_span_are_judged(spark, more):
+    """What a text holds besides doesn't decide whether its candidates are looked at."""
+    mails = [(i, f"write to user{i}@mail{i}.example") for i in range(60)]
+    text = "john.doe (at) example" + " or so" * 20 + more
+    docs = spark.createDataFrame([*mails, (100, text)], "doc_id long, text string")
+    spans = pd_.personal_data(docs).where("doc_id = 100").first().spans
+    assert "email:0:21" in spans.split(",")
+    clean = pd_.masked(docs).where("doc_id = 100").first().text
+    assert clean.startswith("<email> or so") and "john.doe" not in clean
+    # Forms that all miss the patterns, in a text that has no other span.
+    field = pd_.Field({"10-": [0, 0, 0, 50, 0]}, pd_.Potentials())
+    assert field.spans("389-555-5010, " + "x " * 90 + "389-555-5010") == ([], [(0, 3, 12), (194, 3, 206)])
+
+
 def test_messages_agree_with_all_labellings():
     rng = np.random.default_rng(3)
     unary = rng.normal(size=(4, 3))
