@@ -5,7 +5,8 @@ suspicious piece of text is read as the output of a noisy channel. Its lattice h
 the letters it may stand for, itself as a letter, a border of words, or nothing (separators and
 repeated letters), each with the channel's probability. A Viterbi search finds the most probable
 letters under a character trigram model, counted over all documents. Words without suspicious signs
-are their own only path and are taken as they are.
+are their own only path and are taken as they are. Pieces of at most three signs in a row, or of signs
+apart, are read once more as one lattice, in which the gaps may be nothing or a border.
 
 The restored words are scored: every beginning of a word of 3 to 6 letters, and the word itself, has a
 probability of label 1, learned from how many documents of either label hold it. The three words with
@@ -23,7 +24,8 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -39,7 +41,8 @@ from runcourier.session import cut
 SAMPLE = 30_000
 ENTRIES = 60_000
 WORDS_KEPT = 300_000
-LONGEST = 48
+# Longer pieces and runs are read anew each time.
+KEPT_LENGTH = 64
 
 # Letters that a sign may stand for.
 SIGNS = {
@@ -92,30 +95,32 @@ def letter_model(counts: np.ndarray) -> np.ndarray:
     return np.log(three)
 
 
-def lattice(piece: str) -> list[list[tuple[str, int, float]]]:
-    """For each sign: what it may be, as (letters, class or -1 for nothing, log probability)."""
-    steps = []
-    for i, c in enumerate(piece):
-        here: list[tuple[str, int, float]] = []
-        if c.isalpha():
-            group = classes_of(c)[0]
-            if i and piece[i - 1] == c:
-                here = [(c, group, KEEP), ("", -1, DROP)]
-            else:
-                here = [(c, group, AS_LETTER)]
-        elif c in SIGNS:
-            here = [(x, ord(x) - 96, AS_SIGN - math.log(len(SIGNS[c]))) for x in SIGNS[c]]
-            here += [(" ", BORDER, AS_BORDER), ("", -1, AS_BORDER + DROP)]
-        elif c in SEPARATORS:
-            here = [("", -1, DROP), (" ", BORDER, SPLIT)]
-        else:
-            here = [(" ", BORDER, AS_LETTER)]
-        steps.append(here)
-    return steps
-
-
-def restore(piece: str, model: np.ndarray) -> str:
-    """The most probable letters behind a piece of text, words divided by spaces."""
+@lru_cache(4096)
+def options(c: str, again: bool) -> list[tuple[str, int, float]]:
+    """What a sign may be, as (letters, class or -1 for nothing, log probability); ``again`` if the
+    sign before is the same."""
+    if c.isalpha():
+        group = classes_of(c)[0]
+        return [(c, group, KEEP), ("", -1, DROP)] if again else [(c, group, AS_LETTER)]
+    if c in SIGNS:
+        letters = [(x, ord(x) - 96, AS_SIGN - math.log(len(SIGNS[c]))) for x in SIGNS[c]]
+        return [*letters, (" ", BORDER, AS_BORDER), ("", -1, AS_BORDER + DROP)]
+    if c in SEPARATORS:
+        return [("", -1, DROP), (" ", BORDER, SPLIT)]
+    return [(" ", BORDER, AS_LETTER)]
+
+
+def lattice(piece: str) -> Iterator[list[tuple[str, int, float]]]:
+    """The options of each sign."""
+    before = ""
+    for c in piece:
+        yield options(c, c == before)
+        before = c
+
+
+def restore(piece: str, model: Sequence) -> str:
+    """The most probable letters behind a piece of text of any length, words divided by spaces."""
+    parts: list[str] = []
     best: dict[tuple[int, int], tuple[float, tuple]] = {(BORDER, BORDER): (0.0, ())}
     for step in lattice(piece):
         then: dict[tuple[int, int], tuple[float, tuple]] = {}
@@ -127,58 +132,110 @@ def restore(piece: str, model: np.ndarray) -> str:
                     state, now, after = (a, b), score + channel, path
                 else:
                     state = (b, group)
-                    now, after = score + channel + model[a, b, group], (path, letters)
+                    now, after = score + channel + model[a][b][group], (path, letters)
                 if state not in then or then[state][0] < now:
                     then[state] = (now, after)
         best = then
-    ended = max((s + model[a, b, BORDER], p) for (a, b), (s, p) in best.items())
-    out, path = [], ended[1]
+        if len(best) == 1:  # whatever follows, the way up to here is this one
+            ((state, (_, path)),) = best.items()
+            parts += _letters(path)
+            best = {state: (0.0, ())}
+    ended = max(best.items(), key=lambda x: x[1][0] + model[x[0][0]][x[0][1]][BORDER])
+    return "".join(parts + _letters(ended[1][1]))
+
+
+def _letters(path: tuple) -> list[str]:
+    out = []
     while path:
         path, letters = path
         out.append(letters)
-    return "".join(reversed(out))
+    return out[::-1]
 
 
 _PLAIN = re.compile(r"[^\W\d_]+")
 _RUN = re.compile(r"([^\W\d_])\1\1")
 _EDGE = re.compile(r"^[^\w@$!+|(€£¡]+|[^\w@$]+$")
-_SPACED = re.compile(r"(?<!\S)(?:[^\W_][ ._\-*~]+){2,}[^\W_](?!\S)")
+# Pieces of hidden words: signs of the lattice, at most three or each one apart.
+_TRIM = re.compile(r"^[^\w@$!+|(€£¡]+|[^\w@$!+|(€£¡]+$")
+_SIGN, _GAP = r"(?:[^\W_]|[@$!+|(€£¡])", r"[ ._\-*~'`,/]"
+_APART = re.compile(f"{_GAP}*(?:{_SIGN}{_GAP}+)*{_SIGN}{_GAP}*")
+_SHORT = re.compile(f"{_GAP}*(?:{_SIGN}{_GAP}*){{1,3}}")
+_LOOSE = "!+|(€£¡ "
 
 
 class Reader:
     """Words of a text as they were meant."""
 
     def __init__(self, model: np.ndarray):
-        self.model = model
+        self.model = model.tolist()
         self.known: dict[str, tuple[str, ...]] = {}
+        self.pieces: dict[str, tuple[str, bool] | None] = {}
 
     def words(self, token: str) -> tuple[str, ...]:
         found = self.known.get(token)
         if found is None:
             found = self.read(token)
-            if len(self.known) >= WORDS_KEPT:
-                self.known.clear()
-            self.known[token] = found
+            if len(token) <= KEPT_LENGTH:
+                if len(self.known) >= WORDS_KEPT:
+                    self.known.clear()
+                self.known[token] = found
         return found
 
     def read(self, token: str) -> tuple[str, ...]:
+        if " " in token:  # a run, trimmed already
+            return tuple(w for t in {token, token.strip(_LOOSE)} for w in restore(t, self.model).split())
         core = _EDGE.sub("", token.lower())
         if _PLAIN.fullmatch(core) and not _RUN.search(core):
             return (core,)
-        # Long pieces without a gap are read in parts: hidden words are short.
-        parts = [core[i : i + LONGEST] for i in range(0, len(core), LONGEST)]
-        found = [w for p in parts for w in restore(p, self.model).split()]
-        if len(parts) == 1:
-            found += [w for w in _PLAIN.findall(core) if len(w) > 2]
-        return tuple(found)
+        found = restore(core, self.model).split()
+        return (*found, *(w for w in _PLAIN.findall(core) if len(w) > 2))
+
+    def piece(self, token: str) -> tuple[str, bool] | None:
+        """A piece of a run, and whether its signs are apart. Empty if it holds no sign."""
+        if token in self.pieces:
+            return self.pieces[token]
+        core, found = _TRIM.sub("", token.lower()), None
+        if not core or not core.strip(SEPARATORS):
+            found = ("", True)
+        elif _APART.fullmatch(core):
+            found = (core, True)
+        elif _SHORT.fullmatch(core):
+            found = (core, False)
+        if len(token) <= KEPT_LENGTH:
+            if len(self.pieces) >= WORDS_KEPT:
+                self.pieces.clear()
+            self.pieces[token] = found
+        return found
+
+    def runs(self, tokens: list[str]) -> set[str]:
+        """Short pieces in a row, and those among them with their signs apart."""
+        found: set[str] = set()
+        every: list[str] = []
+        apart: list[str] = []
+        for token in [*tokens, ""]:
+            piece = self.piece(token) if token else None
+            if piece and not piece[0]:
+                continue
+            if piece is None or not piece[1]:
+                if len(apart) > 1:
+                    found.add(" ".join(apart))
+                apart = []
+            elif piece:
+                apart.append(piece[0])
+            if piece:
+                every.append(piece[0])
+            elif every:
+                if len(every) > 1:
+                    found.add(" ".join(every))
+                every = []
+        return found
 
     def text(self, text: str) -> set[str]:
         """The distinct words of a text, spelled-out ones included."""
         found: set[str] = set()
-        for token in set(text.split()):
+        tokens = text.split()
+        for token in {*tokens, *self.runs(tokens)}:
             found.update(self.words(token))
-        for spaced in _SPACED.finditer(text):
-            found.update(self.words(spaced.group(0)))
         return found
 
 

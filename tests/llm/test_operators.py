@@ -124,6 +124,41 @@ def test_hidden_words_are_restored():
     assert "idiot" in reader.text("you i d i o t there")
 
 
+def spelling_reader():
+    counts = np.zeros(28**3, dtype=np.int64)
+    text = "idiot trash you are there an of the stone river " * 50
+    code = [0, *(0 if c == " " else ord(c) - 96 for c in text), 0]
+    for a, b, c in zip(code, code[1:], code[2:]):
+        counts[(a * 28 + b) * 28 + c] += 1
+    return Reader(letter_model(counts))
+
+
+@pytest.mark.parametrize(
+    "hidden, word",
+    [
+        ("t r @ s h", "trash"), ("1 d ! 0 t", "idiot"), ("id iot", "idiot"), ("(i d i o t)", "idiot"),
+        ("i d i o t.", "idiot"), ("i - d - i - o - t", "idiot"), ("i d i o +", "idiot"), ("tr @s h!", "trash"),
+        ("i.d i.o.t", "idiot"),
+    ],
+)
+def test_spelled_out_words_are_restored(hidden, word):
+    reader = spelling_reader()
+    for text in (hidden, f"stone {hidden} river", f"there {hidden}"):
+        assert word in reader.text(text), text
+
+
+def test_long_pieces_keep_all_words():
+    reader = spelling_reader()
+    spelled = " ".join("trashriverstone" * 3 + "idiot")
+    dotted = ".".join("stone river there the trash idiot stone".replace(" ", "") * 2)
+    assert any("idiot" in w for w in reader.text(spelled))
+    assert any("idiot" in w for w in reader.text(dotted))
+    for n in range(20):  # wherever a cut would be
+        piece = "river/" * 7 + "-" * n + "stone/idiot/there/" + "1" * 40
+        assert {"river", "stone", "idiot", "there"} <= reader.text(piece)
+    assert "idiot" in reader.text("1d10t/" + "river." * 50_000 + "1d10t")
+
+
 def toxic_table(spark, n=600):
     rng = random.Random(8)
     bad = ["idiot", "moron", "trash"]
