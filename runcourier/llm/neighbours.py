@@ -4,13 +4,14 @@ Equal vectors are one node. Each node starts with the best nodes of its leaves i
 planes. In every round a node's neighbours and those that name it are compared with each other
 (neighbours of neighbours), and each keeps the best it has seen. A node that very many name is met by
 them in groups of bounded size, another grouping in each round, so no task gets all of them. Rounds end
-when few edges change. A query starts at its own node's neighbours and walks the graph greedily: it
-expands those of its best ``beam`` nodes that aren't expanded yet, and ends when all of them are.
+when few edges change. A query starts at its own node's neighbours and at the ``beam`` longest nodes (all of
+them in a small table) and walks the graph greedily: it expands those of its best ``beam`` nodes that
+aren't expanded yet, and ends when all of them are.
 
 All steps are joins and groupings; vectors travel with the rows of a step, rounded to a byte for each
-component. The rows found are scored by the inner product in double precision on the vectors as they
-are. The graph is built on vectors of one length: one more component, zero for a query, makes the
-largest inner product the smallest angle, so lengths may differ.
+component by a scale of their own. The rows found are scored by the inner product in double precision
+on the vectors as they are. The graph is built on vectors of one length: one more component, zero for a
+query and never rounded, makes the largest inner product the smallest distance, so lengths may differ.
 
 Vectors that are null, empty, zero, of another length than most, or hold null or non-finite components
 take no part. Rows with the same id and vector count once. An empty table gives an empty result.
@@ -61,18 +62,22 @@ def _top(rows: DataFrame, key: str, other: str, value: str, n: int) -> DataFrame
     return rows.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= n).drop("_r")
 
 
-def leaves(nodes: DataFrame, dims: int, trees: int, size: int, seed: int) -> DataFrame:
+def leaves(
+    nodes: DataFrame, dims: int, trees: int, size: int, seed: int, middle: float = 0.0
+) -> DataFrame:
     """Rows (at, member): for each tree, the nodes on the same side of some random planes, about
-    ``size`` of them if they spread evenly."""
-    planes = max(1, int(np.ceil(np.log2(max(2, nodes.count()) / size))))
+    ``size`` of them if they spread evenly. The planes meet where the length component is ``middle``."""
+    planes = max(0, int(np.ceil(np.log2(max(2, nodes.count()) / size))))
     axes = np.random.default_rng(seed).normal(size=(trees * planes, dims))
     weights = 1 << np.arange(planes, dtype=np.int64)
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                sides = (_codes(batch.column("code").to_pylist()) @ axes.T > 0).astype(np.int64)
-                leaf = sides.reshape(-1, trees, planes) @ weights + np.arange(trees) * 2**planes
+                rows, extra = _codes(batch.column("code").to_pylist())
+                rows = np.hstack([rows, (extra - middle)[:, None]])
+                sides = (rows @ axes.T > 0).astype(np.int64)
+                leaf = sides.reshape(len(rows), trees, planes) @ weights + np.arange(trees) * 2**planes
                 member = np.repeat(batch.column("node").to_numpy(), trees)
                 yield pa.RecordBatch.from_pydict(
                     {"at": pa.array(leaf.ravel()), "member": pa.array(member)}
@@ -85,8 +90,14 @@ def _both(edges: DataFrame) -> DataFrame:
     return edges.select("u", "v").union(edges.select("v", "u")).distinct()
 
 
-def _codes(codes: list[bytes]) -> np.ndarray:
-    return np.frombuffer(b"".join(codes), np.int8).reshape(len(codes), -1).astype(np.float32)
+def _code(dims: int) -> np.dtype:
+    return np.dtype([("extra", "<f8"), ("scale", "<f4"), ("rounded", "i1", (dims,))])
+
+
+def _codes(codes: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """The vectors of these codes, and their length components."""
+    found = np.frombuffer(b"".join(codes), _code(len(codes[0]) - _code(0).itemsize))
+    return found["rounded"] * found["scale"][:, None], found["extra"]
 
 
 def meet(nodes: DataFrame, named: DataFrame, floors: DataFrame | None, degree: int, size: int, number: int) -> DataFrame:
@@ -117,8 +128,13 @@ def meet(nodes: DataFrame, named: DataFrame, floors: DataFrame | None, degree: i
                 if len(ids) < 2:
                     continue
                 ids = np.array(ids)
-                rows = _codes(codes)
-                near = rows @ rows.T
+                rows, extra = _codes(codes)
+                # Half the squared distance, below zero: the inner product but for a constant.
+                rows = rows.astype(np.float64)
+                norms = (rows * rows).sum(axis=1) / 2
+                near = rows @ rows.T - norms[:, None] - norms[None]
+                near -= (extra[:, None] - extra[None]) ** 2 / 2
+                near = near.astype(np.float32)
                 np.fill_diagonal(near, -np.inf)
                 n = min(degree, len(ids) - 1)
                 best = np.argpartition(-near, n - 1, axis=1)[:, :n]
@@ -140,9 +156,11 @@ def meet(nodes: DataFrame, named: DataFrame, floors: DataFrame | None, degree: i
     return packed.mapInArrow(compare, "u long, v long, s float")
 
 
-def graph(nodes: DataFrame, dims: int, degree: int = DEGREE, rounds: int = ROUNDS) -> DataFrame:
+def graph(
+    nodes: DataFrame, dims: int, degree: int = DEGREE, rounds: int = ROUNDS, middle: float = 0.0
+) -> DataFrame:
     """Edges (u, v, s): for each node its best neighbours found."""
-    found = meet(nodes, leaves(nodes, dims, TREES, LEAF, 11), None, degree // 2, MEETING, 0)
+    found = meet(nodes, leaves(nodes, dims, TREES, LEAF, 11, middle), None, degree // 2, MEETING, 0)
     edges = slim(_top(found.groupBy("u", "v").agg(F.max("s").alias("s")), "u", "v", "s", degree))
     for number in range(1, rounds + 1):
         # Around each node meet its neighbours, those that name it, and itself.
@@ -176,7 +194,7 @@ def walk(
     def dot(a: pd.Series, b: pd.Series) -> pd.Series:
         if not len(a):
             return pd.Series([], dtype=float)
-        return pd.Series((_codes(list(a)) * _codes(list(b))).sum(axis=1).astype(float))
+        return pd.Series((_codes(list(a))[0] * _codes(list(b))[0]).sum(axis=1).astype(float))
 
     def rated(pairs: DataFrame) -> DataFrame:
         rows = pairs.join(code, "query").join(nodes.select("node", "code"), "node")
@@ -221,21 +239,25 @@ def nearest(
     classes = rows.groupBy("vector").agg(F.min("vec_id").alias("node"))
     extra = F.sqrt(F.greatest(F.lit(longest) - _norm(F.col("vector")), F.lit(0.0)))
     classes = cut(classes.select("node", "vector", extra.alias("extra")))
-    most = classes.agg(
-        F.max(F.greatest("extra", F.array_max(F.transform("vector", lambda x: F.abs(x)))))
-    ).first()[0]
+    length = float(np.sqrt(longest))  # the unit of all codes
+    middle = classes.agg(F.avg("extra")).first()[0] / length
 
     @F.pandas_udf("binary")
     def rounded(vector: pd.Series, extra: pd.Series) -> pd.Series:
         if not len(vector):
             return pd.Series([], dtype=object)
-        rows = np.hstack([np.stack(vector.to_numpy()), extra.to_numpy()[:, None]])
-        rows = np.rint(rows * (127 / most)).astype(np.int8)
-        return pd.Series([r.tobytes() for r in rows], dtype=object)
+        rows = np.stack(vector.to_numpy())
+        scale = np.abs(rows).max(axis=1, keepdims=True) / 127
+        out = np.zeros(len(rows), _code(dims))
+        out["rounded"] = np.rint(rows / scale)
+        out["scale"], out["extra"] = scale[:, 0] / length, extra.to_numpy() / length
+        return pd.Series([r.tobytes() for r in out], dtype=object)
 
     nodes = slim(classes.select("node", "vector", rounded("vector", "extra").alias("code")))
     member = slim(rows.join(classes, "vector").select("vec_id", "node"))
-    edges = graph(nodes, dims + 1, degree)
+    edges = graph(nodes, dims + 1, degree, middle=middle)
+    beam = max(beam, 2 * k)
+    far = nodes.orderBy(F.desc(_norm(F.col("vector"))), "node").limit(beam).select("node")
 
     asked = member.where(is_query)
     wanted = slim(
@@ -248,7 +270,10 @@ def nearest(
             F.col("node").alias("query"), "code", F.col("v").alias("node")
         )
     )
-    found = walk(begin, nodes, edges, max(beam, 2 * k))
+    begin = begin.unionByName(
+        wanted.select(F.col("node").alias("query"), "code").crossJoin(F.broadcast(far))  # ``beam`` rows
+    )
+    found = walk(begin, nodes, edges, beam)
 
     # Exact scores for the nodes found, then the rows behind the nodes.
     pairs = found.join(nodes.select(F.col("node").alias("query"), F.col("vector").alias("a")), "query")

@@ -443,6 +443,40 @@ def test_nearest(spark):
     assert nearest(vectors.limit(0), F.col("vec_id") % 20 == 0).count() == 0
 
 
+def recall(spark, data, k=20, every=20):
+    table = [(i, [float(x) for x in v]) for i, v in enumerate(data)]
+    vectors = spark.createDataFrame(table, "vec_id long, embedding array<double>")
+    got = Counter((r.query_id, r.vec_id) for r in nearest(vectors, F.col("vec_id") % every == 0, k).collect())
+    exact, want = data @ data.T, set()
+    for q in range(0, len(data), every):
+        others = sorted((i for i in range(len(data)) if i != q), key=lambda i: (-exact[q, i], i))
+        want |= {(q, i) for i in others[:k]}
+    assert sum(got.values()) == len(want)
+    return len(want & set(got)) / len(want)
+
+
+@pytest.mark.parametrize("kind", ["one of 100", "one of 10", "very different", "few directions"])
+def test_nearest_of_different_lengths(spark, kind):
+    rng = np.random.default_rng(15)
+    data = rng.normal(size=(600, 64))
+    if kind == "few directions":
+        data = rng.normal(size=(12, 64))[rng.integers(0, 12, 600)] + 0.2 * data
+    data /= np.linalg.norm(data, axis=1, keepdims=True)
+    if kind.startswith("one"):
+        data[7] *= float(kind.split()[-1])
+    else:
+        data *= np.exp(rng.normal(size=(600, 1)) * 1.5)
+    assert recall(spark, data) >= 0.95
+
+
+def test_nearest_of_tiny_tables_finds_all(spark):
+    rng = np.random.default_rng(16)
+    one = rng.normal(size=8)
+    assert recall(spark, np.array([one, -one, 2 * one]), every=1) == 1
+    sides = np.repeat([[1.0], [-1.0]], [9, 21], axis=0) * one + 0.01 * rng.normal(size=(30, 8))
+    assert recall(spark, sides, every=5) == 1
+
+
 # decontamination
 
 
