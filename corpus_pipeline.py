@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from runcourier.llm.common import anti_ids, table
+from runcourier.llm.common import row_key, table, without_nodes
 from runcourier.llm.decontamination import clean_documents, contaminated
 from runcourier.llm.mixing import mix_sources
 from runcourier.llm.near_duplicates import near_duplicates
@@ -26,10 +26,17 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each component of near duplicates: the one with the smallest id.
 
-    Five-word shingles, similarity 0.8. Rows that share this id all stay.
+    Five-word shingles, similarity 0.8. Rows that share this id all stay. Without any id in a component,
+    one of its rows stays: the smallest by all columns, of the text with the smallest key.
     """
     found = near_duplicates(docs, size=5, percent=80)
-    return anti_ids(docs, found.where(~F.col("kept")), "doc_id")
+    kept = without_nodes(docs, found.where(~F.col("first")))
+    # Copies without an id have one key. Texts without a word are copies of nothing.
+    copies = F.col("doc_id").isNull() & F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    one = kept.where(copies).groupBy(row_key("doc_id", "text").alias("_node")).agg(
+        F.min(F.struct(*docs.columns)).alias("_row")
+    )
+    return kept.where(~copies).unionByName(one.select("_row.*"))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

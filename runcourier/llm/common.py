@@ -68,5 +68,13 @@ def row_key(id_col: str, text_col: str) -> Column:
     return F.coalesce(F.col(id_col).cast("long"), stand_in)
 
 
+def without_nodes(
+    docs: DataFrame, found: DataFrame, id_col: str = "doc_id", text_col: str = "text"
+) -> DataFrame:
+    """The documents whose key isn't a ``node`` of ``found``."""
+    keyed = docs.withColumn("node", row_key(id_col, text_col))
+    return anti_ids(keyed, found, "node").select(*docs.columns)
+
+
 def key_id(key: Column) -> Column:
     return F.when(key < NO_ID, key)

@@ -12,7 +12,7 @@ ahead of the join; what passes it is joined in full, so a table that is too smal
 Texts are lower-cased and ASCII punctuation is taken out before they are cut into words.
 
 Null and empty texts hold nothing. Rows with the same id count as one document, items with the same
-id as one item. A document without an id is reported with a null id.
+id as one item. A document without an id is reported with a null id, and by ``node``, its key from its text.
 """
 
 from __future__ import annotations
@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from runcourier.llm.common import anti_ids, key_id, row_key, semi_ids, small_batches
+from runcourier.llm.common import key_id, row_key, semi_ids, small_batches, without_nodes
 from runcourier.llm.words import mix, texts, word_hashes
 from runcourier.session import cut
 
@@ -220,6 +220,7 @@ def contaminated(
         F.count("*").alias("n_places"),
     )
     return best.select(
+        "node",
         key_id(F.col("node")).alias("doc_id"),
         key_id(F.col("item")).alias("item_id"),
         F.col("m.n_item").alias("n_item"),
@@ -241,10 +242,8 @@ def _item_words(items: DataFrame) -> DataFrame:
     return items.mapInArrow(build, "item long, words binary").distinct()
 
 
-def clean_documents(docs: DataFrame, found: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """The documents without a benchmark item; rows without an id stay only if none was found."""
-    bad = cut(found.select(F.col("doc_id").alias(id_col)))
-    kept = anti_ids(docs, bad, id_col)
-    if bad.where(F.col(id_col).isNull()).isEmpty():
-        return kept
-    return kept.where(F.col(id_col).isNotNull())
+def clean_documents(
+    docs: DataFrame, found: DataFrame, id_col: str = "doc_id", text_col: str = "text"
+) -> DataFrame:
+    """The documents without a benchmark item; a row without an id is judged by its own text."""
+    return without_nodes(docs, found, id_col, text_col)

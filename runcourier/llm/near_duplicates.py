@@ -16,7 +16,8 @@ A pair of similarity 0.8 shares the first 4 values in none of 32 trees with prob
 link is confirmed on the full sets. Only links are joined, and by Spark, not by the driver.
 
 Null and empty texts have no shingles and link with nothing. Rows with the same id count as one
-document. Rows without an id take part; a component is named by its smallest id, or null without one.
+document. Rows without an id take part, each by a key from its text (``node``); a component is named by
+its smallest id, or null without one, and its ``first`` node is the smallest.
 """
 
 from __future__ import annotations
@@ -385,8 +386,8 @@ def near_duplicates(
     )
     full = signed.where("n_shingles > 0").join(named, "set_key")
     empty = signed.where("n_shingles = 0").withColumn("component", F.col("node"))
-    every = full.select("doc_id", "n_shingles", "component").unionByName(
-        empty.select("doc_id", "n_shingles", "component")
+    every = full.select("doc_id", "node", "n_shingles", "component").unionByName(
+        empty.select("doc_id", "node", "n_shingles", "component")
     )
     component = key_id(F.col("component"))
     return every.select(
@@ -394,4 +395,6 @@ def near_duplicates(
         "n_shingles",
         component.alias("component_id"),
         F.col("doc_id").eqNullSafe(component).alias("kept"),
+        "node",
+        (F.col("node") == F.col("component")).alias("first"),
     )

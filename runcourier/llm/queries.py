@@ -41,7 +41,7 @@ def op5_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(table(spark, sf_dir, "documents"), size=4)
+    return near_duplicates(table(spark, sf_dir, "documents"), size=4).drop("node", "first")
 
 
 def op7_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -57,7 +57,8 @@ def op9_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    found = contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.drop("node")
 
 
 QUERIES = {

@@ -75,6 +75,32 @@ def test_stages_and_result(spark, tmp_path):
         assert abs(r.taken - r.target) <= r.size / 2 + 1
 
 
+def test_rows_without_an_id_are_judged_by_their_text(spark, tmp_path):
+    sf = str(tmp_path)
+    spark.createDataFrame(BENCHMARK, "item_id long, text string").write.parquet(f"{sf}/benchmark.parquet")
+    clean = [words(40, 2000 + i) for i in range(6)]
+    near = clean[0].rsplit(" ", 1)[0] + " changed"
+    texts = [*clean, near, clean[1], clean[1].upper(), clean[2], "", "", None]
+    rows = [(None, t, "en", "a", 1) for t in texts] + [(5, clean[2], "en", "b", 2)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    docs = spark.createDataFrame(rows, schema)
+
+    kept = corpus_pipeline.drop_near_duplicates(spark, docs, sf)
+    assert kept.columns == docs.columns
+    got = kept.collect()
+    mine = [r.text.lower() for r in got if r.text and r.doc_id is None]
+    assert sum(t in (clean[0], near) for t in mine) == 1 and mine.count(clean[1]) == 1
+    assert [r.doc_id for r in got if r.text == clean[2]] == [5]
+    assert sorted(t for t in mine if t in clean[3:]) == sorted(clean[3:]) and len(mine) == 5
+    assert sum(not r.text for r in got) == 3
+
+    dirty = clean[0] + " " + BENCHMARK[0][1]
+    more = docs.unionByName(spark.createDataFrame([(None, dirty, "en", "a", 1), (9, dirty, "en", "a", 1)], schema))
+    left = corpus_pipeline.drop_contaminated(spark, more, sf)
+    assert left.columns == docs.columns
+    assert sorted(map(str, left.collect())) == sorted(map(str, docs.collect()))
+
+
 def test_pipeline_of_empty_tables(spark, tmp_path):
     sf = str(tmp_path)
     for name, schema in (
