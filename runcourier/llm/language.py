@@ -1,10 +1,11 @@
 """Language identification by a string kernel.
 
-A text is the set of its character n-grams of 1 to 4 letters, hashed to ``BINS`` bins; only presence
-counts. The kernel of two texts is the number of bins they share, over the root of the product of
-their sizes (a blended-spectrum presence kernel). A bounded number of landmarks from the learned texts
+A part of a text is the set of its character n-grams of 1 to 4 letters, hashed to ``BINS`` bins; only
+presence counts. The kernel of two parts is the number of bins they share, over the root of the product
+of their sizes (a blended-spectrum presence kernel); that of a text is the mean over all its parts, so
+a long text doesn't fill the bins. A bounded number of landmarks, the fullest parts of learned texts,
 spans the Nystrom space, and one-versus-rest kernel ridge regression in it gives each language a value.
-Texts are scored in batches: presence matrix by landmark matrix, then by the weights of the languages.
+Parts are scored in batches: presence matrix by landmark matrix, then by the weights of the languages.
 
 Learning uses at most ``sample`` documents per language, by a hash of the id, of those whose
 crc32(doc_id as text) mod 4 is not 2 and whose language isn't null. Documents without an id aren't
@@ -15,6 +16,7 @@ Null texts and texts without a letter are `und`, with score 0; so is everything
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -22,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from runcourier.llm.common import remainder, small_batches
+from runcourier.session import cut
 
 BITS = 14
 BINS = 1 << BITS
@@ -32,27 +35,52 @@ _FACTORS = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D, 0x27D4EB2F], dtype=np.u
     0x9E3779B97F4A7C15
 )
 _ROWS = 128
-_PART = 1 << 20
-
-
-def presence(text: str, out: np.ndarray) -> None:
-    """Set the bins of a text's n-grams in a row of the presence matrix."""
-    for i in range(0, max(1, len(text)), _PART):  # parts overlap by an n-gram
-        part = text[i : i + _PART + LONGEST - 1].lower()
-        codes = np.frombuffer(part.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
-        total = np.zeros(len(codes), dtype=np.uint64)
-        for n in range(min(LONGEST, len(codes))):
-            total = total[: len(codes) - n] + (codes[n:] + np.uint64(1)) * _FACTORS[n]
-            mixed = (total ^ (total >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9 + 2 * n)
-            out[mixed >> np.uint64(64 - BITS)] = 1
-
-
-def matrix(texts: list[str]) -> np.ndarray:
-    """Presence rows divided by the root of their sizes."""
-    rows = np.zeros((len(texts), BINS), dtype=np.float32)
-    for row, text in zip(rows, texts):
-        presence(text, row)
-    return rows / np.sqrt(np.maximum(rows.sum(axis=1, keepdims=True), 1))
+# Signs of a part: about half of the bins are set at most, however long a text is.
+PART = 2048
+
+
+def parts(text: str) -> Iterator[str]:
+    """Equal parts of at most ``PART`` signs, each longer by what an n-gram needs to cross over."""
+    n = max(1, -(-len(text) // PART))
+    size = -(-len(text) // n) if text else 1
+    for i in range(0, max(1, len(text)), size):
+        yield text[i : i + size + LONGEST - 1]
+
+
+def presence(part: str, out: np.ndarray) -> None:
+    """Set the bins of a part's n-grams in a row of the presence matrix."""
+    codes = np.frombuffer(part.lower().encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    total = np.zeros(len(codes), dtype=np.uint64)
+    for n in range(min(LONGEST, len(codes))):
+        total = total[: len(codes) - n] + (codes[n:] + np.uint64(1)) * _FACTORS[n]
+        mixed = (total ^ (total >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9 + 2 * n)
+        out[mixed >> np.uint64(64 - BITS)] = 1
+
+
+def kernels(texts: list[str], landmarks: np.ndarray) -> np.ndarray:
+    """For each text, the kernel values of its parts with the landmarks (columns), on average."""
+    total, count = np.zeros((len(texts), landmarks.shape[1])), np.zeros(len(texts))
+    every = ((i, part) for i, text in enumerate(texts) for part in parts(text))
+    while batch := list(islice(every, _ROWS)):
+        rows = np.zeros((len(batch), BINS), dtype=np.float32)
+        for row, (_, part) in zip(rows, batch):
+            presence(part, row)
+        rows /= np.sqrt(np.maximum(rows.sum(axis=1, keepdims=True), 1))
+        owner = np.array([i for i, _ in batch])
+        np.add.at(total, owner, rows @ landmarks)
+        np.add.at(count, owner, 1)
+    return total / np.maximum(count, 1)[:, None]
+
+
+def fullest(text: str) -> np.ndarray:
+    """The presence row of the part with most n-grams."""
+    best = np.zeros(BINS, dtype=np.uint8)
+    for part in parts(text):
+        row = np.zeros(BINS, dtype=np.uint8)
+        presence(part, row)
+        if row.sum(dtype=np.int64) > best.sum(dtype=np.int64):
+            best = row
+    return best
 
 
 def has_letter(text: str | None) -> bool:
@@ -60,18 +88,16 @@ def has_letter(text: str | None) -> bool:
 
 
 class Model:
-    def __init__(self, rows: np.ndarray, names: list[str], landmarks: int, ridge: float):
-        """``rows``: normed presence rows of the learned texts, ``names``: their languages."""
+    def __init__(self, landmarks: np.ndarray, kernel: np.ndarray, names: list[str], ridge: float):
+        """``landmarks``: normed presence rows as columns, ``kernel``: the values of the learned texts
+        with them, ``names``: the languages of these."""
         self.names = sorted(set(names))
-        chosen: list[int] = []
-        for name in self.names:
-            chosen += [i for i, n in enumerate(names) if n == name][:landmarks]
-        self.landmarks = np.ascontiguousarray(rows[chosen].T)
-        among = rows[chosen] @ self.landmarks
+        self.landmarks = landmarks
+        among = landmarks.T @ landmarks
         values, vectors = np.linalg.eigh(among.astype(np.float64))
         good = values > 1e-6 * values.max()
         space = vectors[:, good] / np.sqrt(values[good])
-        x = (rows @ self.landmarks) @ space
+        x = kernel @ space
         x = np.hstack([x, np.ones((len(x), 1))])
         y = np.array([[1.0 if n == name else -1.0 for name in self.names] for n in names])
         solved = np.linalg.solve(x.T @ x + ridge * np.eye(x.shape[1]), x.T @ y)
@@ -79,8 +105,7 @@ class Model:
 
     def values(self, texts: list[str]) -> np.ndarray:
         """For each text, a share for each language; shares add up to 1."""
-        kernel = matrix(texts) @ self.landmarks
-        margins = 4.0 * (kernel @ self.weights + self.constant)
+        margins = 4.0 * (kernels(texts, self.landmarks) @ self.weights + self.constant)
         margins -= margins.max(axis=1, keepdims=True)
         shares = np.exp(margins)
         return shares / shares.sum(axis=1, keepdims=True)
@@ -124,29 +149,37 @@ def languages(
         F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")
     )
 
+    learned = cut(_learned(docs, sample))
+
     @F.pandas_udf("binary")
     def bits(texts: pd.Series) -> pd.Series:
-        out = []
-        for text in texts:
-            row = np.zeros(BINS, dtype=np.uint8)
-            if has_letter(text):
-                presence(text, row)
-            out.append(np.packbits(row).tobytes())
-        return pd.Series(out, dtype=object)
-
-    # 2 KB for each learned document.
-    found = _learned(docs, sample).select("lang", "_place", bits("text").alias("bits")).collect()
-    taken: dict[str, list[np.ndarray]] = {}
-    for r in sorted(found, key=lambda r: (r["_place"], r["bits"])):
-        row = np.unpackbits(np.frombuffer(r["bits"], np.uint8))
-        if row.any() and len(taken.setdefault(r["lang"], [])) < sample:
-            taken[r["lang"]].append(row)
-    names = [lang for lang, rows in taken.items() for _ in rows]
+        return pd.Series([np.packbits(fullest(t)).tobytes() if has_letter(t) else None for t in texts], dtype=object)
+
+    def first(column: str, most: int) -> tuple[list[str], list[bytes]]:
+        """Of each language the first ones by place: their languages, and the column."""
+        taken: dict[str, list[bytes]] = {}
+        for r in sorted(found, key=lambda r: (r["_place"], r[column])):
+            if len(taken.setdefault(r["lang"], [])) < most:
+                taken[r["lang"]].append(r[column])
+        return [lang for lang in taken for _ in taken[lang]], [x for lang in taken for x in taken[lang]]
+
+    # 2 KB for each learned document, then a number for each landmark.
+    found = learned.select("lang", "_place", bits("text").alias("bits")).where("bits is not null").collect()
     model = None
-    if names:
-        rows = np.array([row for rows in taken.values() for row in rows], dtype=np.float32)
-        rows /= np.sqrt(rows.sum(axis=1, keepdims=True))
-        model = Model(rows, names, landmarks, ridge)
+    if found:
+        chosen = np.array([np.unpackbits(np.frombuffer(x, np.uint8)) for x in first("bits", landmarks)[1]])
+        columns = chosen.T / np.sqrt(chosen.sum(axis=1, dtype=np.float32))
+        known = spark.sparkContext.broadcast(np.ascontiguousarray(columns, dtype=np.float32))
+
+        @F.pandas_udf("binary")
+        def kernel(texts: pd.Series) -> pd.Series:
+            return pd.Series(
+                [kernels([t], known.value).tobytes() if has_letter(t) else None for t in texts], dtype=object
+            )
+
+        found = learned.select("lang", "_place", kernel("text").alias("k")).where("k is not null").collect()
+        names, rows = first("k", sample)
+        model = Model(known.value, np.array([np.frombuffer(x) for x in rows]), names, ridge)
     shared = spark.sparkContext.broadcast(model)
 
     @F.pandas_udf("lang_pred string, score double")
@@ -156,11 +189,8 @@ def languages(
             texts = list(batch)
             pred, score = ["und"] * len(texts), np.zeros(len(texts))
             known = [i for i, t in enumerate(texts) if model and has_letter(t)]
-            for i in range(0, len(known), _ROWS):
-                part = known[i : i + _ROWS]
-                shares = model.values([texts[j] for j in part])
-                for j, row in zip(part, shares):
-                    pred[j], score[j] = model.names[int(row.argmax())], row.max()
+            for j, row in zip(known, model.values([texts[j] for j in known]) if known else ()):
+                pred[j], score[j] = model.names[int(row.argmax())], row.max()
             yield pd.DataFrame({"lang_pred": pred, "score": score})
 
     out = docs.select(

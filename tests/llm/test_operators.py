@@ -12,6 +12,7 @@ import pytest
 import sentencepiece
 from pyspark.sql import functions as F
 
+from runcourier.llm import language
 from runcourier.llm import personal_data as pd_
 from runcourier.llm.components import components
 from runcourier.llm.decontamination import clean_documents, contaminated
@@ -416,6 +417,36 @@ def test_languages(spark):
     assert {r.lang_pred for r in languages(docs.withColumn("lang", F.lit(None).cast("string"))).collect()} == {"und"}
 
 
+def test_languages_of_long_texts(spark):
+    """Texts of some MB, of so many words that they hold far more n-grams than there are bins."""
+    rng = np.random.default_rng(17)
+    letters = list("abcdefghijklmnopqrstuvwxyz")
+    weights = {name: rng.dirichlet(np.full(26, 2.0)) for name in ("en", "de", "fr", "it")}
+
+    def text(name, n):
+        joined = "".join(rng.choice(letters, n, p=weights[name]))
+        return " ".join(joined[i : i + 6] for i in range(0, n, 6))
+
+    table = [(i, text(name, 900), name) for i, name in enumerate(list(weights) * 30)]
+    table += [(1000 + i, text(name, 2_500_000), name) for i, name in enumerate(weights)]
+    docs = spark.createDataFrame([r[:2] for r in table[-4:]], "doc_id long, text string")
+    docs = docs.withColumn("lang", F.lit(None).cast("string")).unionByName(
+        spark.createDataFrame(table[:-4], "doc_id long, text string, lang string")
+    )
+    got = {r.doc_id: r.lang_pred for r in languages(docs).collect()}
+    assert [got[1000 + i] for i in range(4)] == list(weights)
+    assert sum(got[i] == lang for i, _, lang in table[:-4]) >= 116
+
+
+def test_parts_hold_every_n_gram():
+    for n in (0, 1, 5, 2048, 2049, 4097, 9000):
+        text = "".join(chr(97 + (i * i // 7) % 26) for i in range(n))
+        grams = {text[i : i + k] for k in range(1, 5) for i in range(n - k + 1)}
+        found = list(language.parts(text))
+        assert {p[i : i + k] for p in found for k in range(1, 5) for i in range(len(p) - k + 1)} == grams
+        assert all(len(p) <= language.PART + 3 for p in found)
+
+
 # neighbours
 
 
