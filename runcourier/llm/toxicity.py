@@ -118,12 +118,14 @@ def lattice(piece: str) -> Iterator[list[tuple[str, int, float]]]:
         before = c
 
 
-def restore(piece: str, model: Sequence) -> str:
-    """The most probable letters behind a piece of text of any length, words divided by spaces."""
-    parts: list[str] = []
-    best: dict[tuple[int, int], tuple[float, tuple]] = {(BORDER, BORDER): (0.0, ())}
+# For the last two classes of a way, its log probability and its letters as a chain from the last one.
+Ways = dict[tuple[int, int], tuple[float, tuple]]
+
+
+def advance(best: Ways, piece: str, model: Sequence, parts: list[str]) -> Ways:
+    """The best ways through a piece more. Letters that are settled go to ``parts``."""
     for step in lattice(piece):
-        then: dict[tuple[int, int], tuple[float, tuple]] = {}
+        then: Ways = {}
         for (a, b), (score, path) in best.items():
             for letters, group, channel in step:
                 if group < 0:
@@ -140,8 +142,18 @@ def restore(piece: str, model: Sequence) -> str:
             ((state, (_, path)),) = best.items()
             parts += _letters(path)
             best = {state: (0.0, ())}
-    ended = max(best.items(), key=lambda x: x[1][0] + model[x[0][0]][x[0][1]][BORDER])
-    return "".join(parts + _letters(ended[1][1]))
+    return best
+
+
+def ended(best: Ways, model: Sequence, parts: list[str]) -> str:
+    last = max(best.items(), key=lambda x: x[1][0] + model[x[0][0]][x[0][1]][BORDER])
+    return "".join(parts + _letters(last[1][1]))
+
+
+def restore(piece: str, model: Sequence) -> str:
+    """The most probable letters behind a piece of text of any length, words divided by spaces."""
+    parts: list[str] = []
+    return ended(advance({(BORDER, BORDER): (0.0, ())}, piece, model, parts), model, parts)
 
 
 def _letters(path: tuple) -> list[str]:
@@ -170,6 +182,7 @@ class Reader:
         self.model = model.tolist()
         self.known: dict[str, tuple[str, ...]] = {}
         self.pieces: dict[str, tuple[str, bool] | None] = {}
+        self.steps: dict[tuple, tuple[str, tuple[int, int]]] = {}
 
     def words(self, token: str) -> tuple[str, ...]:
         found = self.known.get(token)
@@ -183,13 +196,40 @@ class Reader:
 
     def read(self, token: str) -> tuple[str, ...]:
         if " " in token:  # a run, trimmed already
-            return tuple(w for t in {token, token.strip(_LOOSE)} for w in restore(t, self.model).split())
+            return tuple(w for t in {token, token.strip(_LOOSE)} for w in self.run(t).split())
         core = _EDGE.sub("", token.lower())
         if _PLAIN.fullmatch(core) and not _RUN.search(core):
             return (core,)
         found = restore(core, self.model).split()
         return (*found, *(w for w in _PLAIN.findall(core) if len(w) > 2))
 
+    def run(self, run: str) -> str:
+        """As ``restore``, but ways between settled places are kept: after a plain piece of two letters
+        or more, one way is left as a rule."""
+        parts: list[str] = []
+        best: Ways = {(BORDER, BORDER): (0.0, ())}
+        chunk, gap = "", ""
+        for piece in run.split(" "):
+            chunk += gap + piece
+            gap = " "
+            if len(piece) < 2 or not piece.isalpha():
+                continue
+            state = next(iter(best)) if len(best) == 1 else None
+            known = self.steps.get((state, chunk))
+            if known:
+                parts.append(known[0])
+                best = {known[1]: (0.0, ())}
+            else:
+                more: list[str] = []
+                best = advance(best, chunk, self.model, more)
+                if state and len(best) == 1 and len(chunk) <= KEPT_LENGTH:
+                    if len(self.steps) >= WORDS_KEPT:
+                        self.steps.clear()
+                    self.steps[state, chunk] = "".join(more), next(iter(best))
+                parts += more
+            chunk = ""
+        return ended(advance(best, chunk, self.model, parts), self.model, parts)
+
     def piece(self, token: str) -> tuple[str, bool] | None:
         """A piece of a run, and whether its signs are apart. Empty if it holds no sign."""
         if token in self.pieces:
@@ -197,6 +237,8 @@ class Reader:
         core, found = _TRIM.sub("", token.lower()), None
         if not core or not core.strip(SEPARATORS):
             found = ("", True)
+        elif len(core) > 3 and core.isalpha():
+            found = None
         elif _APART.fullmatch(core):
             found = (core, True)
         elif _SHORT.fullmatch(core):
@@ -213,7 +255,10 @@ class Reader:
         every: list[str] = []
         apart: list[str] = []
         for token in [*tokens, ""]:
-            piece = self.piece(token) if token else None
+            # Most tokens are plain and too long for a piece.
+            piece = self.piece(token) if token and (len(token) <= 3 or not token.isalpha()) else None
+            if piece is None and not every:
+                continue
             if piece and not piece[0]:
                 continue
             if piece is None or not piece[1]:

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from runcourier.llm import language
 from runcourier.llm import personal_data as pd_
+from runcourier.llm import toxicity as toxicity_
 from runcourier.llm.components import components
 from runcourier.llm.decontamination import clean_documents, contaminated
 from runcourier.llm.language import languages
@@ -148,6 +149,14 @@ def test_spelled_out_words_are_restored(hidden, word):
         assert word in reader.text(text), text
 
 
+def test_runs_are_read_as_one_lattice():
+    reader, rng = spelling_reader(), random.Random(18)
+    pieces = ["id", "iot", "of", "ii", "oo", "1", "@", "a", "t", "s", "the", "tr", "!", "i.d", "an", "ash", "é"]
+    for _ in range(2000):
+        run = " ".join(rng.choice(pieces) for _ in range(rng.randint(2, 9)))
+        assert reader.run(run) == toxicity_.restore(run, reader.model), run
+
+
 def test_long_pieces_keep_all_words():
     reader = spelling_reader()
     spelled = " ".join("trashriverstone" * 3 + "idiot")
