@@ -5,8 +5,8 @@ gives each tree of the forest one row, and the rows of a tree are sorted by sign
 made by ranges, so rows that share long prefixes are spread over tasks like any others. Rows that
 share the first ``depth`` values with a neighbour are candidates. Then, in turn:
 
-1. each row is compared with its neighbour in the order, whose common prefix is the longest, to the
-   depth that the region asks for; the links that hold are joined to components;
+1. each row is compared with its neighbour in the order, whose common prefix is the longest; the
+   links that hold are joined to components;
 2. in a dense region (a prefix of ``depth`` values with many rows), the row with most links is
    compared with those of other components;
 3. where a prefix still holds several components, the pairs of rows from different components are
