@@ -61,4 +61,88 @@ SELECT n.doc_id, n.n::BIGINT AS n_shingles, min(reach.node) AS component_id, n.d
 FROM n JOIN reach ON reach.root = n.doc_id GROUP BY n.doc_id, n.n
 """
 
-ORACLE: dict[str, str] = {"op3_mixing": OP3, "op6_near_duplicates": OP6}
+# Words one period apart that are equal, as stretches; a multiple of a period covers the same stretch.
+OP11 = r"""
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w,
+         xor(4294967295, list_reduce(
+           list_prepend(4294967295::BIGINT, list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: ord(c)::BIGINT)),
+           lambda crc, b: list_reduce(list_prepend(xor(crc, b), range(8)),
+             lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384::BIGINT) ELSE c >> 1 END))) AS h
+  FROM documents),
+a AS (
+  SELECT doc_id, w, h, len(w) AS n, CASE WHEN h % 10 = 0 AND len(w) > 0 THEN (h // 10) % len(w) END AS a FROM d),
+p AS (SELECT *, 1 + (n - a) // (3 + (h // 10) % 8) AS p FROM a),
+t AS (
+  SELECT doc_id, n, CASE WHEN a IS NULL THEN w ELSE
+         list_transform(range(n), lambda i: CASE WHEN i < a THEN w[i + 1] ELSE w[a + (i - a) % p + 1] END) END AS w FROM p),
+x AS (SELECT doc_id, n, unnest(w) AS word, unnest(range(n)) AS i FROM t),
+pairs AS (
+  SELECT x.doc_id, y.i - x.i AS q, x.i FROM x JOIN x y ON x.doc_id = y.doc_id AND x.word = y.word
+  WHERE y.i > x.i AND 4 * (y.i - x.i) <= x.n),
+many AS (SELECT doc_id, q FROM pairs GROUP BY doc_id, q HAVING count(*) >= greatest(6 - q, 3 * q)),
+islands AS (
+  SELECT doc_id, q, i, i - row_number() OVER (PARTITION BY doc_id, q ORDER BY i) AS g
+  FROM pairs SEMI JOIN many USING (doc_id, q)),
+stretches AS (
+  SELECT doc_id, q, min(i) AS start, count(*) + q AS length FROM islands
+  GROUP BY doc_id, q, g HAVING count(*) + q >= greatest(6, 4 * q)),
+runs AS (SELECT doc_id, start, length, min(q) AS period FROM stretches GROUP BY doc_id, start, length),
+found AS (
+  SELECT doc_id, count(*) AS n_runs, arg_max([start, length, period], [length, -start, -period]) AS top,
+         string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period) AS listed
+  FROM runs GROUP BY doc_id),
+gone AS (
+  SELECT DISTINCT doc_id, unnest(range(start + period, start + length)) AS i FROM runs),
+kept AS (
+  SELECT doc_id, string_agg(word, ' ' ORDER BY i) AS kept FROM x ANTI JOIN gone USING (doc_id, i) GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n_runs, 0)::BIGINT AS n_runs, top[1]::BIGINT AS start, top[2]::BIGINT AS length,
+       top[3]::BIGINT AS period, (1000 * top[2] // top[3])::BIGINT AS exponent_milli,
+       sha256(coalesce(listed, '')) AS runs_sha256, sha256(coalesce(kept, '')) AS collapsed_sha256
+FROM d LEFT JOIN found USING (doc_id) LEFT JOIN kept USING (doc_id)
+"""
+
+OP12 = r"""
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS t, sha256('7:' || doc_id) AS h,
+         regexp_extract_all(coalesce(text, ''), '[^\n]*\n|[^\n]+') AS l FROM documents),
+c AS (
+  SELECT *, len(l) AS n, ('0x' || substr(h, 1, 8))::BIGINT % (len(l) + 1) AS c1,
+         ('0x' || substr(h, 9, 8))::BIGINT % (len(l) + 1) AS c2,
+         CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>')
+                   OR ('0x' || substr(h, 17, 8))::BIGINT % 100 >= 100 THEN 'plain'
+              WHEN ('0x' || substr(h, 25, 8))::BIGINT % 100 < 50 THEN 'spm' ELSE 'psm' END AS form
+  FROM d),
+s AS (
+  SELECT *, coalesce(array_to_string(l[1:least(c1, c2)], ''), '') AS a,
+         coalesce(array_to_string(l[least(c1, c2) + 1:greatest(c1, c2)], ''), '') AS b,
+         coalesce(array_to_string(l[greatest(c1, c2) + 1:], ''), '') AS c FROM c)
+SELECT doc_id, n::BIGINT AS n, form, CASE WHEN form <> 'plain' THEN length(a) END::BIGINT AS prefix_chars,
+       CASE WHEN form <> 'plain' THEN length(b) END::BIGINT AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || a || '<S>' || c || '<M>' || b
+                        ELSE '<S>' || c || '<P>' || a || '<M>' || b END) AS output_sha256,
+       sha256(t) AS restored_sha256
+FROM s
+"""
+
+OP13 = r"""
+WITH d AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents),
+x AS (
+  SELECT doc_id, line, i,
+         translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
+                   'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key
+  FROM (SELECT doc_id, unnest(l) AS line, unnest(range(len(l))) AS i FROM d)),
+many AS (SELECT key FROM x WHERE key <> '' GROUP BY key HAVING count(DISTINCT doc_id) >= 10),
+m AS (SELECT x.*, many.key IS NOT NULL AS gone FROM x LEFT JOIN many USING (key))
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE NOT gone), '')) AS kept_sha256
+FROM m GROUP BY doc_id
+"""
+
+ORACLE: dict[str, str] = {
+    "op3_mixing": OP3,
+    "op6_near_duplicates": OP6,
+    "op11_periodic_runs": OP11,
+    "op12_fill_in_middle": OP12,
+    "op13_line_dedup": OP13,
+}
