@@ -24,7 +24,7 @@ from __future__ import annotations
 
 from collections import defaultdict
 from collections.abc import Iterator
-from itertools import compress, count
+from itertools import chain, compress, count
 
 import numpy as np
 import pyarrow as pa
@@ -35,7 +35,7 @@ from runcourier.llm.common import small_batches
 from runcourier.llm.words import texts
 
 # Words that go through the steps together.
-BATCH_WORDS = 400_000
+BATCH_WORDS = 1_000_000
 RUN = "array<struct<start: bigint, length: bigint, period: bigint>>"
 
 
@@ -45,6 +45,14 @@ def _spans(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return np.arange(int(sizes.sum())) + np.repeat(starts - before, sizes)
 
 
+def _stretches(change: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where stretches start, and their sizes; ``change`` tells that an item differs from the one before."""
+    starts = change.nonzero()[0] + 1
+    edges = np.empty(len(starts) + 2, np.int64)
+    edges[0], edges[1:-1], edges[-1] = 0, starts, len(change) + 1
+    return edges[:-1], edges[1:] - edges[:-1]
+
+
 class _Groups:
     """Suffixes of many texts in slots, ordered by text and group; a group is named by its first slot."""
 
@@ -109,13 +117,6 @@ class _Groups:
         # A group that receives from another one of the window has to wait, and so do all below it.
         received = self.group[before]
         wait = np.where(received >= low[owner], received, -1)
-        # So does one that hands to a suffix that a higher group hands to.
-        has = np.flatnonzero(before >= 0)
-        has = has[np.argsort(before[has] * (self.n + 1) + (self.n - group[has]))]
-        if len(has):
-            to, of = before[has], group[has]
-            later = np.flatnonzero((to[1:] == to[:-1]) & (of[1:] != of[:-1])) + 1
-            wait[has[later]] = np.maximum(wait[has[later]], of[later])
         bar = np.maximum.reduceat(wait, np.cumsum(sizes) - sizes)
         done = group > bar[owner]
         held = suffix[~done]
@@ -123,24 +124,40 @@ class _Groups:
         self.high[texts_] = np.where(bar < 0, low, bar + self.size[bar])
         took = high - self.high[texts_]
         self.reach[texts_] = np.where(bar < 0, 2 * sizes, took + took // 2 + 4)
-        has = has[done[has]]
+        has = (done & (before >= 0)).nonzero()[0]
         if len(has):
-            self._hand(before[has], group[has], self.length[suffix[has]])
-
-    def _hand(self, to: np.ndarray, of: np.ndarray, length: np.ndarray) -> None:
-        """Let the roots of ``to``, sorted, grow by those handed over, and place them in new groups."""
-        heads = np.flatnonzero(np.concatenate([[True], to[1:] != to[:-1]]))
-        times = np.diff(heads, append=len(to))
-        to, of = to[heads], of[heads]
-        self.length[to] += times * length[heads]
+            self._hand_all(before[has], group[has], self.length[suffix[has]])
+
+    def _hand_all(self, to: np.ndarray, of: np.ndarray, length: np.ndarray) -> None:
+        """Hand over from all groups of a step: to each suffix from its highest group first."""
+        rank = np.argsort(to * (self.n + 1) + (self.n - of))
+        to, of, length = to[rank], of[rank], length[rank]
+        other = to[1:] != to[:-1]
+        heads, times = _stretches(other | (of[1:] != of[:-1]))
+        to, of, length = to[heads], of[heads], length[heads] * times
+        firsts, counts = _stretches(to[1:] != to[:-1])
+        turn = 0
+        while len(firsts):
+            at = firsts + turn
+            self._hand(to[at], of[at], times[at], length[at])
+            turn += 1
+            more = counts > turn
+            firsts, counts = firsts[more], counts[more]
+
+    def _hand(self, to: np.ndarray, of: np.ndarray, times: np.ndarray, length: np.ndarray) -> None:
+        """Let the roots of distinct suffixes grow by ``length``, and place them in new groups: higher
+        for a higher group that hands over, and for more times."""
+        self.length[to] += length
         home = self.group[to]
         rank = np.lexsort((times, of, home))
         to, of, times, home = to[rank], of[rank], times[rank], home[rank]
-        new = (home[1:] != home[:-1]) | (of[1:] != of[:-1]) | (times[1:] != times[:-1])
-        heads = np.flatnonzero(np.concatenate([[True], new]))
-        homes = np.flatnonzero(np.concatenate([[True], home[1:] != home[:-1]]))
-        counts = np.diff(homes, append=len(to))
-        top = home[homes] + self.size[home[homes]] - counts
+        other = home[1:] != home[:-1]
+        homes, counts = _stretches(other)
+        heads, sizes = _stretches(other | (of[1:] != of[:-1]) | (times[1:] != times[:-1]))
+        left = home[homes]
+        rest = self.size[left] - counts
+        self.size[left] = rest
+        top = left + rest
         slots = _spans(top, counts)
         # Those in the way change places with those that rise from below.
         self.moved[to] = True
@@ -148,13 +165,12 @@ class _Groups:
         there = there[~self.moved[there]]
         self.moved[to] = False
         was = self.slot[to]
-        left = np.sort(was[was < np.repeat(top, counts)])
-        self.order[left], self.slot[there] = there, left
+        free = np.sort(was[was < np.repeat(top, counts)])
+        self.order[free], self.slot[there] = there, free
         self.order[slots], self.slot[to] = to, slots
-        self.size[home[homes]] -= counts
-        sizes = np.diff(heads, append=len(to))
-        self.size[slots[heads]] = sizes
-        self.group[to] = np.repeat(slots[heads], sizes)
+        starts = slots[heads]
+        self.size[starts] = sizes
+        self.group[to] = np.repeat(starts, sizes)
 
 
 def lyndon(symbols: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -217,7 +233,8 @@ def _results(held: list[list[bytes]], repeats: int, least: int) -> tuple[list, l
     """The runs of each text, and the text with one root kept of each run."""
     numbers: defaultdict[bytes, int] = defaultdict(count().__next__)
     ends = np.cumsum([len(w) for w in held])
-    symbols = np.fromiter((numbers[w] for words in held for w in words), np.int64, int(ends[-1]))
+    every = map(numbers.__getitem__, chain.from_iterable(held))
+    symbols = np.fromiter(every, np.int64, int(ends[-1]))
     found = find_runs(symbols, ends, repeats, least)
     text = np.searchsorted(ends, found[:, 0], "right")
     keep = np.zeros(len(symbols) + 1, np.int64)
