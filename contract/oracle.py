@@ -74,6 +74,11 @@ def _sql(body: str, **more: str) -> str:
     return f"WITH RECURSIVE\n{ctes}\n{body}"
 
 
+def _coarse(fmt: str, body: str, **more: str) -> str:
+    """The same with runs of another span."""
+    return _sql(body, **{**more, "e": VIEWS["e"].replace("%Y%m%d%H", fmt)})
+
+
 _LATEST = "(SELECT max(run_id) FROM suite_status)"
 
 
@@ -147,7 +152,7 @@ def _report(profile: str, mode: str = "first") -> dict[str, str]:
 
 
 _DIGEST = """
-SELECT run_id, 0 AS page_no, 1 AS n_pages, md5({html}) AS html_md5,
+SELECT run_id, 0 AS part_no, 1 AS n_parts, md5({html}) AS html_md5,
        length({html})::BIGINT AS n_chars, octet_length(encode({html}))::BIGINT AS n_bytes
 FROM report"""
 
@@ -281,6 +286,27 @@ _NOTIFICATIONS = {
           ON t.rule_id = w.rule_id AND t.suite_category = w.suite_category AND t.n = w.n + 1""",
 }
 
+_MAILS_AGAIN = {
+    **_NOTIFICATIONS,
+    "subscription": _SUBSCRIPTIONS,
+    "run_status": _FANOUT["run_status"],
+    "again_mail": """
+        SELECT md5('alert|' || x.kind || '|' || x.address || '|' || run_id || '|' || rule_id || '|' || suite_category
+                   || CASE WHEN reason = 'AGAIN' THEN '|' || fired_at ELSE '' END) AS delivery_id,
+               'alert' AS kind, x.kind AS channel, x.address, run_id,
+               'Regression Report - Run ' || run_id || ' - ' || execution_status AS subject,
+               '{"rule_id":"' || rule_id || '","suite_category":"' || suite_category
+               || '","body":"reports/report_run_' || run_id || '.html"'
+               || CASE WHEN reason = 'AGAIN' THEN ',"again_at":"' || fired_at || '"' ELSE '' END || '}' AS payload,
+               'READY' AS mode, 'READY' AS status, reason
+        FROM (SELECT *, strftime(make_timestamp(sec * 1000000), '%Y-%m-%d %H:%M:%S') AS fired_at FROM walk WHERE fires)
+        JOIN subscription x USING (rule_id) JOIN run_status USING (run_id)
+        WHERE NOT x.paused""",
+    "again_box": """
+        SELECT * EXCLUDE reason, length(payload)::BIGINT AS n_chars, octet_length(encode(payload))::BIGINT AS n_bytes
+        FROM again_mail""",
+}
+
 # ---------------------------------------------------------------- delivery
 
 _SUITE_LINE = (
@@ -488,7 +514,7 @@ SELECT md5('email|resend|a@example.com, b@example.com|' || run_id || '|0') AS de
        md5(to_json({'from': 'onboarding@resend.dev', 'to': ['a@example.com', 'b@example.com'],
                     'subject': subject, 'html': html})::VARCHAR) AS payload,
        'READY' AS mode, 'READY' AS status, length(html)::BIGINT AS n_chars,
-       octet_length(encode(html))::BIGINT AS n_bytes
+       octet_length(encode(html))::BIGINT AS n_bytes, 0 AS part_no, 1 AS n_parts
 FROM (SELECT run_id, html, 'Regression Report — Run ' || run_id || ' — ' || execution_status AS subject
       FROM report JOIN first_suite USING (run_id))"""
 
@@ -566,7 +592,32 @@ ORACLE: dict[str, str] = {
     "strip_borders": _render(
         "plain", html="""regexp_replace(html, ' (style|border)="[^"]*"', '', 'g')"""
     ),
-    "report_links": _sql("SELECT run_id, true AS there FROM report", **_report("compact")),
+    "report_files_hot": _coarse("%Y", "SELECT run_id, md5(html) AS html_md5 FROM report", **_report("compact")),
+    "report_files_hot_all": _coarse("%Y", "SELECT run_id, md5(html) AS html_md5 FROM report", **_report("full", "all")),
+    "report_parts": _coarse(
+        "%Y%m",
+        """SELECT run_id, true AS complete, true AS joined, true AS bounded, length(html)::BIGINT AS n_chars,
+                  length(html)::BIGINT AS said_chars, octet_length(encode(html))::BIGINT AS n_bytes,
+                  octet_length(encode(html))::BIGINT AS said_bytes
+           FROM report""",
+        **_report("plain"),
+    ),
+    "email_hot_run": _coarse(
+        "%Y",
+        f"""SELECT md5('email|graph|a@example.com, b@example.com|' || run_id || '|0') AS delivery_id, run_id, subject,
+                   'READY' AS status, length(html)::BIGINT AS n_chars, octet_length(encode(html))::BIGINT AS n_bytes,
+                   md5(to_json({_JSON['graph']})::VARCHAR) AS payload_md5
+            FROM (SELECT run_id, html, ['a@example.com', 'b@example.com'] AS recipients,
+                         'Regression Report — Run ' || run_id || ' — ' || execution_status AS subject
+                  FROM report JOIN first_suite USING (run_id))""",
+        **_report("plain"),
+    ),
+    "report_links": _sql(
+        """SELECT run_id || x AS run_id, true AS there, run_id || x AS id_of_path
+           FROM (SELECT run_id, ['', '/../../b', ' %41 ', '/ä ß', '%2F..', '+&?#', '..']
+                                [right(run_id, 1)::INT % 7 + 1] AS x FROM report)""",
+        **_report("compact"),
+    ),
     "report_files": _sql("SELECT run_id, md5(html) AS html_md5 FROM report", **_report("compact")),
     "stored_tables": _sql("""
         SELECT run_id, suite_category, CASE WHEN status = 'FAIL' THEN 2 ELSE 1 END::BIGINT AS n,
@@ -586,6 +637,18 @@ ORACLE: dict[str, str] = {
            FROM walk WHERE fires""",
         **_NOTIFICATIONS,
     ),
+    "alert_mails_again": _sql("SELECT * FROM again_box", **_MAILS_AGAIN),
+    "alert_job_rearmed": _coarse(
+        "%Y%m%d",
+        "SELECT * FROM again_box WHERE run_id = (SELECT max(run_id) FROM walk WHERE fires AND reason = 'AGAIN')",
+        **{**_MAILS_AGAIN, "alert_rule": _RULES.replace("21600", "21600 * 12").replace("7200", "7200 * 12")},
+    ),
+    "stream_notifications": _sql(
+        """SELECT rule_id, suite_category, run_id, make_timestamp(sec * 1000000) AS fire_ts, reason
+           FROM walk WHERE fires""",
+        **_NOTIFICATIONS,
+    ),
+    "stream_mails_again": _sql("SELECT * FROM again_box", **_MAILS_AGAIN),
     "subscribers": """
         SELECT 'user' AS kind, lower(c_name) AS address, c_nationkey AS team FROM customer
         UNION ALL SELECT 'destination', lower(s_name), s_nationkey FROM supplier""",

@@ -39,7 +39,7 @@ def content_hash(columns: list[str]) -> Column:
     return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("bigint")
 
 
-def _held(df: DataFrame) -> tuple[DataFrame, int]:
+def held(df: DataFrame) -> tuple[DataFrame, int]:
     """A list that several branches use: a short one on the driver, a long one stored."""
     head = df.limit(DRIVER_ROWS + 1).collect()
     if len(head) <= DRIVER_ROWS:
@@ -70,7 +70,7 @@ def to_pages(
     differ from 1.
     """
     pages = F.ceil(F.col("weight") / F.lit(limit)).cast("int")
-    large, n = _held(sizes.where(F.col("weight") > limit).select(key, pages.alias("n_pages")))
+    large, n = held(sizes.where(F.col("weight") > limit).select(key, pages.alias("n_pages")))
     first = [F.lit(0).alias("page_no"), F.lit(1).alias("n_pages"), F.lit(1).alias("copies")]
     if n == 0:
         return rows.select("*", *first), False
@@ -78,7 +78,7 @@ def to_pages(
     def near(df: DataFrame) -> DataFrame:
         return F.broadcast(df) if n <= BROADCAST_ROWS else df
 
-    tops, _ = _held(heads(large.select(key)).join(large, key))
+    tops, _ = held(heads(large.select(key)).join(large, key))
     columns = rows.columns
     usual = rows.join(near(large.select(key)), key, "left_anti").select("*", *first)
     inside = rows.where(~pinned).join(near(tops.select(key, "n_pages")), key)

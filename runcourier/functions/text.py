@@ -91,10 +91,14 @@ def markdown_breaks(c: Column) -> Column:
     return F.replace(c, F.lit("\n"), F.lit("  \n"))
 
 
-def report_path(folder: str, run_id: Column, page_no: Column | None = None) -> Column:
-    """Path of a run's report. Only the pages after the first carry a page number."""
-    page = F.lit("")
-    if page_no is not None:
-        page = F.when(page_no > 0, F.concat(F.lit("_page_"), (page_no + 1).cast("string")))
-        page = F.coalesce(page, F.lit(""))
-    return F.concat(F.lit(f"{folder}/report_run_"), run_id, page, F.lit(".html"))
+def file_name(run_id: Column) -> Column:
+    """A run id as part of a file name: letters, digits and ``_ . - ~`` stay, all else is written as
+    the percent codes of its bytes, so ``url_decode`` gives the id back. An empty id is an error."""
+    named = F.replace(form_value(run_id), F.lit("+"), F.lit("%20"))
+    empty = F.raise_error(F.lit("a report needs a run id")).cast("string")
+    return F.when(F.coalesce(run_id, F.lit("")) == "", empty).otherwise(named)
+
+
+def report_path(folder: str, run_id: Column) -> Column:
+    """Path of a run's report, inside ``folder`` for any run id."""
+    return F.concat(F.lit(f"{folder}/report_run_"), file_name(run_id), F.lit(".html"))

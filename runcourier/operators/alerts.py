@@ -14,21 +14,22 @@ from runcourier.schema import ALERT_OPS, COUNTERS
 from runcourier.session import join_config
 
 
-def metrics(suite_status: DataFrame) -> DataFrame:
+def metrics(suite_status: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """The counters of a suite as rows of ``(metric, value)``."""
-    ids = ["run_id", "suite_category"]
+    ids = ["run_id", "suite_category", *keep]
     return suite_status.unpivot(ids, list(COUNTERS), "metric", "value")
 
 
-def evaluate(suite_status: DataFrame, rules: DataFrame) -> DataFrame:
-    """Every rule on every suite row. A missing value does not fire."""
-    joined = join_config(metrics(suite_status), rules, "metric")
+def evaluate(suite_status: DataFrame, rules: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Every rule on every suite row. A missing value does not fire. ``keep``: columns to carry on."""
+    joined = join_config(metrics(suite_status, keep), rules, "metric")
     above = F.coalesce(F.col("value").cast("double") > F.col("threshold"), F.lit(False))
     unknown = F.raise_error(F.concat(F.lit("unknown alert operator: "), F.col("op")))
     fired = F.when(F.col("op").isin(*ALERT_OPS), above).otherwise(unknown.cast("boolean"))
     return joined.select(
         "rule_id", "run_id", "suite_category", "metric", "value", "threshold", "rearm_seconds",
         fired.alias("fired"),
+        *keep,
     )
 
 

@@ -228,26 +228,26 @@ def email_payload(
     return chosen
 
 
+def size_note(chars: Column, size: Column) -> Column:
+    return F.concat(F.lit("<"), chars, F.lit(" characters, "), size, F.lit(" bytes of HTML>"))
+
+
 def body_note(html: Column) -> Column:
     """Stands in for the body in a preview: its size in characters and in bytes."""
-    return F.concat(
-        F.lit("<"), n_chars(html), F.lit(" characters, "), n_bytes(html), F.lit(" bytes of HTML>")
-    )
+    return size_note(n_chars(html), n_bytes(html))
 
 
-def graph_preview(subject: Column, html: Column, recipients: Column) -> Column:
-    """The message with its body replaced by its size."""
-    message = _graph_message(subject, html, recipients)
-    short = F.struct(F.lit("HTML").alias("contentType"), body_note(html).alias("content"))
-    return F.to_json(message.withField("body", short), _KEEP_NULLS)
+def graph_preview(subject: Column, note: Column, recipients: Column) -> Column:
+    """The message with its body replaced by a note."""
+    return F.to_json(_graph_message(subject, note, recipients), _KEEP_NULLS)
 
 
 def email_preview(
     provider: str | Column, sender: Column, subject: Column, html: Column, recipients: Column,
-    token: Column, region: str = "<region>",
+    token: Column, region: str = "<region>", note: Column | None = None,
 ) -> Column:
-    """What a dry run shows: the request, a shortened token, and the body's size only."""
-    note = body_note(html)
+    """What a dry run shows: the request, a shortened token, and the body's size only (``note``)."""
+    note = body_note(html) if note is None else note
     to = F.concat(F.lit("["), F.array_join(recipients, ", "), F.lit("]"))
     authorization = F.concat(F.lit("\nAuthorization: Bearer "), redact(token))
     forms = {
@@ -259,7 +259,7 @@ def email_preview(
         "graph": F.concat(
             F.lit("DRY RUN graph\nPOST https://graph.microsoft.com/v1.0/users/"), sender,
             F.lit("/sendMail"), authorization, F.lit("\nContent-Type: application/json\nmessage="),
-            graph_preview(subject, html, recipients),
+            graph_preview(subject, note, recipients),
         ),
         "ses": F.concat(
             F.lit(f"DRY RUN ses\nses:SendEmail region={region}"), F.lit("\nSource="), sender,
@@ -296,12 +296,13 @@ def chat_status(url: Column) -> Column:
 
 def outbox(
     df: DataFrame, kind: str | Column, channel: Column, address: Column, subject: Column,
-    payload: Column, status: Column, body: Column | None = None, key: Column | None = None,
+    payload: Column, status: Column, key: Column | None = None,
+    size: tuple[Column, Column] | None = None, more: list[Column] | None = None,
 ) -> DataFrame:
     """Deliveries in the common form. The id follows from the content of the delivery's key,
-    so computing a delivery again gives the same id."""
+    so computing a delivery again gives the same id. ``size`` is that of the payload unless given."""
     kind = F.lit(kind) if isinstance(kind, str) else kind
-    size_of = body if body is not None else payload
+    chars, size_ = size or (n_chars(payload), n_bytes(payload))
     ident = [kind, channel, address, F.col("run_id")] + ([key] if key is not None else [])
     mode = F.when(status == "READY", "READY").otherwise("DRY_RUN")
     return df.select(
@@ -314,17 +315,18 @@ def outbox(
         payload.alias("payload"),
         mode.alias("mode"),
         status.alias("status"),
-        n_chars(size_of).alias("n_chars"),
-        n_bytes(size_of).alias("n_bytes"),
+        chars.alias("n_chars"),
+        size_.alias("n_bytes"),
+        *(more or []),
     )
 
 
 def chat_outbox(
     report: DataFrame, url: str, fmt: str, folder: str, title: str = TITLE
 ) -> DataFrame:
-    """One chat message per run."""
+    """One chat message per run, from records or documents."""
     one_of(fmt, CHAT_FORMATS, "format")
-    first = report.where("page_no = 0")
+    first = report.where("part_no = 0") if "part_no" in report.columns else report.where("page_no = 0")
     text = card_text(F.col("suite"), report_path(folder, F.col("run_id")), title)
     status = chat_status(F.lit(url))
     payload = chat_payload(F.col("suite"), text, fmt, title)
@@ -334,49 +336,79 @@ def chat_outbox(
     )
 
 
+# Stands for the body while a message is put around it; no message holds it.
+_BODY = "\ue000body\ue001"
+
+
+def _json_text(c: Column) -> Column:
+    """A text as it stands inside a JSON string."""
+    quoted = F.to_json(F.struct(c.alias("x")), _KEEP_NULLS)
+    return F.substring(quoted, 7, F.length(quoted) - 8)
+
+
 def email_outbox(
-    report: DataFrame, html: Column, provider: str, sender: str, recipients: str,
+    documents: DataFrame, provider: str, sender: str, recipients: str,
     subject: str = "", dry_run: bool = True, token: str = "", title: str = TITLE,
 ) -> DataFrame:
-    """One email per page of a report. Later pages say so in the subject."""
+    """One email per document, with the columns ``part_no`` and ``n_parts`` behind the usual ones.
+
+    The body of the mail is the whole document. A document of several parts makes a payload of as many:
+    its rows have the same ``delivery_id``, and their payloads one after the other are the message. A
+    preview has one row.
+    """
     one_of(provider, EMAIL_PROVIDERS, "provider")
     to = split_list(F.lit(recipients))
-    suite = F.col("suite")
-    line = subject_line(F.col("run_id"), suite["execution_status"], F.lit(subject), title)
-    paged = F.when(
-        F.col("n_pages") > 1,
-        F.concat(line, F.lit(" ("), F.col("page_no") + 1, F.lit("/"), F.col("n_pages"), F.lit(")")),
-    ).otherwise(line)
+    line = subject_line(F.col("run_id"), F.col("suite.execution_status"), F.lit(subject), title)
     status = email_status(provider, to, dry_run)
     from_ = trim_all(F.lit(sender))
-    ready = report.select("*", html.alias("html"), paged.alias("_subject"), to.alias("_to"))
+    ready = documents.select("*", line.alias("_subject"), to.alias("_to"))
     h, s, r = F.col("html"), F.col("_subject"), F.col("_to")
-    payload = F.when(status == "READY", email_payload(provider, from_, s, h, r)).when(
-        status == "DRY_RUN", email_preview(provider, from_, s, h, r, F.lit(token))
+    frame = email_payload(provider, from_, s, F.lit(_BODY), r)
+    first, last = F.col("part_no") == 0, F.col("part_no") + 1 == F.col("n_parts")
+    in_parts = F.concat(
+        F.when(first, F.substring_index(frame, _BODY, 1)).otherwise(F.lit("")),
+        _json_text(h),
+        F.when(last, F.substring_index(frame, _BODY, -1)).otherwise(F.lit("")),
     )
-    address = F.array_join(r, ", ")
-    return outbox(
-        ready, "email", F.lit(provider), address, s, payload, status, body=h, key=F.col("page_no")
+    message = F.when(F.col("n_parts") == 1, email_payload(provider, from_, s, h, r)).otherwise(in_parts)
+    note = size_note(F.col("n_chars"), F.col("n_bytes"))
+    payload = F.when(status == "READY", message).when(
+        status == "DRY_RUN", email_preview(provider, from_, s, h, r, F.lit(token), note=note)
+    )
+    n_parts = F.when(status == "READY", F.col("n_parts")).otherwise(F.lit(1))
+    rows = outbox(
+        ready.where((F.col("part_no") == 0) | (status == "READY")), "email", F.lit(provider),
+        F.array_join(r, ", "), s, payload, status, key=F.lit(0),
+        size=(F.col("n_chars"), F.col("n_bytes")), more=[F.col("part_no"), n_parts.alias("n_parts")],
     )
+    return rows
 
 
 def alert_outbox(
     deliveries: DataFrame, status_of_run: DataFrame, title: str = TITLE
 ) -> DataFrame:
-    """Alert mails to subscribers. The body is the run's stored report, named by its path."""
+    """Alert mails to subscribers. The body is the run's stored report, named by its path.
+
+    ``deliveries`` may come from state changes or from notifications; one that is sent ``AGAIN`` is told
+    apart by its time and says so.
+    """
     named = deliveries.join(status_of_run, "run_id", "left")
+    key, more = F.concat_ws("|", "rule_id", "suite_category"), []
+    if "reason" in deliveries.columns:
+        at = F.when(F.col("reason") == "AGAIN", F.date_format("fire_ts", "yyyy-MM-dd HH:mm:ss"))
+        key = F.concat_ws("|", key, at)
+        more = [at.alias("again_at")]
     subject = alert_subject(F.col("run_id"), F.col("execution_status"), title)
     payload = F.to_json(
         F.struct(
             F.col("rule_id"),
             F.col("suite_category"),
             report_path("reports", F.col("run_id")).alias("body"),
+            *more,
         ),
-        _KEEP_NULLS,
     )
     return outbox(
-        named, "alert", F.col("kind"), F.col("address"), subject, payload, F.lit("READY"),
-        key=F.concat_ws("|", "rule_id", "suite_category"),
+        named, "alert", F.col("kind"), F.col("address"), subject, payload, F.lit("READY"), key=key
     )
 
 

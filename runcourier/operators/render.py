@@ -63,12 +63,13 @@ def sizes(pages: DataFrame) -> DataFrame:
     )
 
 
-def write_reports(pages: DataFrame, folder: str) -> None:
-    """One HTML file per page, under the name that messages give (``report_path``).
+def write_reports(documents: DataFrame, folder: str) -> None:
+    """One HTML file per run, under the name that messages give (``report_path``).
 
-    Writing a run again replaces that run, also where it had more pages, and leaves the others
-    alone. Tasks write the pages where they were rendered; a file appears in one step, so a
-    repeated task does no harm. ``folder`` is a path or a URI that all executors reach.
+    Writing a run again replaces its file and leaves the others alone. Tasks write documents of one
+    part where they were rendered; the parts of others stream one after the other through the task
+    that writes their file, a batch at a time. A file appears in one step, so a repeated task does no
+    harm. ``folder`` is a path or a URI that all executors reach.
     """
 
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -77,43 +78,43 @@ def write_reports(pages: DataFrame, folder: str) -> None:
 
         from pyarrow import fs
 
-        def place(path: str) -> tuple[fs.FileSystem, str]:
+        made = set()
+        open_ = None
+
+        def begin(path: str) -> tuple:
             if path.startswith("file:"):
                 path = "/" + path[5:].lstrip("/")
-            return fs.FileSystem.from_uri(path)
+            store, name = fs.FileSystem.from_uri(path)
+            parent = posixpath.dirname(name)
+            if parent not in made:
+                store.create_dir(parent, recursive=True)
+                made.add(parent)
+            part = posixpath.join(parent, f".{uuid.uuid4().hex}")
+            return store, name, part, store.open_output_stream(part)
 
-        made = set()
         for batch in batches:
-            for path, behind, html in zip(batch["path"], batch["behind"], batch["html"]):
-                store, name = place(path)
-                parent = posixpath.dirname(name)
-                if parent not in made:
-                    store.create_dir(parent, recursive=True)
-                    made.add(parent)
-                part = posixpath.join(parent, f".{uuid.uuid4().hex}")
-                with store.open_output_stream(part) as out:
-                    out.write(html.encode())
-                store.move(part, name)
-                if behind is not None:  # pages that the run no longer has
-                    stem, _, number = behind.removesuffix(".html").rpartition("_page_")
-                    number = int(number)
-                    while True:
-                        store, old = place(f"{stem}_page_{number}.html")
-                        if store.get_file_info(old).type == fs.FileType.NotFound:
-                            break
-                        store.delete_file(old)
-                        number += 1
+            for path, no, n, offset, html in batch[COLUMNS].itertuples(index=False):
+                if no == 0:
+                    open_ = begin(path)
+                store, name, part, out = open_
+                if out.tell() != offset:
+                    raise ValueError(f"part {no} of {path} is out of place")
+                out.write(html.encode())
+                if no + 1 == n:
+                    out.close()
+                    store.move(part, name)
             yield pd.DataFrame({"n": [len(batch)]})
 
-    last = F.col("page_no") + 1 == F.col("n_pages")
-    files = pages.select(
-        report_path(folder, F.col("run_id"), F.col("page_no")).alias("path"),
-        F.when(last, report_path(folder, F.col("run_id"), F.col("n_pages"))).alias("behind"),
-        "html",
-    )
-    files.mapInPandas(write, "n long").agg(F.sum("n")).first()
+    COLUMNS = ["path", "part_no", "n_parts", "offset", "html"]
+    path = report_path(folder, F.col("run_id")).alias("path")
+    files = documents.select(path, *COLUMNS[1:])
+    # Where no document has several parts, the second branch is empty by constant folding.
+    single = files.where("n_parts = 1")
+    several = files.where("n_parts > 1").repartition("path").sortWithinPartitions("path", "part_no")
+    done = single.mapInPandas(write, "n long").unionByName(several.mapInPandas(write, "n long"))
+    done.agg(F.sum("n")).first()
 
 
 def write_archive(pages: DataFrame, folder: str) -> None:
-    """All pages as a table, with run id and page number as columns."""
+    """All documents as a table, with run id and part number as columns."""
     pages.write.mode("overwrite").parquet(folder)

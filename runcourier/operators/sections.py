@@ -10,9 +10,6 @@ from runcourier.operators.runs import resolve
 from runcourier.schema import SECTIONS, one_of
 from runcourier.sources.tables import ReportTables
 
-# Size limit of one page in characters. Documents below it are one page.
-PAGE_CHARS = 8_000_000
-
 
 def section(
     tables: ReportTables,
@@ -48,7 +45,7 @@ def first_rows_by_window(tables: ReportTables, name: str) -> DataFrame:
     return rows.withColumn("_n", F.row_number().over(order)).where("_n = 1").drop("_n")
 
 
-def _tagged_rows(tables: ReportTables, names: list[str]) -> DataFrame:
+def tagged_rows(tables: ReportTables, names: list[str]) -> DataFrame:
     """Rows of several sections in one table, each record in the column of its section.
 
     A row without a run id belongs to no run.
@@ -73,8 +70,14 @@ def _tagged_rows(tables: ReportTables, names: list[str]) -> DataFrame:
     return rows
 
 
+def section_sizes(tables: ReportTables, names: list[str]) -> DataFrame:
+    """Characters of the rows of some sections once they are rendered, for each run."""
+    rows = tagged_rows(tables, names)
+    return rows.groupBy("run_id").agg(F.sum("row_weight").alias("weight"))
+
+
 def assemble(
-    tables: ReportTables, mode: str = "first", page_chars: int = PAGE_CHARS
+    tables: ReportTables, mode: str = "first", page_chars: int | None = None
 ) -> DataFrame:
     """One report record per run: request, suite, failed checks and breaches.
 
@@ -83,22 +86,19 @@ def assemble(
     Arrays are in the order of their columns.
 
     The sections are united and grouped once, so nothing is joined and a run with many
-    rows in several sections does not multiply them. A run larger than ``page_chars`` is
-    split into pages; see ``functions.paging``.
+    rows in several sections does not multiply them.
+
+    A record holds its whole run. Reports of any size come from ``operators.documents``, which uses
+    this for runs that fit one row. With ``page_chars``, runs larger than that are dealt out to pages,
+    each a record of its own; see ``functions.paging``.
     """
     one_of(mode, ("first", "all"), "mode")
-    rows = _tagged_rows(tables, list(SECTIONS))
+    rows = tagged_rows(tables, list(SECTIONS))
     pinned: Column = F.lit(False)
     listed_sections = list(SECTIONS)
     if mode == "first":
         pinned = F.col("request").isNotNull() | F.col("suite").isNotNull()
         listed_sections = ["failed", "threshold"]
-    # Only sections whose rows are listed can make a run large.
-    sizes = (
-        _tagged_rows(tables, listed_sections)
-        .groupBy("run_id")
-        .agg(F.sum("row_weight").alias("weight"))
-    )
 
     def tops(runs: DataFrame) -> DataFrame:
         own = tables.of_runs(runs)
@@ -106,7 +106,12 @@ def assemble(
             return own.suite_status.select("run_id").distinct()
         return heads(own).select("run_id", "request", "suite")
 
-    paged, copied = to_pages(rows, sizes, "run_id", page_chars, pinned, tops)
+    if page_chars is None:
+        paged, copied = rows.withColumns({"page_no": F.lit(0), "n_pages": F.lit(1)}), False
+    else:
+        # Only sections whose rows are listed can make a run large.
+        sizes = section_sizes(tables, listed_sections)
+        paged, copied = to_pages(rows, sizes, "run_id", page_chars, pinned, tops)
 
     def listed(name: str) -> Column:
         if not copied:
@@ -135,7 +140,7 @@ def heads(tables: ReportTables) -> DataFrame:
     Enough for subjects and cards, and the failed checks are not read for it.
     """
     return (
-        _tagged_rows(tables, ["request", "suite"])
+        tagged_rows(tables, ["request", "suite"])
         .groupBy("run_id")
         .agg(
             F.min("request").alias("request"),

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from runcourier.operators.alerts import evaluate, run_verdicts, states, transitions
+from runcourier.operators.alerts import evaluate, notifications, run_verdicts, states, transitions
 from runcourier.operators.cadence import Cadence, bounds, slots
 from runcourier.operators.deliver import (
     alert_outbox,
@@ -15,9 +15,9 @@ from runcourier.operators.deliver import (
     snapshot_outbox,
     snapshots,
 )
-from runcourier.operators.render import document, render, write_reports
+from runcourier.operators.documents import documents
+from runcourier.operators.render import write_reports
 from runcourier.operators.runs import latest_at, resolve, run_key
-from runcourier.operators.sections import assemble
 from runcourier.sources.params import ChatParams, EmailParams
 from runcourier.sources.sample import sample_tables
 from runcourier.sources.tables import ReportTables
@@ -28,14 +28,14 @@ def _of_param(tables: ReportTables, run_id: str | None, order: str) -> ReportTab
 
 
 def reports(tables: ReportTables, profile: str = "compact", mode: str = "first") -> DataFrame:
-    """The rendered report of every run."""
-    return render(assemble(tables, mode), profile)
+    """The rendered report of every run, in parts where it is long."""
+    return documents(tables, profile, mode).select("run_id", "part_no", "n_parts", "offset", "html")
 
 
 def chat_job(tables: ReportTables, params: ChatParams, folder: str, outbox: str) -> None:
     """Report file and chat message of one run. Without a URL the message is a preview."""
-    report = assemble(_of_param(tables, params.run_id, params.run_order)).persist()
-    write_reports(render(report, "compact"), folder)
+    report = documents(_of_param(tables, params.run_id, params.run_order)).persist()
+    write_reports(report, folder)
     rows = chat_outbox(report, params.webhook_url, params.webhook_format, folder)
     rows.write.mode("append").parquet(outbox)
     report.unpersist()
@@ -45,11 +45,10 @@ def email_job(
     tables: ReportTables, params: EmailParams, folder: str, outbox: str, token: str = ""
 ) -> None:
     """Report file and email of one run, in the form of the chosen provider."""
-    report = assemble(_of_param(tables, params.run_id, params.run_order)).persist()
-    write_reports(render(report, "compact"), folder)
+    report = documents(_of_param(tables, params.run_id, params.run_order)).persist()
+    write_reports(report, folder)
     rows = email_outbox(
         report,
-        document(report, "compact"),
         params.provider,
         params.sender,
         params.recipients,
@@ -61,13 +60,36 @@ def email_job(
     report.unpersist()
 
 
+def rearmed_alert_job(
+    tables: ReportTables, run_times: DataFrame, rules: DataFrame, subscriptions: DataFrame,
+    run_id: str | None = None, paused: bool = False, order: str = "lexical",
+) -> DataFrame:
+    """As ``alert_job``, but an alert that stays triggered mails again ``rearm_seconds`` after its last mail.
+
+    ``run_times`` has ``run_id`` and ``ts``. When an alert mailed last depends on all runs before.
+    """
+    target = resolve(run_id, tables.suite_status, order)
+    fires = notifications(evaluate(tables.suite_status, rules), run_times, order=order)
+    fires = fires.where(F.col("run_id") == target)
+    if paused:
+        fires = fires.where(F.lit(False))
+    return alert_outbox(fan_out(fires, subscriptions), run_status(tables.of_run(target)))
+
+
+def run_status(tables: ReportTables) -> DataFrame:
+    return tables.suite_status.groupBy("run_id").agg(
+        F.min("execution_status").alias("execution_status")
+    )
+
+
 def alert_job(
     tables: ReportTables, rules: DataFrame, subscriptions: DataFrame, run_id: str | None = None,
     paused: bool = False, order: str = "lexical",
 ) -> DataFrame:
     """Alert mails for one run, the latest by default: evaluate, decide, fan out.
 
-    An alert that was triggered by the suite's run before does not fire again.
+    An alert that was triggered by the suite's run before does not fire again, whatever its rule says
+    of ``rearm_seconds``; ``rearmed_alert_job`` honours that.
     """
     target = resolve(run_id, tables.suite_status, order)
     one = tables.of_run(target)
@@ -87,10 +109,7 @@ def alert_job(
     fired = seen.where("change = 'TRIGGERED'")
     if paused:
         fired = fired.where(F.lit(False))
-    status = one.suite_status.groupBy("run_id").agg(
-        F.min("execution_status").alias("execution_status")
-    )
-    return alert_outbox(fan_out(fired, subscriptions), status)
+    return alert_outbox(fan_out(fired, subscriptions), run_status(one))
 
 
 def alert_verdict(tables: ReportTables, rules: DataFrame, run_id: str | None = None) -> DataFrame:
@@ -120,4 +139,4 @@ def paired(alerts: DataFrame, scheduled: DataFrame) -> DataFrame:
 
 def preview(spark: SparkSession, folder: str, profile: str = "full") -> None:
     """Write the report of the embedded sample run."""
-    write_reports(render(assemble(sample_tables(spark)), profile), folder)
+    write_reports(documents(sample_tables(spark), profile), folder)

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import os
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -32,19 +32,25 @@ class ReportTables:
         columns = [c for c in section.columns if c != "run_id"]
         return self.table(section.table).select("run_id", *columns)
 
-    def _map(self, fn) -> ReportTables:
+    def changed(self, fn: Callable[[DataFrame], DataFrame]) -> ReportTables:
+        """All four tables, each changed in the same way."""
         return replace(self, **{n: fn(self.table(n)) for n in TABLE_SCHEMAS})
 
     def of_run(self, run_id: str | Column) -> ReportTables:
         """All four tables cut to one run; the filter reaches the scans."""
         value = F.lit(run_id) if isinstance(run_id, str) else run_id
-        return self._map(lambda df: df.where(F.col("run_id") == value))
+        return self.changed(lambda df: df.where(F.col("run_id") == value))
 
     def of_runs(self, run_ids: DataFrame) -> ReportTables:
         """All four tables cut to a list of runs (one column ``run_id``, unique)."""
         small = is_small(run_ids)
         keys = F.broadcast(run_ids) if small else run_ids
-        return self._map(lambda df: df.join(keys, "run_id", "left_semi"))
+        return self.changed(lambda df: df.join(keys, "run_id", "left_semi"))
+
+    def without_runs(self, run_ids: DataFrame) -> ReportTables:
+        """All four tables without the rows of a list of runs (one column ``run_id``, unique)."""
+        keys = F.broadcast(run_ids) if is_small(run_ids) else run_ids
+        return self.changed(lambda df: df.join(keys, "run_id", "left_anti"))
 
 
 def base_dir(default: str | None = None) -> str:
@@ -120,9 +126,9 @@ def upsert_into(spark: SparkSession, path: str, updates: DataFrame, keys: Sequen
 
 
 def whole_text(spark: SparkSession, path: str) -> DataFrame:
-    """One row per file, with the whole text of the file."""
+    """One row per file, with its path as the file system names it and its whole text."""
     return spark.read.text(path, wholetext=True).select(
-        F.input_file_name().alias("path"), F.col("value").alias("text")
+        F.url_decode(F.input_file_name()).alias("path"), F.col("value").alias("text")
     )
 
 

@@ -19,9 +19,9 @@ from runcourier.functions.ordered import previous
 from runcourier.operators.alerts import changes, evaluate, states
 from runcourier.operators.cadence import debounce
 from runcourier.operators.deliver import alert_outbox, chat_outbox, email_outbox, fan_out
-from runcourier.operators.render import document, render, write_reports
+from runcourier.operators.documents import documents
+from runcourier.operators.render import write_reports
 from runcourier.operators.runs import run_key
-from runcourier.operators.sections import assemble
 from runcourier.sources.params import EmailParams
 from runcourier.sources.tables import ReportTables
 from runcourier.streaming.state import StateTable, write_batch
@@ -67,8 +67,8 @@ def _report_batches(
     def on_batch(batch: DataFrame, batch_id: int) -> None:
         runs = _touched(batch).persist()
         try:
-            report = assemble(tables().of_runs(runs)).persist()
-            write_reports(render(report, profile), folder)
+            report = documents(tables().of_runs(runs), profile).persist()
+            write_reports(report, folder)
             write_batch(deliveries(report), outbox, batch_id)
             report.unpersist()
         finally:
@@ -104,7 +104,6 @@ def email_batches(
     def mails(report: DataFrame) -> DataFrame:
         return email_outbox(
             report,
-            document(report, profile),
             params.provider,
             params.sender,
             params.recipients,

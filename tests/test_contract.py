@@ -19,7 +19,7 @@ def test_query_and_sql_agree(spark, con, name):
 
 def test_entry(spark):
     df = entry_module.entry(spark)
-    assert df.columns == ["run_id", "page_no", "n_pages", "html"]
+    assert df.columns == ["run_id", "part_no", "n_parts", "offset", "html"]
     assert df.count() == 531
 
 

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from runcourier.operators import deliver as D
-from runcourier.operators.render import document
+from runcourier.operators.documents import documents
 from runcourier.operators.sections import assemble
 from runcourier.operators.spec import (
     datasets,
@@ -136,7 +136,7 @@ def test_preview_holds_neither_body_nor_token(report):
         assert "<14 characters, 15 bytes of HTML>" in text
         assert "secret" not in text and "ghijk" not in text
         assert provider == "ses" or "abcdef…redacted…" in text
-    short = report.select(D.graph_preview(F.lit("S"), F.lit("x"), to)).first()[0]
+    short = report.select(D.graph_preview(F.lit("S"), D.body_note(F.lit("x")), to)).first()[0]
     assert json.loads(short)["body"]["content"] == "<1 characters, 1 bytes of HTML>"
 
 
@@ -157,21 +157,25 @@ def test_email_status(spark, provider, to, dry, want):
     assert df.select(status).first()[0] == want
 
 
-def test_email_outbox_has_one_mail_per_page(spark):
-    failed = [("1", "S", f"T{i}", "g", "d" * 50, "FAIL") for i in range(60)]
+@pytest.mark.parametrize("provider", ["ses", "graph", "resend"])
+def test_email_outbox_has_one_mail_per_run(spark, provider):
+    failed = [("1", "S", f"T{i:02d}", "g", 'd"ü\\' * 20, "FAIL") for i in range(60)]
     t = inline_tables(
         spark, failed_check=failed,
         suite_status=[("1", "S", "FAILED", "FAIL", 60, 0, 60, "t", "u")],
     )
-    report = assemble(t, page_chars=20_000)
-    html = document(report, "plain")
-    rows = D.email_outbox(report, html, "ses", "", "a@example.com", dry_run=False).collect()
-    assert len(rows) == 3 and len({r.delivery_id for r in rows}) == 3
-    subjects = sorted(r.subject for r in rows)
-    assert subjects == [f"Regression Report — Run 1 — FAILED ({i}/3)" for i in (1, 2, 3)]
-    bodies = [json.loads(r.payload)["Message"]["Body"]["Html"]["Data"] for r in rows]
-    assert sum(b.count("<td align=\"center\">T") for b in bodies) == 60
-    single = D.email_outbox(assemble(t), html, "ses", "", "", dry_run=False).first()
+    docs, whole = documents(t, "plain", part_chars=5_000), documents(t, "plain")
+    mail = lambda d: D.email_outbox(d, provider, "", "a@example.com", dry_run=False)
+    rows = sorted(mail(docs).collect(), key=lambda r: r.part_no)
+    (one,) = mail(whole).collect()
+    assert len(rows) > 2 and [r.part_no for r in rows] == list(range(rows[0].n_parts))
+    same = ["delivery_id", "subject", "n_chars", "n_bytes", "status"]
+    assert {tuple(r[c] for c in same) for r in rows} == {tuple(one[c] for c in same)}
+    assert "".join(r.payload for r in rows) == one.payload
+    assert one.n_parts == 1 and json.loads(one.payload)
+    (dry,) = D.email_outbox(docs, provider, "", "a@example.com").collect()
+    assert f"<{one.n_chars} characters, {one.n_bytes} bytes of HTML>" in dry.payload and dry.n_parts == 1
+    (single,) = D.email_outbox(docs, provider, "", "", dry_run=False).collect()
     assert single.status == "RENDER_ONLY" and single.payload is None and single.mode == "DRY_RUN"
 
 

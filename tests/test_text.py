@@ -1,6 +1,7 @@
 import json
 import urllib.parse
 
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -83,9 +84,12 @@ def test_utf8(spark):
 
 
 def test_report_path(spark):
-    df = spark.createDataFrame([("1", 0), ("1", 1), ("2", None)], "run_id string, p int")
-    got = [r[0] for r in df.select(X.report_path("/r", F.col("run_id"), F.col("p"))).collect()]
-    assert got == ["/r/report_run_1.html", "/r/report_run_1_page_2.html", "/r/report_run_2.html"]
+    ids = ["1", "a/../../b", "..", "50% + x", "ä~_-.", "%2F"]
+    got = [r[0] for r in _column(spark, ids, X.report_path("/r", F.col("v")))]
+    assert got == [f"/r/report_run_{urllib.parse.quote(i, safe='')}.html" for i in ids]
+    for bad in ("", None):
+        with pytest.raises(Exception, match="run id"):
+            _column(spark, [bad], X.report_path("/r", F.col("v")))
 
 
 @settings(max_examples=15, deadline=None)
