@@ -47,7 +47,15 @@ def start(
         return None
     writer = stream.writeStream.option("checkpointLocation", checkpoint).foreachBatch(on_batch)
     if once:
-        return writer.trigger(availableNow=True).start()
+        # Timers ask for batches without data for ever; a catch-up ends with the data. The query
+        # keeps the setting that it was started under.
+        conf, name = stream.sparkSession.conf, "spark.sql.streaming.noDataMicroBatches.enabled"
+        before = conf.get(name)
+        conf.set(name, "false")
+        try:
+            return writer.trigger(availableNow=True).start()
+        finally:
+            conf.set(name, before)
     return writer.trigger(processingTime=f"{min_seconds} seconds").start()
 
 

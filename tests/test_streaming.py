@@ -7,11 +7,12 @@ from contract import queries as Q
 from runcourier.operators.alerts import evaluate, states, transitions
 from runcourier.operators.cadence import debounce
 from runcourier.operators.deliver import alert_outbox, fan_out
-from runcourier.schema import SUBSCRIPTION
+from runcourier.schema import ALERT_RULE, SUBSCRIPTION
 from runcourier.sources.event_runs import event_tables, read_events, tables_from_events, tagged
 from runcourier.sources.tables import inline_tables, load_tables, save_tables, whole_text
 from runcourier.streaming import jobs as SJ
 from runcourier.streaming.changes import file_changes, table_changes
+from runcourier.streaming.notify import notification_stream
 from runcourier.streaming.state import StateTable, read_outbox
 
 SF = "/root/testdata/sf0.001"
@@ -167,3 +168,69 @@ def test_state_table(spark, tmp_path):
     assert state(4) == {"a": "04", "k0": "01", "k1": "02", "k2": "03", "k3": "04"}
 
 
+
+
+def test_a_timer_notifies_again_without_new_runs(spark, tmp_path):
+    folder, out = str(tmp_path / "suites"), str(tmp_path / "fires")
+    rows = [("1", "S", 5, 5, 0, 1), ("2", "S", 5, 4, 1, 2), ("2", "U", 5, 5, 0, 2)]
+    schema = (
+        "run_id string, suite_category string, total_count int, success_count int, failure_count int, ts timestamp_ntz"
+    )
+    add = lambda found: spark.createDataFrame(found, schema.replace("timestamp_ntz", "int")).withColumn(
+        "ts", F.timestamp_seconds("ts").cast("timestamp_ntz")
+    ).coalesce(1).write.mode("append").parquet(folder)
+    add(rows)
+    rules = spark.createDataFrame([("r", "failure_count", "GREATER_THAN", 0.0, 2)], ALERT_RULE)
+    fires = notification_stream(spark.readStream.schema(schema).parquet(folder), rules)
+    query = SJ.start(
+        fires, lambda batch, i: batch.write.mode("append").parquet(out), f"{tmp_path}/c", min_seconds=1
+    )
+
+    def seen():
+        try:
+            return sorted((r.suite_category, r.run_id, r.reason) for r in spark.read.schema(fires.schema).parquet(out).collect())
+        except Exception:  # noqa: BLE001
+            return []
+
+    try:
+        end = time.time() + 90
+        while time.time() < end and seen().count(("S", "2", "AGAIN")) < 2:
+            time.sleep(1)
+        assert set(seen()) == {("S", "2", "FIRST"), ("S", "2", "AGAIN")}
+        assert seen().count(("S", "2", "FIRST")) == 1 and seen().count(("S", "2", "AGAIN")) >= 2
+        add([("3", "S", 5, 5, 0, 10)])  # it is OK again
+        progress = lambda: sum(p["numInputRows"] for p in query.recentProgress)
+        while time.time() < end and progress() < 4:
+            time.sleep(1)
+        time.sleep(3)
+        n = len(seen())
+        time.sleep(5)
+        assert len(seen()) == n
+    finally:
+        query.stop()
+
+
+def test_notifications_of_a_stream_follow_the_newest_run(spark, tmp_path):
+    folder = str(tmp_path / "suites")
+    schema = (
+        "run_id string, suite_category string, total_count int, success_count int, failure_count int, second long"
+    )
+    rules = spark.createDataFrame([("r", "failure_count", "GREATER_THAN", 0.0, 10)], ALERT_RULE)
+    batches = [
+        # the order within a batch is that of times and, within a second, of numbers
+        [("10", "S", 1, 0, 1, 3), ("9", "S", 1, 1, 0, 3), ("8", "S", 1, 0, 1, 1)],
+        [("11", "S", 1, 0, 1, 12), ("7", "S", 1, 1, 0, 2), ("12", "S", 1, 0, 1, 13)],
+        [("13", "S", 1, 0, 1, None), ("14", "S", 1, 0, 1, 30), (None, "T", 1, 0, 1, 5), ("1", None, 1, 0, 1, 5)],
+    ]
+    got = []
+    for rows in batches:
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(folder)
+        stream = spark.readStream.schema(schema).parquet(folder)
+        stream = stream.withColumn("ts", F.timestamp_seconds("second").cast("timestamp_ntz")).drop("second")
+        fires = notification_stream(stream, rules, order="numeric")
+        SJ.start(fires, lambda batch, i: got.extend(batch.collect()), f"{tmp_path}/c", once=True).awaitTermination()
+    seen = [(r.suite_category, r.run_id, r.reason) for r in got]
+    assert sorted(s for s in seen if s[0] == "S") == [
+        ("S", "10", "FIRST"), ("S", "12", "AGAIN"), ("S", "14", "AGAIN"), ("S", "8", "FIRST"),
+    ]
+    assert (None, "1", "FIRST") in seen and ("T", None, "FIRST") in seen
