@@ -767,12 +767,33 @@ ORACLE: dict[str, str] = {
               FROM orders)
         WHERE fired <> was""",
     "snapshot_half_minutes": _sql(
-        """SELECT slot, max(run_id) AS run_id
-           FROM (SELECT day + to_seconds(30 * i) AS slot
-                 FROM (SELECT date_trunc('day', min(ts))::TIMESTAMP AS day FROM known), range(0, 2881) AS t(i))
-           LEFT JOIN known ON ts <= slot GROUP BY slot""",
-        known="SELECT run_id, min(date_trunc('second', ts)) AS ts FROM e GROUP BY run_id",
+        "SELECT slot, run_id FROM best",
+        **{
+            **_asof(_steps("30 SECOND"), "SELECT run_id, min(ts) AS ts FROM e GROUP BY run_id"),
+            "bounds": _PAIRED["bounds"],
+        },
     ),
+    "stream_alerts_once": _sql("SELECT * FROM alert_box", **_FANOUT),
+    "stream_any_table": _sql("""
+        SELECT 'suite_status' AS source, run_id, count(*) AS n FROM suite_status GROUP BY run_id
+        UNION ALL SELECT 'failed_check', run_id, count(*) FROM failed_check GROUP BY run_id
+        UNION ALL SELECT 'threshold_breach', run_id, count(*) FROM threshold_breach GROUP BY run_id"""),
+    "jobs_run_again": _sql(f"""
+        SELECT md5('chat|slack|https://example.com/h|' || run_id) AS delivery_id, 'chat' AS kind, 'slack' AS channel,
+               'https://example.com/h' AS address, run_id, {_TITLE} AS subject, 'READY' AS status
+        FROM first_suite WHERE run_id = {_LATEST}
+        UNION ALL
+        SELECT md5('email|ses|a@example.com|' || run_id || '|0'), 'email', 'ses', 'a@example.com', run_id,
+               'Regression Report — Run ' || run_id || ' — ' || execution_status, 'READY'
+        FROM first_suite WHERE run_id = {_LATEST}"""),
+    "run_by_id": _sql(
+        "SELECT * FROM failed_check WHERE run_id = (SELECT min(run_id) FROM threshold_breach)"
+    ),
+    "views_as_sql": _sql(f"""
+        SELECT s.run_id, s.suite_category, s.run_id = {_LATEST} AS is_latest, f.n AS n_failed
+        FROM suite_status s LEFT JOIN (
+            SELECT run_id, suite_category, count(*) AS n FROM failed_check GROUP BY run_id, suite_category) f
+        USING (run_id, suite_category)"""),
     "stream_reports": _sql(f"""
         SELECT run_id, 'generic' AS channel, 'https://example.com/hook' AS address, {_TITLE} AS subject,
                'READY' AS status FROM first_suite"""),

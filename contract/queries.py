@@ -20,7 +20,7 @@ from runcourier.sources.event_runs import (
     read_events,
     tagged,
 )
-from runcourier.sources.params import EmailParams
+from runcourier.sources.params import ChatParams, EmailParams
 from runcourier.streaming import changes as C
 from runcourier.streaming import jobs as SJ
 from runcourier.streaming import notify as NS
@@ -692,16 +692,20 @@ def stream_outbox(spark, sf_dir, fmt=HOURLY):
 
 def stream_alerts_again(spark, sf_dir, fmt=HOURLY):
     """Alert mails from five micro-batches, in which older runs are updated after newer ones."""
+    return _all_sent(spark, sf_dir, fmt, (0, 1, 0, 2, 3))
+
+
+def stream_alerts_once(spark, sf_dir, fmt=HOURLY):
+    """All rows that seven micro-batches sent: runs updated several times are mailed once."""
+    return _all_sent(spark, sf_dir, fmt, (3, 1, 1, 0, 2, 0, 3), latest=False)
+
+
+def _all_sent(spark, sf_dir, fmt, steps, latest=True):
     work = work_path(spark, "alerts")
     tables = event_tables(spark, sf_dir, fmt)
     runs_ = tables.suite_status.select("run_id").distinct()
-    share = F.percent_rank().over(Window.orderBy("run_id"))
-    quarter = cut(runs_.withColumn("q", F.least(F.floor(share * 4), F.lit(3))))
-    for q in (0, 1, 0, 2, 3):  # one file, thus one micro-batch, each
-        quarter.where(F.col("q") == q).select("run_id").coalesce(1).write.mode("append").parquet(
-            f"{work}/updates"
-        )
-    stream = C.file_changes(spark, f"{work}/updates", "*.parquet", "run_id string", 1)
+    # Four ranges of run ids; their limits do not matter.
+    ranged = cut(runs_.repartitionByRange(4, "run_id").withColumn("q", F.spark_partition_id()))
     on_batch = SJ.alert_batches(
         lambda: tables,
         rules(spark),
@@ -709,16 +713,71 @@ def stream_alerts_again(spark, sf_dir, fmt=HOURLY):
         SJ.alert_state_table(f"{work}/state"),
         f"{work}/outbox",
     )
-    SJ.start(stream, on_batch, f"{work}/checkpoint", once=True).awaitTermination()
-    return SS.read_outbox(spark, f"{work}/outbox")
+    for q in steps:
+        ranged.where(F.col("q") == q).select("run_id").write.mode("append").parquet(f"{work}/updates")
+        stream = C.file_changes(spark, f"{work}/updates", "*.parquet", "run_id string")
+        SJ.start(stream, on_batch, f"{work}/checkpoint", once=True).awaitTermination()
+    if latest:
+        return SS.read_outbox(spark, f"{work}/outbox")
+    return spark.read.parquet(f"{work}/outbox").drop("batch")
+
+
+def stream_any_table(spark, sf_dir, fmt=HOURLY):
+    """Runs that an update of any of three tables touched, over three micro-batches."""
+    work = work_path(spark, "changes")
+    tables = event_tables(spark, sf_dir, fmt)
+    names = ["suite_status", "failed_check", "threshold_breach"]
+    for name in names:
+        T.append(tables.table(name).limit(0), f"{work}/tables/{name}")
+    found = f"{work}/touched"
+    for i, name in enumerate(names):
+        T.append(tables.table(name), f"{work}/tables/{name}")
+        stream = C.table_changes(spark, f"{work}/tables", names)
+        on_batch = lambda batch, n: SS.write_batch(
+            batch.groupBy("table", "run_id").agg(F.count("*").alias("n")), found, n
+        )
+        SJ.start(stream, on_batch, f"{work}/checkpoint", once=True).awaitTermination()
+    return spark.read.parquet(found).groupBy("table", "run_id").agg(F.sum("n").alias("n")).select(
+        F.col("table").alias("source"), "run_id", "n"
+    )
+
+
+def jobs_run_again(spark, sf_dir, fmt=HOURLY):
+    """The chat and email jobs of the latest run, each run twice: what the outbox holds."""
+    work = work_path(spark, "jobs")
+    tables = event_tables(spark, sf_dir, fmt)
+    mail = EmailParams(recipients="a@example.com", provider="ses", dry_run="false")
+    for _ in range(2):
+        jobs.chat_job(tables, ChatParams(webhook_url="https://example.com/h"), f"{work}/r", f"{work}/chat")
+        jobs.email_job(tables, mail, f"{work}/r", f"{work}/mail")
+    columns = ["delivery_id", "kind", "channel", "address", "run_id", "subject", "status"]
+    chat = spark.read.parquet(f"{work}/chat").select(*columns)
+    return chat.unionByName(spark.read.parquet(f"{work}/mail").select(*columns))
+
+
+def run_by_id(spark, sf_dir, fmt=HOURLY):
+    """The failed checks of one run, named by its id: the earliest with a breach."""
+    tables = event_tables(spark, sf_dir, fmt)
+    run = sections.runs_with(tables, "threshold").agg(F.min("run_id")).first()[0]
+    return tables.of_run(run or "none").failed_check
+
+
+def views_as_sql(spark, sf_dir, fmt=HOURLY):
+    """The named datasets, as views that SQL reads."""
+    T.register_views(event_tables(spark, sf_dir, fmt), "v_")
+    return spark.sql(
+        "SELECT s.run_id, s.suite_category, l.run_id IS NOT NULL AS is_latest, f.n AS n_failed"
+        " FROM v_suite_status s LEFT JOIN v_latest_run_summary l"
+        " ON l.run_id = s.run_id AND l.suite_category = s.suite_category"
+        " LEFT JOIN (SELECT run_id, suite_category, count(*) AS n FROM v_failed_check GROUP BY ALL) f"
+        " ON f.run_id = s.run_id AND f.suite_category = s.suite_category"
+    )
 
 
 def snapshot_half_minutes(spark, sf_dir, fmt=HOURLY):
-    """The latest run every 30 seconds of the first day."""
+    """The latest run every 30 seconds."""
     known = _run_times(spark, sf_dir, fmt)
-    day = known.agg(F.date_trunc("day", F.min("ts")).cast("timestamp_ntz").alias("lo"))
-    limits = day.select("lo", (F.col("lo") + F.expr("interval 1 day")).alias("hi"))
-    due = cadence.slots(limits, cadence.Cadence("half", step="30 seconds"))
+    due = cadence.slots(cadence.bounds(known), cadence.Cadence("half", step="30 seconds"))
     return runs.latest_at(known, due)
 
 
@@ -862,6 +921,11 @@ QUERIES: dict[str, Query] = {
     "upsert_definitions": upsert_definitions,
     "stream_outbox": stream_outbox,
     "stream_alerts_again": stream_alerts_again,
+    "stream_alerts_once": stream_alerts_once,
+    "stream_any_table": stream_any_table,
+    "jobs_run_again": jobs_run_again,
+    "run_by_id": run_by_id,
+    "views_as_sql": views_as_sql,
     "snapshot_half_minutes": snapshot_half_minutes,
     "slots_half_hour_zone": slots_half_hour_zone,
     "transitions_numeric": transitions_numeric,

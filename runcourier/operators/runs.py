@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from runcourier.functions.text import trim_all
 from runcourier.schema import RUN_ORDERS, one_of
+from runcourier.sources.tables import ReportTables
 
 
 def latest_run(suite_status: DataFrame, order: str = "lexical") -> DataFrame:
@@ -40,6 +41,13 @@ def top_run(suite_status: DataFrame) -> DataFrame:
     return suite_status.select("run_id").orderBy(F.desc("run_id")).limit(1)
 
 
+def run_status(tables: ReportTables) -> DataFrame:
+    """The execution status of every run, the smallest of its suites."""
+    return tables.suite_status.groupBy("run_id").agg(
+        F.min("execution_status").alias("execution_status")
+    )
+
+
 def resolve(param: str | None | Column, suite_status: DataFrame, order: str = "lexical") -> Column:
     """The run id a job parameter stands for: blank, all space and null mean the latest."""
     latest = latest_id(suite_status, order)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,7 +18,8 @@ from runcourier.operators.deliver import (
 )
 from runcourier.operators.documents import documents
 from runcourier.operators.render import write_reports
-from runcourier.operators.runs import latest_at, resolve, run_key
+from runcourier.operators.runs import latest_at, resolve, run_key, run_status
+from runcourier.session import cut
 from runcourier.sources.params import ChatParams, EmailParams
 from runcourier.sources.sample import sample_tables
 from runcourier.sources.tables import ReportTables
@@ -32,12 +34,26 @@ def reports(tables: ReportTables, profile: str = "compact", mode: str = "first")
     return documents(tables, profile, mode).select("run_id", "part_no", "n_parts", "offset", "html")
 
 
+def append_new(rows: DataFrame, outbox: str) -> None:
+    """Add deliveries to an outbox, except those whose id it has: a job run again adds nothing.
+
+    Only the ids of the outbox are read.
+    """
+    spark = rows.sparkSession
+    try:
+        known = spark.read.parquet(outbox).select("delivery_id").distinct()
+    except AnalysisException:  # nothing was sent yet
+        known = None
+    new = rows if known is None else cut(rows.join(known, "delivery_id", "left_anti")).select(rows.columns)
+    new.write.mode("append").parquet(outbox)
+
+
 def chat_job(tables: ReportTables, params: ChatParams, folder: str, outbox: str) -> None:
     """Report file and chat message of one run. Without a URL the message is a preview."""
     report = documents(_of_param(tables, params.run_id, params.run_order)).persist()
     write_reports(report, folder)
     rows = chat_outbox(report, params.webhook_url, params.webhook_format, folder)
-    rows.write.mode("append").parquet(outbox)
+    append_new(rows, outbox)
     report.unpersist()
 
 
@@ -56,7 +72,7 @@ def email_job(
         bool(params.dry_run),
         token,
     )
-    rows.write.mode("append").parquet(outbox)
+    append_new(rows, outbox)
     report.unpersist()
 
 
@@ -76,12 +92,6 @@ def rearmed_alert_job(
     return alert_outbox(fan_out(fires, subscriptions), run_status(tables.of_run(target)))
 
 
-def run_status(tables: ReportTables) -> DataFrame:
-    return tables.suite_status.groupBy("run_id").agg(
-        F.min("execution_status").alias("execution_status")
-    )
-
-
 def alert_job(
     tables: ReportTables, rules: DataFrame, subscriptions: DataFrame, run_id: str | None = None,
     paused: bool = False, order: str = "lexical",

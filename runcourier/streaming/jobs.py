@@ -16,12 +16,12 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from runcourier.functions.ordered import previous
-from runcourier.operators.alerts import changes, evaluate, states
+from runcourier.operators.alerts import evaluate, states
 from runcourier.operators.cadence import debounce
 from runcourier.operators.deliver import alert_outbox, chat_outbox, email_outbox, fan_out
 from runcourier.operators.documents import documents
 from runcourier.operators.render import write_reports
-from runcourier.operators.runs import run_key
+from runcourier.operators.runs import run_key, run_status
 from runcourier.sources.params import EmailParams
 from runcourier.sources.tables import ReportTables
 from runcourier.streaming.state import StateTable, write_batch
@@ -145,37 +145,22 @@ def alert_batches(
     outbox: str,
     order: str = "lexical",
 ) -> Callable[[DataFrame, int], None]:
-    """Evaluate the touched runs, and tell subscribers about alerts that were triggered.
+    """Evaluate the touched runs, and tell subscribers about alerts that are triggered now and were not.
 
-    The state has every run of a rule and suite, so runs may be updated in any order: a touched
-    run is judged against the run before it, and the run behind a touched one is judged anew.
+    The state has every run of a rule and suite, so runs may be updated in any order: a touched run is
+    judged against the run before it, and the run behind a touched one is judged anew. Both are compared
+    with what the state said before the batch, so an update that changes nothing sends nothing.
     """
     keys = ["rule_id", "suite_category"]
 
     def on_batch(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         runs = _touched(batch).persist()
-        cut_tables = tables().of_runs(runs)
-        now = states(evaluate(cut_tables.suite_status, rules)).persist()
+        now = states(evaluate(tables().of_runs(runs).suite_status, rules)).persist()
         try:
             old = state.read(spark, batch_id).join(now.select(*keys).distinct(), keys, "left_semi")
-            other = old.join(now.select(*keys, "run_id"), [*keys, "run_id"], "left_anti")
-            known = now.withColumn("_touched", F.lit(True)).unionByName(
-                other.withColumn("_touched", F.lit(False))
-            )
-            # What a run follows, and whether that was touched, in one value.
-            pair = F.struct("fired", "_touched")
-            seen = previous(
-                known.withColumn("_key", run_key(order)).withColumn("_state", pair),
-                keys, ["_key"], "_state",
-            )
-            before = F.coalesce(F.col("previous__state.fired"), F.lit(False))
-            judged = seen.where(
-                F.col("_touched") | F.coalesce(F.col("previous__state._touched"), F.lit(False))
-            ).select(*keys, "run_id", "fired", before.alias("fired_before"))
-            fired = changes(judged).where("change = 'TRIGGERED'")
-            names = tables().of_runs(fired.select("run_id").distinct()).suite_status
-            names = names.groupBy("run_id").agg(F.min("execution_status").alias("execution_status"))
+            fired = _newly_triggered(old, now, keys, order)
+            names = run_status(tables().of_runs(fired.select("run_id").distinct()))
             write_batch(alert_outbox(fan_out(fired, subscriptions), names), outbox, batch_id)
             state.write(now, batch_id)
         finally:
@@ -185,6 +170,21 @@ def alert_batches(
     return on_batch
 
 
+def _newly_triggered(old: DataFrame, now: DataFrame, keys: list[str], order: str) -> DataFrame:
+    """Runs that an alert is triggered by after a batch, but was not by before it."""
+    place = [*keys, "run_id"]
+    was = old.select(*place, F.col("fired").alias("_was"))
+    both = was.join(now.select(*place, F.col("fired").alias("_now")), place, "full_outer")
+    known = both.select(*place, "_was", F.coalesce("_now", "_was").alias("_is"))
+    known = known.withColumn("_key", run_key(order))
+    after = previous(known, keys, ["_key"], "_is")
+    triggered = F.col("_is") & ~F.coalesce("previous__is", F.lit(False))
+    after = after.where(triggered).select(*place)
+    before = previous(known.where("_was is not null"), keys, ["_key"], "_was")
+    told = F.col("_was") & ~F.coalesce("previous__was", F.lit(False))
+    return after.join(before.where(told).select(*place), place, "left_anti")
+
+
 def fire_state_table(path: str, key: str, key_type: T.DataType) -> StateTable:
     schema = T.StructType(
         [T.StructField(key, key_type), T.StructField("last_fire", T.TimestampNTZType())]

@@ -16,7 +16,7 @@ from pyspark.sql.streaming.stateful_processor import StatefulProcessor, Stateful
 
 from runcourier.operators.alerts import evaluate
 from runcourier.operators.deliver import alert_outbox, fan_out
-from runcourier.operators.runs import run_key
+from runcourier.operators.runs import run_key, run_status
 from runcourier.sources.tables import ReportTables
 from runcourier.streaming.state import write_batch
 
@@ -148,8 +148,7 @@ def notification_batches(
     def on_batch(batch: DataFrame, batch_id: int) -> None:
         fires = batch.persist()
         try:
-            names = tables().of_runs(fires.select("run_id").distinct()).suite_status
-            status = names.groupBy("run_id").agg(F.min("execution_status").alias("execution_status"))
+            status = run_status(tables().of_runs(fires.select("run_id").distinct()))
             write_batch(alert_outbox(fan_out(fires, subscriptions), status), outbox, batch_id)
         finally:
             fires.unpersist()

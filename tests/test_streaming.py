@@ -234,3 +234,30 @@ def test_notifications_of_a_stream_follow_the_newest_run(spark, tmp_path):
         ("S", "10", "FIRST"), ("S", "12", "AGAIN"), ("S", "14", "AGAIN"), ("S", "8", "FIRST"),
     ]
     assert (None, "1", "FIRST") in seen and ("T", None, "FIRST") in seen
+
+
+def test_an_update_without_change_sends_nothing(spark, tmp_path):
+    work = str(tmp_path)
+    suites = {"1": ("1", "S", "PASSED", "PASS", 5, 5, 0, "t", "u"), "2": ("2", "S", "FAILED", "FAIL", 5, 4, 1, "t", "u")}
+    rules = spark.createDataFrame([("r", "failure_count", "GREATER_THAN", 0.0, 0)], ALERT_RULE)
+    subs = spark.createDataFrame([("r", "user", "a", False)], SUBSCRIPTION)
+
+    def batch(i, runs):
+        on_batch = SJ.alert_batches(
+            lambda: inline_tables(spark, suite_status=list(suites.values())), rules, subs,
+            SJ.alert_state_table(f"{work}/state"), f"{work}/outbox",
+        )
+        on_batch(spark.createDataFrame([(r,) for r in runs], "run_id string"), i)
+        return [r.run_id for r in spark.read.parquet(f"{work}/outbox/batch={i}").collect()]
+
+    assert batch(0, ["1", "2"]) == ["2"]
+    assert batch(1, ["1"]) == [] and batch(2, ["2"]) == []
+    suites["1"] = ("1", "S", "FAILED", "FAIL", 5, 4, 1, "t", "u")
+    # The first run fires now; the second one did already, and no longer follows an OK.
+    assert batch(3, ["1"]) == ["1"]
+    suites["1"] = ("1", "S", "PASSED", "PASS", 5, 5, 0, "t", "u")
+    assert batch(4, ["1"]) == ["2"]
+    # A run between two known ones.
+    suites["15"] = ("15", "S", "FAILED", "FAIL", 5, 4, 1, "t", "u")
+    assert batch(5, ["15"]) == ["15"]
+    assert batch(5, ["15"]) == ["15"]  # a repeated batch is the same
