@@ -638,6 +638,17 @@ ORACLE: dict[str, str] = {
         **_NOTIFICATIONS,
     ),
     "alert_mails_again": _sql("SELECT * FROM again_box", **_MAILS_AGAIN),
+    "alert_bodies": _sql(
+        """SELECT delivery_id, run_id, '{"rule_id":"' || rule_id || '","suite_category":"' || suite_category
+                  || '","body":"/r/report_run_' || run_id || '.html","body_md5":"' || md5(html) || '"}' AS payload, true AS there
+           FROM (SELECT d.*, md5('alert|' || kind || '|' || address || '|' || run_id || '|' || rule_id || '|' || suite_category)
+                        AS delivery_id FROM deliveries d) JOIN report USING (run_id)""",
+        **_FANOUT,
+        **_report("plain"),
+    ),
+    "runs_by_bucket": _sql(
+        "SELECT * FROM failed_check WHERE run_id[1:8] = (SELECT min(run_id)[1:8] FROM suite_status)"
+    ),
     "alert_job_rearmed": _coarse(
         "%Y%m%d",
         "SELECT * FROM again_box WHERE run_id = (SELECT max(run_id) FROM walk WHERE fires AND reason = 'AGAIN')",
@@ -750,6 +761,22 @@ ORACLE: dict[str, str] = {
         FROM run_request o
         FULL OUTER JOIN (SELECT run_id AS id, max(threshold_query_description) AS name, count(*)::INT AS version
                          FROM threshold_breach GROUP BY run_id) u ON u.id = o.run_id"""),
+    "upsert_buckets": _sql("""
+        SELECT coalesce(u.id, o.run_id) AS id, coalesce(u.name, o.task_id) AS name, coalesce(u.version + 10, 0)::INT AS version
+        FROM run_request o
+        FULL OUTER JOIN (SELECT run_id AS id, max(threshold_query_description) AS name, count(*)::INT AS version
+                         FROM threshold_breach GROUP BY run_id) u ON u.id = o.run_id"""),
+    "once_sent": _sql(
+        """SELECT x.kind AS channel, x.address, b.run_id,
+                  '{"cadence":"launch","slot":"' || strftime(b.slot, '%Y-%m-%d %H:%M')
+                  || '","body":"reports/report_run_' || b.run_id || '.html"}' AS payload
+           FROM best b JOIN subscription x ON x.rule_id = '15min' AND NOT x.paused WHERE b.run_id IS NOT NULL""",
+        **{
+            **_asof(_ONCE, "SELECT run_id, min(ts) AS ts FROM e GROUP BY run_id"),
+            "bounds": _PAIRED["bounds"],
+            "subscription": _SUBSCRIPTIONS,
+        },
+    ),
     "stream_outbox": _sql("SELECT * FROM alert_box", **_FANOUT),
     "stream_alerts_again": _sql("SELECT * FROM alert_box", **_FANOUT),
     "slots_half_hour_zone": """

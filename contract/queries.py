@@ -414,6 +414,29 @@ def alert_job_rearmed(spark, sf_dir, fmt="yyyyMMdd"):
     return jobs.rearmed_alert_job(tables, times, days, subscriptions(spark, sf_dir), run)
 
 
+def alert_bodies(spark, sf_dir, fmt=HOURLY):
+    """Alert mails that name the digest of their run's plain report, and whether a body is there."""
+    tables = event_tables(spark, sf_dir, fmt)
+    bodies = cut(deliver.report_bodies(documents.documents(tables, "plain")))
+    fired = _transitions(spark, sf_dir, fmt).where("change = 'TRIGGERED'")
+    sent = deliver.fan_out(fired, subscriptions(spark, sf_dir))
+    mails = deliver.alert_outbox(sent, _status(tables), folder="/r", bodies=bodies)
+    named = mails.withColumn("digest", F.get_json_object("payload", "$.body_md5"))
+    there = bodies.select("digest", F.lit(True).alias("there"))
+    found = named.join(there, "digest", "left")
+    return found.select("delivery_id", "run_id", "payload", F.coalesce("there", F.lit(False)).alias("there"))
+
+
+def runs_by_bucket(spark, sf_dir, fmt=HOURLY):
+    """Tables stored in run buckets, and the failed checks of the runs of one day read from theirs."""
+    folder = work_path(spark, "by-run")
+    T.save_run_tables(event_tables(spark, sf_dir, fmt), folder)
+    tables = T.load_run_tables(spark, folder)
+    day = tables.suite_status.agg(F.min("run_id")).first()[0] or ""
+    runs_ = tables.suite_status.where(F.col("run_id").startswith(day[:8])).select("run_id").distinct()
+    return tables.of_runs(cut(runs_)).section("failed")
+
+
 def daily_rules(spark):
     return rules(spark).withColumn("rearm_seconds", F.col("rearm_seconds") * 12)
 
@@ -667,6 +690,34 @@ def upsert_definitions(spark, sf_dir, fmt=HOURLY):
     return T.upsert(existing, updates, ["id"])
 
 
+def upsert_buckets(spark, sf_dir, fmt=HOURLY):
+    """Definitions stored in buckets, upserted twice; only the buckets of the updates are written."""
+    path = work_path(spark, "definitions")
+    tables = event_tables(spark, sf_dir, fmt)
+    existing = tables.run_request.select(
+        F.col("run_id").alias("id"), F.col("task_id").alias("name"), F.lit(0).alias("version")
+    )
+    updates = tables.threshold_breach.groupBy(F.col("run_id").alias("id")).agg(
+        F.max("threshold_query_description").alias("name"), F.count("*").cast("int").alias("version")
+    )
+    T.save_buckets(existing, path, ["id"])
+    T.upsert_buckets(spark, path, updates, ["id"])
+    T.upsert_buckets(spark, path, updates.withColumn("version", F.col("version") + 10), ["id"])
+    return T.read_buckets(spark, path)
+
+
+def once_sent(spark, sf_dir, fmt=HOURLY):
+    """The one-time send, run on the runs of the first days, again, and again on all runs."""
+    work = work_path(spark, "once")
+    known = _run_times(spark, sf_dir, fmt)
+    first = known.agg(F.min("ts")).first()[0]
+    early = known.where(F.col("ts") < F.lit(first) + F.expr("interval 3 days"))
+    subs = subscriptions(spark, sf_dir).where("rule_id = '15min'").withColumn("rule_id", F.lit("launch"))
+    for seen in (early, early, known):
+        jobs.once_job(seen, subs, "launch", f"{work}/ledger", f"{work}/outbox", cadence.ZONE)
+    return spark.read.parquet(f"{work}/outbox").select("channel", "address", "run_id", "payload")
+
+
 # ------------------------------------------------------------- streaming
 
 
@@ -888,6 +939,8 @@ QUERIES: dict[str, Query] = {
     "alert_fanout": alert_fanout,
     "alert_outbox": alert_outbox,
     "alert_mails_again": alert_mails_again,
+    "alert_bodies": alert_bodies,
+    "runs_by_bucket": runs_by_bucket,
     "alert_job_rearmed": alert_job_rearmed,
     "alert_latest": alert_latest,
     "parse_recipients": parse_recipients,
@@ -919,6 +972,8 @@ QUERIES: dict[str, Query] = {
     "report_layout": report_layout,
     "report_definition": report_definition,
     "upsert_definitions": upsert_definitions,
+    "upsert_buckets": upsert_buckets,
+    "once_sent": once_sent,
     "stream_outbox": stream_outbox,
     "stream_alerts_again": stream_alerts_again,
     "stream_alerts_once": stream_alerts_once,

@@ -384,26 +384,49 @@ def email_outbox(
     return rows
 
 
+def report_bodies(documents: DataFrame) -> DataFrame:
+    """Documents as bodies of mails, stored once however many mails have them: ``digest``, ``run_id``,
+    ``part_no``, ``n_parts``, ``html``. The digest is the md5 of a document, or of the md5s of its parts."""
+    parts = documents.select("run_id", "part_no", "n_parts", F.md5("html").alias("_m"))
+    whole = F.array_sort(F.collect_list(F.struct("part_no", "_m")))["_m"]
+    # Parts are few, and only their digests are collected.
+    several = parts.where("n_parts > 1").groupBy("run_id").agg(F.md5(F.array_join(whole, "")).alias("digest"))
+    single = documents.where("n_parts = 1").withColumn("digest", F.md5("html"))
+    joined = documents.where("n_parts > 1").join(several, "run_id")
+    columns = ["digest", "run_id", "part_no", "n_parts", "html"]
+    return single.select(*columns).unionByName(joined.select(*columns))
+
+
 def alert_outbox(
-    deliveries: DataFrame, status_of_run: DataFrame, title: str = TITLE
+    deliveries: DataFrame, status_of_run: DataFrame, title: str = TITLE, folder: str = "reports",
+    bodies: DataFrame | None = None,
 ) -> DataFrame:
     """Alert mails to subscribers. The body is the run's stored report, named by its path.
 
+    With ``bodies`` (``run_id``, ``digest``) it is named by its digest too; a sender joins the text by
+    it, so the fan-out to subscribers never multiplies texts.
+
     ``deliveries`` may come from state changes or from notifications; one that is sent ``AGAIN`` is told
     apart by its time and says so.
     """
+    if bodies is not None:
+        named_by = bodies.select("run_id", F.col("digest").alias("_digest")).distinct()
+        status_of_run = status_of_run.join(named_by, "run_id", "left")
+    # One row per run, joined after it is complete.
     named = deliveries.join(status_of_run, "run_id", "left")
     key, more = F.concat_ws("|", "rule_id", "suite_category"), []
     if "reason" in deliveries.columns:
         at = F.when(F.col("reason") == "AGAIN", F.date_format("fire_ts", "yyyy-MM-dd HH:mm:ss"))
         key = F.concat_ws("|", key, at)
         more = [at.alias("again_at")]
+    if bodies is not None:
+        more.append(F.col("_digest").alias("body_md5"))
     subject = alert_subject(F.col("run_id"), F.col("execution_status"), title)
     payload = F.to_json(
         F.struct(
             F.col("rule_id"),
             F.col("suite_category"),
-            report_path("reports", F.col("run_id")).alias("body"),
+            report_path(folder, F.col("run_id")).alias("body"),
             *more,
         ),
     )

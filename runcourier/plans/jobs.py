@@ -34,17 +34,17 @@ def reports(tables: ReportTables, profile: str = "compact", mode: str = "first")
     return documents(tables, profile, mode).select("run_id", "part_no", "n_parts", "offset", "html")
 
 
-def append_new(rows: DataFrame, outbox: str) -> None:
+def append_new(rows: DataFrame, outbox: str, key: str = "delivery_id") -> None:
     """Add deliveries to an outbox, except those whose id it has: a job run again adds nothing.
 
     Only the ids of the outbox are read.
     """
     spark = rows.sparkSession
     try:
-        known = spark.read.parquet(outbox).select("delivery_id").distinct()
+        known = spark.read.parquet(outbox).select(key).distinct()
     except AnalysisException:  # nothing was sent yet
         known = None
-    new = rows if known is None else cut(rows.join(known, "delivery_id", "left_anti")).select(rows.columns)
+    new = rows if known is None else cut(rows.join(known, key, "left_anti")).select(rows.columns)
     new.write.mode("append").parquet(outbox)
 
 
@@ -142,6 +142,28 @@ def snapshot_job(
     return snapshot_outbox(fan_out(snapshots(latest_at(runs, due, order=order), name), subscriptions))
 
 
+LEDGER = "schedule string, slot timestamp_ntz"
+
+
+def once_job(
+    runs: DataFrame, subscriptions: DataFrame, schedule: str, ledger: str, outbox: str, zone: str,
+    order: str = "lexical",
+) -> None:
+    """A one-time send: the run shown at the first slot, mailed once.
+
+    The ledger names the schedules that are consumed; no slots are made for them any more. It is written
+    behind the outbox, whose ids tell a job that was stopped in between what was sent.
+    """
+    spark = runs.sparkSession
+    append_new(spark.createDataFrame([], LEDGER), ledger, "schedule")
+    consumed = spark.read.schema(LEDGER).parquet(ledger).where(F.col("schedule") == schedule)
+    limits = bounds(runs).withColumn("schedule", F.lit(schedule)).join(consumed, "schedule", "left_anti")
+    due = slots(limits, "once", zone)
+    shown = cut(snapshots(latest_at(runs, due, order=order), schedule))
+    append_new(snapshot_outbox(fan_out(shown, subscriptions)), outbox)
+    append_new(shown.select(F.col("rule_id").alias("schedule"), "slot"), ledger, "schedule")
+
+
 def paired(alerts: DataFrame, scheduled: DataFrame) -> DataFrame:
     """Instant alerts and scheduled snapshots in one outbox; ``kind`` tells them apart."""
     return alerts.unionByName(scheduled)

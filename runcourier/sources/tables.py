@@ -8,11 +8,20 @@ from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from runcourier.schema import SECTIONS, TABLE_SCHEMAS
 from runcourier.session import cut, is_small
 
+# Buckets of a table that is upserted.
+BUCKETS = 64
+# Buckets of report tables by run, and the name of their partition column.
+RUN_BUCKETS, RUN_BUCKET = 256, "run_bucket"
+
+
+def run_bucket(run_id: Column) -> Column:
+    return F.pmod(F.xxhash64(run_id), F.lit(RUN_BUCKETS)).cast("int")
+
 
 @dataclass(frozen=True)
 class ReportTables:
@@ -37,15 +46,35 @@ class ReportTables:
         return replace(self, **{n: fn(self.table(n)) for n in TABLE_SCHEMAS})
 
     def of_run(self, run_id: str | Column) -> ReportTables:
-        """All four tables cut to one run; the filter reaches the scans."""
+        """All four tables cut to one run; the filter reaches the scans, and prunes run buckets."""
         value = F.lit(run_id) if isinstance(run_id, str) else run_id
-        return self.changed(lambda df: df.where(F.col("run_id") == value))
+
+        def cut_to(df: DataFrame) -> DataFrame:
+            if RUN_BUCKET in df.columns:
+                df = df.where(F.col(RUN_BUCKET) == run_bucket(value)).drop(RUN_BUCKET)
+            return df.where(F.col("run_id") == value)
+
+        return self.changed(cut_to)
 
     def of_runs(self, run_ids: DataFrame) -> ReportTables:
-        """All four tables cut to a list of runs (one column ``run_id``, unique)."""
+        """All four tables cut to a list of runs (one column ``run_id``, unique).
+
+        Tables in run buckets are read in the buckets of the list only, as a filter on partitions.
+        """
         small = is_small(run_ids)
         keys = F.broadcast(run_ids) if small else run_ids
-        return self.changed(lambda df: df.join(keys, "run_id", "left_semi"))
+        touched: list[int] = []
+        if RUN_BUCKET in self.suite_status.columns:
+            # RUN_BUCKETS numbers at most.
+            rows = run_ids.select(run_bucket(F.col("run_id")).alias("b")).distinct().collect()
+            touched = [r["b"] for r in rows if r["b"] is not None]
+
+        def cut_to(df: DataFrame) -> DataFrame:
+            if RUN_BUCKET in df.columns:
+                df = df.where(F.col(RUN_BUCKET).isin(touched)).drop(RUN_BUCKET)
+            return df.join(keys, "run_id", "left_semi")
+
+        return self.changed(cut_to)
 
     def without_runs(self, run_ids: DataFrame) -> ReportTables:
         """All four tables without the rows of a list of runs (one column ``run_id``, unique)."""
@@ -109,6 +138,29 @@ def save_tables(tables: ReportTables, folder: str, clustered: bool = True) -> No
         create_or_replace(by_run(df) if clustered else df, f"{folder}/{name}")
 
 
+def save_run_tables(tables: ReportTables, folder: str, mode: str = "overwrite") -> None:
+    """Store the tables in buckets by run, so that a list of runs reads its buckets only.
+
+    A hot run is split over files by the rebalance; ``mode="append"`` adds rows.
+    """
+    for name in TABLE_SCHEMAS:
+        rows = tables.table(name).withColumn(RUN_BUCKET, run_bucket(F.col("run_id")))
+        rows = rows.hint("rebalance", RUN_BUCKET).sortWithinPartitions(RUN_BUCKET, "run_id")
+        rows.write.mode(mode).partitionBy(RUN_BUCKET).parquet(f"{folder}/{name}")
+
+
+def load_run_tables(spark: SparkSession, folder: str) -> ReportTables:
+    """Read tables that ``save_run_tables`` wrote; slices by run are pruned by bucket."""
+    return ReportTables(
+        **{
+            n: spark.read.schema(StructType([*s.fields, StructField(RUN_BUCKET, IntegerType())])).parquet(
+                f"{folder}/{n}"
+            )
+            for n, s in TABLE_SCHEMAS.items()
+        }
+    )
+
+
 def upsert(existing: DataFrame, updates: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Update rows in place by key, add those that are new. ``updates`` is unique by key."""
     keys = list(keys)
@@ -125,6 +177,51 @@ def upsert_into(spark: SparkSession, path: str, updates: DataFrame, keys: Sequen
     create_or_replace(merged, path)
 
 
+def _bucket(keys: Sequence[str], buckets: int) -> Column:
+    return F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int")
+
+
+def save_buckets(df: DataFrame, path: str, keys: Sequence[str], buckets: int = BUCKETS) -> None:
+    """Write a table in buckets of its keys, for ``upsert_buckets``."""
+    rows = df.withColumn("_bucket", _bucket(keys, buckets)).repartition("_bucket")
+    rows.write.mode("overwrite").partitionBy("_bucket").parquet(path)
+
+
+def read_buckets(spark: SparkSession, path: str) -> DataFrame:
+    """The table, with whatever a stopped upsert left staged."""
+    finish_upsert(spark, path)
+    return spark.read.parquet(path).drop("_bucket")
+
+
+def upsert_buckets(
+    spark: SparkSession, path: str, updates: DataFrame, keys: Sequence[str], buckets: int = BUCKETS
+) -> None:
+    """Upsert into a table in buckets; only the buckets of the updates are read and written.
+
+    The merged buckets are staged beside the table and put in its place once they are complete. If that
+    is stopped in between, the next upsert or reader does it again, from the staged copy.
+    """
+    finish_upsert(spark, path)
+    new = cut(updates.withColumn("_bucket", _bucket(keys, buckets)))
+    touched = [r[0] for r in new.select("_bucket").distinct().collect()]  # ``buckets`` numbers at most
+    if touched:
+        old = spark.read.parquet(path).where(F.col("_bucket").isin(touched))
+        merged = upsert(old, new.select(old.columns), [*keys, "_bucket"]).select(old.columns)
+        merged.repartition("_bucket").write.mode("overwrite").partitionBy("_bucket").parquet(f"{path}.staged")
+        finish_upsert(spark, path)
+
+
+def finish_upsert(spark: SparkSession, path: str) -> None:
+    """Put staged buckets in the place of the old ones, if there are any and they are complete."""
+    staged = spark._jvm.org.apache.hadoop.fs.Path(f"{path}.staged")
+    store = staged.getFileSystem(spark._jsc.hadoopConfiguration())
+    if store.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{path}.staged/_SUCCESS")):
+        rows = spark.read.schema(spark.read.parquet(path).schema).parquet(f"{path}.staged")
+        writer = rows.repartition("_bucket").write.mode("overwrite").partitionBy("_bucket")
+        writer.option("partitionOverwriteMode", "dynamic").parquet(path)
+        store.delete(staged, True)
+
+
 def whole_text(spark: SparkSession, path: str) -> DataFrame:
     """One row per file, with its path as the file system names it and its whole text."""
     return spark.read.text(path, wholetext=True).select(

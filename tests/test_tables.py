@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from runcourier.operators.sections import assemble
 from runcourier.schema import TABLE_SCHEMAS
 from runcourier.session import work_path
+from runcourier.sources import tables as T
 from runcourier.sources.sample import RUN_ID, sample_tables
 from runcourier.sources.tables import (
     append,
@@ -110,3 +111,50 @@ def test_stored_tables_are_ordered_by_run(spark, tmp_path):
     assert files.where("run_id = 'hot'").select("f").distinct().count() > 1
     others = files.where("run_id <> 'hot'").distinct().groupBy("run_id").count()
     assert others.where("count > 1").count() < 97
+
+
+def test_upsert_writes_touched_buckets_only_and_survives_a_stop(spark, tmp_path):
+    path = str(tmp_path / "t")
+    rows = [(f"k{i}", i, f"v{i}") for i in range(200)]
+    T.save_buckets(spark.createDataFrame(rows, "id string, n int, v string"), path, ["id"], 16)
+    before = {p: p.stat().st_mtime_ns for p in (tmp_path / "t").rglob("*.parquet")}
+    new = spark.createDataFrame([("k3", 1003, None), ("new", 5, "x")], "id string, n int, v string")
+    T.upsert_buckets(spark, path, new, ["id"], 16)
+    want = {r[0]: r for r in rows} | {"k3": ("k3", 1003, None), "new": ("new", 5, "x")}
+    assert {tuple(r) for r in T.read_buckets(spark, path).collect()} == set(want.values())
+    kept = [p for p, at in before.items() if p.exists() and p.stat().st_mtime_ns == at]
+    assert len(kept) >= 14
+
+    # Stopped after the merged buckets were staged: the next reader puts them in place.
+    finish = T.finish_upsert
+    stopped = []
+    try:
+        T.finish_upsert = lambda *_: stopped.append(1)
+        T.upsert_buckets(spark, path, spark.createDataFrame([("k5", 0, "z")], "id string, n int, v string"), ["id"], 16)
+    finally:
+        T.finish_upsert = finish
+    assert stopped and (tmp_path / "t.staged" / "_SUCCESS").exists()
+    want["k5"] = ("k5", 0, "z")
+    assert {tuple(r) for r in T.read_buckets(spark, path).collect()} == set(want.values())
+    assert not (tmp_path / "t.staged").exists()
+    T.upsert_buckets(spark, path, new.limit(0), ["id"], 16)
+    assert T.read_buckets(spark, path).count() == 201
+
+
+def test_runs_are_pruned_by_bucket(spark, tmp_path):
+    folder = str(tmp_path / "runs")
+    suites = [(f"r{i}", "S", "PASSED", "PASS", 1, 1, 0, "t", "u") for i in range(300)]
+    T.save_run_tables(T.inline_tables(spark, suite_status=suites), folder)
+    tables = T.load_run_tables(spark, folder)
+    some = spark.createDataFrame([("r5",), ("r77",), ("none",)], "run_id string")
+    cut_tables = tables.of_runs(some)
+    assert {r.run_id for r in cut_tables.suite_status.collect()} == {"r5", "r77"}
+    assert cut_tables.suite_status.columns == [f.name for f in TABLE_SCHEMAS["suite_status"].fields]
+    plan = cut_tables.suite_status._jdf.queryExecution().executedPlan().toString()
+    filters = plan.split("PartitionFilters: [")[1].split("]")[0]
+    assert "run_bucket" in filters
+    assert [r.run_id for r in tables.of_run("r9").suite_status.collect()] == ["r9"]
+    one = tables.of_run("r9").suite_status._jdf.queryExecution().executedPlan().toString()
+    assert "run_bucket" in one.split("PartitionFilters: [")[1].split("]")[0]
+    T.save_run_tables(T.inline_tables(spark, suite_status=[("r5", "T", "PASSED", "PASS", 1, 1, 0, "t", "u")]), folder, "append")
+    assert T.load_run_tables(spark, folder).of_run("r5").suite_status.count() == 2
