@@ -72,8 +72,11 @@ def without_nodes(
     docs: DataFrame, found: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
     """The documents whose key isn't a ``node`` of ``found``."""
-    keyed = docs.withColumn("node", row_key(id_col, text_col))
-    return anti_ids(keyed, found, "node").select(*docs.columns)
+    key = "_node"
+    while key in docs.columns:
+        key += "_"
+    keyed = docs.withColumn(key, row_key(id_col, text_col))
+    return anti_ids(keyed, found.select(F.col("node").alias(key)), key).select(*docs.columns)
 
 
 def key_id(key: Column) -> Column:

@@ -10,8 +10,9 @@ The order within a source isn't made in one task. A key falls into one of ``slic
 source; words are summed by range first (the ranges before a document), then by a window within the
 range. So a source with most of the rows is spread like any other.
 
-Null texts have size 0 and are taken 0 times; null sources are a source, the last one. Null ids share
-one u. Repeated rows are documents of their own. An empty table gives an empty result. Reruns agree.
+Null texts have size 0 and are taken 0 times; null sources are a source, the last one. Rows
+without an id draw by their text and their number among equal rows. Repeated rows are documents of
+their own. An empty table gives an empty result. Reruns agree.
 """
 
 from __future__ import annotations
@@ -32,9 +33,9 @@ def quality(text: Column) -> Column:
     return F.when(n > 0, F.lit(1.0) - F.lit(0.9) * symbols / n).otherwise(F.lit(1.0))
 
 
-def uniform(id_col: Column, seed: str) -> Column:
-    """A number above 0 and below 1 that depends on the id alone."""
-    text = F.concat(F.lit(seed), F.coalesce(id_col.cast("string"), F.lit("")))
+def uniform(name: Column, seed: str) -> Column:
+    """A number above 0 and below 1 that depends on the name alone."""
+    text = F.concat(F.lit(seed), name)
     digits = F.conv(F.substring(F.md5(text.cast("binary")), 1, 13), 16, 10).cast("long")
     return (digits + F.lit(0.5)) / F.lit(float(2**52))
 
@@ -83,13 +84,22 @@ def mix_sources(
 ) -> DataFrame:
     """One row per document: its size, its source's size and target, and the words taken of it."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    key = -F.log(uniform(F.col(id_col), seed)) / quality(text)
     rows = docs.select(
         F.col(id_col).alias("doc_id"),
         F.col(source_col).alias("source"),
         F.regexp_count(text, F.lit(WORD)).cast("long").alias("size"),
-        key.alias("_key"),
+        quality(text).alias("_quality"),
+        F.when(F.col(id_col).isNull(), F.md5(text.cast("binary"))).alias("_name"),
     )
+    # Equal rows without an id are counted, and then numbered, so that each draws by itself.
+    alike = rows.where("doc_id is null").groupBy(*rows.columns).agg(F.count("*").alias("_n"))
+    number = F.explode(F.sequence(F.lit(1).cast("long"), F.col("_n")))
+    alike = alike.select(*rows.columns, number.alias("_k"))
+    named = rows.where("doc_id is not null").withColumn("_name", F.col("doc_id").cast("string"))
+    nameless = alike.withColumn("_name", F.concat("_name", F.lit("#"), "_k")).drop("_k")
+    rows = named.unionByName(nameless)
+    key = -F.log(uniform(F.col("_name"), seed)) / F.col("_quality")
+    rows = rows.select("doc_id", "source", "size", key.alias("_key"))
     spread = F.floor((1 - F.exp(-F.col("_key"))) * slices).cast("int")
     rows = cut(rows.withColumn("_slice", spread))
     slice_sizes = rows.groupBy("source", "_slice").agg(F.sum("size").alias("_in_slice"))

@@ -3,11 +3,13 @@
 OP3 = """
 WITH d AS (
   SELECT doc_id, source, coalesce(text, '') AS t,
+         coalesce(CAST(doc_id AS VARCHAR), md5(coalesce(text, '')) || '#'
+                  || row_number() OVER (PARTITION BY doc_id, source, text)) AS name,
          len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS size
   FROM documents),
 k AS (
   SELECT doc_id, source, size,
-         -ln((('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 13))::BIGINT + 0.5::DOUBLE)
+         -ln((('0x' || substr(md5(name), 1, 13))::BIGINT + 0.5::DOUBLE)
              / 4503599627370496.0::DOUBLE)
          / CASE WHEN length(t) > 0
                 THEN 1.0::DOUBLE - 0.9::DOUBLE * (length(t) - length(translate(t, '#$%&*|', ''))) / length(t)
