@@ -41,6 +41,7 @@ from runcourier.session import cut, work_path
 
 END = np.uint64(0x656E64)
 _LOW = np.int64(0xFFFFFFFF)
+GREAT = 2**32 - 1
 
 
 class Words(NamedTuple):
@@ -175,7 +176,9 @@ def _pairs(words: Words, docs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray
     return distinct, numbers, place, before
 
 
-def count_pairs(docs: DataFrame, words: Words, starts: list[int], mass: int) -> DataFrame:
+def count_pairs(
+    docs: DataFrame, words: Words, starts: list[int], mass: int, most: int
+) -> DataFrame:
     """Count pairs of words. Gives a row (kind -1; times: pairs seen 1 to 4 times, and all) for each
     range, and runs of what the range adds to each word (kind 0: pairs with it as the second word;
     1, 2, 3: pairs with it as the first word, seen once, twice, more often)."""
@@ -206,7 +209,9 @@ def count_pairs(docs: DataFrame, words: Words, starts: list[int], mass: int) ->
         part = int(rows["part"].iloc[0])
         keys, counts = merged(rows)
         save(f"{folder}/pairs-{part}", keys)
-        save(f"{folder}/times-{part}", np.minimum(counts, 2**32 - 1).astype(np.uint32))
+        save(f"{folder}/times-{part}", np.minimum(counts, most).astype(np.uint32))
+        great = np.flatnonzero(counts >= most)
+        save(f"{folder}/great-{part}", np.concatenate([great, counts[great]]))
         signed = keys.view(np.int64)
         frames = [[part, -1, 0, b"", b"", [*(int((counts == k).sum()) for k in (1, 2, 3, 4)), len(keys)]]]
         first, second = signed >> np.int64(32), signed & _LOW
@@ -264,6 +269,7 @@ class Model(NamedTuple):
     word_discounts: tuple[float, float, float]
     seen_sum: int
     spare: float  # what the discounts leave of a probability of 1
+    most: int  # counts from here on are stored beside the others
 
     def times(self, wanted: np.ndarray) -> np.ndarray:
         """Counts of sorted distinct pairs."""
@@ -275,7 +281,11 @@ class Model(NamedTuple):
             if len(known):
                 mine = wanted[edges[part] : edges[part + 1]]
                 at = np.minimum(np.searchsorted(known, mine), len(known) - 1)
-                n = load(f"{self.words.folder}/times-{part}", "uint32")[at]
+                n = load(f"{self.words.folder}/times-{part}", "uint32")[at].astype(np.int64)
+                great = n == self.most
+                if great.any():
+                    place, count = load(f"{self.words.folder}/great-{part}", "int64").reshape(2, -1)
+                    n[great] = count[np.searchsorted(place, at[great])]
                 out[edges[part] : edges[part + 1]] = np.where(known[at] == mine, n, 0)
         return out
 
@@ -327,18 +337,21 @@ class Model(NamedTuple):
         )
 
 
-def train(docs: DataFrame, mass: int = MASS) -> Model:
-    """Count all texts of ``docs`` (column text), in ranges of about ``mass`` tokens."""
+def train(docs: DataFrame, mass: int = MASS, most: int = GREAT) -> Model:
+    """Count all texts of ``docs`` (column text), in ranges of about ``mass`` tokens.
+
+    Counts of pairs have 32 bits; those of ``most`` and above are stored beside, with 64.
+    """
     n_docs, n_bytes = docs.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
     folder = work_path(docs.sparkSession, "language-model")
     ranges = int(max(1, (n_bytes // 4 + n_docs) // (2 * mass)))
     words, cuts = count_words(docs, folder, ranges, mass)
     if not words.tokens:
-        return Model(words, [0], 0, (0.5, 0.75, 0.9), (0.5, 0.75, 0.9), 0, 1.0)
+        return Model(words, [0], 0, (0.5, 0.75, 0.9), (0.5, 0.75, 0.9), 0, 1.0, most)
     starts = pair_starts(words, cuts, n_docs, mass)
 
 
-    found = cut(count_pairs(docs, words, starts, mass))
+    found = cut(count_pairs(docs, words, starts, mass, most))
     by_pair = np.sum([r["times"] for r in found.where("kind < 0").select("times").collect()], axis=0)
     by_word = np.sum([r["times"] for r in sum_words(found, words)], axis=0)
     d1, d2, d3 = discounts([int(n) for n in by_word[:4]])
@@ -348,7 +361,8 @@ def train(docs: DataFrame, mass: int = MASS) -> Model:
     for part in set(range(len(starts))) - have:
         save(f"{folder}/pairs-{part}", np.empty(0, np.uint64))
         save(f"{folder}/times-{part}", np.empty(0, np.uint32))
-    return Model(words, starts, n_docs, discounts([int(n) for n in by_pair[:4]]), (d1, d2, d3), total, float(spare))
+    by_count = discounts([int(n) for n in by_pair[:4]])
+    return Model(words, starts, n_docs, by_count, (d1, d2, d3), total, float(spare), most)
 
 
 def language_model_scores(
@@ -357,6 +371,7 @@ def language_model_scores(
     id_col: str = "doc_id",
     text_col: str = "text",
     mass: int = MASS,
+    most: int = GREAT,
 ) -> DataFrame:
     """One row per document: tokens, known tokens, base score and model score, in log10."""
     spark = docs.sparkSession
@@ -364,7 +379,7 @@ def language_model_scores(
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).withColumn(
         "held_out", remainder("doc_id", modulus) == 0
     )
-    model = train(docs.where("not held_out").select("text"), mass)
+    model = train(docs.where("not held_out").select("text"), mass, most)
     id_type = docs.schema["doc_id"].dataType.simpleString()
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -59,10 +59,10 @@ def brute(texts):
     }
 
 
-@pytest.mark.parametrize("mass", [2_000_000, 150])
-def test_same_as_by_hand(spark, mass):
+@pytest.mark.parametrize("mass,most", [(2_000_000, 2**32 - 1), (150, 2**32 - 1), (150, 2), (2_000_000, 1)])
+def test_same_as_by_hand(spark, mass, most):
     docs = spark.createDataFrame(list(enumerate(TEXTS)), "doc_id long, text string").repartition(3)
-    got = language_model_scores(docs, mass=mass).collect()
+    got = language_model_scores(docs, mass=mass, most=most).collect()
     want = brute(TEXTS)
     assert len(got) == len(TEXTS)
     for r in got:
