@@ -38,7 +38,7 @@ _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _NUMBER = re.compile(r"[0-9 ().+\-]{7,}+")
-_AT = re.compile(r"[A-Za-z0-9._%+-]{2,64} ?(?:@|\(at\)|\[at\]) ?[A-Za-z0-9-]{2,64}")
+_AT = re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{2,}+ ?(?:@|\(at\)|\[at\]) ?[A-Za-z0-9-]{2,}+")
 _DIGIT = re.compile(r"[0-9]")
 
 
