@@ -21,11 +21,13 @@ Without labels of both kinds all scores are the share of label 1 (0 if there are
 
 from __future__ import annotations
 
+import gc
 import math
 import re
 from collections import Counter
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -34,12 +36,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from runcourier.llm.common import remainder, semi_ids, small_batches
-from runcourier.llm.words import LOWER, texts
+from runcourier.llm.words import LOWER, SPACE, hashes, texts
 from runcourier.session import cut
 
-# Bounds of what is learned from, and of what is kept in memory.
+# Bounds of what is learned from, and of words kept in memory.
 SAMPLE = 30_000
-ENTRIES = 60_000
 WORDS_KEPT = 300_000
 # Longer pieces and runs are read anew each time.
 KEPT_LENGTH = 64
@@ -56,6 +57,8 @@ OTHER = 27
 # Log probabilities of the channel.
 AS_LETTER, AS_SIGN, AS_BORDER = math.log(0.9), math.log(0.5), math.log(0.05)
 KEEP, DROP, SPLIT = math.log(0.6), math.log(0.3), math.log(0.1)
+# A second letter in a word without longer repetitions: repeated, or meant.
+TWICE, MEANT = math.log(0.03), math.log(0.97)
 
 
 def classes_of(text: str) -> list[int]:
@@ -166,7 +169,13 @@ def _letters(path: tuple) -> list[str]:
 
 _PLAIN = re.compile(r"[^\W\d_]+")
 _RUN = re.compile(r"([^\W\d_])\1\1")
+_PAIR = re.compile(r"(.)\1")
+# Two or more pieces in a row, among the kinds of tokens.
+_ROW = re.compile(rb"\x01{2,}")
 _EDGE = re.compile(r"^[^\w@$!+|(€£¡]+|[^\w@$]+$")
+# The common ones among the signs that _EDGE trims; letters left by them are left by it too.
+_LEFT = "\"#%&'*),-./:;<=>?[\\]^`{}~"
+_RIGHT = _LEFT + "!+|("
 # Pieces of hidden words: signs of the lattice, at most three or each one apart.
 _TRIM = re.compile(r"^[^\w@$!+|(€£¡]+|[^\w@$!+|(€£¡]+$")
 _SIGN, _GAP = r"(?:[^\W_]|[@$!+|(€£¡])", r"[ ._\-*~'`,/]"
@@ -175,34 +184,74 @@ _SHORT = re.compile(f"{_GAP}*(?:{_SIGN}{_GAP}*){{1,3}}")
 _LOOSE = "!+|(€£¡ "
 
 
+def letters(token: str) -> str | None:
+    """A token's letters, if it has nothing else but common signs at its edges."""
+    core = token.lower()
+    if not core.isalpha():
+        core = core.lstrip(_LEFT).rstrip(_RIGHT)
+        if not core.isalpha():
+            return None
+    return core
+
+
+class Kept(dict):
+    """Values by their keys, computed once; long keys are not kept, and a full table starts anew."""
+
+    def __init__(self, value: Callable, most: int = WORDS_KEPT):
+        self.value, self.most = value, most
+
+    def __missing__(self, key):
+        found = self.value(key)
+        if len(key) <= KEPT_LENGTH:
+            if len(self) >= self.most:
+                self.clear()
+            self[key] = found
+        return found
+
+
 class Reader:
     """Words of a text as they were meant."""
 
     def __init__(self, model: np.ndarray):
         self.model = model.tolist()
-        self.known: dict[str, tuple[str, ...]] = {}
-        self.pieces: dict[str, tuple[str, bool] | None] = {}
+        self.known = Kept(self.read)
+        self.pieces = Kept(self.piece)
+        self.kinds = Kept(self.kind)
         self.steps: dict[tuple, tuple[str, tuple[int, int]]] = {}
 
     def words(self, token: str) -> tuple[str, ...]:
-        found = self.known.get(token)
-        if found is None:
-            found = self.read(token)
-            if len(token) <= KEPT_LENGTH:
-                if len(self.known) >= WORDS_KEPT:
-                    self.known.clear()
-                self.known[token] = found
-        return found
+        return self.known[token]
 
     def read(self, token: str) -> tuple[str, ...]:
         if " " in token:  # a run, trimmed already
             return tuple(w for t in {token, token.strip(_LOOSE)} for w in self.run(t).split())
-        core = _EDGE.sub("", token.lower())
-        if _PLAIN.fullmatch(core) and not _RUN.search(core):
+        core = letters(token)
+        if core is None:
+            core = _EDGE.sub("", token.lower())
+        elif not _PAIR.search(core):
             return (core,)
+        elif not _RUN.search(core):
+            single = self.undoubled(core)
+            return (core,) if single == core else (core, single)
         found = restore(core, self.model).split()
         return (*found, *(w for w in _PLAIN.findall(core) if len(w) > 2))
 
+    def undoubled(self, word: str) -> str:
+        """The word without second letters that are more probably repeated ones.
+
+        For letters that stand twice at most this is the search over all ways: whether a letter is
+        dropped or not, the next one leaves the same two classes behind.
+        """
+        kept, end = "", 0
+        for pair in _PAIR.finditer(word):
+            at = pair.start()
+            before, x, after = word[at - 1 : at], word[at], word[at + 2 : at + 3]
+            a, x, c = (classes_of(s)[0] if s else BORDER for s in (before, x, after))
+            if TWICE + self.model[a][x][c] > MEANT + self.model[a][x][x] + self.model[x][x][c]:
+                kept += word[end : at + 1]
+                end = at + 2
+        return kept + word[end:]
+
     def run(self, run: str) -> str:
         """As ``restore``, but ways between settled places are kept: after a plain piece of two letters
         or more, one way is left as a rule."""
@@ -232,83 +281,91 @@ class Reader:
 
     def piece(self, token: str) -> tuple[str, bool] | None:
         """A piece of a run, and whether its signs are apart. Empty if it holds no sign."""
-        if token in self.pieces:
-            return self.pieces[token]
-        core, found = _TRIM.sub("", token.lower()), None
+        core = _TRIM.sub("", token.lower())
         if not core or not core.strip(SEPARATORS):
-            found = ("", True)
-        elif len(core) > 3 and core.isalpha():
-            found = None
-        elif _APART.fullmatch(core):
-            found = (core, True)
-        elif _SHORT.fullmatch(core):
-            found = (core, False)
-        if len(token) <= KEPT_LENGTH:
-            if len(self.pieces) >= WORDS_KEPT:
-                self.pieces.clear()
-            self.pieces[token] = found
-        return found
+            return "", True
+        if len(core) > 3 and core.isalpha():
+            return None
+        if _APART.fullmatch(core):
+            return core, True
+        if _SHORT.fullmatch(core):
+            return core, False
+        return None
+
+    def kind(self, token: str) -> int:
+        """1 for a piece, 0 for a token that ends a run."""
+        return int(self.pieces[token] is not None)
 
     def runs(self, tokens: list[str]) -> set[str]:
         """Short pieces in a row, and those among them with their signs apart."""
         found: set[str] = set()
-        every: list[str] = []
+        kinds = self.kinds
+        # Most tokens are plain and too long for a piece.
+        for row in _ROW.finditer(bytes([0 if len(t) > 3 and t.isalpha() else kinds[t] for t in tokens])):
+            self.row([self.pieces[t] for t in tokens[row.start() : row.end()]], found)
+        return found
+
+    def row(self, pieces: list[tuple[str, bool]], found: set[str]) -> None:
+        """The runs of pieces that stand in a row."""
+        every = [core for core, _ in pieces if core]
+        if len(every) > 1:
+            found.add(" ".join(every))
         apart: list[str] = []
-        for token in [*tokens, ""]:
-            # Most tokens are plain and too long for a piece.
-            piece = self.piece(token) if token and (len(token) <= 3 or not token.isalpha()) else None
-            if piece is None and not every:
+        for core, is_apart in [*pieces, ("|", False)]:
+            if not core:
                 continue
-            if piece and not piece[0]:
+            if is_apart:
+                apart.append(core)
                 continue
-            if piece is None or not piece[1]:
-                if len(apart) > 1:
-                    found.add(" ".join(apart))
-                apart = []
-            elif piece:
-                apart.append(piece[0])
-            if piece:
-                every.append(piece[0])
-            elif every:
-                if len(every) > 1:
-                    found.add(" ".join(every))
-                every = []
+            if len(apart) > 1:
+                found.add(" ".join(apart))
+            apart = []
+
+    def tokens(self, text: str) -> set[str]:
+        """The distinct tokens of a text in lower case, and its runs."""
+        tokens = text.lower().split()
+        found = self.runs(tokens)
+        found.update(tokens)
         return found
 
     def text(self, text: str) -> set[str]:
         """The distinct words of a text, spelled-out ones included."""
-        found: set[str] = set()
-        tokens = text.split()
-        for token in {*tokens, *self.runs(tokens)}:
-            found.update(self.words(token))
-        return found
+        return set().union(*map(self.known.__getitem__, self.tokens(text)))
 
 
 def beginnings(word: str) -> list[str]:
     return [word[:n] for n in range(3, min(7, len(word)))] + [word + "$"]
 
 
+# Words whose scores a text is judged by.
+TOP = 3
+
+
 class Scorer:
     """Probabilities of label 1 by the beginnings of words."""
 
     def __init__(self, entries: dict[str, tuple[int, int]], share: float, strength: float = 6.0):
         self.entries, self.share, self.strength = entries, share, strength
-        self.known: dict[str, float] = {}
+        self.floor = math.log(share / (1 - share))
+        self.scores = {entry: self.one(*counts) for entry, counts in entries.items()}
+        # Beginnings of 4 signs and more all start with these.
+        self.starts = {entry[:4] for entry in entries if len(entry) > 3}
 
     def one(self, positive: int, negative: int) -> float:
         p = (positive + self.strength * self.share) / (positive + negative + self.strength)
         return math.log(p / (1 - p))
 
     def word(self, word: str) -> float:
-        found = self.known.get(word)
-        if found is None:
-            hits = [self.entries[b] for b in beginnings(word) if b in self.entries]
-            floor = math.log(self.share / (1 - self.share))
-            found = max([floor, *(self.one(*h) for h in hits)])
-            if len(self.known) >= WORDS_KEPT:
-                self.known.clear()
-            self.known[word] = found
-        return found
+        get, best = self.scores.get, self.floor
+        if len(word) > 3:
+            best = max(best, get(word[:3], best))
+            if word[:4] not in self.starts:
+                return best
+            for n in range(4, min(7, len(word))):
+                found = get(word[:n])
+                if found is not None and found > best:
+                    best = found
+        return max(best, get(word + "$", best))
 
     def without(self, words: set[str], label: int) -> list[float]:
         """Word scores with one document of this label taken out of the counts."""
@@ -320,9 +377,185 @@ class Scorer:
         return out
 
     def top(self, scores: list[float]) -> tuple[float, float, float]:
-        floor = math.log(self.share / (1 - self.share))
-        best = sorted((s for s in scores if s > floor), reverse=True)[:3]
-        return tuple(best + [floor] * (3 - len(best)))
+        best = sorted((s for s in scores if s > self.floor), reverse=True)[:TOP]
+        return tuple(best + [self.floor] * (TOP - len(best)))
+
+
+# White space that only Python's own split knows.
+_ODD_SPACE = re.compile("[\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
+_BREAK = SPACE.copy()
+_BREAK[0x1C:0x20] = True
+_IS_LEFT, _IS_RIGHT = (np.isin(np.arange(256), [ord(c) for c in s]) for s in (_LEFT, _RIGHT))
+# Texts that are looked at together; longer ones are read token by token.
+JOINED, LONG = 2_000_000, 8_000_000
+
+
+class Telling:
+    """The words of texts that speak for label 1, with their scores.
+
+    Tokens of the common letters, which are most, are their own only path unless a letter stands twice
+    and shouldn't: they are cut and looked up as arrays, by 64-bit hashes. All others, and runs, go
+    through the reader.
+    """
+
+    def __init__(self, reader: Reader, scorer: Scorer):
+        self.reader, self.scorer = reader, scorer
+        self.model = np.array(reader.model)
+        self.told = Kept(self.token)
+        self.rows = Kept(self.row)
+        by_size: dict[int, list[str]] = {n: [] for n in (0, 3, 4, 5, 6)}
+        for entry in scorer.scores:
+            by_size[0 if entry[-1] == "$" else len(entry)].append(entry)
+        self.tables = {n: self._table(entries) for n, entries in by_size.items()}
+
+    def _table(self, entries: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        raw = [e.removesuffix("$").encode() for e in entries]
+        ends = np.cumsum([len(r) for r in raw], dtype=np.int64)
+        starts = np.concatenate([[0], ends[:-1]]).astype(np.int64)
+        found = hashes(np.frombuffer(b"".join(raw), np.uint8), starts, ends) if raw else np.empty(0, np.uint64)
+        order = np.argsort(found)
+        return found[order], np.array([self.scorer.scores[e] for e in entries])[order]
+
+    def token(self, token: str) -> tuple[tuple[str, float], ...]:
+        scored = ((w, self.scorer.word(w)) for w in self.reader.read(token))
+        return tuple(pair for pair in scored if pair[1] > self.scorer.floor)
+
+    def row(self, row: str) -> tuple[tuple[str, float], ...]:
+        """The words of the runs of tokens that stand in a row."""
+        return tuple(chain.from_iterable(self.told[run] for run in self.reader.runs(row.split())))
+
+    def slowly(self, text: str) -> dict[str, float]:
+        return dict(chain.from_iterable(filter(None, map(self.told.__getitem__, self.reader.tokens(text)))))
+
+    def _best(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, whole: np.ndarray) -> np.ndarray:
+        """The score of each word, by its beginnings and itself; ``whole`` are the hashes of the words."""
+        best = np.full(len(starts), self.scorer.floor)
+        heads = (data & 0xC0) != 0x80
+        chars = np.flatnonzero(heads)
+        before = np.concatenate([[0], np.cumsum(heads)])
+        sizes = before[ends] - before[starts]
+        for n, (known, scores) in self.tables.items():
+            if not len(known):
+                continue
+            # A beginning is shorter than its word.
+            mine = np.arange(len(starts)) if not n else np.flatnonzero(sizes > n)
+            wanted = whole if not n else hashes(data, starts[mine], chars[before[starts[mine]] + n])
+            at = np.minimum(np.searchsorted(known, wanted), len(known) - 1)
+            hit = known[at] == wanted
+            best[mine[hit]] = np.maximum(best[mine[hit]], scores[at[hit]])
+        return best
+
+    def texts(self, texts_: list[str]) -> list[dict[str, float]]:
+        """For each text telling words, the highest ones among them."""
+        out: list[dict[str, float]] = [{} for _ in texts_]
+        held: list[int] = []
+        size = 0
+        for i, text in enumerate(texts_):
+            if len(text) > LONG or _ODD_SPACE.search(text):
+                out[i] = self.slowly(text)
+                continue
+            held.append(i)
+            size += len(text)
+            if size > JOINED:
+                self._joined(held, texts_, out)
+                held, size = [], 0
+        if held:
+            self._joined(held, texts_, out)
+        return out
+
+    def _repeated(
+        self, data: np.ndarray, latin: np.ndarray, first: np.ndarray, last: np.ndarray, words: np.ndarray
+    ) -> np.ndarray:
+        """Which of the words have a letter three times in a row, or a second one that is dropped: those
+        that the reader has to see. Two letters of two bytes in a row count as such, too."""
+        n = len(data)
+        edge = np.zeros(n + 1, dtype=bool)
+        edge[first[words]] = edge[last[words]] = True
+        at = np.flatnonzero(data[1:] == data[:-1]) + 1
+        at = at[(data[at] < 0x80) & ~edge[at]]
+        group = np.zeros(256, dtype=np.int64)
+        group[97:123] = np.arange(1, 27)
+        group[0x80:] = OTHER
+        a = np.where(edge[at - 1], BORDER, group[data[np.maximum(at - 2, 0)]])
+        x = group[data[at]]
+        c = np.where(edge[at + 1], BORDER, group[data[np.minimum(at + 1, n - 1)]])
+        dropped = TWICE + self.model[a, x, c] > MEANT + self.model[a, x, x] + self.model[x, x, c]
+        dropped |= ~edge[at - 1] & (data[np.maximum(at - 2, 0)] == data[at])
+        bad = np.zeros(n, dtype=np.int32)
+        bad[at[dropped]] = 1
+        if len(latin):
+            same = (np.diff(latin) == 2) & (data[latin[1:] + 1] == data[latin[:-1] + 1])
+            bad[latin[1:][same]] = 1
+        total = np.concatenate([[0], np.cumsum(bad)])
+        return total[last] > total[np.minimum(first + 1, last)]
+
+    def _joined(self, held: list[int], texts_: list[str], out: list[dict[str, float]]) -> None:
+        raw = [texts_[i].encode() for i in held]
+        joined = b"\n".join(raw)
+        data = LOWER[np.frombuffer(joined, np.uint8)]
+        n = len(data)
+        # The letters U+00C0 to U+00FF, two bytes each, and their lower case.
+        latin = np.flatnonzero(data[:-1] == 0xC3)
+        second = data[latin + 1]
+        data[latin + 1] = second = np.where((second < 0x9F) & (second != 0x97), second + 0x20, second)
+        latin = latin[(second != 0x97) & (second != 0xB7)]
+        edge = np.flatnonzero(np.diff((~_BREAK[data]).view(np.int8), prepend=0, append=0))
+        start, end = edge[0::2], edge[1::2]
+        if not len(start):
+            return
+        text = np.searchsorted(np.cumsum([len(r) + 1 for r in raw]), start, "right")
+        letter = (data >= 97) & (data <= 122)
+        letter[latin] = letter[latin + 1] = True
+        place = np.arange(n, dtype=np.int32)
+        ahead = np.minimum.accumulate(np.where(_IS_LEFT[data], np.int32(n), place)[::-1])[::-1]
+        behind = np.maximum.accumulate(np.where(_IS_RIGHT[data], np.int32(-1), place))
+        first = np.minimum(ahead[start], end)
+        last = np.maximum(behind[end - 1] + 1, first)
+        letters_ = np.concatenate([[0], np.cumsum(letter, dtype=np.int32)])
+        plain = (last > first) & (letters_[last] - letters_[first] == last - first)
+        plain &= ~self._repeated(data, latin, first, last, plain)
+
+        def pairs(own: np.ndarray, which: np.ndarray, score: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
+            """(text, distinct token) of the ``most`` highest tokens of each text that tell something."""
+            mine = np.flatnonzero((score > self.scorer.floor)[which])
+            both = np.unique(text[own[mine]] * len(score) + which[mine])
+            t, k = both // len(score), both % len(score)
+            order = np.lexsort((-score[k], t))
+            t, k = t[order], k[order]
+            top = np.arange(len(t)) - np.searchsorted(t, t) < most
+            yield from zip(t[top].tolist(), k[top].tolist())
+
+        own = np.flatnonzero(plain)
+        found = hashes(data, first[own], last[own])
+        whole, one, which = np.unique(found, return_index=True, return_inverse=True)
+        # Ranges have to be in order to be hashed.
+        order = np.argsort(one)
+        at = own[one[order]]
+        best = np.empty(len(whole))
+        best[order] = self._best(data, first[at], last[at], whole[order])
+        for t, k in pairs(own, which, best, TOP):
+            i = own[one[k]]
+            out[held[t]][joined[first[i] : last[i]].decode().lower()] = float(best[k])
+
+        own = np.flatnonzero(~plain)
+        found = hashes(data, start[own], end[own])
+        _, one, which = np.unique(found, return_index=True, return_inverse=True)
+        told = [self.told[joined[start[i] : end[i]].decode().lower()] for i in own[one].tolist()]
+        # Several of these may have the same word, so all of them count.
+        best = np.array([max((s for _, s in words), default=self.scorer.floor) for words in told])
+        for t, k in pairs(own, which, best, len(own)) if told else ():
+            out[held[t]].update(told[k])
+
+        # Rows of two or more tokens that may be pieces of a run: short, or not of letters only.
+        heads = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80, dtype=np.int32)])
+        short = ~((heads[end] - heads[start] > 3) & (letters_[end] - letters_[start] == end - start))
+        change = np.flatnonzero(np.diff(short.view(np.int8)) | (np.diff(text) != 0)) + 1
+        edges = np.concatenate([[0], change, [len(short)]])
+        rows = np.flatnonzero(short[edges[:-1]] & (np.diff(edges) > 1))
+        for a, b in zip(edges[rows].tolist(), edges[rows + 1].tolist()):
+            words = self.rows[joined[start[a] : end[b - 1]].decode().lower()]
+            if words:
+                out[held[text[a]]].update(words)
 
 
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.1) -> np.ndarray:
@@ -407,9 +640,8 @@ def toxicity(
             .groupBy("entry")
             .agg(F.sum("positive").alias("positive"), F.sum("negative").alias("negative"))
             .where((F.col("positive") > 1) & (F.col("positive") > share * (F.col("positive") + F.col("negative"))))
-            .orderBy(F.desc(F.col("positive") / (F.col("negative") + 5)), "entry")
-            .limit(ENTRIES)
         )
+        # Only what the sample holds, so its documents bound this.
         entries = {r[0]: (r[1], r[2]) for r in by_entry.toLocalIterator()}
         known = spark.sparkContext.broadcast((entries, share))
 
@@ -429,8 +661,12 @@ def toxicity(
                 yield pd.Series(share, index=batch.index, dtype="float64")
             return
         reader, scorer = Reader(model.value), Scorer(*known.value)
+
+        telling = Telling(reader, scorer)
+        # Nothing below makes cycles, and collecting would walk all that is kept time and again.
+        gc.disable()
         for batch in batches:
-            rows = [scorer.top([scorer.word(w) for w in reader.text(t)]) for t in batch]
+            rows = [scorer.top(list(words.values())) for words in telling.texts(list(batch))]
             x = np.array(rows).reshape(-1, 3) @ weights[:3] + weights[3]
             yield pd.Series(1 / (1 + np.exp(-np.clip(x, -30, 30))))
 
