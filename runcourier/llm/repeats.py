@@ -8,12 +8,15 @@ have their anchors at the same place. Then:
 
 1. texts that equal an earlier one are set aside: all their windows start earlier;
 2. anchors are counted, and those seen once are dropped with the windows that they cover;
-3. an anchor with all bytes that its windows reach is a context; of equal contexts all but the first
-   are repeated in full;
-4. the first ones are sorted as suffixes from the anchor on, and as reversed prefixes before it;
-   adjacent ones are compared, which bounds the windows that can be equal to another's;
-5. these windows are merged by the bytes before the anchor and the suffix behind it; all but the
-   earliest of each are repeated.
+3. an anchor with all bytes that its windows reach is a context. Of contexts that are equal within a
+   piece of a task all but the first are repeated in full; only the first ones travel;
+4. they are dealt out by anchor and sorted there as suffixes from the anchor on, then as reversed
+   prefixes before it; what adjacent ones share bounds the windows that can be equal to another's;
+5. these windows are sorted, and of adjacent equal ones all but the earliest are repeated.
+
+An anchor that is seen very often is dealt out by what its windows share besides it: one half of them
+by the bytes before it, the other by those behind. What still is too much for one task to hold is
+settled by hashes of the windows, which are counted first and then dealt out one by one.
 
 Positions are ordered by id, then by a hash of the text, then by place. Null and empty texts have
 nothing to remove. Rows with the same id and text are one document, and each gets its result. Documents
@@ -38,6 +41,10 @@ from runcourier.llm.words import _BASE, _UNBASE, _powers, mix, texts
 from runcourier.session import cut, work_path
 
 GRAM = 20
+# Occurrences from which on an anchor is dealt out by more than itself.
+HOT = 10_000
+# Contexts that a task compares at once, and contexts and windows of one group that it holds.
+PIECE, GROUP, WINDOWS = 25_000, 20_000, 150_000
 BLOCK = (1 << 18) - 4096
 _PLACE = np.uint64((1 << 18) - 1)
 _VALUES = np.random.default_rng(31).integers(0, 2**64, 256, dtype=np.uint64)
@@ -86,7 +93,7 @@ def _hash_range(n: int) -> np.ndarray:
 
 
 def repeated_anchors(docs: DataFrame, length: int, folder: str, ranges: int) -> None:
-    """Store, by range of hashes, the sorted anchors that are seen more than once."""
+    """Store, by range of hashes, the sorted anchors that are seen more than once, and very often."""
     starts = _hash_range(ranges)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -108,35 +115,80 @@ def repeated_anchors(docs: DataFrame, length: int, folder: str, ranges: int) ->
         part = int(frame["part"].iloc[0])
         keys, counts = merged(frame)
         save(f"{folder}/anchors-{part}", keys[counts > 1])
+        save(f"{folder}/hot-{part}", keys[counts > HOT])
         return pd.DataFrame({"part": [part]})
 
     found = docs.select("text").mapInArrow(count, RUN).groupBy("part").applyInPandas(merge, "part int")
     there = {r["part"] for r in found.collect()}  # a row for each range
     for part in set(range(ranges)) - there:
         save(f"{folder}/anchors-{part}", np.empty(0, np.uint64))
+        save(f"{folder}/hot-{part}", np.empty(0, np.uint64))
+
+
+CONTEXT = "bucket long, d long, h long, place int, low int, high int, before binary, behind binary"
+SPAN = "d long, h long, first int, last int"
+
+
+def _number(data: bytes) -> int:
+    return int.from_bytes(hashlib.blake2b(data, digest_size=8).digest(), "little", signed=True)
 
 
 def contexts(docs: DataFrame, length: int, folder: str, ranges: int) -> DataFrame:
-    """Rows (d, h, place, low, high, gram, context, before, behind) of the repeated anchors.
+    """Rows (bucket, d, h, place, low, high, before, behind) of the repeated anchors.
 
     The windows start from ``place - high`` to ``place - low``; ``before`` holds the bytes before the
-    anchor, last one first, ``behind`` those from it on. ``context`` is a hash of all of it.
+    anchor, last one first, ``behind`` those from it on. Both are null where all windows are repeated.
     """
     starts = _hash_range(ranges)
+    half = (length - GRAM) // 2
 
-    def repeated(grams: np.ndarray) -> np.ndarray:
+    def among(name: str, grams: np.ndarray) -> np.ndarray:
         distinct, back = np.unique(grams, return_inverse=True)
         out = np.zeros(len(distinct), dtype=bool)
         edges = np.concatenate([[0], np.searchsorted(distinct, starts[1:]), [len(distinct)]])
         for part in np.flatnonzero(np.diff(edges)):
-            known = load(f"{folder}/anchors-{part}", "uint64")
+            known = load(f"{folder}/{name}-{part}", "uint64")
             if len(known):
                 mine = distinct[edges[part] : edges[part + 1]]
                 at = np.minimum(np.searchsorted(known, mine), len(known) - 1)
                 out[edges[part] : edges[part + 1]] = known[at] == mine
         return out[back]
 
+    def dealt(gram: int, often: bool, place: int, low: int, high: int, raw: bytes) -> Iterator[tuple]:
+        """(bucket, low, high) of the windows of a context; ``place`` is that of the anchor in ``raw``."""
+        if not often:
+            yield gram, low, high
+            return
+        if low < half:
+            yield _number(b"r" + raw[place : place + length - half + 1]), low, min(high, half - 1)
+        if high >= half:
+            yield _number(b"l" + raw[place - half : place + GRAM]), max(low, half), high
+
+    def sent(piece: list[tuple]) -> pa.RecordBatch:
+        """The first of each context of a piece, and the places of the others."""
+        first: dict[tuple, tuple] = {}
+        rows = []
+        for row in sorted(piece, key=lambda r: r[:3]):
+            d, h, place, p, q, gram, often, raw = row
+            key = place - p, raw
+            if key in first:
+                if first[key][:3] == row[:3]:  # the same document again
+                    continue
+                rows.append((place, d, h, place, place - q, place - p, None, None))
+                continue
+            first[key] = row
+            at = place - p
+            before, behind = raw[:at][::-1], raw[at:]
+            for bucket, low, high in dealt(gram, often, at, place - q, at, raw):
+                # Bytes that these windows don't reach stay behind.
+                rows.append((bucket, d, h, place, low, high, before[:high], behind[: length - low]))
+        columns = list(zip(*rows))
+        kinds = [*[pa.int64()] * 3, *[pa.int32()] * 3, *[pa.binary()] * 2]
+        names = ["bucket", "d", "h", "place", "low", "high", "before", "behind"]
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=names)
+
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        piece: list[tuple] = []
         for batch in batches:
             ids, hashed = batch.column("d").to_pylist(), batch.column("h").to_pylist()
             held = []
@@ -146,29 +198,25 @@ def contexts(docs: DataFrame, length: int, folder: str, ranges: int) -> DataFram
                         held.append((d, h, data, grams, x, first, last))
             if not held:
                 continue
-            good = repeated(np.concatenate([b[3] for b in held]))
-            at, rows = 0, []
+            every = np.concatenate([b[3] for b in held])
+            good, often = among("anchors", every), among("hot", every)
+            at = 0
             for d, h, data, grams, x, first, last in held:
-                mine = good[at : at + len(grams)]
+                mine = np.flatnonzero(good[at : at + len(grams)])
+                hot = often[at : at + len(grams)]
                 at += len(grams)
-                raw = data.tobytes()
-                for i in np.flatnonzero(mine):
-                    place, p, q = int(x[i]), int(first[i]), int(last[i])
-                    before, behind = raw[p:place][::-1], raw[place : q + length]
-                    digest = hashlib.blake2b(
-                        before + b"|" + behind, digest_size=16, salt=(place - p).to_bytes(8, "little")
-                    ).digest()
-                    rows.append((d, h, place, place - q, place - p, int(grams[i].view(np.int64)), digest, before, behind))
-            if rows:
-                columns = list(zip(*rows))
-                kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), *[pa.binary()] * 3]
-                names = ["d", "h", "place", "low", "high", "gram", "context", "before", "behind"]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=names)
-
-    return docs.select("d", "h", "text").mapInArrow(
-        find,
-        "d long, h long, place int, low int, high int, gram long, context binary, before binary, behind binary",
-    )
+                raw = data.tobytes() if len(mine) else b""
+                signed = grams.view(np.int64)
+                for i in mine.tolist():
+                    p, q = int(first[i]), int(last[i])
+                    piece.append((d, h, int(x[i]), p, q, int(signed[i]), bool(hot[i]), raw[p : q + length]))
+                if len(piece) >= PIECE:
+                    yield sent(piece)
+                    piece = []
+        if piece:
+            yield sent(piece)
+
+    return docs.select("d", "h", "text").mapInArrow(find, CONTEXT)
 
 
 def _common(a: bytes, b: bytes) -> int:
@@ -185,81 +233,135 @@ def _common(a: bytes, b: bytes) -> int:
     return lo
 
 
-def adjacent(rows: DataFrame, side: str, out: str) -> DataFrame:
-    """Sort the rows of each anchor by one side, and give each the bytes it shares with a neighbour.
+def _shared(ordered: list[bytes]) -> list[int]:
+    """How much each of sorted strings shares with a neighbour: the most it shares with any other."""
+    next_ = [_common(a, b) for a, b in zip(ordered, ordered[1:])]
+    return [max(a, b) for a, b in zip([0, *next_], [*next_, 0])]
 
-    The order is made by ranges of anchor and bytes. Where a task's piece ends, the neighbour isn't
-    known, and all bytes count as shared.
-    """
-    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    keys = ["gram", side, "d", "h", "place"]
-    ordered = rows.repartitionByRange(parts, *keys).sortWithinPartitions(*keys)
 
-    def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            if not len(batch):
-                continue
-            grams, sides = batch["gram"].to_numpy(), [bytes(s) for s in batch[side]]
-            shared = np.zeros(len(batch) + 1, dtype=np.int32)
-            for i in range(1, len(sides)):
-                if grams[i] == grams[i - 1]:
-                    shared[i] = _common(sides[i], sides[i - 1])
-            # The ends of a batch have neighbours in the next one.
-            shared[0] = shared[-1] = 1 << 20
-            yield batch.assign(**{out: np.maximum(shared[:-1], shared[1:])})
+def _windows(row: tuple, length: int) -> Iterator[tuple[int, bytes]]:
+    """Start and bytes of each window of a context, in order."""
+    _, _, place, low, high, before, behind = row
+    raw, at = before[::-1] + behind, len(before)
+    for step in range(high, low - 1, -1):
+        yield place - step, raw[at - step : at - step + length]
+
 
-    schema = f"{_ddl(rows)}, {out} int"
-    return ordered.mapInPandas(compare, schema)
+def _spans(d: int, h: int, starts: list[int]) -> Iterator[tuple[int, int, int, int]]:
+    first = None
+    for i, start in enumerate(starts):
+        first = start if first is None else first
+        if i + 1 == len(starts) or starts[i + 1] != start + 1:
+            yield d, h, first, start
+            first = None
 
 
-def _ddl(rows: DataFrame) -> str:
-    return ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema)
+def settled(group: list[tuple], length: int, most: int) -> tuple[list[tuple], list[tuple]]:
+    """The spans of window starts of a group of contexts whose windows also start earlier, and the
+    contexts that are still open if they have more than ``most`` windows.
+
+    Contexts are (d, h, place, low, high, before, behind).
+    """
+    if len(group) < 2:
+        return [], []
+    out: list[tuple] = []
+    rows: list[tuple] = []
+    first: dict[tuple, tuple] = {}
+    for row in sorted(group, key=lambda r: r[:3]):
+        known = first.setdefault(row[3:], row)
+        if known is row:
+            rows.append(row)
+        elif known[:3] != row[:3]:
+            out.append((row[0], row[1], row[2] - row[4], row[2] - row[3]))
+    # A window that begins ``step`` bytes before the anchor has length - step bytes from it on.
+    rows.sort(key=lambda r: r[6])
+    bound = [(r, max(r[3], length - n)) for r, n in zip(rows, _shared([r[6] for r in rows]))]
+    bound = sorted((x for x in bound if x[1] <= x[0][4]), key=lambda x: x[0][5])
+    bound = [(r, low, min(r[4], n)) for (r, low), n in zip(bound, _shared([r[5] for r, _ in bound]))]
+    rows = sorted((*r[:3], low, high, *r[5:]) for r, low, high in bound if low <= high)
+    if sum(r[4] - r[3] + 1 for r in rows) > most:
+        return out, rows
+    found = [(window, i, start) for i, row in enumerate(rows) for start, window in _windows(row, length)]
+    order = sorted(range(len(found)), key=lambda k: found[k][0])  # stable: the earliest stays first
+    again: dict[int, list[int]] = {}
+    for k, before in zip(order[1:], order):
+        if found[k][0] == found[before][0]:
+            again.setdefault(found[k][1], []).append(found[k][2])
+    for i, starts in again.items():
+        out += _spans(*rows[i][:2], sorted(starts))
+    return out, []
 
 
 def repeated_windows(docs: DataFrame, length: int) -> DataFrame:
     """Rows (d, h, first, last): runs of window starts whose windows also start earlier."""
-    folder = work_path(docs.sparkSession, "anchors")
+    spark = docs.sparkSession
+    folder = work_path(spark, "anchors")
     n_bytes = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    ranges = int(max(1, n_bytes // 40 // (2 * MASS)))
+    # About one anchor in 40 bytes; a task merges half a mass of them.
+    ranges = int(max(1, n_bytes // 40 // (MASS // 2)))
     repeated_anchors(docs, length, folder, ranges)
-    found = stored(contexts(docs, length, folder, ranges), "contexts")
-    place = F.struct("d", "h", "place")
-    firsts = cut(
-        found.groupBy("context").agg(
-            F.min(place).alias("_first"), F.count("*").alias("_n"), F.first("gram").alias("gram")
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    dealt = contexts(docs, length, folder, ranges).repartition(parts, "bucket")
+    ordered = dealt.sortWithinPartitions("bucket", "behind")
+
+    def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group: list[tuple] = []
+        bucket, too_many = None, False
+        for batch in batches:
+            spans: list[tuple] = []
+            loose: list[tuple] = []
+            for key, *row in zip(*(batch.column(c).to_pylist() for c in batch.schema.names)):
+                if key != bucket:
+                    done, open_ = settled(group, length, WINDOWS)
+                    spans += done
+                    loose += open_
+                    group, bucket, too_many = [], key, False
+                if row[5] is None:
+                    spans.append((row[0], row[1], row[2] - row[4], row[2] - row[3]))
+                elif too_many:
+                    loose.append(tuple(row))
+                else:
+                    group.append(tuple(row))
+                    if len(group) > GROUP:
+                        loose += group
+                        group, too_many = [], True
+            yield rows_of(spans, loose)
+        yield rows_of(*settled(group, length, WINDOWS))
+
+    def rows_of(spans: list[tuple], loose: list[tuple]) -> pa.RecordBatch:
+        """Spans, and contexts that are not settled."""
+        n, m = len(spans), len(loose)
+        d, h, first, last = zip(*spans) if n else ((),) * 4
+        d2, h2, place, low, high, before, behind = zip(*loose) if m else ((),) * 7
+        none = [None] * n
+        return pa.RecordBatch.from_arrays(
+            [
+                *(pa.array([*a, *b], pa.int64()) for a, b in ((d, d2), (h, h2))),
+                *(pa.array([*a, *[None] * m], pa.int32()) for a in (first, last)),
+                *(pa.array([*none, *a], pa.int32()) for a in (place, low, high)),
+                *(pa.array([*none, *a], pa.binary()) for a in (before, behind)),
+            ],
+            names=["d", "h", "first", "last", "place", "low", "high", "before", "behind"],
         )
-    )
-    again = (
-        found.select("d", "h", "place", "low", "high", "context")
-        .join(firsts.where("_n > 1").select("context", "_first"), "context")
-        .where(place > F.col("_first"))
-    )
-    whole = again.select(
-        "d", "h", (F.col("place") - F.col("high")).alias("first"), (F.col("place") - F.col("low")).alias("last")
-    )
-    # The first of each context goes on if its anchor has another context.
-    mixed = firsts.groupBy("gram").agg(F.count("*").alias("_n")).where("_n > 1").select("gram")
-    heads = found.join(firsts.join(mixed, "gram").select("context", "_first"), "context")
-    heads = heads.where(place == F.col("_first")).drop("context", "_first")
-    # A window that begins ``step`` bytes before the anchor has length - step bytes from it on.
-    heads = adjacent(heads, "behind", "right").withColumn(
-        "low", F.greatest("low", F.lit(length) - F.col("right"))
-    )
-    heads = stored(heads.where("low <= high").drop("right"), "heads")
-    heads = adjacent(heads, "before", "left").withColumn("high", F.least("high", "left"))
-    open_ = heads.where("low <= high").select("d", "h", "place", "low", "high", "before", "behind")
-    open_ = stored(open_, "open")
+
+    schema = f"{SPAN}, place int, low int, high int, before binary, behind binary"
+    found = stored(ordered.mapInArrow(decide, schema), "spans")
+    spans = found.where("place is null").select("d", "h", "first", "last")
+    loose = found.where("place is not null").select("d", "h", "place", "low", "high", "before", "behind")
+    if loose.isEmpty():
+        return spans
+    return spans.unionByName(by_hash(loose, length, folder, ranges))
+
+
+def by_hash(rows: DataFrame, length: int, folder: str, ranges: int) -> DataFrame:
+    """Spans of contexts that are too many for one task: the windows are compared by their hashes."""
     starts = _hash_range(ranges)
 
     def windows(batch: pd.DataFrame) -> Iterator[tuple[int, int, int, bytes]]:
-        for d, h, x, low, high, before, behind in zip(
-            *(batch[c] for c in ("d", "h", "place", "low", "high", "before", "behind"))
-        ):
-            raw = bytes(before)[::-1] + bytes(behind)
-            at = len(before)
-            for step in range(low, high + 1):
-                window = raw[at - step : at - step + length]
-                yield d, h, x - step, hashlib.blake2b(window, digest_size=16).digest()
+        columns = ("d", "h", "place", "low", "high", "before", "behind")
+        for row in zip(*(batch[c] for c in columns)):
+            for start, window in _windows((*row[:5], bytes(row[5]), bytes(row[6])), length):
+                yield row[0], row[1], start, hashlib.blake2b(window, digest_size=16).digest()
 
     # Most windows are equal to no other: count short hashes first, and send only the others.
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -285,25 +387,25 @@ def repeated_windows(docs: DataFrame, length: int) -> DataFrame:
         save(f"{folder}/windows-{part}", keys[counts > 1])
         return pd.DataFrame({"part": [part]})
 
-    counted = open_.mapInPandas(count, RUN).groupBy("part").applyInPandas(merge, "part int").collect()
-    there = {r["part"] for r in counted}
+    counted = rows.mapInPandas(count, RUN).groupBy("part").applyInPandas(merge, "part int").collect()
+    there = {r["part"] for r in counted}  # a row for each range
 
     def seen_again(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = list(windows(batch))
-            keys = np.array([int.from_bytes(r[3][:8], "little") for r in rows], np.uint64)
+            found = list(windows(batch))
+            keys = np.array([int.from_bytes(r[3][:8], "little") for r in found], np.uint64)
             part = np.searchsorted(starts, keys, "right") - 1
-            good = np.zeros(len(rows), dtype=bool)
+            good = np.zeros(len(found), dtype=bool)
             for p in set(part.tolist()) & there:
                 known = load(f"{folder}/windows-{p}", "uint64")
                 mine = np.flatnonzero(part == p)
                 if len(known):
                     at = np.minimum(np.searchsorted(known, keys[mine]), len(known) - 1)
                     good[mine] = known[at] == keys[mine]
-            kept = [rows[i] for i in np.flatnonzero(good)]
+            kept = [found[i] for i in np.flatnonzero(good)]
             yield pd.DataFrame(kept, columns=["d", "h", "start", "window"])
 
-    single = stored(open_.mapInPandas(seen_again, "d long, h long, start int, window binary"), "windows")
+    single = stored(rows.mapInPandas(seen_again, "d long, h long, start int, window binary"), "windows")
     start = F.struct("d", "h", "start")
     earliest = (
         single.groupBy("window")
@@ -312,9 +414,7 @@ def repeated_windows(docs: DataFrame, length: int) -> DataFrame:
         .select("window", "_first")
     )
     later = single.join(earliest, "window").where(start > F.col("_first"))
-    return whole.unionByName(
-        later.select("d", "h", F.col("start").alias("first"), F.col("start").alias("last"))
-    )
+    return later.select("d", "h", F.col("start").alias("first"), F.col("start").alias("last"))
 
 
 def removed(

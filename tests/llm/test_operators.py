@@ -12,7 +12,7 @@ import pytest
 import sentencepiece
 from pyspark.sql import functions as F
 
-from runcourier.llm import language
+from runcourier.llm import language, repeats
 from runcourier.llm import personal_data as pd_
 from runcourier.llm import toxicity as toxicity_
 from runcourier.llm.components import components
@@ -544,3 +544,29 @@ def test_contaminated(spark):
     clean = clean_documents(docs, found)
     assert {r.doc_id for r in clean.collect()} == {t[0] for t in table} - {d for d, _ in want} - {None}
     assert contaminated(docs, bench.limit(0)).count() == 0 and contaminated(docs.limit(0), bench).count() == 0
+
+
+@pytest.mark.parametrize("hot,group,windows,piece", [(3, 50_000, 500_000, 50), (2, 4, 500_000, 7), (10_000, 50_000, 3, 100_000)])
+def test_repeats_of_very_frequent_passages(spark, monkeypatch, hot, group, windows, piece):
+    """Passages between the same neighbours and between others, dealt out by more than their anchors."""
+    for name, value in (("HOT", hot), ("GROUP", group), ("WINDOWS", windows), ("PIECE", piece)):
+        monkeypatch.setattr(repeats, name, value)
+    rng = random.Random(12)
+    passages = [words(n, 100 + n) for n in (9, 15, 18, 30)]
+    table = []
+    for i in range(120):
+        parts = [rng.choice(passages) if rng.random() < 0.7 else words(rng.randrange(1, 8), i) for _ in range(4)]
+        table.append((i, " ".join(parts)))
+    table += table[:5] + [(500 + i, "n" * (90 + i)) for i in range(40)]
+    docs = spark.createDataFrame(table, "doc_id long, text string").repartition(4)
+    got = as_counter(removed(docs), "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    assert got == plain_removed(table)
+
+
+def test_repeats_across_blocks_of_a_long_text(spark):
+    long = words(60_000, 31)
+    assert len(long) > 2 * repeats.BLOCK // 2
+    table = [(1, long + " tail one"), (2, "head " + long[: 300_000]), (3, long[250_000:270_000] * 2), (4, words(300, 32))]
+    docs = spark.createDataFrame(table, "doc_id long, text string")
+    got = as_counter(removed(docs), "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    assert got == plain_removed(table)
