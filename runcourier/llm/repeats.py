@@ -44,7 +44,7 @@ GRAM = 20
 # Occurrences from which on an anchor is dealt out by more than itself.
 HOT = 10_000
 # Contexts that a task compares at once, and contexts and windows of one group that it holds.
-PIECE, GROUP, WINDOWS = 25_000, 20_000, 150_000
+PIECE, GROUP, WINDOWS = 15_000, 20_000, 100_000
 BLOCK = (1 << 18) - 4096
 _PLACE = np.uint64((1 << 18) - 1)
 _VALUES = np.random.default_rng(31).integers(0, 2**64, 256, dtype=np.uint64)

@@ -347,11 +347,18 @@ class Scorer:
     def __init__(self, entries: dict[str, tuple[int, int]], share: float, strength: float = 6.0):
         self.entries, self.share, self.strength = entries, share, strength
         self.floor = math.log(share / (1 - share))
+        self.seen: dict[tuple[int, int], float] = {}
         self.scores = {entry: self.one(*counts) for entry, counts in entries.items()}
         # Beginnings of 4 signs and more all start with these.
         self.starts = {entry[:4] for entry in entries if len(entry) > 3}
 
     def one(self, positive: int, negative: int) -> float:
+        found = self.seen.get((positive, negative))
+        if found is None:
+            found = self.seen[positive, negative] = self.log_odds(positive, negative)
+        return found
+
+    def log_odds(self, positive: int, negative: int) -> float:
         p = (positive + self.strength * self.share) / (positive + negative + self.strength)
         return math.log(p / (1 - p))
 
@@ -369,9 +376,12 @@ class Scorer:
 
     def without(self, words: set[str], label: int) -> list[float]:
         """Word scores with one document of this label taken out of the counts."""
-        out = []
+        out, known = [], self.entries
         for word in words:
-            hits = [self.entries[b] for b in beginnings(word) if b in self.entries]
+            if len(word) > 3 and word[:4] not in self.starts:
+                hits = [known[word[:3]]] if word[:3] in known else []
+            else:
+                hits = [known[b] for b in beginnings(word) if b in known]
             if hits:
                 out.append(max(self.one(p - label, n - 1 + label) for p, n in hits))
         return out
