@@ -260,4 +260,3 @@ def test_an_update_without_change_sends_nothing(spark, tmp_path):
     # A run between two known ones.
     suites["15"] = ("15", "S", "FAILED", "FAIL", 5, 4, 1, "t", "u")
     assert batch(5, ["15"]) == ["15"]
-    assert batch(5, ["15"]) == ["15"]  # a repeated batch is the same
