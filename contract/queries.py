@@ -227,9 +227,9 @@ def report_files(spark, sf_dir, fmt=HOURLY):
 def _files_of(spark, docs):
     folder = work_path(spark, "reports")
     render.write_reports(docs, folder)
-    files = T.whole_text(spark, folder)
+    files = T.whole_md5(spark, folder)
     run = F.url_decode(F.regexp_extract("path", r"/report_run_([^/]+)\.html$", 1))
-    return files.select(run.alias("run_id"), F.md5("text").alias("html_md5"))
+    return files.select(run.alias("run_id"), F.col("md5").alias("html_md5"))
 
 
 # Parts so short that a run of a year comes in many.

@@ -20,7 +20,7 @@ from runcourier.functions.paging import held
 from runcourier.operators.render import document
 from runcourier.operators.sections import assemble, heads, section_sizes, tagged_rows
 from runcourier.schema import SECTIONS, one_of
-from runcourier.session import cut
+from runcourier.session import cut, join_config
 from runcourier.sources.tables import ReportTables
 
 # Characters of a part, about.
@@ -104,7 +104,7 @@ def _in_parts(
     fixed = tops.select("run_id", F.explode(_fixed(mode, p, null_text)).alias("f")).select(
         "run_id", F.col("f.section").alias("section"), F.col("f.text").alias("text")
     )
-    rows = tagged_rows(tables, listed).join(tops.select("run_id"), "run_id", "left_semi")
+    rows = join_config(tagged_rows(tables, listed), tops.select("run_id"), "run_id", salt_on=["row_hash"])
     counted = rows.groupBy("run_id", *listed, "row_weight").agg(F.count("*").alias("_n"))
     per_piece = F.greatest(F.lit(1), F.floor(F.lit(part_chars // 8) / F.col("row_weight"))).cast("bigint")
     last = F.floor((F.col("_n") - 1) / per_piece).cast("bigint")
@@ -158,4 +158,6 @@ def _in_parts(
         F.sum("_c").over(run).alias("n_chars"),
         F.sum("_b").over(run).alias("n_bytes"),
     )
-    return parts.join(numbered, keys).join(tops.select("run_id", "suite"), "run_id").select(*COLUMNS)
+    # The suite joins the numbers, since the parts of a run would meet in one task.
+    numbered = numbered.join(tops.select("run_id", "suite"), "run_id")
+    return parts.join(numbered, keys).select(*COLUMNS)

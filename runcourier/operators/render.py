@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+import os
+import uuid
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from runcourier.functions.files import is_local, store_of
 from runcourier.functions.html import PROFILES, Profile, blank_row, strip_borders, table_row
 from runcourier.functions.text import n_bytes, n_chars, report_path
 from runcourier.schema import SECTIONS, one_of
+from runcourier.session import cut
 
 ARRAYS = {"request": "request", "suite": "suite", "failed": "failed", "threshold": "thresholds"}
 
@@ -67,24 +71,23 @@ def write_reports(documents: DataFrame, folder: str) -> None:
     """One HTML file per run, under the name that messages give (``report_path``).
 
     Writing a run again replaces its file and leaves the others alone. Tasks write documents of one
-    part where they were rendered; the parts of others stream one after the other through the task
-    that writes their file, a batch at a time. A file appears in one step, so a repeated task does no
-    harm. ``folder`` is a path or a URI that all executors reach.
+    part where they were rendered. Of others, tasks write whichever parts they have to their places in
+    one hidden file, which gets its name once all parts are there. So a file appears in one step, and a
+    repeated task, which writes the same bytes to the same place, does no harm.
+
+    ``folder`` is a path or a URI that all executors reach. In a store that is not mounted, where a file
+    can only be written from its begin to its end, its parts stream one after the other through one task,
+    a batch at a time.
     """
 
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import posixpath
-        import uuid
-
-        from pyarrow import fs
 
         made = set()
         open_ = None
 
         def begin(path: str) -> tuple:
-            if path.startswith("file:"):
-                path = "/" + path[5:].lstrip("/")
-            store, name = fs.FileSystem.from_uri(path)
+            store, name = store_of(path)
             parent = posixpath.dirname(name)
             if parent not in made:
                 store.create_dir(parent, recursive=True)
@@ -109,10 +112,60 @@ def write_reports(documents: DataFrame, folder: str) -> None:
     path = report_path(folder, F.col("run_id")).alias("path")
     files = documents.select(path, *COLUMNS[1:])
     # Where no document has several parts, the second branch is empty by constant folding.
-    single = files.where("n_parts = 1")
-    several = files.where("n_parts > 1").repartition("path").sortWithinPartitions("path", "part_no")
-    done = single.mapInPandas(write, "n long").unionByName(several.mapInPandas(write, "n long"))
-    done.agg(F.sum("n")).first()
+    single = files.where("n_parts = 1").mapInPandas(write, "n long")
+    several = files.where("n_parts > 1")
+    if is_local(folder):
+        single.agg(F.sum("n")).first()
+        _write_parts(several)
+    else:
+        ordered = several.repartition("path").sortWithinPartitions("path", "part_no")
+        single.unionByName(ordered.mapInPandas(write, "n long")).agg(F.sum("n")).first()
+
+
+def _write_parts(parts: DataFrame) -> None:
+    """Files of several parts in a mounted folder, each part written by the task that has it."""
+    call = uuid.uuid4()
+
+    def hidden(path: str) -> tuple[str, str]:
+        _, name = store_of(path)
+        return name, os.path.join(os.path.dirname(name), f".{uuid.uuid5(call, path).hex}")
+
+    def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            sizes = []
+            for path, offset, html in batch[["path", "offset", "html"]].itertuples(index=False):
+                _, part = hidden(path)
+                os.makedirs(os.path.dirname(part), exist_ok=True)
+                data = html.encode()
+                with open(os.open(part, os.O_WRONLY | os.O_CREAT, 0o666), "wb") as out:
+                    out.seek(offset)
+                    out.write(data)
+                sizes.append(len(data))
+            yield batch[["path", "part_no", "n_parts", "offset"]].assign(n_bytes=sizes)
+
+    def appear(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for path, whole, n_bytes in batch[["path", "whole", "n_bytes"]].itertuples(index=False):
+                name, part = hidden(path)
+                # A repeated task finds the file under its name.
+                at = part if os.path.exists(part) else name
+                if not whole or os.path.getsize(at) != n_bytes:
+                    raise ValueError(f"parts of {path} are out of place")
+                os.replace(at, name)
+            yield pd.DataFrame({"n": [len(batch)]})
+
+    schema = "path string, part_no long, n_parts long, offset long, n_bytes long"
+    # No part is written again once files appear, hence the cut.
+    placed = cut(parts.mapInPandas(place, schema))
+    files = placed.groupBy("path").agg(
+        (
+            (F.count("*") == F.max("n_parts"))
+            & (F.sum("part_no") == F.max("n_parts") * (F.max("n_parts") - 1) / 2)
+            & (F.sum("n_bytes") == F.max(F.col("offset") + F.col("n_bytes")))
+        ).alias("whole"),
+        F.sum("n_bytes").alias("n_bytes"),
+    )
+    files.mapInPandas(appear, "n long").agg(F.sum("n")).first()
 
 
 def write_archive(pages: DataFrame, folder: str) -> None:

@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 import os
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass, replace
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StructField, StructType
 
+from runcourier.functions.files import MD5_START, md5_piece
+from runcourier.functions.paging import held
 from runcourier.schema import SECTIONS, TABLE_SCHEMAS
 from runcourier.session import cut, is_small
 
@@ -17,6 +20,8 @@ from runcourier.session import cut, is_small
 BUCKETS = 64
 # Buckets of report tables by run, and the name of their partition column.
 RUN_BUCKETS, RUN_BUCKET = 256, "run_bucket"
+# Bytes of a file that is read as one row, and of the pieces of longer ones (a multiple of 64).
+ROW_BYTES, PIECE_BYTES = 32 << 20, 256 << 20
 
 
 def run_bucket(run_id: Column) -> Column:
@@ -229,6 +234,46 @@ def whole_text(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
+def whole_md5(
+    spark: SparkSession, path: str, row_bytes: int = ROW_BYTES, piece_bytes: int = PIECE_BYTES
+) -> DataFrame:
+    """One row per file, with its path as the file system names it and the MD5 of its whole text.
+
+    The text of a file up to ``row_bytes`` is one row. Longer files, which no row may hold, are read in
+    pieces: a task reads one piece, from the state of the MD5 behind the piece before. The next pieces of
+    all files are read at the same time.
+    """
+    texts = spark.read.text(path, wholetext=True).where(F.col("_metadata.file_size") <= row_bytes)
+    rows = texts.select(F.url_decode(F.input_file_name()).alias("path"), F.md5("value").alias("md5"))
+    named = F.url_decode(F.input_file_name()).alias("path")
+    files = spark.read.format("binaryFile").load(path).select(named, F.col("path").alias("file"), "length")
+    long, n = held(files.where(F.col("length") > row_bytes))
+    if not n:
+        return rows
+
+    def read(start: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+        def step(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                yield batch.assign(
+                    state=[
+                        md5_piece(file, state, start, min(start + piece_bytes, size), size)
+                        for file, size, state in batch[["file", "length", "state"]].itertuples(index=False)
+                    ]
+                )
+
+        return step
+
+    last = F.floor((F.col("length") - 1) / piece_bytes)
+    ending = {r["last"]: r["count"] for r in long.groupBy(last.alias("last")).count().collect()}
+    states = long.withColumn("state", F.lit(MD5_START))
+    for i in range(max(ending) + 1):
+        going = sum(count for at, count in ending.items() if at >= i)
+        next_ = states.where(last >= i).repartition(going, "path")
+        next_ = next_.mapInPandas(read(i * piece_bytes), states.schema)
+        states = cut(next_.unionByName(states.where(last < i)))
+    return rows.unionByName(states.select("path", F.lower(F.hex("state")).alias("md5")))
+
+
 def register_views(tables: ReportTables, prefix: str = "") -> list[str]:
     """Publish the tables and the latest run's summary as named datasets for SQL."""
     names = []

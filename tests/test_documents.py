@@ -1,14 +1,16 @@
+import hashlib
 import os
 from collections import defaultdict
 
 import pytest
 from pyspark.sql import functions as F
 
+from runcourier.functions import files
 from runcourier.operators.deliver import chat_outbox
 from runcourier.operators.documents import documents
 from runcourier.operators.render import render, write_reports
 from runcourier.operators.sections import assemble
-from runcourier.sources.tables import inline_tables, whole_text
+from runcourier.sources.tables import inline_tables, whole_md5, whole_text
 
 
 def suite(run, category="S", status="PASS"):
@@ -94,3 +96,56 @@ def test_run_ids_stay_inside_the_folder(spark, tmp_path):
         assert any(p.endswith(r.payload.split("volume: ")[1]) for p in paths)
     with pytest.raises(Exception, match="run id"):
         write_reports(documents(inline_tables(spark, suite_status=[suite("")])), folder)
+
+
+def test_parts_of_a_run_do_not_meet_in_one_task(spark, tmp_path, monkeypatch):
+    conf = {"spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    before = {k: spark.conf.get(k) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        docs = documents(skewed(spark), part_chars=3_000)
+        tasks = docs.where("run_id = 'hot'").select(F.spark_partition_id().alias("p"))
+        assert tasks.distinct().count() > 1
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    # Nor are they dealt out by their file.
+    monkeypatch.setattr(type(docs), "repartition", lambda *_: pytest.fail("dealt out by path"))
+    write_reports(docs, str(tmp_path))
+    got = {f: (tmp_path / f).read_text() for f in os.listdir(tmp_path)}
+    assert got == {f"report_run_{run}.html": html for run, html in joined(docs).items()}
+
+
+def test_a_file_with_parts_out_of_place_does_not_appear(spark, tmp_path):
+    parts = [("a", 0, 3, 0, "xx"), ("a", 1, 3, 2, "ü"), ("a", 2, 3, 4, "z")]
+    schema = "run_id string, part_no int, n_parts int, offset long, html string"
+    write_reports(spark.createDataFrame(parts[::-1], schema), str(tmp_path / "good"))
+    assert (tmp_path / "good" / "report_run_a.html").read_text() == "xxüz"
+    for n, bad in enumerate((parts[:2], [*parts, parts[0]], [*parts[:2], ("a", 2, 3, 5, "z")])):
+        with pytest.raises(Exception, match="out of place"):
+            write_reports(spark.createDataFrame(bad, schema), str(tmp_path / f"bad{n}"))
+        assert not [f for f in os.listdir(tmp_path / f"bad{n}") if f.endswith(".html")]
+
+
+def test_md5_of_files_longer_than_a_row(spark, tmp_path):
+    texts = {f"{n} ä%20": ("<ü>\n" * n)[: n * 3].encode() for n in (1, 20, 21, 64, 100, 333)}
+    for name, text in texts.items():
+        (tmp_path / name).write_bytes(text)
+    rows = whole_md5(spark, str(tmp_path), row_bytes=64, piece_bytes=128).collect()
+    whole = {r.path: r.text for r in whole_text(spark, str(tmp_path)).collect()}
+    assert {r.path: r.md5 for r in rows} == {p: hashlib.md5(t.encode()).hexdigest() for p, t in whole.items()}
+    assert len(rows) == len(texts) and {r.path for r in rows} == {r.path for r in whole_md5(spark, str(tmp_path)).collect()}
+
+
+def test_md5_is_handed_on(tmp_path, monkeypatch):
+    for steps in (False, True):
+        if steps:
+            monkeypatch.setattr(files, "_update", lambda: None)
+        for size in [*range(1, 140), 1000]:
+            text = bytes(i * 7 % 256 for i in range(size))
+            (tmp_path / "f").write_bytes(text)
+            state = files.MD5_START
+            for at in range(0, size, 64):
+                state = files.md5_piece(str(tmp_path / "f"), state, at, min(at + 64, size), size)
+            assert state.hex() == hashlib.md5(text).hexdigest()
