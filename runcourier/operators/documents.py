@@ -7,7 +7,8 @@ in their order are exactly the document that one row would hold:
 1. its rows are ordered by ranges of (run, section, row). Equal rows are counted before that and travel
    with their number, in pieces, so that ranges can divide them;
 2. each range is concatenated by itself into parts of a bounded size. The places of parts in the
-   document are prefix sums over the sizes of parts, and no task sees more of a run than a range.
+   document are prefix sums, within a range over its parts and then over the sizes of ranges. No task
+   sees more of a run than the few ranges that share its hash.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from runcourier.functions.paging import held
 from runcourier.operators.render import document
 from runcourier.operators.sections import assemble, heads, section_sizes, tagged_rows
 from runcourier.schema import SECTIONS, one_of
-from runcourier.session import cut, join_config
+from runcourier.session import cut, is_small, join_config
 from runcourier.sources.tables import ReportTables
 
 # Characters of a part, about.
@@ -134,30 +135,48 @@ def _in_parts(
     for name in listed:
         row = F.repeat(table_row(F.col(name), SECTIONS[name], p, null_text), F.col("copies"))
         html = F.when(F.col(name).isNotNull(), row).otherwise(html)
-    own = Window.partitionBy("_range", "run_id").orderBy(*order)
-    inside = ranged.withColumn("html", html)
+    group = Window.partitionBy("_range", "run_id")
+    own = group.orderBy(*order)
+    # A number of partitions that is named is kept, while adaptive execution would gather ranges by their
+    # size before they are written out, which says little of their texts.
+    inside = ranged.repartition(ranges, "_range").withColumn("html", html)
     before = F.sum(F.length("html")).over(own.rowsBetween(Window.unboundedPreceding, -1))
     inside = inside.withColumn("_i", F.row_number().over(own)).withColumn(
         "_part", F.floor(F.coalesce(before, F.lit(0)) / part_chars)
     )
     entries = F.array_sort(F.collect_list(F.struct("_i", "html")))
+    parts = inside.groupBy("_range", "run_id", "_part").agg(F.array_join(entries["html"], "").alias("html"))
+    in_range = group.orderBy("_part")
+    bytes_before = F.sum(F.octet_length("html")).over(in_range.rowsBetween(Window.unboundedPreceding, -1))
     parts = cut(
-        inside.groupBy("_range", "run_id", "_part").agg(F.array_join(entries["html"], "").alias("html"))
+        parts.select(
+            "run_id",
+            "_range",
+            "html",
+            (F.row_number().over(in_range) - 1).alias("_no"),
+            F.coalesce(bytes_before, F.lit(0)).alias("_at"),
+        )
     )
-    keys = ["run_id", "_range", "_part"]
-    small = parts.select(
-        *keys, F.length("html").cast("bigint").alias("_c"), F.octet_length("html").cast("bigint").alias("_b")
+    sizes = parts.groupBy("run_id", "_range").agg(
+        F.count("*").alias("_n"),
+        F.sum(F.length("html")).alias("_c"),
+        F.sum(F.octet_length("html")).alias("_b"),
     )
     run = Window.partitionBy("run_id")
-    at = run.orderBy("_range", "_part")
-    numbered = small.select(
-        *keys,
-        (F.row_number().over(at) - 1).alias("part_no"),
-        F.count("*").over(run).cast("int").alias("n_parts"),
-        F.coalesce(F.sum("_b").over(at.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("offset"),
+    earlier = run.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    numbered = sizes.select(
+        "run_id",
+        "_range",
+        F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_parts_before"),
+        F.coalesce(F.sum("_b").over(earlier), F.lit(0)).alias("_bytes_before"),
+        F.sum("_n").over(run).cast("int").alias("n_parts"),
         F.sum("_c").over(run).alias("n_chars"),
         F.sum("_b").over(run).alias("n_bytes"),
     )
     # The suite joins the numbers, since the parts of a run would meet in one task.
-    numbered = numbered.join(tops.select("run_id", "suite"), "run_id")
-    return parts.join(numbered, keys).select(*COLUMNS)
+    numbered = cut(numbered.join(tops.select("run_id", "suite"), "run_id"))
+    # A row for each range, so that parts stay where they are.
+    near = F.broadcast(numbered) if is_small(numbered) else numbered
+    joined = parts.join(near, ["run_id", "_range"])
+    joined = joined.withColumn("part_no", (F.col("_parts_before") + F.col("_no")).cast("int"))
+    return joined.withColumn("offset", F.col("_bytes_before") + F.col("_at")).select(*COLUMNS)

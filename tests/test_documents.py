@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from runcourier.functions import files
+from runcourier.operators import documents as documents_module
 from runcourier.operators.deliver import chat_outbox
 from runcourier.operators.documents import documents
 from runcourier.operators.render import render, write_reports
@@ -117,6 +118,20 @@ def test_parts_of_a_run_do_not_meet_in_one_task(spark, tmp_path, monkeypatch):
     assert got == {f"report_run_{run}.html": html for run, html in joined(docs).items()}
 
 
+def test_a_task_has_few_ranges_of_a_run(spark, monkeypatch):
+    # Adaptive execution, which gathers small partitions, is on, and no join is broadcast by its size.
+    monkeypatch.setattr(documents_module, "RANGE_CHARS", 10_000)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        docs = documents(skewed(spark), "full", "all", part_chars=2_000).where("run_id = 'hot'")
+        tasks = docs.groupBy(F.spark_partition_id()).agg(F.sum(F.length("html")).alias("n")).collect()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert sum(r.n for r in tasks) > 50 * 10_000
+    assert max(r.n for r in tasks) < 10 * 10_000
+
+
 def test_a_file_with_parts_out_of_place_does_not_appear(spark, tmp_path):
     parts = [("a", 0, 3, 0, "xx"), ("a", 1, 3, 2, "ü"), ("a", 2, 3, 4, "z")]
     schema = "run_id string, part_no int, n_parts int, offset long, html string"
