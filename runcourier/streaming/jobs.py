@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from runcourier.functions.ordered import previous
-from runcourier.operators.alerts import evaluate, states
+from runcourier.operators.alerts import evaluate
 from runcourier.operators.cadence import debounce
 from runcourier.operators.deliver import alert_outbox, chat_outbox, email_outbox, fan_out
 from runcourier.operators.documents import documents
@@ -129,6 +129,7 @@ ALERT_STATE = T.StructType(
         T.StructField("suite_category", T.StringType()),
         T.StructField("run_id", T.StringType()),
         T.StructField("fired", T.BooleanType()),
+        T.StructField("value", T.DoubleType()),
     ]
 )
 
@@ -149,14 +150,18 @@ def alert_batches(
 
     The state has every run of a rule and suite, so runs may be updated in any order: a touched run is
     judged against the run before it, and the run behind a touched one is judged anew. Both are compared
-    with what the state said before the batch, so an update that changes nothing sends nothing.
+    with what the state said before the batch, so an update that changes nothing sends nothing. A run that
+    still triggers an alert, with another value, is told again.
     """
     keys = ["rule_id", "suite_category"]
 
     def on_batch(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         runs = _touched(batch).persist()
-        now = states(evaluate(tables().of_runs(runs).suite_status, rules)).persist()
+        evaluated = evaluate(tables().of_runs(runs).suite_status, rules)
+        now = evaluated.groupBy(*keys, "run_id").agg(
+            F.bool_or("fired").alias("fired"), F.sum(F.col("value").cast("double")).alias("value")
+        ).persist()
         try:
             old = state.read(spark, batch_id).join(now.select(*keys).distinct(), keys, "left_semi")
             fired = _newly_triggered(old, now, keys, order)
@@ -171,18 +176,22 @@ def alert_batches(
 
 
 def _newly_triggered(old: DataFrame, now: DataFrame, keys: list[str], order: str) -> DataFrame:
-    """Runs that an alert is triggered by after a batch, but was not by before it."""
+    """Runs that an alert is triggered by after a batch, but was not by before it, or with another value."""
     place = [*keys, "run_id"]
-    was = old.select(*place, F.col("fired").alias("_was"))
-    both = was.join(now.select(*place, F.col("fired").alias("_now")), place, "full_outer")
-    known = both.select(*place, "_was", F.coalesce("_now", "_was").alias("_is"))
+    was = old.select(*place, F.col("fired").alias("_was"), F.col("value").alias("_before"))
+    new = now.select(*place, F.col("fired").alias("_now"), F.col("value").alias("_value"))
+    # A value that is not known, as of a run that was not touched, has not changed.
+    changed = F.coalesce(F.col("_value") != F.col("_before"), F.lit(False))
+    both = was.join(new, place, "full_outer").withColumn("_changed", changed)
+    known = both.select(*place, "_was", "_changed", F.coalesce("_now", "_was").alias("_is"))
     known = known.withColumn("_key", run_key(order))
     after = previous(known, keys, ["_key"], "_is")
     triggered = F.col("_is") & ~F.coalesce("previous__is", F.lit(False))
-    after = after.where(triggered).select(*place)
+    after = after.where(triggered).select(*place, "_changed")
     before = previous(known.where("_was is not null"), keys, ["_key"], "_was")
     told = F.col("_was") & ~F.coalesce("previous__was", F.lit(False))
-    return after.join(before.where(told).select(*place), place, "left_anti")
+    told = before.where(told).select(*place, F.lit(True).alias("_told"))
+    return after.join(told, place, "left").where("_told is null or _changed").select(*place)
 
 
 def fire_state_table(path: str, key: str, key_type: T.DataType) -> StateTable:
