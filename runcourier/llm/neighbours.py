@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from runcourier.llm.common import slim, small_batches
+from runcourier.llm.common import fewer, release, slim, small_batches
 from runcourier.session import cut
 
 # Neighbours of a node, nodes that a query keeps, rounds at most, and nodes that meet at once.
@@ -105,6 +105,8 @@ def meet(nodes: DataFrame, named: DataFrame, floors: DataFrame | None, degree: i
 
     ``floors`` has the similarity s that a node's new neighbour must beat.
     """
+    # Both sides of the join with the sizes read the same shuffle if they have the same filters.
+    named = named.where(F.col("at").isNotNull() & F.col("member").isNotNull())
     sizes = named.groupBy("at").agg(F.ceil(F.count("*") / size).alias("_groups"))
     named = named.join(sizes, "at").withColumn(
         "group", F.pmod(F.xxhash64("member", F.lit(number)), F.col("_groups"))
@@ -163,6 +165,7 @@ def graph(
     found = meet(nodes, leaves(nodes, dims, TREES, LEAF, 11, middle), None, degree // 2, MEETING, 0)
     edges = slim(_top(found.groupBy("u", "v").agg(F.max("s").alias("s")), "u", "v", "s", degree))
     for number in range(1, rounds + 1):
+        release(nodes.sparkSession)
         # Around each node meet its neighbours, those that name it, and itself.
         named = edges.select(F.col("u").alias("at"), F.col("v").alias("member")).union(
             edges.select(F.col("v").alias("at"), F.col("u").alias("member"))
@@ -171,23 +174,25 @@ def graph(
             F.when(F.count("*") >= degree, F.min("s").cast("double")).alias("floor")
         )
         found = meet(nodes, named.distinct(), floors, degree, MEETING, number)
-        every = edges.unionByName(found).groupBy("u", "v").agg(F.max("s").alias("s"))
-        new = slim(_top(every, "u", "v", "s", degree))
-        same = new.join(edges.select("u", "v"), ["u", "v"], "left_semi").count()
-        edges, changed = new, 1 - same / max(1, new.count())
+        every = edges.withColumn("old", F.lit(True)).unionByName(found.withColumn("old", F.lit(False)))
+        every = every.groupBy("u", "v").agg(F.max("s").alias("s"), F.max("old").alias("old"))
+        new = cut(_top(every, "u", "v", "s", degree))
+        total, same = new.agg(F.count("*"), F.count_if("old")).first()
+        edges, changed = fewer(new.drop("old"), total), 1 - same / max(1, total)
         if changed < 0.02:
             break
     return edges
 
 
 def walk(
-    queries: DataFrame, nodes: DataFrame, edges: DataFrame, beam: int, steps: int = 40
+    begin: DataFrame, codes: DataFrame, nodes: DataFrame, edges: DataFrame, beam: int, steps: int = 40
 ) -> DataFrame:
     """Rows (query, node, s): the best nodes that greedy search finds for each query.
 
-    ``queries``: rows (query, code, node), with the nodes a search starts from.
+    ``begin``: rows (query, node), the nodes a search starts from; ``codes``: a row (query, code) for each.
     """
-    code = slim(queries.select("query", F.col("code").alias("q")).distinct())
+    most = beam * codes.count()
+    codes = codes.select("query", F.col("code").alias("q"))
     ways = slim(_both(edges))
 
     @F.pandas_udf("double")
@@ -196,24 +201,24 @@ def walk(
             return pd.Series([], dtype=float)
         return pd.Series((_codes(list(a))[0] * _codes(list(b))[0]).sum(axis=1).astype(float))
 
-    def rated(pairs: DataFrame) -> DataFrame:
-        rows = pairs.join(code, "query").join(nodes.select("node", "code"), "node")
-        return rows.select("query", "node", dot("q", "code").alias("s"))
+    def best(pairs: DataFrame) -> DataFrame:
+        """Of the rows (query, node, done), each once, the best of each query. The join by query, the
+        last one, leaves them where they are ranked."""
+        rows = pairs.join(nodes.select("node", "code"), "node").join(codes, "query")
+        rows = rows.select("query", "node", dot("q", "code").alias("s"), "done")
+        return fewer(cut(_top(rows, "query", "node", "s", beam)), most)
 
-    kept = rated(queries.select("query", "node").distinct()).withColumn("done", F.lit(False))
-    kept = slim(_top(kept, "query", "node", "s", beam))
+    kept = best(begin.distinct().withColumn("done", F.lit(False)))
     for _ in range(steps):
+        release(nodes.sparkSession)
         now = kept.where("not done").select("query", "node")
         if now.isEmpty():
             break
         there = now.join(ways.select(F.col("u").alias("node"), "v"), "node")
-        reached = there.select("query", F.col("v").alias("node")).distinct()
-        reached = reached.join(kept, ["query", "node"], "left_anti")
-        before = kept.join(now.withColumn("_now", F.lit(True)), ["query", "node"], "left").select(
-            "query", "node", "s", (F.col("done") | F.coalesce("_now", F.lit(False))).alias("done")
-        )
-        every = before.unionByName(rated(reached).withColumn("done", F.lit(False)))
-        kept = slim(_top(every, "query", "node", "s", beam))
+        reached = there.select("query", F.col("v").alias("node"), F.lit(False).alias("done"))
+        # What was kept is expanded by now. It is rated again, to the same value, instead of being joined.
+        every = kept.select("query", "node", F.lit(True).alias("done")).unionByName(reached)
+        kept = best(every.groupBy("query", "node").agg(F.max("done").alias("done")))
     return kept.select("query", "node", "s")
 
 
@@ -265,15 +270,14 @@ def nearest(
             nodes.select("node", rounded("vector", F.lit(0.0)).alias("code")), "node"
         )
     )
-    begin = wanted.select(F.col("node").alias("query"), "code", "node").unionByName(
+    codes = wanted.select(F.col("node").alias("query"), "code")
+    begin = wanted.select(F.col("node").alias("query"), "node").unionByName(
         wanted.join(edges.select(F.col("u").alias("node"), "v"), "node").select(
-            F.col("node").alias("query"), "code", F.col("v").alias("node")
+            F.col("node").alias("query"), F.col("v").alias("node")
         )
     )
-    begin = begin.unionByName(
-        wanted.select(F.col("node").alias("query"), "code").crossJoin(F.broadcast(far))  # ``beam`` rows
-    )
-    found = walk(begin, nodes, edges, beam)
+    begin = begin.unionByName(codes.select("query").crossJoin(F.broadcast(far)))  # ``beam`` rows
+    found = walk(begin, codes, nodes, edges, beam)
 
     # Exact scores for the nodes found, then the rows behind the nodes.
     pairs = found.join(nodes.select(F.col("node").alias("query"), F.col("vector").alias("a")), "query")

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -517,6 +518,22 @@ def test_nearest_of_tiny_tables_finds_all(spark):
     assert recall(spark, sides, every=5) == 1
 
 
+def test_nearest_drops_what_its_steps_shuffled(spark):
+    """The driver keeps the shuffles of a few steps, not of all, and a step makes few."""
+    rng = np.random.default_rng(17)
+    data = [(i, [float(x) for x in v]) for i, v in enumerate(rng.normal(size=(300, 16)))]
+    vectors = spark.createDataFrame(data, "vec_id long, embedding array<double>")
+    held = spark._jvm.org.apache.spark.SparkEnv.get().mapOutputTracker().shuffleStatuses()
+    number = lambda: spark.sparkContext._jsc.sc().newShuffleId()
+    first = number()
+    assert nearest(vectors, F.col("vec_id") % 20 == 0).count() == 300
+    made = number() - first
+    until = time.time() + 10
+    while (kept := sum(held.contains(i) for i in range(first, first + made))) > made / 4 and time.time() < until:
+        time.sleep(0.2)
+    assert made <= 80 and kept <= made / 4
+
+
 # decontamination
 
 
